@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, exact_dedup, mixing, quality_classifier, quality_rules, token_counts, toxicity, url_filter
+from textloom.llm import bpe, exact_dedup, html_text, mixing, near_dedup, quality_classifier, quality_rules, token_counts, toxicity, url_filter
 from textloom.llm.common import fold, table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents")).drop("row")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(fold("doc_id", 5) != 0))
@@ -58,6 +62,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -76,12 +84,14 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM url
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_quality_rules": op3_quality_rules,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mixing": op5_mixing,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_token_counts": op7_token_counts,
+    "op8_html_text": op8_html_text,
     "op9_url_filter": op9_url_filter,
     "op10_bpe": op10_bpe,
 }
