@@ -29,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-MOST_ARCS, MOST_WORDS = 1 << 20, 150_000
+MOST_ARCS, MOST_WORDS = 1 << 20, 400_000
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
@@ -171,23 +171,34 @@ class Codec:
         self.split = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|(?:(?![{_WHITE}])(?!{letter})(?!{number}).)+", regex.V1 | regex.DOTALL)
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.end = end
 
     def _word(self, word: str) -> bytes:
         """Ids of what lies between white space; kept in two generations, so the table stays bounded."""
         found = self.older.get(word)
         if found is None:
-            ids = array("I")
-            for piece in self.split.findall(word):
-                symbols = [self.byte[b] for b in piece.encode("utf-8", "surrogatepass")]
-                symbols[-1] += self.end
-                ids.extend(self.ids[t] for t in self.automaton.encode(symbols))
-            found = ids.tobytes()
+            if word.isalpha():
+                found = self._piece(word)
+            elif word[:-1].isalpha() and word[-1] in _MARKS:  # no contraction, so the mark is a piece of its own
+                found = self._piece(word[:-1]) + self._piece(word[-1])
+            else:
+                found = b"".join(map(self._piece, self.split.findall(word)))
         if len(self.words) >= MOST_WORDS:
             self.older, self.words = self.words, {}
         self.words[word] = found
         return found
 
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            if len(self.pieces) >= MOST_WORDS:
+                self.pieces.clear()
+            symbols = [self.byte[b] for b in piece.encode("utf-8", "surrogatepass")]
+            symbols[-1] += self.end
+            found = self.pieces[piece] = array("I", [self.ids[t] for t in self.automaton.encode(symbols)]).tobytes()
+        return found
+
     def _plain(self, text: str) -> bytes:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
@@ -226,6 +237,7 @@ class Codec:
         return " ".join(map(self.label_of.__getitem__, ids))
 
 
+_MARKS = frozenset(".,;:!?")
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to Python, marks to the tokenizer
 _SPACES = re.compile(f"[{_WHITE}]+")
 
