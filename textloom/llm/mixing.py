@@ -113,7 +113,8 @@ def permuted(slots: DataFrame) -> DataFrame:
 
     x, n, part = F.col("x"), F.col("n"), F.col("part")
     for r in range(ROUNDS):  # a column for each step: nested in one another they would be copied into one large expression
-        a, b, c = (F.element_at("keys", (F.col("turn") * 3 * ROUNDS + 3 * r + k).cast("int")) for k in (1, 2, 3))
+        # get() has null beyond the last pass: the filter of those slots may be evaluated after this
+        a, b, c = (F.get("keys", (F.col("turn") * 3 * ROUNDS + 3 * r + k).cast("int")) for k in range(3))
         slots = slots.withColumn("x", (prime(n) * x + a) % n).withColumn("part", n - b % (F.expr("n div 2") + 1))
         slots = slots.withColumn("x", n - 1 - F.when(x < part, (prime(part) * x + c) % part).otherwise(x))
     return slots.drop("keys", "part")
@@ -143,12 +144,13 @@ def placed(keyed: DataFrame, names: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def pieces(rows: DataFrame, uses: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The part of each row in each block: __h, __k, index, words, uses (0 if the mix leaves the block out)."""
+    """The part of each row in each block: __h, __k, at (its first word), words, uses (0 if the mix leaves the block out)."""
     first, last = F.expr(f"start div {block}"), F.expr(f"(start + __size - 1) div {block}")
     parts = rows.where("__size > 0").select("__h", "__k", "sid", "start", "__size", F.explode(F.sequence(first, last)).alias("index"))
-    words = F.least((F.col("index") + 1) * block, F.col("start") + F.col("__size")) - F.greatest(F.col("index") * block, F.col("start"))
+    begin = F.greatest(F.col("index") * block, F.col("start"))
+    words = F.least((F.col("index") + 1) * block, F.col("start") + F.col("__size")) - begin
     joined = parts.join(uses, ["sid", "index"], "left")
-    return joined.select("__h", "__k", "index", words.alias("words"), F.coalesce("uses", F.lit(0)).alias("uses"))
+    return joined.select("__h", "__k", (begin - F.col("start")).alias("at"), words.alias("words"), F.coalesce("uses", F.lit(0)).alias("uses"))
 
 
 def mixture(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, repeat: int = REPEAT, seed: str = SEED) -> DataFrame:
@@ -173,13 +175,12 @@ def mixed(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, repeat: int =
     rows = placed(small, names, block).select("__h", "__k", "sid", "start", "__size")
     rows = cut(rows)
     parts = pieces(rows, block_uses(names, block, shard, repeat, seed), block)
-    plan = parts.groupBy("__h", "__k").agg(F.array_sort(F.collect_list(F.struct("index", "words", "uses"))).alias("__plan"))
+    plan = parts.groupBy("__h", "__k").agg(F.array_sort(F.collect_list(F.struct("at", "words", "uses"))).alias("__plan"))
     taken = keyed.join(plan, ["__h", "__k"]).withColumn("__most", F.array_max(F.transform("__plan", lambda p: p["uses"]))).where("__most > 0")
     copies = taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__most"))))
     found = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    runs = F.transform("__plan", lambda p: p["words"])
-    begins = F.transform(F.sequence(F.lit(0), F.size("__plan") - 1), lambda i: F.struct(F.aggregate(F.slice(runs, 1, i), F.lit(0).cast("long"), lambda a, b: a + b).alias("at"), F.element_at("__plan", i + 1).alias("p")))
-    kept = F.flatten(F.transform(F.filter(begins, lambda b: b["p"]["uses"] >= F.col("__copy")), lambda b: F.slice(F.col("__found"), (b["at"] + 1).cast("int"), b["p"]["words"].cast("int"))))
+    taken_parts = F.filter("__plan", lambda p: p["uses"] >= F.col("__copy"))
+    kept = F.flatten(F.transform(taken_parts, lambda p: F.slice(F.col("__found"), (p["at"] + 1).cast("int"), p["words"].cast("int"))))
     whole = F.forall("__plan", lambda p: p["uses"] >= F.col("__copy"))
     copies = copies.withColumn("__whole", whole).withColumn("__found", F.when(~F.col("__whole"), found))
     text = F.when(F.col("__whole"), F.col("text")).otherwise(F.array_join(kept, " "))
