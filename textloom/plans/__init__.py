@@ -1,6 +1,6 @@
 """All registered queries: importing the modules registers them."""
 
-from textloom.plans import layout, search, text
+from textloom.plans import layout, search, text, view
 from textloom.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "layout", "search", "text"]
+__all__ = ["QUERIES", "SQL", "layout", "search", "text", "view"]
