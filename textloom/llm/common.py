@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.session import cut, tidy
+
+__all__ = ["SPACE", "cut", "fold", "table", "tidy"]
+
 #: White space of the contracts: space, and tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -16,16 +20,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fold(doc_id: str, folds: int) -> Column:
     """crc32 of doc_id as text, modulo folds; null for a null doc_id."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(folds))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder of spark.checkpoint.dir and read back, so that losing an executor loses nothing.
-
-    The session's setting comes first. Only where neither the context nor the session names a folder, as in tests, is
-    one set: below the warehouse, which is shared as well.
-    """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
-        context.setCheckpointDir(folder)
-    return df.checkpoint()

@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import SPACE, cut
+from textloom.llm.common import SPACE, cut, tidy
 
 BLOCK = 8192
 
@@ -92,6 +92,11 @@ def identities(docs: DataFrame, block: int = BLOCK, fingerprint: Callable[[Colum
 
 def groups(docs: DataFrame, block: int = BLOCK, fingerprint: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """row (an integer of its own), doc_id, keep_id, group_size, kept and text_sha256 of every row."""
+    with tidy(docs.sparkSession):
+        return _groups(docs, block, fingerprint)
+
+
+def _groups(docs: DataFrame, block: int, fingerprint: Callable[[Column], Column]) -> DataFrame:
     rows, same = identities(docs, block, fingerprint)
     known = same.join(rows.select("row", "doc_id"), "row")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row").alias("row"))).alias("first")
