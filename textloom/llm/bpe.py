@@ -7,7 +7,7 @@ encoding. A gadget is stored as what it copies and removes, not as its arcs (the
 through the gadgets when first asked for and kept in a bounded table.
 
 Encoding runs over the characters of a pre-split word with two tables, the vocabulary trie and the arcs: every prefix has
-one path, so a position is settled by the first arc that reaches it. Decoding emits the labels of the arcs.
+one path, so a position that was left is never entered again. Decoding emits the labels of the arcs.
 
 Defined cases: null texts are empty, and an empty text has no tokens and the empty decoding. Texts are processed whole;
 memory follows the batch and the bounded tables. Special tokens in a text are single tokens, as in the tokenizer file.
@@ -29,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-MOST_ARCS, MOST_WORDS = 1 << 20, 400_000
+MOST_ARCS, MOST_WORDS, MOST_PIECES = 100_000, 100_000, 60_000
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
@@ -75,7 +75,8 @@ class Automaton:
         self.made = [-1] * len(base)
         self.left, self.right = [0] * len(base), [0] * len(base)
         self.gone: dict[int, int] = {}
-        self.arcs: dict[int, bool] = {}
+        self.arcs: dict[int, dict[int, bool]] = {}  # resolved ones, by state
+        self.resolved = 0
         for k, (u, v) in enumerate(merges):
             a, b = number[u], number[v]
             if not self._arc(a, b, k):  # no path has this pair any more
@@ -86,25 +87,16 @@ class Automaton:
             self.made.append(k)
             self.left.append(a)
             self.right.append(b)
-        self.trie: list[dict[str, int]] = [{}]
-        self.ends: list[int] = [-1]  # the token that ends at a node
+        place = {c: i for i, c in enumerate(base)}
+        self.trie: dict = {}  # base symbol, by its place, to (subtree, the token that ends here or -1)
         for i, label in enumerate(self.labels):
-            node = 0
-            for c in self._symbols(label, end):
-                if c not in self.trie[node]:
-                    self.trie[node][c] = len(self.trie)
-                    self.trie.append({})
-                    self.ends.append(-1)
-                node = self.trie[node][c]
-            self.ends[node] = i
-        self.end = end
-
-    @staticmethod
-    def _symbols(label: str, end: str) -> list[str]:
-        if end and label.endswith(end):
-            stem = label[: -len(end)]
-            return [*stem[:-1], stem[-1:] + end]
-        return list(label)
+            symbols = [place[c] for c in (label if not (end and label.endswith(end)) else [*label[: -len(end) - 1], label[-len(end) - 1 :]])]
+            tree = self.trie
+            for c in symbols[:-1]:
+                if c not in tree:
+                    tree[c] = ({}, -1)
+                tree = tree[c][0]
+            tree[symbols[-1]] = (tree[symbols[-1]][0] if symbols[-1] in tree else {}, i)
 
     def _arc(self, p: int, t: int, upto: float) -> bool:
         """May t follow p, counting the gadgets before ``upto``?"""
@@ -121,34 +113,58 @@ class Automaton:
                 upto = made[t] + 0.5  # the gadget's own removal counts for what it copies to the other states
                 t = self.left[t]
 
-    def encode(self, word: list[str]) -> list[int]:
-        """word: its base symbols."""
+    def _resolve(self, p: int, t: int) -> bool:
+        """Puts the arc t of state p into the table."""
+        if self.resolved >= MOST_ARCS:
+            self.arcs.clear()
+            self.resolved = 0
+        self.resolved += 1
+        row = self.arcs.setdefault(p, {})
+        row[t] = self._arc(p, t, float("inf"))
+        return row[t]
+
+    def encode(self, word: list[int]) -> list[int]:
+        """Tokens of the path that spells the word; word: places of its base symbols.
+
+        The longest arcs are tried first. A path that gets stuck gives up its last position for good: only one path leads to
+        each position, so none is entered twice and the work is linear.
+        """
         n = len(word)
-        last, back = [-1] * (n + 1), [0] * (n + 1)
-        trie, ends, arcs = self.trie, self.ends, self.arcs
-        for j in range(n):
-            p, node = last[j], 0
-            for i in range(j, n):
-                node = trie[node].get(word[i], -1)
-                if node < 0:
-                    break
-                t = ends[node]
-                if t >= 0 and last[i + 1] < 0:
-                    if p >= 0:
-                        key = p << 20 | t
-                        ok = arcs.get(key)
-                        if ok is None:
-                            if len(arcs) >= MOST_ARCS:
-                                arcs.clear()
-                            ok = arcs[key] = self._arc(p, t, float("inf"))
-                        if not ok:
+        root, arcs = self.trie, self.arcs
+        dead = bytearray(n + 1)
+        path: list[int] = []
+        trail: list[tuple[int, list[tuple[int, int]]]] = []
+        at, state = 0, -1
+        while at < n:
+            choices = []
+            tree, i = root, at
+            while i < n and (step := tree.get(word[i])) is not None:
+                tree, t = step
+                i += 1
+                if t >= 0:
+                    choices.append((t, i))
+            while True:
+                while choices:
+                    t, to = choices.pop()
+                    if dead[to]:
+                        continue
+                    if state >= 0:
+                        row = arcs.get(state)
+                        ok = row.get(t) if row is not None else None
+                        if not (self._resolve(state, t) if ok is None else ok):
                             continue
-                    last[i + 1], back[i + 1] = t, j
-        out = []
-        while n:
-            out.append(last[n])
-            n = back[n]
-        return out[::-1]
+                    break
+                else:  # stuck
+                    dead[at] = 1
+                    path.pop()
+                    state = path[-1] if path else -1
+                    at, choices = trail.pop()
+                    continue
+                break
+            trail.append((at, choices))
+            path.append(t)
+            at, state = to, t
+        return path
 
 
 class Codec:
@@ -172,7 +188,6 @@ class Codec:
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        self.end = end
 
     def _word(self, word: str) -> bytes:
         """Ids of what lies between white space; kept in two generations, so the table stays bounded."""
@@ -192,10 +207,10 @@ class Codec:
     def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
-            if len(self.pieces) >= MOST_WORDS:
+            if len(self.pieces) >= MOST_PIECES:
                 self.pieces.clear()
-            symbols = [self.byte[b] for b in piece.encode("utf-8", "surrogatepass")]
-            symbols[-1] += self.end
+            symbols = list(piece.encode("utf-8", "surrogatepass"))
+            symbols[-1] += 256  # the same byte at the end of a word
             found = self.pieces[piece] = array("I", [self.ids[t] for t in self.automaton.encode(symbols)]).tobytes()
         return found
 
