@@ -66,6 +66,45 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
+_PRIME = "CASE WHEN {of} % 134217689 <> 0 THEN 134217689 WHEN {of} % 134217649 <> 0 THEN 134217649 ELSE 134217617 END"
+
+
+def _round(r: int) -> str:
+    """One round of the permutation of a source's blocks, in SQL."""
+    key = lambda k: f"('0x' || substr(md5('mix:' || sid || ':' || turn || ':{r}'), {k}, 8))::BIGINT"
+    return f"""
+p{r} AS (SELECT sid, n, turn, ({_PRIME.format(of="n")} * x + {key(1)}) % n AS x, n - {key(9)} % (n // 2 + 1) AS part, {key(17)} AS c FROM x{r}),
+x{r + 1} AS (SELECT sid, n, turn, n - 1 - CASE WHEN x < part THEN ({_PRIME.format(of="part")} * x + c) % part ELSE x END AS x FROM p{r})"""
+
+
+OP5_SQL = rf"""
+WITH keyed AS (SELECT *, row_number() OVER (PARTITION BY h) AS k FROM (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(concat_ws(':', doc_id::VARCHAR, source, md5(coalesce(text, '')))) AS h FROM documents)),
+totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM keyed GROUP BY source),
+ranked AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS sid FROM totals),
+weighed AS (SELECT *, ((sid - 1) % 3 + 1)::DOUBLE AS weight, 3.0::DOUBLE * source_size / ((sid - 1) % 3 + 1)::DOUBLE AS fills FROM ranked),
+upto AS (SELECT *, sum(source_size) OVER ()::BIGINT AS total, sum(weight) OVER () AS weights, sum(source_size) OVER w::BIGINT AS filled, sum(weight) OVER w AS gone FROM weighed WINDOW w AS (ORDER BY fills, sid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+levels AS (SELECT *, (total - 3 * (filled - source_size))::DOUBLE / (weights - (gone - weight)) AS level FROM upto),
+level AS (SELECT level FROM levels WHERE level <= fills ORDER BY gone LIMIT 1),
+names AS (SELECT sid, source, source_size, round(least(3.0::DOUBLE * source_size, coalesce((SELECT level FROM level), 0) * weight), 6) AS target FROM weighed),
+expected AS (SELECT sid, (source_size + 255) // 256 AS n, target * ((source_size + 255) // 256) / source_size AS slots FROM names WHERE source_size > 0),
+shares AS (SELECT sid, n, slots / sum(slots) OVER () AS p, round(sum(slots) OVER ())::BIGINT AS total FROM expected),
+shards AS (SELECT *, least(4096, total - shard * 4096) AS width FROM (SELECT *, unnest(range(0, (total - 1) // 4096 + 1)) AS shard FROM shares WHERE total > 0)),
+parts AS (SELECT *, floor(p * width)::BIGINT AS whole, p * width - floor(p * width) AS part FROM shards),
+lines AS (SELECT *, sum(part) OVER (PARTITION BY shard ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS high, sum(part) OVER (PARTITION BY shard) AS parts, (width - sum(whole) OVER (PARTITION BY shard))::BIGINT AS open FROM parts),
+spans AS (SELECT sid, n, shard, whole, lag(high, 1, 0) OVER w AS low, CASE WHEN lead(sid) OVER w IS NULL THEN 'inf'::DOUBLE ELSE high END AS high FROM lines WINDOW w AS (PARTITION BY shard ORDER BY sid)),
+draws AS (SELECT shard, ('0x' || substr(md5('mix:draw:' || shard || ':' || k), 1, 8))::BIGINT / 4294967296.0::DOUBLE * parts AS at_ FROM (SELECT shard, parts, unnest(range(1, open + 1)) AS k FROM (SELECT shard, max(parts) AS parts, max(open) AS open FROM lines GROUP BY shard))),
+drawn AS (SELECT s.shard, sid, count(*) AS drawn FROM spans s JOIN draws d ON s.shard = d.shard AND at_ >= low AND at_ < high GROUP BY ALL),
+counts AS (SELECT sid, n, shard, whole + coalesce(drawn, 0) AS slots FROM spans LEFT JOIN drawn USING (shard, sid)),
+slots AS (SELECT sid, n, unnest(range(first, first + slots)) AS slot FROM (SELECT *, coalesce(sum(slots) OVER (PARTITION BY sid ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM counts)),
+x0 AS (SELECT sid, n, slot // n AS turn, slot % n AS x FROM slots WHERE slot < 3 * n),{_round(0)},{_round(1)},{_round(2)},
+uses AS (SELECT sid, x AS index, count(*) AS uses FROM x3 GROUP BY ALL),
+placed AS (SELECT d.*, sid, source_size, target, coalesce(sum(size) OVER (PARTITION BY sid ORDER BY h, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM keyed d JOIN names ON d.source IS NOT DISTINCT FROM names.source),
+pieces AS (SELECT h, k, sid, start, size, unnest(range(start // 256, (start + size - 1) // 256 + 1)) AS index FROM placed WHERE size > 0),
+took AS (SELECT h, k, sum((least((index + 1) * 256, start + size) - greatest(index * 256, start)) * coalesce(uses, 0))::BIGINT AS taken FROM pieces LEFT JOIN uses USING (sid, index) GROUP BY h, k)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM placed LEFT JOIN took USING (h, k)
+"""
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -95,4 +134,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_bpe": op10_bpe,
 }
-ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op9_url_filter": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op5_mixing": OP5_SQL, "op9_url_filter": OP9_SQL}
