@@ -199,6 +199,7 @@ def strips(weights: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> n
     out = np.empty((n, 4))
     if n and (x1 <= x0 or y1 <= y0 or total <= 0):
         out[:] = (x0, y0, x0, y0)
+    if not n or x1 <= x0 or y1 <= y0 or total <= 0:
         return out
     area = np.asarray(weights, float) * ((x1 - x0) * (y1 - y0) / total)
     at = 0

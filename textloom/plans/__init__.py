@@ -1,6 +1,6 @@
 """All registered queries: importing the modules registers them."""
 
-from textloom.plans import book, export, layout, search, text, view
+from textloom.plans import book, export, layout, search, text, view, widths
 from textloom.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "book", "export", "layout", "search", "text", "view"]
+__all__ = ["QUERIES", "SQL", "book", "export", "layout", "search", "text", "view", "widths"]

@@ -77,10 +77,14 @@ def has_skipped_part(path: Column) -> Column:
 
 
 def read(spark: SparkSession, root: str, names: Sequence[str]) -> DataFrame:
-    """path (below root), bytes and content of the names."""
+    """path (below root), bytes and content of the names. The reader leaves out empty files, so they are joined back."""
+    wanted = spark.createDataFrame([(n,) for n in names], "path string")
+    if not names:
+        return wanted.select("path", F.lit(0).cast("long").alias("bytes"), F.lit(b"").alias("content"))
     files = spark.read.format("binaryFile").load([os.path.join(root, n) for n in names])
     below = F.regexp_replace("path", rf"^.*?\Q{os.path.abspath(root)}\E/", "")
-    return files.select(below.alias("path"), F.col("length").alias("bytes"), "content")
+    found = files.select(below.alias("path"), "length", "content")
+    return wanted.join(found, "path", "left").select("path", F.coalesce("length", F.lit(0).cast("long")).alias("bytes"), F.coalesce("content", F.lit(b"")).alias("content"))
 
 
 def extension(path: Column) -> Column:
