@@ -92,3 +92,10 @@ def test_edges(make, edge_rows):
     assert M.mixture(make(edge_rows).limit(0)).count() == 0
     blank = M.mixture(make([(1, "", "a"), (2, None, None)])).toPandas()
     assert blank.target.tolist() == [0, 0] and blank.taken.tolist() == [0, 0]
+
+
+def test_sql(spark, small, duck):
+    from helpers import rows
+    from textloom.llm import queries as Q
+
+    assert rows(Q.op5_mixing(spark, small).toPandas()) == rows(duck.sql(Q.ORACLE_SQL["op5_mixing"]).df())

@@ -67,7 +67,7 @@ def unknown() -> str:
 
 
 class Automaton:
-    """Compiled from base symbols and merges; the ids are positions in ``labels``."""
+    """Compiled from base symbols and merges, each of which makes a string of its own; tokens are positions in ``labels``."""
 
     def __init__(self, base: list[str], merges: list[tuple[str, str]], end: str = "") -> None:
         self.labels = list(base)
@@ -78,6 +78,8 @@ class Automaton:
         self.arcs: dict[int, dict[int, bool]] = {}  # resolved ones, by state
         self.resolved = 0
         for k, (u, v) in enumerate(merges):
+            if u not in number or v not in number:  # a part that no path ever has
+                continue
             a, b = number[u], number[v]
             if not self._arc(a, b, k):  # no path has this pair any more
                 continue
