@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import os
 import tempfile
 import zipfile
@@ -55,6 +56,18 @@ def tidy(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+def thin(df: DataFrame, by: int = 8) -> DataFrame:
+    """A stored table in fewer partitions: for tables that hold a small part of the rows that they were made from."""
+    return df.coalesce(max(8, df._jdf.rdd().getNumPartitions() // by))
+
+
+def sweep(spark: SparkSession) -> None:
+    """Collects the garbage of finished steps here and in the driver's JVM, so that Spark's cleaner can drop what they left:
+    broadcasts, checkpoint files and plans. Spark does so by itself every half hour, which is late for a loop of steps."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows, written to the folder of spark.checkpoint.dir and read back, so that losing an executor loses nothing.
 
