@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.session import cut, tidy
+from textloom.session import cut, sweep, thin, tidy
 
-__all__ = ["SPACE", "cut", "fold", "table", "tidy"]
+__all__ = ["SPACE", "cut", "fold", "sweep", "table", "thin", "tidy"]
 
 #: White space of the contracts: space, and tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
