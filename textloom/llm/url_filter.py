@@ -47,10 +47,11 @@ class Bloom:
     level: int
     size: int
     bits: np.ndarray
+    hashes: int
 
     def places(self, key: str) -> list[int]:
         a, b = _digest(key, self.level)
-        return [(a + i * b) % self.size for i in range(HASHES)]
+        return [(a + i * b) % self.size for i in range(self.hashes)]
 
     def has(self, key: str) -> bool:
         bits = self.bits
@@ -90,7 +91,7 @@ def _encode(keys: DataFrame, count: int, level: int) -> Bloom:
     size = max(64, count * BITS)
     if size // 8 > MAX_BYTES:
         raise ValueError(f"{count} keys need a filter of more than {MAX_BYTES} bytes; split the list")
-    empty = Bloom(level, size, np.zeros(size // 8 + 1, np.uint8))
+    empty = Bloom(level, size, np.zeros(size // 8 + 1, np.uint8), HASHES)
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
