@@ -17,12 +17,12 @@ CAP, HANG = 30.0, 1.0
 _MAP = "MAP {" + ", ".join("'" + k.replace("'", "''") + f"': {v}::DOUBLE" for k, v in sorted(ADV.items())) + "}"
 WIDTHS = f"""
 adv AS (SELECT {_MAP} AS m),
-cl AS (SELECT doc_id AS file_id, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE doc_id % 10 = 0)),
-cw AS (SELECT file_id, line_no, rtrim(text, ' ') AS text, CASE WHEN rtrim(text, ' ') = '' THEN [] ELSE list_transform(string_split(rtrim(text, ' '), ''), lambda c: coalesce(m[c], {ADV["?"]})) END AS w FROM cl, adv)
+cl AS (SELECT doc_id AS file_id, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+cw AS (SELECT file_id, line_no, text, CASE WHEN text = '' THEN [] ELSE list_transform(string_split(text, ''), lambda c: coalesce(m[c], {ADV["?"]})) END AS w FROM (SELECT * REPLACE (left(rtrim(text, ' '), 4096) AS text) FROM cl), adv)
 """
 
 
-@query(f"WITH {WIDTHS.replace(' WHERE doc_id % 10 = 0', '')} SELECT file_id, line_no, round(coalesce(list_sum(w), 0), 6)::DOUBLE AS width FROM cw WHERE text <> ''")
+@query(f"WITH {WIDTHS} SELECT file_id, line_no, round(coalesce(list_sum(w), 0), 6)::DOUBLE AS width FROM cw WHERE text <> ''")
 def a_line_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Width of every inked line in the face."""
     rows = doc_lines(spark, sf_dir).where("text <> ''")
