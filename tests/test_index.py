@@ -19,7 +19,7 @@ def test_code_index_round_trip(spark, tmp_path):
     assert [files[p].file_id for p in ("note.txt", "one.py", "lib/three.c", "lib/two.rs")] == [0, 1, 2, 3]
     assert files["note.txt"].lines == 0 and files["one.py"].lines == 13
     assert {r.name for r in made["items"].collect()} == {"one", "Two", "three", "area", "P", "Shape for P", "side", "S", "main"}
-    out = str(tmp_path / "atlas")
+    out = str(tmp_path / "index")
     assert not index.complete(spark, out)
     index.save({k: made[k] for k in index.TABLES}, out)
     back = index.load(spark, out)

@@ -11,7 +11,7 @@ from textloom.functions import text as T
 from textloom.operators import book, code, layout, lines, tokens, tree
 from textloom.sources import trees
 
-#: Tables of a stored atlas; all must be there for one to be complete.
+#: Tables of a stored index; all must be there for one to be complete.
 TABLES = ("files", "dirs", "lines", "items")
 
 #: Names of item kinds by language, from 1 (fixed values).
@@ -85,7 +85,7 @@ def save(frames: dict[str, DataFrame], path: str, compression: str = "zstd") ->
 
 
 def complete(spark: SparkSession, path: str, names: Sequence[str] = TABLES) -> bool:
-    """Are all tables of an atlas there?"""
+    """Are all tables of an index there?"""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -93,7 +93,7 @@ def complete(spark: SparkSession, path: str, names: Sequence[str] = TABLES) -> b
 
 
 def load(spark: SparkSession, path: str, names: Sequence[str] = TABLES) -> dict[str, DataFrame]:
-    """The tables of a stored atlas; an incomplete one is an error."""
+    """The tables of a stored index; an incomplete one is an error."""
     if not complete(spark, path, names):
         raise FileNotFoundError(f"{path} has not all of {', '.join(names)}")
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}

@@ -1,6 +1,6 @@
 """Source trees: discovery, size and content gates, language by name, history.
 
-Finding names is driver work (a listing or a git call, as the reference's command line does); reading and judging contents is
+Finding names is driver work (a listing or a git call); reading and judging contents is
 Spark's: ``binaryFile`` reads the kept paths on the executors and every gate is a column expression.
 """
 
