@@ -4,6 +4,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from textloom.llm import kernels as K
 from textloom.llm import near_dedup as N
@@ -113,3 +114,40 @@ def test_components(spark):
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
     assert got == {n: find(n) for n in root if any(n in p and p[0] != p[1] for p in links)}
+
+
+def one_bucket(docs):
+    """joined() where all texts share one sketch only: what it finds is what the bucket's members are compared for."""
+    rows = N._place(N.described(docs)).select("doc_id", "row", "n", "sig", F.array(F.lit(1).cast("long")).alias("keys")).checkpoint()
+    name = {r.row: r.doc_id for r in rows.collect()}
+    groups = defaultdict(set)
+    for r in N.joined(docs, rows).collect():
+        groups[r.root].add(name[r.node])
+    return {frozenset(g) for g in groups.values()}
+
+
+def test_members_unlike_their_leader_are_compared(stored, prose):
+    """The leader (the last row) is like no other text, so no link is found with it."""
+    text = prose(100, 2)
+    rows = [(0, text, "s"), (1, edited(text, 1, 3), "s"), (2, prose(100, 4), "s"), (3, prose(100, 5), "s")]
+    assert one_bucket(stored(rows, slices=1).orderBy("doc_id").coalesce(1).checkpoint()) == {frozenset({0, 1})}
+
+
+def test_hot_bucket_against_all_pairs(stored, prose, monkeypatch):
+    """Texts of one origin at 0.6 to 0.8 with few near copies among them, some of joined members; blocks smaller than the bucket."""
+    monkeypatch.setattr(N, "BLOCK", 16)
+    origin = prose(200, 77)
+    rows = [(i, edited(origin, 4 + i % 2, i), "s") for i in range(140)]
+    rows += [(200 + i, edited(rows[3 * i][1], 1, 200 + i), "s") for i in range(30)]
+    rows += [(300 + i, edited(rows[140 + 2 * i][1], 2, 300 + i), "s") for i in range(10)]
+    expected = {g for g in brute(rows) if len(g) > 1}
+    assert len(expected) > 15
+    assert one_bucket(stored(rows, clash=False)) == expected
+
+
+def test_hot_template_with_own_sketches(stored, prose):
+    origin = prose(200, 78)
+    rows = [(i, edited(origin, 4 + i % 2, i), "s") for i in range(300)]
+    rows += [(400 + i, edited(rows[5 * i][1], 1 + i % 2, 400 + i), "s") for i in range(50)]
+    got = N.classes(stored(rows, clash=False)).toPandas()
+    assert {frozenset(g) for g in got.groupby("class_id").doc_id.agg(set)} == brute(rows)

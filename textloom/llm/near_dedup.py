@@ -4,10 +4,10 @@
 2. The items of a text are its runs of SHINGLE words, each with the number of its earlier occurrences in the text. Each of
    SKETCHES hash functions picks the LEAST least items and keeps them in text order: two texts share the sketch if the same
    items are least and stand in the same order. Short texts (up to SHORT items) have SKETCHES sketches of one item as well.
-3. Texts with a common sketch form a bucket. Every member is compared with the bucket's leader only; never all pairs. The
-   leader is the member whose buckets are largest, as the text that copies were made from is, so a group has few leaders.
-   Members that aren't joined with their leader are compared with LEADERS further members in the next round, again the best
-   connected, and so on until a round finds no new link. No pair is compared twice, nor texts that links already join.
+3. Texts with a common sketch form a bucket. Every member is first compared with the bucket's leader, the member whose
+   buckets are largest, as the text that copies were made from is. Where links then don't join the whole bucket, all pairs
+   of members that they don't join are compared, whatever the bucket's size: members that aren't joined with the leader form
+   blocks, which meet each other and the blocks of those that are. A pair meets in the first of its common buckets only.
 4. Pairs whose signatures (the least item of each of BINS parts of the hash range, one byte each) are further from
    SIMILARITY than chance allows (SPREAD standard deviations) are not compared, which spares fetching their texts. A
    comparison is a banded alignment of the two item sequences: matches further off the diagonal than SIMILARITY allows
@@ -29,6 +29,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,8 @@ from textloom.llm.components import components
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, LEAST, SHORT = 16, 4, 20
 BINS, SPREAD = 256, 4.0
-#: Leaders of a bucket in each round after the first.
-LEADERS = 4
+#: Members of a block at most, and items that they may have together, so that two blocks fit a task.
+BLOCK, WEIGHT = 512, 1 << 21
 #: Row buckets of the filter in front of the text join: its broadcast side has at most so many numbers.
 FILTER = 1 << 20
 _U = np.uint64
@@ -220,15 +221,20 @@ def _place(df: DataFrame) -> DataFrame:
     return df.withColumn("row", F.monotonically_increasing_id())
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of rows whose texts are similar."""
+def _texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """row, text of the given rows, and of few others."""
 
     def slot(row: Column) -> Column:
         return F.pmod(F.xxhash64(row), F.lit(FILTER))
 
-    asked = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).select(slot(F.col("row")).alias("slot")).distinct()
+    asked = rows.select(slot(F.col("row")).alias("slot")).distinct()
     texts = _place(docs.select("text")).select("row", F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.withColumn("slot", slot(F.col("row"))).join(F.broadcast(asked), "slot", "left_semi").drop("slot")
+    return texts.withColumn("slot", slot(F.col("row"))).join(F.broadcast(asked), "slot", "left_semi").drop("slot")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of rows whose texts are similar."""
+    texts = _texts(docs, pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))))
     both = pairs.join(texts.select(F.col("row").alias("b"), F.col("text").alias("second")), "b").join(texts.select(F.col("row").alias("a"), F.col("text").alias("first")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,56 +266,146 @@ def _split(texts: K.Texts) -> list[Sequence]:
     return [Sequence(item[p], np.sort(item[p][first[p]])) for p in parts]
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each run of equal key, i, j, the first three columns."""
+    held: list[pa.RecordBatch] = []
+    at = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        named = np.column_stack([batch.column(c).to_numpy() for c in range(3)])
+        cuts = np.flatnonzero((named[1:] != named[:-1]).any(1)) + 1
+        for lo, hi in pairwise([0, *cuts.tolist(), len(named)]):
+            name = tuple(named[lo].tolist())
+            if held and name != at:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            at = name
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _blocks(members: DataFrame, led: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, i, j, block, row, n, root: members of buckets that links don't join as a whole, once for each pair (i, j) of blocks
+    that meet. Pairs of blocks of members that are joined with the leader are left out."""
+    top = led.select("key", F.col("leader").alias("node")).join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("top"))
+    named = members.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row")).select("key", "row", "n", "root")
+    named = cut(named.join(top, "key").withColumn("other", F.col("root") != F.col("top")).drop("top"))
+    sizes = named.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.col("other").cast("long")).alias("rest"), F.max("n").alias("most")).where("rest > 0")
+    per = F.greatest(F.lit(16), F.least(F.lit(BLOCK), F.floor(F.lit(WEIGHT) / F.greatest("most", F.lit(1)))))
+    sizes = sizes.withColumn("per", per).withColumn("whole", F.col("size") <= F.col("per"))
+    sizes = sizes.withColumn("others", F.when(F.col("whole"), F.lit(1)).otherwise(F.ceil(F.col("rest") / F.col("per"))))
+    sizes = sizes.withColumn("mains", F.when(F.col("whole"), F.lit(0)).otherwise(F.ceil((F.col("size") - F.col("rest")) / F.col("per"))))
+    dealt = named.join(sizes.select("key", "whole", "others", "mains"), "key")
+    spot = F.xxhash64("row")
+    block = F.when(F.col("whole"), F.lit(0)).when(F.col("other"), F.pmod(spot, "others")).otherwise(F.col("others") + F.pmod(spot, F.greatest("mains", F.lit(1)))).cast("long")
+    dealt = dealt.withColumn("block", block)
+    last = F.when(F.col("block") < F.col("others"), F.col("others") + F.col("mains")).otherwise(F.col("others")) - 1
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
+    return dealt.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "row", "n", "root")
+
+
+def _candidates(met: DataFrame) -> DataFrame:
+    """Of the members of each pair of blocks (with n, root, sig and keys), those with pairs that may match: key, i, j, row, root, partners."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches):
+            if g.num_rows < 2:
+                continue
+            key, i, j = (g.column(c)[0].as_py() for c in range(3))
+            block, row, n, root = (g.column(c).to_numpy() for c in range(3, 7))
+            sig = np.frombuffer(b"".join(g.column(7).to_pylist()), np.uint8).reshape(-1, BINS)
+            lists = g.column(8).to_pylist()
+            keys = np.zeros((len(row), 2 * SKETCHES), np.int64)
+            for k, x in enumerate(lists):
+                keys[k, : len(x)] = x
+            partners: list[list[int]] = [[] for _ in row]
+            involved = np.zeros(len(row), bool)
+            later = np.arange(len(row))
+            for a in np.flatnonzero(block == i):
+                at = np.flatnonzero(((later > a) if i == j else (block == j)) & (root != root[a]) & (np.minimum(n, n[a]) >= SIMILARITY * np.maximum(n, n[a]) - 1e-9))
+                first = (keys[at] == keys[a]).argmax(1)
+                at = at[keys[a][first] == key]
+                if len(at):
+                    at = at[may_match(sig[a][None], sig[at])]
+                if len(at):
+                    partners[a] = row[at].tolist()
+                    involved[at] = involved[a] = True
+            at = np.flatnonzero(involved)
+            if len(at):
+                yield pa.record_batch({
+                    "key": pa.array(np.full(len(at), key)), "i": pa.array(np.full(len(at), i)), "j": pa.array(np.full(len(at), j)),
+                    "row": pa.array(row[at]), "root": pa.array(root[at]), "partners": pa.array([partners[k] for k in at], pa.list_(pa.int64())),
+                })
+
+    return _together(met.select("key", "i", "j", "block", "row", "n", "root", "sig", "keys")).mapInArrow(run, "key long, i long, j long, row long, root long, partners array<long>")
+
+
+def _together(df: DataFrame) -> DataFrame:
+    return df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _links(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Pairs (a, b) of similar texts that join what the candidates' partners join, none between rows that others join already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches):
+            row, roots = g.column(3).to_pylist(), g.column(4).to_pylist()
+            own = [x for t in K.chunks(g.column(6)) for x in _split(t)]
+            size = np.array([len(x.kinds) for x in own])
+            _, ids = np.unique(np.concatenate([x.kinds for x in own]), return_inverse=True)
+            ids = np.split(ids.reshape(-1), np.cumsum(size)[:-1])
+            mark = np.zeros(max(int(x.max()) for x in ids if len(x)) + 1, bool)
+            at = {r: k for k, r in enumerate(row)}
+            up = {r: r for r in roots}
+
+            def find(x: int) -> int:
+                while up[x] != x:
+                    up[x] = x = up[up[x]]
+                return x
+
+            out = []
+            for a, partners in enumerate(g.column(5).to_pylist()):
+                them = np.array([b for b in (at[r] for r in partners) if find(roots[b]) != find(roots[a])], np.int64)
+                if not len(them):
+                    continue
+                mark[ids[a]] = True
+                counts = np.concatenate([[0], np.cumsum(mark[np.concatenate([ids[b] for b in them])])])
+                ends = np.cumsum(size[them])
+                mark[ids[a]] = False
+                common = counts[ends] - counts[ends - size[them]]
+                likely = common >= SIMILARITY * (size[a] + size[them] - common) - 1e-9
+                for b in them[likely].tolist():
+                    one, two = find(roots[a]), find(roots[b])
+                    if one != two and similar(own[a], own[b]):
+                        up[one] = two
+                        out.append((row[a], row[b]))
+            if out:
+                yield pa.record_batch({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+    told = candidates.join(_texts(docs, candidates.select("row")), "row")
+    return _together(told.select("key", "i", "j", "row", "root", "partners", "text")).mapInArrow(run, "a long, b long")
+
+
 def joined(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """node, root of every row with a verified link; rows: row, n, sig, keys of one row for each different text, stored."""
-    rounds: list[DataFrame] = []
-    compared: list[DataFrame] = []
     members = rows.select("row", "n", F.explode("keys").alias("key"))
     sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = cut(members.join(sizes, "key"))
     weight = members.groupBy("row").agg(F.sum("size").alias("rank"))
     members = cut(members.join(weight, "row").select("key", "row", "n", "rank"))
-    asking, leading = members, members  # who looks for a match, and who may lead
-    roots: DataFrame | None = None
-    while True:
-        slot = F.pmod(F.xxhash64("row", F.lit(len(rounds))), F.lit(LEADERS if rounds else 1)).alias("slot")
-        led = leading.groupBy("key", slot).agg(F.max(F.struct("rank", "row", "n")).alias("top")).select("key", F.col("top.row").alias("leader"), F.col("top.n").alias("m"))
-        met = cut(asking.join(led, "key").where("row <> leader").select("key", "row", "n", "rank", "leader", "m"))
-        pairs = met.groupBy("leader", "row").agg(F.first("n").alias("n"), F.first("m").alias("m"))
-        pairs = pairs.where(F.least("n", "m") >= SIMILARITY * F.greatest("n", "m") - 1e-9)
-        if roots is not None:
-            for side in ("leader", "row"):
-                pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), side, "left")
-            pairs = pairs.where(F.coalesce("leader_root", "leader") != F.coalesce("row_root", "row"))
-            pairs = pairs.withColumns({"low": F.least("leader", "row"), "high": F.greatest("leader", "row")})
-            pairs = pairs.join(_union(compared).select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")), ["low", "high"], "left_anti")
-        signed = pairs.select(F.col("leader").alias("a"), F.col("row").alias("b")).join(rows.select(F.col("row").alias("b"), F.col("sig").alias("two")), "b").join(rows.select(F.col("row").alias("a"), F.col("sig").alias("one")), "a")
-        pairs = thin(cut(_agreeing(signed.select("a", "b", "one", "two"))))
-        compared.append(pairs)
-        found = thin(cut(_verified(docs, pairs)))
-        if found.isEmpty():
-            break
-        rounds.append(found)
-        roots = thin(cut(components(_union(rounds))))
-        sweep(docs.sparkSession)
-        # members that links don't join with their leader go on, with the members that have not led the bucket yet; one that
-        # is joined may still lead for those that are not
-        by_root = met.select("key", "row", "leader")
-        for side in ("leader", "row"):
-            by_root = by_root.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), side, "left")
-        settled = by_root.where(F.coalesce("leader_root", "leader") == F.coalesce("row_root", "row")).select("key", "row")
-        leaders = met.select("key", F.col("leader").alias("row"))
-        asking = thin(cut(asking.join(settled.unionByName(leaders), ["key", "row"], "left_anti")))
-        leading = leading.join(leaders.distinct(), ["key", "row"], "left_anti")
-        leading = thin(cut(leading.join(asking.select("key").distinct(), "key", "left_semi")))
-    return roots if roots is not None else components(found)
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    led = members.groupBy("key").agg(F.max(F.struct("rank", "row", "n")).alias("top")).select("key", F.col("top.row").alias("leader"), F.col("top.n").alias("m"))
+    met = members.join(led, "key").where("row <> leader")
+    pairs = met.groupBy("leader", "row").agg(F.first("n").alias("n"), F.first("m").alias("m"))
+    pairs = pairs.where(F.least("n", "m") >= SIMILARITY * F.greatest("n", "m") - 1e-9)
+    signed = pairs.select(F.col("leader").alias("a"), F.col("row").alias("b")).join(rows.select(F.col("row").alias("b"), F.col("sig").alias("two")), "b").join(rows.select(F.col("row").alias("a"), F.col("sig").alias("one")), "a")
+    found = thin(cut(_verified(docs, thin(cut(_agreeing(signed.select("a", "b", "one", "two")))))))
+    roots = thin(cut(components(found)))
+    sweep(docs.sparkSession)
+    rest = _blocks(members, led, roots).join(rows.select("row", "sig", "keys"), "row")
+    more = thin(cut(_links(docs, thin(cut(_candidates(rest))))))
+    return roots if more.isEmpty() else components(found.unionByName(more))
 
 
 def classes(docs: DataFrame) -> DataFrame:
