@@ -151,3 +151,14 @@ def test_hot_template_with_own_sketches(stored, prose):
     rows += [(400 + i, edited(rows[5 * i][1], 1 + i % 2, 400 + i), "s") for i in range(50)]
     got = N.classes(stored(rows, clash=False)).toPandas()
     assert {frozenset(g) for g in got.groupby("class_id").doc_id.agg(set)} == brute(rows)
+
+
+def test_settled_members_meet_those_that_led_before_them(stored, prose):
+    """M (17) is like X (0) only, and X is joined with the leader L (18) at once; twins give links in the meantime."""
+    leader = prose(200, 60)
+    x = edited(leader, 4, 61)
+    rows = [(0, x, "s"), *((i, prose(150, 700 + i % 8), "s") for i in range(1, 9)), *((i, edited(prose(150, 700 + i % 8), 1, i), "s") for i in range(9, 17))]
+    rows += [(17, edited(x, 4, 62), "s"), (18, leader, "s")]
+    expected = {g for g in brute(rows) if len(g) > 1}
+    assert frozenset({0, 17, 18}) in expected and len(expected) == 9
+    assert one_bucket(stored(rows, slices=1).orderBy("doc_id").coalesce(1).checkpoint()) == expected
