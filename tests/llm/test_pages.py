@@ -34,6 +34,14 @@ def test_extract(html, text):
     assert H.extract(html) == text
 
 
+@pytest.mark.parametrize("names", ['class="content with-sidebar"', 'class="post share"', 'id="main" class="has-header"', 'class="with-sidebar"'])
+def test_an_unlikely_word_does_not_drop_the_article(names):
+    inner = ARTICLE.removeprefix("<article>").removesuffix("</article>")
+    around = "<div class='ad'>Buy, buy, buy some more.</div>", "<div class='comments post-body'><p>A reader, who has much, much to say.</p></div>"
+    assert H.extract(f"<body>{around[0]}<div {names}>{inner}</div>{around[1]}</body>") == TEXT
+    assert H.extract(f"<body><div {names}>{around[0]}{inner}<div class='sidebar'><p>Also, on this, and that.</p></div></div></body>") == TEXT
+
+
 def test_deep_and_long_pages():
     assert H.extract("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
     assert H.extract("</b>" * 20000 + "<p>x") == "x"

@@ -3,7 +3,8 @@
 1. A forgiving parser builds the element tree: void elements, raw text (scripts, styles), implied ends of paragraphs and
    list items, stray end tags.
 2. Elements that are no article go: scripts and forms by their tag; menus, headers, sidebars, notices, adverts and reader
-   comments by tag, role or the words of class and id; hidden ones.
+   comments by tag, role or the words of class and id; hidden ones. Those whose class or id also has a name of articles as
+   a whole are left to their points, and so are those that hold most of the page's text outside links, if no article or main element is elsewhere.
 3. Each paragraph passes points for its length and commas to its ancestors, all to the parent, half to the grandparent, a
    third of that share further up; containers start with points by tag and by class. Points are discounted by the share of
    text that is in links. The best container is kept, widened to the article element around it; without one, with those
@@ -48,6 +49,7 @@ UNLIKELY = set(
     "sponsored subscribe subscription tagcloud teaser toolbar topbar tweet warning widget widgets".split()
 )
 LIKELY = set("article body content entry hentry main page post story text blog column".split())
+DISCUSSION = set("comment comments commentlist discussion disqus remark replies responses".split())
 START = {"article": 10, "main": 10, "section": 3, "div": 5, "pre": 3, "td": 3, "blockquote": 3} | dict.fromkeys("address ol ul dl dd dt li".split(), -3) | dict.fromkeys("h1 h2 h3 h4 h5 h6 th".split(), -5)
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = set("p pre td blockquote div section li dd figcaption article main body center".split())
@@ -55,12 +57,13 @@ LEAST, ENOUGH = 25, 10.0
 
 
 class Element:
-    __slots__ = ("tag", "parent", "inner", "gone", "good", "score", "length", "linked", "commas")
+    __slots__ = ("tag", "parent", "inner", "gone", "named", "good", "score", "length", "linked", "commas")
 
     def __init__(self, tag: str, parent: Element | None) -> None:
         self.tag, self.parent = tag, parent
         self.inner: list[Element | str] = []
         self.gone, self.good, self.score = False, 0, 0.0
+        self.named = False  # gone by its names alone
         self.length = self.linked = self.commas = 0
 
 
@@ -94,7 +97,9 @@ def _judge(e: Element, attributes: dict[str, str]) -> None:
     e.good = (1 if good else 0) - (1 if bad else 0)
     if bad and tag not in ("html", "body", "main") and not (tag == "article" and "comment" not in bad and "comments" not in bad) and not (tag in ("header", *HEADINGS) and "header" in bad):
         # a name such as "comments-body" or "ad-text" is still that of a comment or an advert
-        e.gone = True
+        whole = {w.lower() for w in f"{attributes.get('class', '')} {attributes.get('id', '')}".split()}
+        e.gone = not whole & LIKELY or bool(whole & DISCUSSION)
+        e.named = e.gone and not bad & DISCUSSION
 
 
 def parse(html: str) -> Element:
@@ -160,6 +165,34 @@ def parse(html: str) -> Element:
     return root
 
 
+def _spare(root: Element) -> None:
+    """Elements that go by their names stay if they hold most of the page's text outside links, and no article is elsewhere."""
+    order, stack = [], [root]
+    while stack:
+        e = stack.pop()
+        if e.tag == "a" or e.gone and not e.named:
+            continue
+        order.append(e)
+        stack.extend(x for x in e.inner if isinstance(x, Element))
+    if not any(e.named for e in order):
+        return
+    held: dict[int, int] = {}
+    articles: dict[int, int] = {}
+    for e in reversed(order):
+        n = held[id(e)] = held.get(id(e), 0) + sum(len(" ".join(x.split())) for x in e.inner if isinstance(x, str))
+        k = articles[id(e)] = articles.get(id(e), 0) + (e.tag in ("article", "main") and n > 0)
+        if e.parent is not None:
+            held[id(e.parent)] = held.get(id(e.parent), 0) + n
+            articles[id(e.parent)] = articles.get(id(e.parent), 0) + k
+    for e in order:
+        if e.named and 2 * held[id(e)] > held[id(root)]:
+            around, up = 0, e.parent
+            while up is not None:
+                around += up.tag in ("article", "main")
+                up = up.parent
+            e.gone = articles[id(e)] + around < articles[id(root)]
+
+
 def _order(root: Element) -> list[Element]:
     """The elements that stay, parents first."""
     out, stack = [], [root]
@@ -261,6 +294,7 @@ def extract(html: str | None) -> str:
     if not html:
         return ""
     root = parse(html)
+    _spare(root)
     order = _order(root)
     _weigh(order)
     _score(order)
