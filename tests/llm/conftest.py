@@ -3,7 +3,16 @@ import random
 import pytest
 
 #: Columns whose names operators use themselves: they must not matter.
-CLASH = "row long, n long, keys string, score double, kept boolean, name string, at int, fp string, `__row` string, `__h` string, size string, target string"
+CLASH = "row long, n long, keys string, score double, kept boolean, name string, at int, fp string, `__row` string, `__h` string, size string, target string, doc string, plan string, k string, h string, copy string, `a.b` string"
+CLASHING = (7, 7, "k", 0.5, False, "x", 1, "f", "r", "h", "s", "t", "doc", "plan", "kk", "hh", "copy", "dot")
+
+
+def unharmed(df):
+    """All columns of the fixture are there with their values."""
+    names = [c.strip().split(" ")[0].strip("`") for c in CLASH.split(",")]
+    assert df.columns[-len(names) :] == names
+    rows = df.select(*(f"`{c}`" for c in names)).distinct().collect()
+    return all(tuple(r) == CLASHING for r in rows)
 
 
 @pytest.fixture(scope="session")
@@ -13,7 +22,7 @@ def make(spark):
     def build(rows, clash=True, slices=3):
         schema = "doc_id long, text string, lang string, source string, n_chars long"
         data = [(i, t, None, s, None if t is None else len(t)) for i, t, s in rows]
-        extra = [(7, 7, "k", 0.5, False, "x", 1, "f", "r", "h", "s", "t")] if clash else [()]
+        extra = [CLASHING] if clash else [()]
         return spark.createDataFrame([(*r, *extra[0]) for r in data], schema + (", " + CLASH if clash else "")).repartition(slices)
 
     return build

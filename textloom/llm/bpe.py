@@ -29,6 +29,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from textloom.llm import kernels as K
+
 MOST_ARCS, MOST_WORDS, MOST_PIECES = 100_000, 100_000, 60_000
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -259,9 +261,13 @@ _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to Python, marks to the t
 _SPACES = re.compile(f"[{_WHITE}]+")
 
 
-@lru_cache(maxsize=2)
+OWNER = "bpe"
+
+
+@lru_cache(maxsize=1)
 def codec(path: str) -> Codec:
-    """One for each process; built from the file, which every executor has at the same place."""
+    """One for each process, while it encodes; built from the file, which every executor has at the same place."""
+    K.keeps(OWNER, codec.cache_clear)
     return Codec(path)
 
 
@@ -294,7 +300,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.record_batch([*(part.column(c) for c in keep), pa.array([len(x) for x in ids], pa.int64()), lists], names=[*keep, "n_tokens", "ids"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
-    return docs.select(*(f"`{c}`" for c in keep), "text").mapInArrow(run, f"{fields}{', ' if fields else ''}n_tokens long, ids array<int>")
+    return K.arrow(docs.select(*(f"`{c}`" for c in keep), "text"), run, f"{fields}{', ' if fields else ''}n_tokens long, ids array<int>", OWNER)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -312,4 +318,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             yield pa.record_batch({"doc_id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(first, pa.string()), "decoded_sha256": pa.array(second, pa.string())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return K.arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", OWNER)

@@ -1,18 +1,24 @@
 """Vectorised kernels over Arrow string columns.
 
 Every kernel works on the UTF-8 buffers of a record batch, cut into chunks of whole texts, so the memory in use
-follows the chunk (or the one text that is longer than a chunk) and not the partition. Null texts count as empty.
+follows the chunk (or the one text that is longer than a chunk) and not the partition. Bytes are hashed in blocks of a fixed
+size. Null texts count as empty.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 CHUNK_BYTES = 1 << 20
+#: Bytes that are hashed at a time; powers of the base are kept for twice as many.
+HASH_BLOCK = 1 << 18
 
 _U = np.uint64
 _WHITE = np.zeros(256, bool)
@@ -25,23 +31,11 @@ _BYTE_CODES = np.random.Generator(np.random.PCG64(20240917)).integers(1, 1 << 63
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> _U(30))
-    x = x * _U(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> _U(27))
-    x = x * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-class _Powers:
-    """base**i and base**-i modulo 2**64, grown on demand."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << max(16, int(n - 1).bit_length())
-            self.up, self.down = (_geometric(b, size) for b in (_BASE, _BASE_INVERSE))
-        return self.up, self.down
+    x *= _U(0xBF58476D1CE4E5B9)
+    x ^= x >> _U(27)
+    x *= _U(0x94D049BB133111EB)
+    x ^= x >> _U(31)
+    return x
 
 
 def _geometric(base: int, n: int) -> np.ndarray:
@@ -51,7 +45,53 @@ def _geometric(base: int, n: int) -> np.ndarray:
     return out[:n]
 
 
-_POWERS = _Powers()
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64."""
+    return _geometric(_BASE, 2 * HASH_BLOCK), _geometric(_BASE_INVERSE, 2 * HASH_BLOCK)
+
+
+def _polynomial(data: np.ndarray) -> int:
+    """The sum of each byte's code times base**place; for spans longer than a block."""
+    up, _ = _powers()
+    total = 0
+    for lo in range(0, len(data), HASH_BLOCK):
+        part = data[lo : lo + HASH_BLOCK]
+        total += int((_BYTE_CODES[part] * up[: len(part)]).sum()) * pow(_BASE, lo, 1 << 64)
+    return total % (1 << 64)
+
+
+#: What kernels keep in a worker between partitions, by owner: how to drop it.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str, drop: Callable[[], None]) -> None:
+    """Says how to drop what owner keeps in this worker. It is dropped when a kernel of another owner runs."""
+    _KEPT[owner] = drop
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, which Python workers that are used again would keep otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object, owner: str = "") -> DataFrame:
+    """df.mapInArrow(run, schema), with workers that keep nothing of it but what owner says."""
+
+    def ran(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for other, drop in _KEPT.items():
+            if other != owner:
+                drop()
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return df.mapInArrow(ran, schema)
 
 
 @dataclass
@@ -61,24 +101,31 @@ class Texts:
     first: int  # row of the batch
     data: np.ndarray  # uint8
     offs: np.ndarray  # int64, one more than texts
-    _sums: np.ndarray | None = None
 
     def __len__(self) -> int:
         return len(self.offs) - 1
 
-    def _prefix(self) -> np.ndarray:
-        if self._sums is None:
-            up, _ = _POWERS.upto(len(self.data) + 1)
-            sums = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum(_BYTE_CODES[self.data] * up[: len(self.data)], out=sums[1:])
-            self._sums = sums
-        return self._sums
-
     def span_hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of the bytes of each span, by its content only."""
-        sums = self._prefix()
-        _, down = _POWERS.upto(len(self.data) + 1)
-        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        """A 64-bit hash of the bytes of each span, by its content only; spans in the order of their starts."""
+        up, down = _powers()
+        out = np.empty(len(starts), np.uint64)
+        for lo in range(0, len(self.data), HASH_BLOCK):
+            a, b = np.searchsorted(starts, (lo, lo + HASH_BLOCK))
+            if a == b:
+                continue
+            s, e = starts[a:b] - lo, ends[a:b] - lo
+            long = e >= 2 * HASH_BLOCK
+            part = self.data[lo : lo + (int(e[~long].max()) if not long.all() else 0)]
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(_BYTE_CODES[part] * up[: len(part)], out=sums[1:])
+            within = np.where(long, s, e) if long.any() else e
+            inside = np.minimum(s, len(part)) if long.any() else s
+            out[a:b] = (sums[np.minimum(within, len(part))] - sums[inside]) * down[s]
+            for k in np.flatnonzero(long):
+                out[a + k] = _polynomial(self.data[starts[a + k] : ends[a + k]])
+        rest = np.searchsorted(starts, len(self.data))
+        out[rest:] = 0  # empty spans at the very end
+        return mix(out + (ends - starts).astype(np.uint64))
 
     def count(self, mask: np.ndarray) -> np.ndarray:
         """How many bytes of each text the mask holds."""
@@ -126,15 +173,19 @@ def words(texts: Texts) -> Words:
         none = np.zeros(0, np.int64)
         return Words(none, none, np.zeros(len(texts) + 1, np.int64))
     ink = ~white(texts)
-    edge = np.zeros(n + 1, bool)  # a text begins here, or the data end
-    edge[texts.offs] = True
-    before = np.ones(n, bool)
-    before[1:] = ~ink[:-1]
-    after = np.ones(n, bool)
-    after[:-1] = ~ink[1:]
-    starts = np.flatnonzero(ink & (before | edge[:-1]))
-    ends = np.flatnonzero(ink & (after | edge[1:])) + 1
-    return Words(starts, ends, np.searchsorted(starts, texts.offs))
+    edge = texts.offs[:-1]
+    edge = edge[edge < n]  # texts that begin at a byte
+    begins = np.empty(n, bool)  # a word begins at each of these bytes
+    begins[0] = ink[0]
+    np.logical_and(ink[1:], ~ink[:-1], out=begins[1:])
+    begins[edge] = ink[edge]
+    starts = np.flatnonzero(begins)
+    ends = begins  # the same array: a word ends after each of these bytes
+    ends[-1] = ink[-1]
+    np.logical_and(ink[:-1], ~ink[1:], out=ends[:-1])
+    before = edge[edge > 0] - 1
+    ends[before] = ink[before]
+    return Words(starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, texts.offs))
 
 
 def lines(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,15 +207,18 @@ def lines(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def windows(hashes: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every k words in a row, and its first word, never across texts."""
-    if len(hashes) < k:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     n = len(hashes) - k + 1
-    out = np.zeros(n, np.uint64)
-    for j in range(k):
-        out = out * _U(0xD6E8FEB86659FD93) + hashes[j : j + n]
-    left = np.repeat(offs[1:], np.diff(offs))[:n] - np.arange(n)
-    at = np.flatnonzero(left >= k)
-    return mix(out[at]), at
+    if n < 1:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    whole = np.ones(n, bool)  # the window is within its text
+    for end in offs[1:][np.diff(offs) > 0].tolist():
+        whole[max(0, end - k + 1) : end] = False
+    at = np.flatnonzero(whole)
+    out = hashes[:n].copy()
+    for j in range(1, k):
+        out *= _U(0xD6E8FEB86659FD93)
+        out += hashes[j : j + n]
+    return mix(out[at] if len(at) < n else out), at
 
 
 def occurrences(group: np.ndarray, values: np.ndarray) -> np.ndarray:

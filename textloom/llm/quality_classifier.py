@@ -62,7 +62,7 @@ def described(docs: DataFrame) -> DataFrame:
             yield pa.record_batch({"doc_id": batch.column(0), "x": values})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, x array<double>")
+    return K.arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, x array<double>")
 
 
 @dataclass
@@ -97,7 +97,7 @@ def _summed(parts: DataFrame) -> dict[int, np.ndarray]:
         yield pa.record_batch({"half": pa.array(list(total), pa.int32()), "sums": pa.array([v.tobytes() for v in total.values()], pa.binary())})
 
     out: dict[int, np.ndarray] = {}
-    for row in parts.repartition(FAN).mapInArrow(add, "half int, sums binary").toArrow().to_pylist():
+    for row in K.arrow(parts.repartition(FAN), add, "half int, sums binary").toArrow().to_pylist():
         part = np.frombuffer(row["sums"], float)
         out[row["half"]] = out[row["half"]] + part if row["half"] in out else part
     return out
@@ -116,7 +116,7 @@ def _sums(rows: DataFrame, of) -> dict[int, np.ndarray]:
                     total[int(k)] = total[int(k)] + part if int(k) in total else part
         yield pa.record_batch({"half": pa.array(list(total), pa.int32()), "sums": pa.array([v.tobytes() for v in total.values()], pa.binary())})
 
-    return _summed(rows.select("half", "x", "y").mapInArrow(run, "half int, sums binary"))
+    return _summed(K.arrow(rows.select("half", "x", "y"), run, "half int, sums binary"))
 
 
 def _solve(equations: np.ndarray, size: int) -> np.ndarray:
@@ -197,4 +197,4 @@ def score(docs: DataFrame, labels: DataFrame, features: int = FEATURES) -> DataF
             out = np.full(batch.num_rows, model) if isinstance(model, float) else model.score(x)
             yield pa.record_batch({"doc_id": batch.column(0), "score": pa.array(out, pa.float64())})
 
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return K.arrow(rows, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")

@@ -184,7 +184,7 @@ def measured(docs: DataFrame) -> DataFrame:
             yield pa.record_batch({"doc_id": batch.column(0)} | {k: pa.array(rows[:, i]) for i, k in enumerate((*BASE, "pattern"))})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {', '.join(f'{k} long' for k in BASE)}, pattern long")
+    return K.arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, {', '.join(f'{k} long' for k in BASE)}, pattern long")
 
 
 def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -23,6 +23,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from textloom.llm import kernels as K
 from textloom.llm.bpe import byte_symbols
 
 MOST_WORDS = 200_000
@@ -108,7 +109,10 @@ class Counter(dict):
         return n
 
 
-@lru_cache(maxsize=2)
+OWNER = "token_counts"
+
+
+@lru_cache(maxsize=1)
 def automaton(path: str) -> LongestMatch:
     """One for each process, of a byte-level vocabulary file."""
     byte_of = {c: b for b, c in enumerate(byte_symbols())}
@@ -116,11 +120,17 @@ def automaton(path: str) -> LongestMatch:
     return LongestMatch([bytes(byte_of[c] for c in label) for label in vocab])
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def counter(path: str) -> Counter:
+    K.keeps(OWNER, _drop)
     return Counter(automaton(path))
 
 
+def _drop() -> None:
+    counter.cache_clear()
+    automaton.cache_clear()
+
+
 def counts(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_words and n_tokens of every row."""
 
@@ -135,4 +145,4 @@ def counts(docs: DataFrame, path: str) -> DataFrame:
             yield pa.record_batch({"doc_id": batch.column(0), "n_words": pa.array(words, pa.int64()), "n_tokens": pa.array(tokens, pa.int64())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, n_tokens long")
+    return K.arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_words long, n_tokens long", OWNER)

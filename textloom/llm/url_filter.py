@@ -23,6 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm import kernels as K
+from textloom.llm.common import cut, thin, tidy
+
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 BITS, HASHES = 12, 6
 MAX_BYTES = 256 << 20
@@ -98,18 +101,18 @@ def _encode(keys: DataFrame, count: int, level: int) -> Bloom:
             at = np.array([p for key in batch.column(0).to_pylist() for p in empty.places(key)], np.int64)
             yield pa.record_batch({"byte": pa.array(at >> 3, pa.int64()), "bits": pa.array(1 << (at & 7), pa.int32())})
 
-    found = keys.mapInArrow(bits, "byte long, bits int").groupBy("byte").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = K.arrow(keys, bits, "byte long, bits int").groupBy("byte").agg(F.bit_or("bits").alias("bits")).toArrow()
     empty.bits[found["byte"].to_numpy()] = found["bits"].to_numpy().astype(np.uint8)
     return empty
 
 
 def build(keys: DataFrame, listed: DataFrame) -> Cascade:
     """A cascade that is exact on keys (the universe) for the listed ones; both have the column ``key``."""
-    inside = keys.join(listed.select("key").distinct(), "key", "left_semi")
-    outside = keys.join(listed.select("key").distinct(), "key", "left_anti")
+    both = keys.select("key", F.lit(True).alias("there"), F.lit(False).alias("listed")).unionByName(listed.select("key", F.lit(False).alias("there"), F.lit(True).alias("listed")))
+    marked = thin(cut(both.groupBy("key").agg(F.max("there").alias("there"), F.max("listed").alias("listed")).where("there")))
     levels: list[Bloom] = []
     context = keys.sparkSession.sparkContext
-    members, others = inside, outside
+    members, others = (marked.where(F.col("listed") == side).select("key") for side in (True, False))
     while count := members.count():
         levels.append(_encode(members, count, len(levels)))
         shared = context.broadcast(levels[-1])
@@ -118,7 +121,8 @@ def build(keys: DataFrame, listed: DataFrame) -> Cascade:
             for batch in batches:
                 yield batch.filter(pa.array([shared.value.has(k) for k in batch.column(0).to_pylist()], pa.bool_()))
 
-        members, others = others.mapInArrow(passing, "key string"), members
+        members, others = thin(cut(K.arrow(others, passing, "key string"))), members
+        shared.destroy()
     return Cascade(levels)
 
 
@@ -127,12 +131,12 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
     spark = pages.sparkSession
     lengths = sorted({len(p) for _, _, p in rules})
     urls = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    keys = universe(urls.select("host", "path").distinct(), lengths).persist()
     cascades = {}
-    for verdict in ("allow", "block"):
-        listed = spark.createDataFrame([(h + p,) for v, h, p in rules if v == verdict], "key string")
-        cascades[verdict] = build(keys, listed)
-    keys.unpersist()
+    with tidy(spark):
+        keys = thin(cut(universe(urls.select("host", "path").distinct(), lengths)))
+        for verdict in ("allow", "block"):
+            listed = spark.createDataFrame([(h + p,) for v, h, p in rules if v == verdict], "key string")
+            cascades[verdict] = build(keys, listed)
     shared = spark.sparkContext.broadcast((cascades, lengths))
     kind = pages.schema["page_id"].dataType.simpleString()
 
@@ -154,4 +158,4 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
                 verdict.append(v)
             yield pa.record_batch({"page_id": batch.column(0), "host": batch.column(1), "path": batch.column(2), "rule": pa.array(rule, pa.string()), "verdict": pa.array(verdict, pa.string())})
 
-    return urls.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string")
+    return K.arrow(urls, run, f"page_id {kind}, host string, path string, rule string, verdict string")
