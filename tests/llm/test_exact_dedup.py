@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
+from conftest import unharmed
 from textloom.llm import exact_dedup as D
 from textloom.llm import queries as Q
 
@@ -51,7 +52,8 @@ def test_colliding_fingerprints(stored, prose, edge_rows):
 def test_keep_one(stored, edge_rows):
     docs = stored(edge_rows)
     kept = D.keep_one(docs)
-    assert kept.columns == docs.columns and sorted(norm(r.text) for r in kept.collect()) == sorted({norm(t) for _, t, _ in edge_rows})
+    assert kept.columns == docs.columns and unharmed(kept)
+    assert sorted(norm(r.text) for r in kept.collect()) == sorted({norm(t) for _, t, _ in edge_rows})
     assert D.groups(docs.limit(0)).count() == 0
 
 
@@ -59,3 +61,21 @@ def test_sql(spark, small, duck):
     from helpers import rows
 
     assert rows(Q.op4_exact_dedup(spark, small).toPandas()) == rows(duck.sql(Q.ORACLE_SQL["op4_exact_dedup"]).df())
+
+
+def test_rows_without_a_place_of_their_own(make, prose, edge_rows):
+    """Rows that a shuffle deals out are stored before they are numbered."""
+    rows = rows_of(prose) + edge_rows
+    docs = make(rows, slices=7)
+    check(D.groups(docs, block=64).collect(), rows)
+    kept = D.keep_one(docs)
+    assert sorted(norm(r.text) for r in kept.collect()) == sorted({norm(t) for _, t, _ in rows})
+
+
+def test_more_places_than_are_broadcast(stored, prose, monkeypatch):
+    from textloom.llm import common
+
+    rows = rows_of(prose)
+    monkeypatch.setattr(common, "FEW", 3)
+    kept = D.keep_one(stored(rows))
+    assert unharmed(kept) and sorted(norm(r.text) for r in kept.collect()) == sorted({norm(t) for _, t, _ in rows})

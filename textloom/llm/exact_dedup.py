@@ -5,8 +5,9 @@ ones; then the names of adjacent blocks are paired and the pairs named in the sa
 text. Together with the number of rounds it is the text's identity, without collisions.
 
 * Names are integers in sorted order: distinct keys are range-partitioned, sorted and numbered, so a hot key is one row.
-* A block is sorted by its fingerprint first. Block contents are aggregated by fingerprint once (map-side first) and the
-  smallest and largest content of each are compared; a fingerprint of several contents is named by content.
+* A block is sorted by its fingerprint first. Fingerprints that recur are counted, then the contents of their blocks are
+  aggregated by fingerprint (map-side first): the smallest and largest of each are compared, and a fingerprint of several
+  contents is named by content. Contents of blocks that occur once are not moved.
 * A text with a block that occurs once is equal to no other: its identity is settled, and only texts all of whose blocks
   recur take part in the rounds.
 
@@ -22,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import SPACE, cut, tidy
+from textloom.llm.common import SPACE, cut, maybe_in, settled, tidy, without
 
 BLOCK = 8192
 
@@ -44,10 +45,11 @@ def integer_names(keys: DataFrame) -> DataFrame:
     return cut(ordered.withColumn("name", F.monotonically_increasing_id()))
 
 
-def _block_names(docs: DataFrame, block: int, fingerprint: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame | None]:
+def _block_names(docs: DataFrame, rows: DataFrame, block: int, fingerprint: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame | None]:
     """Names of the blocks that recur, by fingerprint; and by content, where contents share one."""
-    pieces = docs.select(F.explode(_blocks(normalised(F.col("text")), block)).alias("block")).withColumn("fp", fingerprint(F.col("block")))
-    seen = pieces.groupBy("fp").agg(F.count("*").alias("n"), F.min("block").alias("low"), F.max("block").alias("high"))
+    again = cut(rows.select(F.explode("fps").alias("fp")).groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"))
+    pieces = docs.select(normalised(F.col("text")).alias("norm")).select(F.explode(_blocks(F.col("norm"), block)).alias("block")).withColumn("fp", fingerprint(F.col("block")))
+    seen = maybe_in(pieces, again, "fp").groupBy("fp").agg(F.count("*").alias("n"), F.min("block").alias("low"), F.max("block").alias("high"))
     seen = cut(seen.where("n > 1").select("fp", (F.col("low") != F.col("high")).alias("several")))
     clashes = seen.where("several").select("fp")
     if clashes.isEmpty():
@@ -62,7 +64,7 @@ def identities(docs: DataFrame, block: int = BLOCK, fingerprint: Callable[[Colum
     norm = normalised(F.col("text"))
     base = docs.select("doc_id", norm.alias("norm")).select("doc_id", F.sha2(F.col("norm"), 256).alias("sha"), F.transform(_blocks(F.col("norm"), block), lambda b: fingerprint(b)).alias("fps"))
     rows = cut(base.withColumn("row", F.monotonically_increasing_id()))
-    names, apart = _block_names(docs, block, fingerprint)
+    names, apart = _block_names(docs, rows, block, fingerprint)
     pieces = rows.select("row", F.size("fps").alias("of"), F.posexplode("fps").alias("at", "fp"))
     named = pieces.join(names, "fp").select("row", "of", "at", "name")
     if apart is not None:
@@ -93,7 +95,7 @@ def identities(docs: DataFrame, block: int = BLOCK, fingerprint: Callable[[Colum
 def groups(docs: DataFrame, block: int = BLOCK, fingerprint: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """row (an integer of its own), doc_id, keep_id, group_size, kept and text_sha256 of every row."""
     with tidy(docs.sparkSession):
-        return _groups(docs, block, fingerprint)
+        return _groups(settled(docs.select("doc_id", "text")), block, fingerprint)
 
 
 def _groups(docs: DataFrame, block: int, fingerprint: Callable[[Column], Column]) -> DataFrame:
@@ -113,6 +115,6 @@ def _groups(docs: DataFrame, block: int, fingerprint: Callable[[Column], Column]
 
 
 def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row of each group of equal texts, with all columns. docs must come from stored files or a checkpoint."""
-    found = groups(docs, block).where("NOT kept").select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(found, "__row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """One row of each group of equal texts, with all columns."""
+    docs = settled(docs)
+    return without(docs, groups(docs, block).where("NOT kept"))
