@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from conftest import unharmed
 from textloom.llm import kernels as K
 from textloom.llm import near_dedup as N
 from textloom.llm.components import components
@@ -67,6 +68,7 @@ def test_edges(stored, edge_rows, make):
     classes = {i: c for (i, _), c in by.items() if i is not None}
     assert classes[1] == classes[2] == 1 and classes[3] == classes[4] == classes[5] == 3 and classes[6] == classes[7] == 6
     assert got.kept.sum() == got.class_id.nunique()
+    assert unharmed(N.keep_one(stored(edge_rows)))
     kept = N.keep_one(stored(edge_rows)).toPandas()
     assert len(kept) == got.class_id.nunique() and kept.columns.tolist() == make(edge_rows).columns
     assert N.classes(stored([(1, "x", "s")]).limit(0).checkpoint()).count() == 0
@@ -162,3 +164,24 @@ def test_settled_members_meet_those_that_led_before_them(stored, prose):
     expected = {g for g in brute(rows) if len(g) > 1}
     assert frozenset({0, 17, 18}) in expected and len(expected) == 9
     assert one_bucket(stored(rows, slices=1).orderBy("doc_id").coalesce(1).checkpoint()) == expected
+
+
+def test_shared_sketches_of_short_texts():
+    """The share of pairs of few items that have a common sketch is what picking without putting back gives."""
+    for common, extra in ((4, 1), (5, 1), (8, 2), (16, 4)):
+        hits = 0
+        for seed in range(400):
+            r = np.random.default_rng(seed * 31 + common)
+            both = r.integers(1, 1 << 63, common, dtype=np.uint64)
+            one = np.concatenate([both, r.integers(1, 1 << 63, extra, dtype=np.uint64)])
+            offs = np.array([0, len(one), len(one) + common])
+            a, b = N.sketches(np.concatenate([one, both]), offs)
+            hits += bool(set(a) & set(b))
+        p = np.prod([(common - k) / (common + extra - k) for k in range(4)])
+        assert hits / 400 >= 1 - (1 - p) ** 16 - 0.03
+
+
+def test_rows_without_a_place_of_their_own(make, prose):
+    rows = [(i, prose(40, i // 3), "s") for i in range(30)]
+    got = N.classes(make(rows, slices=7)).toPandas()
+    assert {frozenset(g) for g in got.groupby("class_id").doc_id.agg(set)} == {frozenset(range(i, i + 3)) for i in range(0, 30, 3)}

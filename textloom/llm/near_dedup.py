@@ -3,7 +3,8 @@
 1. Texts with the same words are one text (a 128-bit hash of the word sequence); what follows works on different texts.
 2. The items of a text are its runs of SHINGLE words, each with the number of its earlier occurrences in the text. Each of
    SKETCHES hash functions picks the LEAST least items and keeps them in text order: two texts share the sketch if the same
-   items are least and stand in the same order. Short texts (up to SHORT items) have SKETCHES sketches of one item as well.
+   items are least and stand in the same order. Texts of fewer than LEAST items have no sketch: one that shares k items with
+   another text is at most k / (k + 1) like it, so at 0.8 it is like none.
 3. Texts with a common sketch form a bucket. Every member is first compared with the bucket's leader, the member whose
    buckets are largest, as the text that copies were made from is. Where links then don't join the whole bucket, all pairs
    of members that they don't join are compared, whatever the bucket's size: members that aren't joined with the leader form
@@ -16,12 +17,14 @@
    Jaccard similarity of their sets of word runs.
 5. Classes are the connected components of the links.
 
-A pair of similarity s shares a sketch with probability 1 - (1 - s ** LEAST) ** SKETCHES: 0.9998 at 0.8, more above.
+A pair of similarity s shares a sketch with probability 1 - (1 - s ** LEAST) ** SKETCHES: 0.9998 at 0.8, more above. Least
+items are picked without putting back, so texts of a few items fall a little short of that: of five items in all, four of them
+common, 1 / 5 of the sketches are, and the probability is 0.97.
 
 Defined cases: null, empty and blank texts are equal. Texts of fewer than SHINGLE words have one item, all their words. A
 class's id is its least doc_id (null only if it has no other); its row of least doc_id stays, null ids last, one of repeated
 rows. Rows are never merged: each has its result row. An empty table gives an empty result. Other columns are ignored by
-``classes`` and kept by ``keep_one``. docs must come from stored files or a checkpoint: rows are told by their place.
+``classes`` and kept by ``keep_one``. Rows are told by their place, so docs that come from no files or checkpoint are stored first.
 """
 
 from __future__ import annotations
@@ -33,20 +36,19 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import kernels as K
-from textloom.llm.common import cut, sweep, thin, tidy
+from textloom.llm.common import cut, maybe_in, settled, sweep, thin, tidy, without
 from textloom.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
-SKETCHES, LEAST, SHORT = 16, 4, 20
+SKETCHES, LEAST = 16, 4
 BINS, SPREAD = 256, 4.0
 #: Members of a block at most, and items that they may have together, so that two blocks fit a task.
 BLOCK, WEIGHT = 512, 1 << 21
-#: Row buckets of the filter in front of the text join: its broadcast side has at most so many numbers.
-FILTER = 1 << 20
 _U = np.uint64
 _ODD = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, (SKETCHES, 2), dtype=np.uint64) | _U(1)
 
@@ -82,9 +84,9 @@ def identity(hashes: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def sketches(item: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
-    """The bucket keys of each text. Texts of under four items are like no other text, so they have none."""
+    """The bucket keys of each text. Texts of under LEAST items are like no other text, so they have none."""
     n = np.diff(offs)
-    wide = np.flatnonzero(n >= 4)
+    wide = np.flatnonzero(n >= LEAST)
     if not len(wide):
         return [np.zeros(0, np.int64)] * len(n)
     begin = offs[:-1][wide]
@@ -92,7 +94,6 @@ def sketches(item: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     values, size = item[span], n[wide]
     first = np.cumsum(size) - size
     keys = np.zeros((len(wide), SKETCHES), np.uint64)
-    single = np.zeros((len(wide), SKETCHES), np.uint64)
     none = _U(0xFFFFFFFFFFFFFFFF)
     for s in range(SKETCHES):
         v = values * _ODD[s, 0]
@@ -107,7 +108,6 @@ def sketches(item: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
             place[text[::-1]] = hit[::-1]  # the first of each text
             places[:, k] = place
             v[place] = none
-        single[:, s] = K.mix(values[places[:, 0]] + _U(2 * s + 1))
         places.sort(axis=1)
         key = np.full(len(wide), _U(2 * s), np.uint64)
         for k in range(LEAST):
@@ -115,7 +115,7 @@ def sketches(item: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
         keys[:, s] = key
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(n)
     for i, t in enumerate(wide):
-        out[t] = (np.concatenate([keys[i], single[i]]) if size[i] <= SHORT else keys[i]).view(np.int64)
+        out[t] = keys[i].view(np.int64)
     return out
 
 
@@ -197,7 +197,7 @@ def described(docs: DataFrame) -> DataFrame:
                 })
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, one long, two long, n long, sig binary, keys array<long>")
+    return K.arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, one long, two long, n long, sig binary, keys array<long>")
 
 
 def _bytes(rows: np.ndarray) -> pa.Array:
@@ -214,7 +214,7 @@ def _agreeing(pairs: DataFrame) -> DataFrame:
                 one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in (2, 3))
                 yield batch.select([0, 1]).filter(pa.array(may_match(one, two)))
 
-    return pairs.select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
+    return K.arrow(pairs.select("a", "b", "one", "two"), run, "a long, b long")
 
 
 def _place(df: DataFrame) -> DataFrame:
@@ -223,13 +223,8 @@ def _place(df: DataFrame) -> DataFrame:
 
 def _texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """row, text of the given rows, and of few others."""
-
-    def slot(row: Column) -> Column:
-        return F.pmod(F.xxhash64(row), F.lit(FILTER))
-
-    asked = rows.select(slot(F.col("row")).alias("slot")).distinct()
     texts = _place(docs.select("text")).select("row", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.withColumn("slot", slot(F.col("row"))).join(F.broadcast(asked), "slot", "left_semi").drop("slot")
+    return maybe_in(texts, rows, "row")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -257,7 +252,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                     out.append(similar(known[1], own[i]))
                 yield pa.record_batch({"a": part.column(0), "b": part.column(1)}).filter(pa.array(out, pa.bool_()))
 
-    return both.select("a", "b", "first", "second").mapInArrow(run, "a long, b long")
+    return K.arrow(both.select("a", "b", "first", "second"), run, "a long, b long")
 
 
 def _split(texts: K.Texts) -> list[Sequence]:
@@ -316,10 +311,7 @@ def _candidates(met: DataFrame) -> DataFrame:
             key, i, j = (g.column(c)[0].as_py() for c in range(3))
             block, row, n, root = (g.column(c).to_numpy() for c in range(3, 7))
             sig = np.frombuffer(b"".join(g.column(7).to_pylist()), np.uint8).reshape(-1, BINS)
-            lists = g.column(8).to_pylist()
-            keys = np.zeros((len(row), 2 * SKETCHES), np.int64)
-            for k, x in enumerate(lists):
-                keys[k, : len(x)] = x
+            keys = pc.list_flatten(g.column(8)).to_numpy().reshape(len(row), -1)  # each row has as many
             partners: list[list[int]] = [[] for _ in row]
             involved = np.zeros(len(row), bool)
             later = np.arange(len(row))
@@ -339,7 +331,7 @@ def _candidates(met: DataFrame) -> DataFrame:
                     "row": pa.array(row[at]), "root": pa.array(root[at]), "partners": pa.array([partners[k] for k in at], pa.list_(pa.int64())),
                 })
 
-    return _together(met.select("key", "i", "j", "block", "row", "n", "root", "sig", "keys")).mapInArrow(run, "key long, i long, j long, row long, root long, partners array<long>")
+    return K.arrow(_together(met.select("key", "i", "j", "block", "row", "n", "root", "sig", "keys")), run, "key long, i long, j long, row long, root long, partners array<long>")
 
 
 def _together(df: DataFrame) -> DataFrame:
@@ -385,7 +377,7 @@ def _links(docs: DataFrame, candidates: DataFrame) -> DataFrame:
                 yield pa.record_batch({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
     told = candidates.join(_texts(docs, candidates.select("row")), "row")
-    return _together(told.select("key", "i", "j", "row", "root", "partners", "text")).mapInArrow(run, "a long, b long")
+    return K.arrow(_together(told.select("key", "i", "j", "row", "root", "partners", "text")), run, "a long, b long")
 
 
 def joined(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -411,7 +403,7 @@ def joined(docs: DataFrame, rows: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """row, doc_id, class_id, class_size and kept of every row."""
     with tidy(docs.sparkSession):
-        return _classes(docs)
+        return _classes(settled(docs.select("doc_id", "text")))
 
 
 def _classes(docs: DataFrame) -> DataFrame:
@@ -429,5 +421,5 @@ def _classes(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each class, with all columns."""
-    gone = classes(docs).where("NOT kept").select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    docs = settled(docs)
+    return without(docs, classes(docs).where("NOT kept"))
