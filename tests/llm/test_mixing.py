@@ -3,6 +3,7 @@ from collections import Counter
 
 import pytest
 
+from conftest import unharmed
 from textloom.llm import mixing as M
 
 
@@ -76,7 +77,7 @@ def test_mixed_texts(make, corpus):
     docs = make(corpus)
     took = {r.doc_id: r.taken for r in M.mixture(docs, block=16, shard=64).collect()}
     out = M.mixed(docs, block=16, shard=64)
-    assert out.columns == docs.columns
+    assert out.columns == docs.columns and unharmed(out)
     words, text = Counter(), {i: t for i, t, _ in corpus}
     for r in out.collect():
         words[r.doc_id] += size(r.text)
@@ -99,3 +100,28 @@ def test_sql(spark, small, duck):
     from textloom.llm import queries as Q
 
     assert rows(Q.op5_mixing(spark, small).toPandas()) == rows(duck.sql(Q.ORACLE_SQL["op5_mixing"]).df())
+
+
+def test_plain_draws_fill_every_shard_and_scatter_more(spark):
+    names = spark.createDataFrame([(1, "a", 40_000, 30_000.0), (2, "b", 30_000, 40_000.0), (3, "c", 1000, 1000.0)], "sid int, source string, source_size long, target double")
+    total, off = {}, {}
+    for stratified in (True, False):
+        got = M.shard_counts(names, block=10, shard=64, stratified=stratified).toPandas()
+        per = got.groupby("shard").slots.sum()
+        assert (per.iloc[:-1] == 64).all() and per.sum() == 7100 and (got.slots >= 0).all()
+        total[stratified] = got.groupby("sid").slots.sum()
+        expected = {1: 3000, 2: 4000, 3: 100}
+        off[stratified] = sum(abs(total[stratified][k] - v) for k, v in expected.items())
+        if not stratified:  # a multinomial draw's variance over shards
+            share = got[(got.sid == 1) & (got.shard < per.index[-1])].slots
+            p = 3000 / 7100
+            assert 0.6 < share.var() / (64 * p * (1 - p)) < 1.5
+    assert off[True] <= off[False]
+
+
+def test_spans_of_shards(spark, monkeypatch):
+    """Counts don't depend on how many shards one window adds up."""
+    names = spark.createDataFrame([(1, "a", 4000, 3000.0), (2, "b", 3000, 4000.0)], "sid int, source string, source_size long, target double")
+    want = sorted(map(tuple, M.block_uses(names, block=10, shard=8).collect()))
+    monkeypatch.setattr(M, "SPAN", 3)
+    assert sorted(map(tuple, M.block_uses(names, block=10, shard=8).collect())) == want

@@ -3,8 +3,10 @@
 1. Each source's documents, in a pseudorandom order, are one stream of words, packed into blocks of ``block`` words (the
    last may be shorter). A document's first word in its stream is a running sum in two levels, (source, bucket) and then
    buckets, so a hot source is spread over BUCKETS windows.
-2. The mix is a list of block slots, dealt to output shards. A shard's source counts are a multinomial draw: the whole part
-   of each expectation is given (stratified), the fractional parts' slots are drawn with their probabilities.
+2. The mix is a list of block slots, dealt to output shards. A shard's source counts are a multinomial draw of its slots. By
+   default it is stratified: the whole part of each expectation is given, and only the fractional parts' slots are drawn with
+   their probabilities. A plain draw (``stratified=False``) leaves a source of n expected slots off its target by about
+   1 / sqrt(n), whatever the draws: too much for small sources, whose words must come near their targets.
 3. The j-th slot of a source takes, in pass j div n over its n blocks, block perm(j mod n), with a permutation of its own
    for each source and pass: three rounds of multiplication by a coprime prime, with parts of the range turned again.
 4. Slots join blocks by (source, index); both sides are even, whatever the sources' sizes.
@@ -24,12 +26,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut
+from textloom.llm.common import cut, settled, tidy
 
 BLOCK = 256
 SHARD = 4096
 REPEAT = 3
-BUCKETS = 4096
+#: Shards whose slots of a source one window adds up.
+SPAN = 4096
 SEED = "mix"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Primes below 2**27; a source has fewer blocks than their product, so one of them at least is coprime to it.
@@ -42,13 +45,13 @@ def _random(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def with_keys(docs: DataFrame) -> DataFrame:
-    """docs with its size in words, and a key of each row: __h, and __k that numbers equal rows."""
-    sized = docs.withColumn("__size", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"))
+def numbered(docs: DataFrame) -> DataFrame:
+    """Of every row of docs, which is settled: its place as row, doc_id, source, size in words, and its place in the
+    pseudorandom order: h, and k that numbers equal rows."""
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
     order = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("source"), F.md5(F.coalesce("text", F.lit("")))))
-    sized = sized.withColumn("__h", order)
-    same = Window.partitionBy("__h").orderBy("__size")
-    return sized.withColumn("__k", F.row_number().over(same))
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", size.alias("size"), order.alias("h")))
+    return rows.withColumn("k", F.row_number().over(Window.partitionBy("h").orderBy("size")))
 
 
 def sources(sizes: DataFrame, repeat: int = REPEAT) -> DataFrame:
@@ -69,26 +72,30 @@ def sources(sizes: DataFrame, repeat: int = REPEAT) -> DataFrame:
     return ranked.select("sid", "source", "source_size", F.round(target, 6).alias("target"))
 
 
-def shard_counts(names: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: str = SEED) -> DataFrame:
+def shard_counts(names: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: str = SEED, stratified: bool = True) -> DataFrame:
     """sid, n (its blocks), shard and slots: how many slots of each output shard are the source's."""
     blocks = F.expr(f"(source_size + {block - 1}) div {block}")
     expected = names.where("source_size > 0").select("sid", blocks.alias("n"), (F.col("target") * blocks / F.col("source_size")).alias("slots"))
     total = F.sum("slots").over(Window.partitionBy())
-    expected = expected.select("sid", "n", (F.col("slots") / total).alias("p"), F.round(total).cast("long").alias("total"))
-    shards = expected.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(total - 1) div {shard}"))).alias("shard")).where("total > 0")
+    expected = expected.select("sid", "n", (F.col("slots") / total).alias("p"), F.round(total).cast("long").alias("total")).where("total > 0")
+    # shards come in spans, so that no task makes all of them
+    spans = expected.withColumn("span", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(total - 1) div {shard} div {SPAN}")))).repartition("sid", "span")
+    last = F.least(F.expr(f"(total - 1) div {shard}"), F.col("span") * SPAN + SPAN - 1)
+    shards = spans.withColumn("shard", F.explode(F.sequence(F.col("span") * SPAN, last)))
     shards = shards.withColumn("width", F.least(F.lit(shard), F.col("total") - F.col("shard") * shard))
-    shards = shards.withColumn("whole", F.floor(F.col("p") * F.col("width"))).withColumn("part", F.col("p") * F.col("width") - F.col("whole"))
+    whole = F.floor(F.col("p") * F.col("width")) if stratified else F.lit(0).cast("long")
+    shards = shards.withColumn("whole", whole).withColumn("part", F.col("p") * F.col("width") - F.col("whole"))
     in_shard = Window.partitionBy("shard").orderBy("sid")
     upto = in_shard.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     every = Window.partitionBy("shard")
     shards = shards.select("*", F.sum("part").over(upto).alias("high"), F.sum("part").over(every).alias("parts"), (F.col("width") - F.sum("whole").over(every)).alias("open"))
-    # each open slot is one draw: its place on the line of the fractional parts
+    # each open slot is one draw: its place on the line of the parts that are not given
     draws = shards.groupBy("shard").agg(F.max("open").alias("open"), F.max("parts").alias("parts")).where("open > 0")
     draws = draws.select("shard", "parts", F.explode(F.sequence(F.lit(1).cast("long"), F.col("open"))).alias("k"))
     draws = draws.select("shard", (_random(seed, "draw", F.col("shard"), F.col("k")) / F.lit(float(1 << 32)) * F.col("parts")).alias("at"))
     low = F.lag("high", 1, 0.0).over(in_shard)
-    last = F.row_number().over(Window.partitionBy("shard").orderBy(F.col("sid").desc())) == 1
-    lines = shards.select("sid", "n", "shard", "whole", low.alias("low"), F.when(last, F.lit(float("inf"))).otherwise(F.col("high")).alias("high"))
+    end = F.row_number().over(Window.partitionBy("shard").orderBy(F.col("sid").desc())) == 1
+    lines = shards.select("sid", "n", "shard", "whole", low.alias("low"), F.when(end, F.lit(float("inf"))).otherwise(F.col("high")).alias("high"))
     got = lines.join(draws, "shard").where("at >= low AND at < high").groupBy("shard", "sid").agg(F.count("*").alias("drawn"))
     return lines.join(got, ["shard", "sid"], "left").select("sid", "n", "shard", (F.col("whole") + F.coalesce("drawn", F.lit(0))).alias("slots"))
 
@@ -120,71 +127,80 @@ def permuted(slots: DataFrame) -> DataFrame:
     return slots.drop("keys", "part")
 
 
-def block_uses(names: DataFrame, block: int = BLOCK, shard: int = SHARD, repeat: int = REPEAT, seed: str = SEED) -> DataFrame:
+def before(rows: DataFrame, group: str, along: tuple[str, ...], amount: str) -> DataFrame:
+    """rows with start, the sum of what comes before each of them in its source: in two levels, so that no window has all its rows.
+
+    group orders the rows of a source first, then along."""
+    inside = Window.partitionBy("sid", group).orderBy(*along).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("inside", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+    totals = rows.groupBy("sid", group).agg(F.sum(amount).alias("own"))
+    over = Window.partitionBy("sid").orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("sid", group, F.coalesce(F.sum("own").over(over), F.lit(0)).alias("base"))
+    return rows.join(starts, ["sid", group]).withColumn("start", F.col("base") + F.col("inside")).drop(group, "base", "inside")
+
+
+def block_uses(names: DataFrame, block: int = BLOCK, shard: int = SHARD, repeat: int = REPEAT, seed: str = SEED, stratified: bool = True) -> DataFrame:
     """How often the mix takes each block: sid, index, uses."""
-    counts = shard_counts(names, block, shard, seed)
-    before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("first", F.coalesce(F.sum("slots").over(before), F.lit(0)))
+    counts = shard_counts(names, block, shard, seed, stratified).withColumn("span", F.expr(f"shard div {SPAN}"))
+    counts = before(counts, "span", ("shard",), "slots")
     counts = counts.join(names.select("sid", turn_keys(F.col("sid"), repeat, seed).alias("keys")), "sid")
-    slots = counts.where("slots > 0").select("sid", "n", "keys", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("slots") - 1)).alias("slot"))
+    slots = counts.where("slots > 0").select("sid", "n", "keys", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("slots") - 1)).alias("slot"))
     slots = slots.where(F.col("slot") < repeat * F.col("n")).select("sid", "n", "keys", F.expr("slot div n").alias("turn"), (F.col("slot") % F.col("n")).alias("x"))
     return permuted(slots).select("sid", F.col("x").alias("index")).groupBy("sid", "index").agg(F.count("*").alias("uses"))
 
 
-def placed(keyed: DataFrame, names: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Where each row of size > 0 lies in its source's stream: its keys, sid, start."""
-    rows = keyed.join(names.select("sid", "source", "source_size", "target"), keyed["source"].eqNullSafe(names["source"])).drop(names["source"])
-    rows = rows.withColumn("bucket", F.substring("__h", 1, 3))
-    inside = Window.partitionBy("sid", "bucket").orderBy("__h", "__k").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inside", F.coalesce(F.sum("__size").over(inside), F.lit(0)))
-    totals = rows.groupBy("sid", "bucket").agg(F.sum("__size").alias("words"))
-    before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("sid", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-    return rows.join(starts, ["sid", "bucket"]).withColumn("start", F.col("base") + F.col("inside")).drop("bucket", "base", "inside")
+def placed(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Where each row lies in its source's stream: its columns, sid, source_size, target and start."""
+    named = rows.join(names.select("sid", F.col("source").alias("of"), "source_size", "target"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    return before(named.withColumn("bucket", F.substring("h", 1, 3)), "bucket", ("h", "k"), "size")
 
 
 def pieces(rows: DataFrame, uses: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The part of each row in each block: __h, __k, at (its first word), words, uses (0 if the mix leaves the block out)."""
-    first, last = F.expr(f"start div {block}"), F.expr(f"(start + __size - 1) div {block}")
-    parts = rows.where("__size > 0").select("__h", "__k", "sid", "start", "__size", F.explode(F.sequence(first, last)).alias("index"))
+    """The part of each row in each block: row, at (its first word), words, uses (0 if the mix leaves the block out)."""
+    first, last = F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}")
+    parts = rows.where("size > 0").select("row", "sid", "start", "size", F.explode(F.sequence(first, last)).alias("index"))
     begin = F.greatest(F.col("index") * block, F.col("start"))
-    words = F.least((F.col("index") + 1) * block, F.col("start") + F.col("__size")) - begin
+    words = F.least((F.col("index") + 1) * block, F.col("start") + F.col("size")) - begin
     joined = parts.join(uses, ["sid", "index"], "left")
-    return joined.select("__h", "__k", (begin - F.col("start")).alias("at"), words.alias("words"), F.coalesce("uses", F.lit(0)).alias("uses"))
+    return joined.select("row", (begin - F.col("start")).alias("at"), words.alias("words"), F.coalesce("uses", F.lit(0)).alias("uses"))
+
+
+def _planned(docs: DataFrame, block: int, shard: int, repeat: int, seed: str, stratified: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows in their places, and their pieces."""
+    rows = numbered(docs)
+    names = cut(sources(rows.select("source", "size"), repeat))
+    rows = cut(placed(rows, names))
+    return rows, pieces(rows, block_uses(names, block, shard, repeat, seed, stratified), block)
 
 
-def mixture(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, repeat: int = REPEAT, seed: str = SEED) -> DataFrame:
+def mixture(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, repeat: int = REPEAT, seed: str = SEED, stratified: bool = True) -> DataFrame:
     """doc_id, size, source_size, target and taken of every row."""
-    keyed = cut(with_keys(docs.select("doc_id", "source", "text")).select("doc_id", "source", "__size", "__h", "__k"))
-    names = cut(sources(keyed.select("source", F.col("__size").alias("size")), repeat))
-    rows = cut(placed(keyed, names, block))
-    took = pieces(rows, block_uses(names, block, shard, repeat, seed), block).groupBy("__h", "__k").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
-    joined = rows.join(took, ["__h", "__k"], "left")
-    return joined.select("doc_id", F.col("__size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    with tidy(docs.sparkSession):
+        rows, parts = _planned(docs.select("doc_id", "source", "text"), block, shard, repeat, seed, stratified)
+    took = parts.groupBy("row").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
+    joined = rows.join(took, "row", "left")
+    return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
-def mixed(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, repeat: int = REPEAT, seed: str = SEED) -> DataFrame:
+def mixed(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, repeat: int = REPEAT, seed: str = SEED, stratified: bool = True) -> DataFrame:
     """The mix as documents: of each row a copy for each time the mix takes any of its words, with the words taken.
 
     A copy of all words has the text as it is; a partial one has the taken words parted by one space. n_chars, if there is
     such a column, follows the text. Rows without words are not in a mix of words. All other columns are as they were.
     """
-    keyed = with_keys(docs)
-    small = cut(keyed.select("doc_id", "source", "__size", "__h", "__k"))
-    names = cut(sources(small.select("source", F.col("__size").alias("size")), repeat))
-    rows = placed(small, names, block).select("__h", "__k", "sid", "start", "__size")
-    rows = cut(rows)
-    parts = pieces(rows, block_uses(names, block, shard, repeat, seed), block)
-    plan = parts.groupBy("__h", "__k").agg(F.array_sort(F.collect_list(F.struct("at", "words", "uses"))).alias("__plan"))
-    taken = keyed.join(plan, ["__h", "__k"]).withColumn("__most", F.array_max(F.transform("__plan", lambda p: p["uses"]))).where("__most > 0")
-    copies = taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__most"))))
-    found = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    taken_parts = F.filter("__plan", lambda p: p["uses"] >= F.col("__copy"))
-    kept = F.flatten(F.transform(taken_parts, lambda p: F.slice(F.col("__found"), (p["at"] + 1).cast("int"), p["words"].cast("int"))))
-    whole = F.forall("__plan", lambda p: p["uses"] >= F.col("__copy"))
-    copies = copies.withColumn("__whole", whole).withColumn("__found", F.when(~F.col("__whole"), found))
-    text = F.when(F.col("__whole"), F.col("text")).otherwise(F.array_join(kept, " "))
-    out = copies.withColumn("text", text)
+    with tidy(docs.sparkSession):
+        docs = settled(docs)
+        _, parts = _planned(docs.select("doc_id", "source", "text"), block, shard, repeat, seed, stratified)
+        plan = parts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "words", "uses"))).alias("plan"))
+        plan = cut(plan.withColumn("most", F.array_max(F.transform("plan", lambda p: p["uses"]))).where("most > 0"))
+    whole_rows = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))
+    copies = whole_rows.join(plan, "row").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("most"))))
+    copies = copies.withColumn("whole", F.forall("plan", lambda p: p["uses"] >= F.col("copy")))
+    copies = copies.withColumn("found", F.when(~F.col("whole"), F.regexp_extract_all(F.col("doc.text"), F.lit(WORD), F.lit(0))))
+    taken = F.filter("plan", lambda p: p["uses"] >= F.col("copy"))
+    kept = F.flatten(F.transform(taken, lambda p: F.slice(F.col("found"), (p["at"] + 1).cast("int"), p["words"].cast("int"))))
+    out = copies.withColumn("text", F.when(F.col("whole"), F.col("doc.text")).otherwise(F.array_join(kept, " ")))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*(new.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns))
