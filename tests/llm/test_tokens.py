@@ -1,6 +1,7 @@
 import hashlib
 import json
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -25,9 +26,8 @@ def texts():
 
 def test_against_the_library(library):
     codec = bpe.Codec(vocabulary("word_bpe_49k.json"))
-    for t in texts():
+    for t, got in zip(texts(), codec.encode(texts()), strict=True):
         want = library.encode(t, add_special_tokens=False).ids
-        got = codec.encode(t)
         assert list(got) == want, t
         assert codec.decode(got) == library.decode(want, skip_special_tokens=False)
 
@@ -43,6 +43,7 @@ def test_automaton_against_merging():
                 merges.append(pair)
                 known.append("".join(pair))
         machine = bpe.Automaton(["a", "b", "c"], merges)
+        together = []
         for _ in range(300):
             word = [r.choice("abc") for _ in range(r.randint(1, 12))]
             parts = list(word)
@@ -52,17 +53,50 @@ def test_automaton_against_merging():
                     if (parts[i], parts[i + 1]) == (u, v):
                         parts[i : i + 2] = [u + v]
                     i += 1
-            got = [machine.labels[t] for t in machine.encode(["abc".index(c) for c in word])]
-            assert got == parts, (merges, word)
+            symbols = ["abc".index(c) for c in word]
+            assert [machine.labels[t] for t in machine.read_one(symbols)] == parts, (merges, word)
+            together.append((symbols, parts))
+        together.append(([], []))
+        offs = np.concatenate([[0], np.cumsum([len(x) for x, _ in together])])
+        tokens, first = machine.read(np.array([c for x, _ in together for c in x]), offs)
+        for k, (_, parts) in enumerate(together):
+            assert [machine.labels[t] for t in tokens[first[k] : first[k + 1]]] == parts
 
 
 def test_bounded_tables(library, monkeypatch):
-    for k in ("MOST_ARCS", "MOST_WORDS", "MOST_PIECES"):
-        monkeypatch.setattr(bpe, k, 5)
+    monkeypatch.setattr(bpe, "ARCS", 16)
+    monkeypatch.setattr(bpe, "MOST_WORDS", 5)
+    monkeypatch.setattr(bpe, "LONG", 9)
     codec = bpe.Codec(vocabulary("word_bpe_49k.json"))
     for t in texts()[:300]:
-        assert list(codec.encode(t)) == library.encode(t, add_special_tokens=False).ids
-    assert len(codec.words) <= 5 and len(codec.older) <= 5 and len(codec.pieces) <= 5
+        assert list(codec.encode([t])[0]) == library.encode(t, add_special_tokens=False).ids
+        assert len(codec.words) <= 5 + len(t) and len(codec.older) <= 5 + 60
+
+
+def test_combining_marks_like_the_library(library):
+    """Marks of all ages, in orders and beside letters that some of them are composed with."""
+    r = random.Random(12)
+    marks = [chr(c) for c in range(0x110000) if unicodedata.combining(chr(c))]
+    assert len(marks) > 900
+    out = []
+    for k in range(4000):
+        some = [r.choice(marks), r.choice(sorted(bpe.NEWER_MARKS)), r.choice("\u0301\u0327\u0316\u0345\u0334"), r.choice("aeqo\u11935 \U00011935")]
+        r.shuffle(some)
+        out.append("e" + "".join(some) + r.choice(marks))
+    out += ["a" + m + "\u0301" for m in marks] + ["a\u0301" + m for m in marks]
+    codec = bpe.Codec(vocabulary("word_bpe_49k.json"))
+    for t, got in zip(out, codec.encode(out), strict=True):
+        assert list(got) == library.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
+def test_hash_tables():
+    r = np.random.default_rng(3)
+    for n in (0, 1, 5, 1000, 40_000):
+        keys = np.unique(r.integers(0, 1 << 40, n))
+        table = bpe.Table(keys, np.arange(len(keys)))
+        assert (table.find(keys) == np.arange(len(keys))).all()
+        others = np.setdiff1d(r.integers(0, 1 << 40, n + 3), keys)
+        assert (table.find(others) == -1).all()
 
 
 def test_digests(make, edge_rows, library):

@@ -80,18 +80,19 @@ def trim() -> None:
 
 
 def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object, owner: str = "") -> DataFrame:
-    """df.mapInArrow(run, schema), with workers that keep nothing of it but what owner says."""
+    """df.mapInArrow(run, schema), with workers that keep nothing of it but what owner says. Names of columns may have dots."""
+    names = df.columns
 
     def ran(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for other, drop in _KEPT.items():
             if other != owner:
                 drop()
         try:
-            yield from run(batches)
+            yield from run(batch.rename_columns(names) for batch in batches)
         finally:
             trim()
 
-    return df.mapInArrow(ran, schema)
+    return df.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(ran, schema)
 
 
 @dataclass
