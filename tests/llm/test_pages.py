@@ -42,6 +42,33 @@ def test_an_unlikely_word_does_not_drop_the_article(names):
     assert H.extract(f"<body><div {names}>{around[0]}{inner}<div class='sidebar'><p>Also, on this, and that.</p></div></div></body>") == TEXT
 
 
+@pytest.mark.parametrize(
+    "names", ["class='content has-sidebar'", "id='page' class='with-sidebar comments-open'", "class='warning'", "class='related-work'", "class='comments-open no-ads'", "id='shareholders'"]
+)
+@pytest.mark.parametrize("tag", ["div", "section"])
+def test_names_that_say_more_only_move_points(tag, names):
+    inner = ARTICLE.removeprefix("<article>").removesuffix("</article>")
+    assert H.extract(f"<body><nav><a href='/'>x</a></nav><{tag} {names}>{inner}</{tag}><div class='ad'>Buy, buy.</div></body>") == TEXT
+    assert H.extract(f"<body><article><p>Before, it.</p><{tag} {names}>{inner}</{tag}</article></body>") == f"Before, it. {TEXT}"
+
+
+@pytest.mark.parametrize("names", ["ad", "ad-box", "left-sidebar", "sidebarRight", "site-notice", "main_nav", "commentlist", "comments-body", "cookie-notice", "share-buttons", "newsletterSignup"])
+def test_names_that_say_nothing_else_drop_their_element(names):
+    box = f"<div class='{names}'><p>Buy, buy, buy, and buy some more of all of it.</p></div>"
+    assert H.extract(f"<body>{ARTICLE.replace('<p>Second', box + '<p>Second')}{box}</body>") == TEXT
+
+
+def test_lists_in_an_article_stay():
+    links = "<h2>Further reading</h2><ul><li><a href='/a'>One book</a></li><li><a href='/b'>Another book</a></li></ul><table><tr><td><a href='/c'>c</a><td><a href='/d'>d</a></table>"
+    assert H.extract(f"<body>{ARTICLE.replace('</article>', links + '</article>')}</body>") == f"{TEXT} Further reading One book Another book c d"
+    menu = "<ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul>"
+    assert H.extract(f"<body>{ARTICLE.replace('article', 'div').replace('<h1>', menu + '<h1>')}</body>") == TEXT
+
+
+def test_short_paragraphs_score():
+    assert H.extract("<body><div><a href='/'>Home</a> <a href='/x'>More of it</a></div><div><p>Short.</p><p>Shorter.</p></div></body>") == "Short. Shorter."
+
+
 def test_deep_and_long_pages():
     assert H.extract("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
     assert H.extract("</b>" * 20000 + "<p>x") == "x"

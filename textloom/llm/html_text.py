@@ -3,12 +3,15 @@
 1. A forgiving parser builds the element tree: void elements, raw text (scripts, styles), implied ends of paragraphs and
    list items, stray end tags.
 2. Elements that are no article go: scripts and forms by their tag; menus, headers, sidebars, notices, adverts and reader
-   comments by tag, role or the words of class and id; hidden ones. Those whose class or id also has a name of articles as
-   a whole are left to their points, and so are those that hold most of the page's text outside links, if no article or main element is elsewhere.
+   comments by tag, role or a name in class or id that says nothing else, such as "sidebar", "left-sidebar" or "ad-box";
+   hidden ones. Names that say more ("related-work"), or how the page is ("has-sidebar"), only move points. Elements whose
+   class or id also has a name of articles as a whole are left to their points, and so are those that hold most of the
+   page's text outside links, if no article or main element is elsewhere.
 3. Each paragraph passes points for its length and commas to its ancestors, all to the parent, half to the grandparent, a
-   third of that share further up; containers start with points by tag and by class. Points are discounted by the share of
+   third of that share further up; containers start with points by tag and by name. Points are discounted by the share of
    text that is in links. The best container is kept, widened to the article element around it; without one, with those
-   siblings that have enough points, are real paragraphs, or head it.
+   siblings that have enough points, are real paragraphs, or head it. In an article element every list stays; in another
+   container boxes of links are menus.
 4. References are decoded, white space in a block becomes one space, and blocks are joined in page order by one space.
 
 Defined cases: null and empty pages, and pages without visible text, give the empty text. A page without markup is one
@@ -47,15 +50,21 @@ ROLES = set("navigation banner contentinfo complementary search dialog alertdial
 UNLIKELY = set(
     "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs byline-menu comment comments commentlist consent cookie cookies disclaimer "
     "discussion disqus footer footnav gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification pager pagination paging "
-    "popup promo promotion promoted recommended related remark replies responses rss search share sharing shoutbox sidebar sidebars signup skip skyscraper social sponsor "
-    "sponsored subscribe subscription tagcloud teaser toolbar topbar tweet warning widget widgets".split()
+    "popup promo promotion promoted recommended related replies responses rss search share sharing shoutbox sidebar sidebars signup skip skyscraper social sponsor "
+    "sponsored subscribe subscription tagcloud teaser toolbar topbar tweet widget widgets".split()
 )
+#: Words beside one of those that don't change what is named, and words that make a name a state of the page.
+PLACES = set(
+    "area bar block body bottom box button buttons col container content first fixed global group holder inner item items large last left link links list main outer page "
+    "panel primary right row secondary section site slot small sticky text top unit wide wrap wrapper zone".split()
+)
+STATES = set("active are closed disabled enabled has have hide is no not off on open opened show shows with without".split())
 LIKELY = set("article body content entry hentry main page post story text blog column".split())
-DISCUSSION = set("comment comments commentlist discussion disqus remark replies responses".split())
+DISCUSSION = set("comment comments commentlist discussion disqus replies responses".split())
 START = {"article": 10, "main": 10, "section": 3, "div": 5, "pre": 3, "td": 3, "blockquote": 3} | dict.fromkeys("address ol ul dl dd dt li".split(), -3) | dict.fromkeys("h1 h2 h3 h4 h5 h6 th".split(), -5)
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = set("p pre td blockquote div section li dd figcaption article main body center".split())
-LEAST, ENOUGH = 25, 10.0
+ENOUGH = 10.0
 
 
 class Element:
@@ -73,8 +82,8 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)} if text.strip(" /\n\t") else {}
 
 
-def _words(text: str) -> set[str]:
-    return {w.lower() for w in _WORD.findall(text)} | {w.lower() for w in text.split()}
+def _words(name: str) -> set[str]:
+    return {w.lower() for w in _WORD.findall(name)} | {name.lower()}
 
 
 def _judge(e: Element, attributes: dict[str, str]) -> None:
@@ -94,13 +103,22 @@ def _judge(e: Element, attributes: dict[str, str]) -> None:
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")):
         e.gone = True
         return
-    names = _words(f"{attributes.get('class', '')} {attributes.get('id', '')}")
-    bad, good = names & UNLIKELY, names & LIKELY
-    e.good = (1 if good else 0) - (1 if bad else 0)
-    if bad and tag not in ("html", "body", "main") and not (tag == "article" and "comment" not in bad and "comments" not in bad) and not (tag in ("header", *HEADINGS) and "header" in bad):
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".split()
+    bad: set[str] = set()  # what names say that say nothing else
+    points = 0
+    for name in names:
+        words = _words(name)
+        if words & STATES:
+            continue
+        found = words & UNLIKELY
+        if found and not words - UNLIKELY - PLACES - {name.lower()} and not name.lower() in LIKELY:
+            bad |= found
+        points -= bool(found)
+        points += bool(words & LIKELY) and not found
+    e.good = min(1, max(-1, points))
+    if bad and tag not in ("html", "body", "main") and not (tag == "article" and not bad & {"comment", "comments"}) and not (tag in ("header", *HEADINGS) and "header" in bad):
         # a name such as "comments-body" or "ad-text" is still that of a comment or an advert
-        whole = {w.lower() for w in f"{attributes.get('class', '')} {attributes.get('id', '')}".split()}
-        e.gone = not whole & LIKELY or bool(whole & DISCUSSION)
+        e.gone = not any(name.lower() in LIKELY for name in names) or any(name.lower() in DISCUSSION for name in names)
         e.named = e.gone and not bad & DISCUSSION
 
 
@@ -230,12 +248,12 @@ def _density(e: Element) -> float:
 def _score(order: list[Element]) -> None:
     scored: set[int] = set()
     for e in order:
-        if e.tag not in PARAGRAPHS or e.length < LEAST or any(isinstance(x, Element) and not x.gone and x.tag in BLOCK and x.tag != "br" for x in e.inner):
+        if e.tag not in PARAGRAPHS or not e.length or any(isinstance(x, Element) and not x.gone and x.tag in BLOCK and x.tag != "br" for x in e.inner):
             continue
-        points = (1 + e.commas + min(e.length // 100, 3)) * (1 - _density(e))
-        up, share = e.parent if e.tag in ("p", "li", "td", "dd", "pre", "blockquote", "figcaption") and e.parent.parent is not None else e, 1.0
+        points = (min(e.length / 25, 1) + e.commas + min(e.length // 100, 3)) * (1 - _density(e))
+        up, share = e.parent if e.tag in ("p", "li", "td", "dd", "pre", "blockquote", "figcaption") else e, 1.0
         level = 0
-        while up is not None and up.parent is not None and level < 5:
+        while up is not None and level < 5:
             if id(up) not in scored:
                 scored.add(id(up))
                 up.score += START.get(up.tag, 0) + 25 * up.good
@@ -270,19 +288,20 @@ def _best(root: Element, order: list[Element]) -> list[Element]:
 
 
 def _is_links(e: Element) -> bool:
-    """A list or box of links inside the article, such as further reading."""
+    """A list or box of links, such as a menu."""
     return e.tag in ("ul", "ol", "dl", "div", "section", "table") and e.length > 0 and _density(e) > 0.8 and e.linked > 0 and sum(isinstance(x, Element) for x in e.inner) > 1
 
 
 def _text(kept: list[Element]) -> str:
     out: list[str] = []
     chosen = {id(e) for e in kept}
+    article = kept[0].tag in ("article", "main")
     stack: list[Element | str] = list(reversed(kept))
     while stack:
         x = stack.pop()
         if isinstance(x, str):
             out.append(x)
-        elif not x.gone and (id(x) in chosen or not _is_links(x)):
+        elif not x.gone and (article or id(x) in chosen or not _is_links(x)):
             edge = x.tag in BLOCK
             if edge:
                 out.append(" ")
