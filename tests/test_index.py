@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from helpers import SAMPLES
 from textloom.operators import code, index, lines
 from textloom.operators import proportional as P
 from textloom.sources import trees
@@ -8,7 +9,7 @@ from textloom.streaming import hits
 
 def test_code_index_round_trip(spark, tmp_path):
     src = tmp_path / "src"
-    names = {"one.py": code.SAMPLES[0][2], "lib/two.rs": code.SAMPLES[1][2], "lib/three.c": code.SAMPLES[2][2], "lib/z.bin": "\0", "note.txt": ""}
+    names = {"one.py": SAMPLES[0][2], "lib/two.rs": SAMPLES[1][2], "lib/three.c": SAMPLES[2][2], "lib/z.bin": "\0", "note.txt": ""}
     for n, text in names.items():
         (src / n).parent.mkdir(parents=True, exist_ok=True)
         (src / n).write_text(text)

@@ -136,3 +136,23 @@ def filled(parts: Column, width: int, gap: str) -> Column:
         return F.when(fits, F.concat(F.slice(rows, 1, F.size(rows) - 1), F.array(F.concat(last, F.lit(gap), part)))).otherwise(F.concat(rows, F.array(part)))
 
     return F.aggregate(parts, F.array().cast("array<string>"), step)
+
+
+def hue_rgb(hue: Column, count: int = 12, saturation: float = 0.55, value: float = 0.9) -> tuple[Column, Column, Column]:
+    """Red, green and blue (0 to 255) of a place on the colour circle of count hues."""
+
+    def channel(offset: int) -> Column:
+        k = (F.lit(float(offset)) + hue % count * (6.0 / count)) % 6
+        return F.floor(255 * (value * (1 - saturation * F.greatest(F.lit(0.0), F.least(F.lit(1.0), k, 4 - k)))))
+
+    return channel(5), channel(3), channel(1)
+
+
+def status(files: Column, lines: Column, chars: Column) -> Column:
+    """The status line of a corpus."""
+    return F.concat(thousands(files), F.lit(" files · "), thousands(lines), F.lit(" lines · "), thousands(chars), F.lit(" chars"))
+
+
+def search_status(hits: Column, files: Column, current: Column) -> Column:
+    """The status line of a search; current counts from 0."""
+    return F.concat(thousands(hits), F.lit(" hits · "), thousands(files), F.lit(" files · "), thousands(current + 1), F.lit("/"), thousands(hits))

@@ -28,8 +28,7 @@ def code_index(files: DataFrame) -> dict[str, DataFrame]:
     rows = lines.lines(numbered.select("file_id", "text"), "ascii")
     joined = rows.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
     found = code.items(joined.join(numbered.select("file_id", "lang"), "file_id").select("file_id", "lang", "text"))
-    metrics = lines.file_metrics(rows)
-    heads = numbered.select("file_id", "path", "lang", "variant", "bytes").join(metrics, "file_id", "left").fillna(0, ["lines", "chars", "nonspace"])
+    heads = numbered.select("file_id", "path", "lang", "variant", "bytes").join(lines.file_metrics(rows, numbered), "file_id")
     return {"files": heads, "dirs": tree.directories(heads.select("path", "lines"), ["lines"]), "lines": rows, "items": found, "skipped": skipped}
 
 

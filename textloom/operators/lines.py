@@ -34,9 +34,10 @@ def lines(files: DataFrame, charset: str = "raw") -> DataFrame:
     return parts.select("file_id", "line_no", "text", F.length("text").alias("len"), T.indent(F.col("text")).alias("indent"), T.nonspace(F.col("text")).alias("nonspace"))
 
 
-def file_metrics(lines_: DataFrame) -> DataFrame:
-    """Lines, characters and ink of each file that has lines."""
-    return lines_.groupBy("file_id").agg(F.count("*").alias("lines"), F.sum("len").alias("chars"), F.sum("nonspace").alias("nonspace"))
+def file_metrics(lines_: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Lines, characters and ink of each file; those of files (file_id) that have no lines are 0."""
+    found = lines_.groupBy("file_id").agg(F.count("*").alias("lines"), F.sum("len").alias("chars"), F.sum("nonspace").alias("nonspace"))
+    return found if files is None else files.select("file_id").join(found, "file_id", "left").fillna(0, ["lines", "chars", "nonspace"])
 
 
 def running(df: DataFrame, order: str, value: str, name: str, width: int = 4096, by: Sequence[str] = ()) -> DataFrame:

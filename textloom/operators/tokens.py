@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 KINDS = ("space", "ident", "keyword", "type", "string", "comment", "number", "punct", "macro", "call")
 SPACE, IDENT, KEYWORD, TYPE, STRING, COMMENT, NUMBER, PUNCT, MACRO, CALL = range(10)
 
-_STRING = r'"(?:[^"\\\n]|\\.)*"'
+_STRING = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'  # possessive, so that long strings need no stack
 _NUMBER = r"(?<![A-Za-z0-9_])[0-9]+(?:\.[0-9]+)?(?![A-Za-z0-9_])"
 _COMMENTS = {"text": None, "prose": None, "text-hash": r"#[^\n]*", "text-xml": r"<!--[\s\S]*?-->", "text-css": r"/\*[\s\S]*?\*/", "text-slash": r"//[^\n]*|/\*[\s\S]*?\*/|/\*[\s\S]*"}
 _WORDS = {"prose": r"[A-Za-z_\x{80}-\x{10FFFF}][A-Za-z0-9_\x{80}-\x{10FFFF}]*"}

@@ -49,15 +49,27 @@ def crumb(path: Column) -> Column:
     return F.array_join(F.split(path, "/"), " › ")
 
 
-def chained_labels(dirs: DataFrame) -> DataFrame:
-    """Label of every directory: an only child's name joins those of the directories that hold nothing else.
+def tags(dirs: DataFrame, share: float = 0.85) -> DataFrame:
+    """path and tag of every directory that draws one: its name behind those of the directories just above it that draw none.
 
-    dirs: path, parent, children, own_files. A directory with one child and no files of its own is hidden, and its name goes
-    in front of its child's.
+    dirs: path, parent, depth, w, h, pad. A directory draws none if its inner box is filled by exactly one child directory, to
+    that share at least. The root draws none and hands nothing down.
     """
-    hidden = dirs.where("children = 1 AND own_files = 0 AND path <> ''").select("path", F.lit(True).alias("hidden"))
-    above = dirs.where("path <> ''").select("path", F.posexplode(F.concat(F.slice(ancestors(F.col("path")), 2, 1 << 20), F.array("path"))).alias("level", "above"))
+    kids = dirs.where("parent IS NOT NULL").groupBy(F.col("parent").alias("path")).agg(F.count("*").alias("kids"), F.max(F.col("w") * F.col("h")).alias("area"))
+    inner = F.greatest(F.col("w") - 2 * F.col("pad"), F.lit(0)) * F.greatest(F.col("h") - 2 * F.col("pad"), F.lit(0))
+    hidden = dirs.join(kids, "path").where((F.col("depth") > 0) & (F.col("kids") == 1) & (F.col("area") >= share * inner)).select("path", F.lit(True).alias("hidden"))
+    own = dirs.where("depth > 0")
+    above = own.select("path", F.posexplode(F.concat(F.slice(ancestors(F.col("path")), 2, 1 << 20), F.array("path"))).alias("level", "above"))
     marked = above.join(hidden.withColumnRenamed("path", "above"), "above", "left")
     names = marked.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("level", F.element_at(F.split("above", "/"), -1).alias("name"), F.coalesce("hidden", F.lit(False)).alias("hidden")))).alias("names"))
-    tail = F.aggregate(F.slice("names", 1, F.size("names") - 1), F.array().cast("array<string>"), lambda kept, n: F.when(n["hidden"], F.concat(kept, F.array(n["name"]))).otherwise(F.array().cast("array<string>")))
-    return names.join(hidden, "path", "left_anti").select("path", F.array_join(F.concat(tail, F.array(F.element_at("names", -1)["name"])), "/").alias("label"))
+    none = F.array().cast("array<string>")
+    handed = F.aggregate(F.slice("names", F.lit(1), F.size("names") - 1), none, lambda kept, n: F.when(n["hidden"], F.concat(kept, F.array(n["name"]))).otherwise(none))
+    return names.join(hidden, "path", "left_anti").select("path", F.array_join(F.concat(handed, F.array(F.element_at("names", -1)["name"])), " · ").alias("tag"))
+
+
+def by_depth(dirs: DataFrame) -> DataFrame:
+    """place of every directory, from 1: shallow ones first, those of a depth by path. A window for each depth and one over depths."""
+    inside = dirs.withColumn("__k", F.row_number().over(Window.partitionBy("depth").orderBy("path")))
+    sizes = dirs.groupBy("depth").agg(F.count("*").alias("n"))
+    before = sizes.select("depth", F.coalesce(F.sum("n").over(Window.orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return inside.join(F.broadcast(before), "depth").withColumn("place", F.col("__before") + F.col("__k")).drop("__before", "__k")

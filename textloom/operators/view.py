@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators import layout as Y
+
 #: Pixels a line from which bars, then wide bars, then glyphs are drawn (fixed values).
 CUTS = (1, 3, 6)
 HOVERED, HIT, CURRENT, DIMMED = 1, 2, 4, 8
@@ -95,20 +97,61 @@ def label(path: Column, line: Column, name: Column, hits: Column, lod: Column) -
     return F.concat(path, F.when(lod >= 2, F.concat(F.lit(":"), (line + 1).cast("string"))).otherwise(""), F.when((lod >= 2) & name.isNotNull(), F.concat(F.lit(" "), name)).otherwise(""), F.when(hits > 0, F.concat(F.lit(" · "), hits.cast("string"), F.lit(" hits"))).otherwise(""))
 
 
-def hit_view(x: Column, y: Column, pitch: Column, size: Column, lines: int = 40, columns: int = 100) -> tuple[Column, Column, Column, Column]:
-    """The box to fly to for a hit at (x, y): lines by columns around its middle."""
-    cx, cy = x + size * 0.571 * pitch / 2, y + pitch / 2
-    w, h = columns * 0.571 * pitch, lines * pitch
-    return cx - w / 2, cy - h / 2, cx + w / 2, cy + h / 2
+def hit_view(x: Column, y: Column, pitch: Column, size: Column, box: Sequence[Column], lines: int = 40, columns: int = 100) -> tuple[Column, Column, Column, Column]:
+    """The box to fly to for a hit at (x, y): lines by columns around its middle, which is held inside the file's box."""
+    edge = F.lit(1e-3)
+    middles = []
+    for middle, low, high in ((x + size * Y.CHAR * pitch / 2, box[0], box[2]), (y + pitch / 2, box[1], box[3])):
+        least = low + edge
+        middles.append(F.least(F.greatest(middle, least), F.greatest(high - edge, least)))
+    w, h = columns * Y.CHAR * pitch, lines * pitch
+    return middles[0] - w / 2, middles[1] - h / 2, middles[0] + w / 2, middles[1] + h / 2
+
+
+def item_rects(items: DataFrame, files: DataFrame) -> DataFrame:
+    """Boxes of items (item_id, file_id, kind, s, e: rows of the file) in their files' columns; files: file_id, box, pitch,
+    rows, colw (without the gap), ppl, lod, seen."""
+    placed = items.join(files.select("file_id", "x0", "y0", "pitch", "rows", (F.col("colw") * (1 + Y.GAP)).alias("colw")), "file_id").withColumn("total", F.col("e"))
+    boxes = Y.item_boxes(placed)
+    return boxes.join(items.select("item_id", "file_id", "kind"), "item_id").join(files.select("file_id", "ppl", "lod", "seen"), "file_id")
+
+
+def coloured(rects: DataFrame, colours: Sequence[str]) -> DataFrame:
+    """rects with the colour of their kind, from 1; other kinds have the last."""
+    known = F.col("kind").between(1, len(colours))
+    return rects.withColumn("colour", F.element_at(F.array(*map(F.lit, colours)), F.when(known, F.col("kind")).otherwise(len(colours)).cast("int")))
+
+
+def bands(rects: DataFrame, colours: Sequence[str]) -> DataFrame:
+    """Filled bands of items in visible files below the detail of glyphs, fading as lines get thicker."""
+    return coloured(rects.where(F.col("seen") & (F.col("lod") <= 2)), colours).withColumn("alpha", band_alpha(F.col("ppl")))
+
+
+def outlines(rects: DataFrame, colours: Sequence[str]) -> DataFrame:
+    """Outlines of items in visible files from the detail of wide bars on."""
+    return coloured(rects.where(F.col("seen") & (F.col("lod") >= 2)), colours)
+
+
+def hit_boxes(hits: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """Boxes of hits (file_id, line_no, col) of size characters on the visual rows they begin in; rows: visual rows of the files
+    in view, with pitch, rows, colw, x0, y0. A hit that runs past its row is cut there."""
+    own = ["row_in_line", "row_in_file", "col0", "row_len", "pitch", "rows", "colw", "x0", "y0"]
+    begun = hits.select("file_id", "line_no", "col").join(rows.select("file_id", "line_no", *own), ["file_id", "line_no"]).where(F.col("col0") <= F.col("col"))
+    last = begun.groupBy("file_id", "line_no", "col").agg(F.max(F.struct(*own)).alias("r")).select("file_id", "line_no", "col", "r.*")
+    x, y = Y.row_position(F.col("x0"), F.col("y0"), F.col("row_in_file"), F.col("rows"), F.col("pitch"), F.col("colw") * (1 + Y.GAP), F.col("row_in_line") == 0)
+    edge = lambda c: x + F.least(c - F.col("col0"), F.col("row_len")) * Y.CHAR * F.col("pitch")
+    return last.select("file_id", "line_no", "col", edge(F.col("col")).alias("bx0"), y.alias("by0"), edge(F.col("col") + size).alias("bx1"), (y + F.col("pitch")).alias("by1"))
 
 
-def fit_zoom(width: float, height: float, world: tuple[float, float]) -> float:
-    return 0.94 * min(width / world[0], height / world[1])
+def tag_fits(tag: Column, width: Column, height: Column, scale: float, char: float, pad: float, least: float = 48.0, share: float = 0.4) -> Column:
+    """Is a directory large enough on the screen for its tag: least pixels on the shorter side, and the tag on a share of its width?"""
+    return tag.isNotNull() & (F.least(width, height) * scale >= least) & (F.length(tag) * char + 2 * pad <= share * width * scale)
 
 
-def zoom_limits(fit: float, pitch: float) -> tuple[float, float]:
-    """From half the fit to 400 pixels a line."""
-    return fit / 2, 400 / pitch
+def render_errors(frames: DataFrame, key: str) -> DataFrame:
+    """Of each key: mean error over all pixels and over inked ones, least time, mean and largest sparkle."""
+    off = F.abs("error")
+    return frames.groupBy(key).agg(F.avg(off).alias("error"), F.avg(F.when(F.col("inked"), off)).alias("ink_error"), F.min("ms").alias("ms"), F.avg("sparkle").alias("sparkle"), F.max("sparkle").alias("worst"))
 
 
 def flight(spark, start: tuple[float, float, float], end: tuple[float, float, float], steps: int, rho: float = 1.4) -> DataFrame:

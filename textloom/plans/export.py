@@ -93,16 +93,3 @@ def t_braces(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = corpora.markup(spark, sf_dir).select("file_id", F.posexplode(F.split("text", "")).alias("pos", "c")).where("c IN ('<', '>')")
     marks = pages.select("file_id", F.col("pos").cast("long").alias("pos"), (F.col("c") == "<").alias("opens"))
     return code.matched(marks)
-
-
-@query()
-def t_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Definitions of small literal sources in three languages, with their line ranges and kinds."""
-    return code.items(spark.createDataFrame(list(code.SAMPLES), "file_id long, lang string, text string"))
-
-
-@query()
-def t_code_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token runs by kind of the same sources."""
-    runs = code.token_runs(spark.createDataFrame(list(code.SAMPLES), "file_id long, lang string, text string"))
-    return runs.groupBy("file_id", "kind").agg(F.count("*").alias("runs"), F.sum("len").alias("chars"))

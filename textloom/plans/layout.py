@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import layout as Y
 from textloom.operators import lines as L
+from textloom.operators import tokens as K
 from textloom.plans.registry import query
 from textloom.plans.text import LINES, doc_lines, long
 from textloom.sources import corpora
@@ -199,8 +200,9 @@ def l_item_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def doc_treemap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as a treemap by language and source, weighed by tokens of their text."""
     files = corpora.prose(spark, sf_dir)
-    weight = F.greatest(F.regexp_count("text", F.lit(r"\S+")), F.lit(1))
-    return Y.treemap(files.select("path", weight.cast("double").alias("weight"), F.size(F.split("text", "\n")).cast("long").alias("lines")))
+    runs = K.with_tiles(files.select("file_id", "text"), "prose").select("file_id", K.run_count(F.col("tiles")).alias("runs"))
+    weighed = files.join(runs, "file_id")
+    return Y.treemap(weighed.select("path", F.greatest("runs", F.lit(1)).cast("double").alias("weight"), F.size(F.split("text", "\n")).cast("long").alias("lines")))
 
 
 @query()

@@ -181,15 +181,6 @@ def p_hues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long(tree.hues(tree.directories(corpora.prose(spark, sf_dir).select("path"))))
 
 
-@query("""
-SELECT path, label FROM (VALUES ('a', NULL), ('a/b', NULL), ('a/b/c', 'a/b/c'), ('d', 'd'), ('d/e', 'e'), ('f', NULL), ('f/g', 'f/g')) AS t(path, label) WHERE label IS NOT NULL
-""")
-def w_chained_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directories that hold one directory only give it their name."""
-    rows = [("", None, 3, 0), ("a", "", 1, 0), ("a/b", "a", 1, 0), ("a/b/c", "a/b", 0, 2), ("d", "", 1, 4), ("d/e", "d", 0, 1), ("f", "", 1, 0), ("f/g", "f", 0, 3)]
-    return tree.chained_labels(spark.createDataFrame(rows, "path string, parent string, children int, own_files int"))
-
-
 CHURN = "churn AS (SELECT c_mktsegment || '/' || c_nationkey AS path, sum(l_linenumber)::BIGINT AS churn FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY path)"
 
 

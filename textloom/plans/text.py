@@ -35,10 +35,11 @@ def p_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long(doc_lines(spark, sf_dir).select("file_id", "line_no", "len", "indent", "nonspace", F.md5("text").alias("digest")))
 
 
-@query(f"WITH {LINES} SELECT file_id, count(*) AS lines, sum(len)::BIGINT AS chars, sum(nonspace)::BIGINT AS nonspace, max(indent) AS deepest FROM lines GROUP BY file_id")
+@query(f"WITH {LINES} SELECT doc_id AS file_id, count(line_no) AS lines, coalesce(sum(len), 0)::BIGINT AS chars, coalesce(sum(nonspace), 0)::BIGINT AS nonspace, coalesce(max(indent), 0) AS deepest FROM documents LEFT JOIN lines ON file_id = doc_id GROUP BY doc_id")
 def a_lines_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = doc_lines(spark, sf_dir)
-    return long(rows.groupBy("file_id").agg(F.count("*").alias("lines"), F.sum("len").alias("chars"), F.sum("nonspace").alias("nonspace"), F.max("indent").alias("deepest")))
+    rows, files = doc_lines(spark, sf_dir), corpora.prose(spark, sf_dir)
+    deepest = rows.groupBy("file_id").agg(F.max("indent").alias("deepest"))
+    return long(L.file_metrics(rows, files).join(deepest, "file_id", "left").fillna(0, ["deepest"]))
 
 
 #: Literal inputs of the normalisation rules, and what they become.
@@ -137,9 +138,9 @@ def w_line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long(L.line_offsets(doc_lines(spark, sf_dir)))
 
 
-@query(f"WITH {LINES}, files AS (SELECT file_id, count(*) AS lines FROM lines GROUP BY file_id) SELECT file_id, lines, coalesce(sum(lines) OVER (ORDER BY file_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS line0 FROM files")
+@query(f"WITH {LINES}, files AS (SELECT doc_id AS file_id, count(line_no) AS lines FROM documents LEFT JOIN lines ON file_id = doc_id GROUP BY doc_id) SELECT file_id, lines, coalesce(sum(lines) OVER (ORDER BY file_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS line0 FROM files")
 def w_file_line0(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = L.file_metrics(doc_lines(spark, sf_dir)).select("file_id", "lines")
+    files = L.file_metrics(doc_lines(spark, sf_dir), corpora.prose(spark, sf_dir)).select("file_id", "lines")
     return L.running(files, "file_id", "lines", "line0").select("file_id", "lines", F.col("line0").cast("long"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.operators import layout as Y
 from textloom.operators import search as S
 from textloom.operators import spatial, view
+from textloom.operators.camera import Camera
 from textloom.plans.layout import FLOW, SETTLED, boxes, flow_boxes
 from textloom.plans.registry import query
 from textloom.plans.search import HITS, WORD
@@ -16,8 +17,9 @@ from textloom.sources import corpora
 
 VIEW = (100.0, 100.0, 700.0, 420.0)
 ZOOM = 9.0
-CAMERA = ((0.9, 0.0, 0.1, -500.0), (0.0, 0.8, 0.3, -300.0), (0.0, 0.1, 1.0, 0.0), (0.0, 0.002, 0.001, 900.0))
-FOCUS = 900.0
+FLAT = Camera(700.0, 420.0, 1.75, 1280.0, 720.0, 24.0)
+TILTED = Camera(700.0, 420.0, 1.75, 1280.0, 720.0, 24.0, 50.0, 25.0, 12.0)
+CAMERA, FOCUS = TILTED.matrix(), TILTED.distance
 
 SCENE = f"{SETTLED}, {FLOW}, scene AS (SELECT flow.*, pitch, file_id AS file_no FROM flow JOIN settled USING (file_id))"
 SEEN = f"x1 > {VIEW[0]} AND x0 < {VIEW[2]} AND y1 > {VIEW[1]} AND y0 < {VIEW[3]}"
@@ -164,17 +166,29 @@ def f_hover_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {SCENE} SELECT file_id, round(x0 + 3 * 0.571 * pitch / 2 - 50 * 0.571 * pitch, 6) AS left_, round(y0 + pitch / 2 + 20 * pitch, 6) AS bottom FROM scene
+WITH {SCENE}, m AS (SELECT file_id, pitch, least(greatest(x0 + 3 * 0.571 * pitch / 2, x0 + 1e-3), greatest(x1 - 1e-3, x0 + 1e-3)) AS cx, least(greatest(y0 + (file_id % 90) * pitch + pitch / 2, y0 + 1e-3), greatest(y1 - 1e-3, y0 + 1e-3)) AS cy FROM scene)
+SELECT file_id, round(cx - 50 * 0.571 * pitch, 6) AS left_, round(cy + 20 * pitch, 6) AS bottom FROM m
 """)
 def f_hit_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The view to fly to for a hit of three characters at each file's first cell."""
-    x0, _, _, y1 = view.hit_view(F.col("x0"), F.col("y0"), F.col("pitch"), F.lit(3))
+    """The view to fly to for a hit of three characters in one row of each file, held inside the file."""
+    y = F.col("y0") + F.col("file_id") % 90 * F.col("pitch")
+    x0, _, _, y1 = view.hit_view(F.col("x0"), y, F.col("pitch"), F.lit(3), [F.col(c) for c in ("x0", "y0", "x1", "y1")])
     return scene(spark, sf_dir).select("file_id", F.round(x0, 6).alias("left_"), F.round(y1, 6).alias("bottom"))
 
 
-@query()
+_D, _R2 = "sqrt(800.0 ** 2 + 300.0 ** 2)", "1.4 ** 2"
+
+
+@query(f"""
+WITH b AS (SELECT (60.0 ** 2 - 1600.0 ** 2 + 1.4 ** 4 * {_D} ** 2) / (2 * 1600.0 * {_R2} * {_D}) AS b0, (60.0 ** 2 - 1600.0 ** 2 - 1.4 ** 4 * {_D} ** 2) / (2 * 60.0 * {_R2} * {_D}) AS b1),
+r AS (SELECT ln(-b0 + sqrt(b0 * b0 + 1)) AS r0, ln(-b1 + sqrt(b1 * b1 + 1)) AS r1 FROM b),
+s AS (SELECT step, r0, (r1 - r0) * step / 40.0 + r0 AS a FROM r, (SELECT unnest(range(0, 41)) AS step)),
+u AS (SELECT *, (exp(r0) + exp(-r0)) / 2 AS ch, (exp(r0) - exp(-r0)) / 2 AS sh, (exp(a) + exp(-a)) / 2 AS ca, (exp(a) - exp(-a)) / 2 AS sa FROM s)
+SELECT step, round(100 + 800.0 / {_D} * (1600.0 / {_R2} * (ch * sa / ca - sh)), 6) AS x, round(100 + 300.0 / {_D} * (1600.0 / {_R2} * (ch * sa / ca - sh)), 6) AS y, round(1600.0 * ch / ca, 6) AS width FROM u
+""")
 def f_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view.flight(spark, (100.0, 100.0, 1600.0), (900.0, 400.0, 60.0), 40)
+    """A flight from the whole map to a file, in 40 steps."""
+    return view.flight(spark, (100.0, 100.0, 1600.0), (900.0, 400.0, 60.0), 40).select("step", *(F.round(c, 6).alias(c) for c in ("x", "y", "width")))
 
 
 @query(f"WITH {FLOW} SELECT file_id FROM flow ORDER BY round(sqrt(((x0 + x1) / 2 - 800) ** 2 + ((y0 + y1) / 2 - 450) ** 2), 6), file_id LIMIT 1")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.operators import code, index, lines
 from textloom.operators import proportional as P
 from textloom.plans.registry import query
 from textloom.plans.text import doc_lines, long
@@ -44,11 +43,3 @@ def w_justified(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = F.when(F.col("row_in_line") == 0, CAP).otherwise(CAP - HANG)
     done = P.justified(rows, target, ADV)
     return long(done.select("file_id", "line_no", "row_in_line", F.round("row_width", 6).alias("row_width"), F.round(F.try_element_at("char_x", F.lit(-1)), 6).alias("last_x")))
-
-
-@query("SELECT * FROM (VALUES (1::BIGINT, 'one', 'def'), (1, 'Two', 'class'), (1, 'three', 'def'), (2, 'area', 'fn'), (2, 'P', 'struct'), (2, 'Shape for P', 'impl'), (2, 'side', 'fn'), (3, 'S', 'struct'), (3, 'main', 'function'), (3, 'sum', 'function')) AS t(file_id, name, word) WHERE name <> 'sum'")
-def p_item_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The word that introduces each item of the literal sources."""
-    files = spark.createDataFrame(list(code.SAMPLES), "file_id long, lang string, text string")
-    rows = lines.lines(files.select("file_id", "text"), "ascii")
-    return index.item_words(code.items(files), rows, files).select("file_id", "name", "word")
