@@ -10,6 +10,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators import layout as Y
+from textloom.session import cut
+
 STRETCH = 0.35
 
 
@@ -80,6 +83,51 @@ def justified(rows: DataFrame, target: Column, adv: Mapping[str, float]) -> Data
     return out.withColumn("char_x", F.aggregate("widths", zero, step, lambda s: s["xs"]))
 
 
+def settled(files: DataFrame, hang: float = 1.0, rounds: int = 4, page: tuple[int, float] | None = None) -> DataFrame:
+    """Columns of files whose lines wrap by width: pitch and column width at their fixed point, after at most rounds steps.
+
+    files: w, h, n, target, and hist, an array of (width, count) of the file's lines. page: (lines, width) of a full page; every
+    file is laid out as one at least. Adds k, rows, pitch, colw and capw, the width that a column holds in line heights.
+    """
+    if page is None:
+        fitted = Y.with_columns_fit(files)
+    else:
+        full = files.withColumns({"own": F.col("n"), "n": F.greatest("n", F.lit(page[0]).cast("long")), "target": F.lit(float(page[1]))})
+        fitted = Y.with_columns_fit(full).withColumn("n", F.col("own")).drop("own")
+    wide = F.exists("hist", lambda x: x["width"] > F.col("capw"))
+    fitted = fitted.withColumn("wraps", (F.col("n") > 0) & wide)
+
+    def rows_at(cap: Column) -> Column:
+        return Y.up(F.aggregate("hist", F.lit(0).cast("long"), lambda a, x: a + x["count"] * rows_estimate(x["width"], cap, F.lit(hang))), F.col("k")).cast("long")
+
+    def step(cap: Column, _: Column) -> Column:
+        new = F.col("colw") * (rows_at(cap) + 2) / F.col("h")
+        return F.when(F.abs(new - cap) < 1e-9, cap).otherwise(new)
+
+    out = fitted.withColumn("capw", F.when(F.col("wraps"), F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("capw"), step)).otherwise(F.col("capw")))
+    out = out.withColumn("rows", F.when(F.col("wraps"), rows_at(F.col("capw"))).otherwise(F.col("rows")))
+    out = out.withColumn("pitch", F.when(F.col("wraps"), F.col("h") / (F.col("rows") + 2)).otherwise(F.col("pitch")))
+    return out.withColumn("capw", F.when(F.col("wraps"), F.when(F.col("pitch") > 0, F.col("colw") / F.col("pitch")).otherwise(0.0)).otherwise(F.col("capw"))).drop("wraps")
+
+
+def repaired(files: DataFrame, lines: DataFrame, adv: Mapping[str, float], hang: float = 1.0, rounds: int = 8) -> DataFrame:
+    """files (file_id, h, k, rows, pitch, colw, capw) with more rows, and so a lower pitch, where the exact wrap of their lines
+    (file_id, text) needs them. Only files that overflow are wrapped again, rounds times at most."""
+    files = cut(files)
+    asked = files
+    for _ in range(rounds):
+        widths = lines.select("file_id", char_widths(F.col("text"), adv).alias("widths")).join(asked.select("file_id", "capw"), "file_id")
+        per_line = F.size(breaks(F.col("widths"), F.col("capw"), F.lit(hang)))
+        need = widths.groupBy("file_id").agg(F.sum(per_line).alias("all"))
+        over = asked.join(need, "file_id").withColumn("need", Y.up(F.col("all"), F.col("k")).cast("long")).where("need > rows")
+        over = over.withColumn("rows", F.col("need")).withColumn("pitch", F.col("h") / (F.col("rows") + 2))
+        asked = cut(over.withColumn("capw", F.col("colw") / F.col("pitch")).select(files.columns))
+        if asked.isEmpty():
+            break
+        files = cut(files.join(asked.select("file_id"), "file_id", "left_anti").unionByName(asked))
+    return files
+
+
 def letter_width(page_lines: int, page_aspect: float, margins: tuple[float, float, float] = (0.075, 0.09, 0.03)) -> float:
     """Text width, in line heights, of a page of that shape with page_lines lines, two blank ones and a footer."""
     side, top, bottom = margins
