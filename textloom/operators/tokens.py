@@ -58,3 +58,29 @@ def run_count(tiles_: Column) -> Column:
     kinds = F.transform(tiles_, lambda t: t["kind"])
     starts = F.zip_with(kinds, F.concat(F.array(F.lit(SPACE)), kinds), lambda k, before: F.when((k != SPACE) & (k != before), 1).otherwise(0))
     return F.aggregate(starts, F.lit(0), lambda n, one: n + F.coalesce(one, F.lit(0)))
+
+
+#: Prose by whole matches: a number, a word, a run of anything else that is not white. Digits before a letter are in the last.
+_LETTERS = r"A-Za-z_\x{80}-\x{10FFFF}"
+PROSE_NUMBER = rf"(?<![0-9{_LETTERS}])[0-9]++(?:\.[0-9]++)?+(?![A-Za-z0-9_])|(?<![0-9{_LETTERS}])[0-9]++(?![A-Za-z0-9_])"
+PROSE_WORD = _WORDS["prose"]
+PROSE_DIGITS = rf"(?<![0-9{_LETTERS}])[0-9]++(?=[A-Za-z_])"
+
+
+def prose_runs(text: Column) -> Column:
+    """``run_count`` of a prose text, by one pass over its characters: every match of the pattern is a run."""
+    return F.regexp_count(text, F.lit(rf"{PROSE_NUMBER}|{PROSE_WORD}|(?:[^0-9{_LETTERS} \n]++|{PROSE_DIGITS})++"))
+
+
+def prose_counts(files: DataFrame) -> DataFrame:
+    """file_id, kind, tokens, chars of prose (file_id, text), for the kinds that a text has. Nothing is taken apart but words and
+    numbers: what is left is punctuation."""
+    found = {name: F.regexp_extract_all("text", F.lit(pattern), F.lit(0)) for name, pattern in (("words", PROSE_WORD), ("numbers", PROSE_NUMBER), ("digits", PROSE_DIGITS))}
+    # a column for each pass: as one expression the passes would be made for every use
+    rows = files.select("file_id", F.length("text").cast("long").alias("all"), *(a.alias(n) for n, a in found.items()), F.regexp_count("text", F.lit(" +")).alias("gaps"), *((F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))).cast("long").alias(n) for c, n in ((" ", "spaces"), ("\n", "feeds"))))
+    rows = rows.select("file_id", "all", "gaps", "spaces", "feeds", *(x for n in found for x in (F.size(n).cast("long").alias(n), F.length(F.array_join(n, "")).cast("long").alias(f"{n}_chars"))))
+    rest = F.col("all") - F.col("spaces") - F.col("feeds") - F.col("words_chars") - F.col("numbers_chars")
+    rows = rows.withColumn("rest", rest)
+    counts = ((SPACE, F.col("gaps") + F.col("feeds"), F.col("spaces") + F.col("feeds")), (IDENT, F.col("words"), F.col("words_chars")), (NUMBER, F.col("numbers"), F.col("numbers_chars")), (PUNCT, F.col("rest") - F.col("digits_chars") + F.col("digits"), F.col("rest")))
+    each = F.array(*(F.struct(F.lit(k).alias("kind"), n.cast("long").alias("tokens"), c.cast("long").alias("chars")) for k, n, c in counts))
+    return rows.select("file_id", F.inline(each)).where("tokens > 0")

@@ -200,8 +200,7 @@ def l_item_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def doc_treemap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as a treemap by language and source, weighed by tokens of their text."""
     files = corpora.prose(spark, sf_dir)
-    runs = K.with_tiles(files.select("file_id", "text"), "prose").select("file_id", K.run_count(F.col("tiles")).alias("runs"))
-    weighed = files.join(runs, "file_id")
+    weighed = files.withColumn("runs", K.prose_runs(F.col("text")))
     return Y.treemap(weighed.select("path", F.greatest("runs", F.lit(1)).cast("double").alias("weight"), F.size(F.split("text", "\n")).cast("long").alias("lines")))
 
 

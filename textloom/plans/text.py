@@ -177,8 +177,7 @@ def ascii_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PROSE_TILES} SELECT file_id, kind::BIGINT AS kind, count(*) AS tokens, sum(length(t))::BIGINT AS chars FROM tiles GROUP BY file_id, kind")
 def t_prose_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tiles = K.exploded(corpora.prose(spark, sf_dir).select("file_id", "text"), "prose")
-    return long(tiles.groupBy("file_id", "kind").agg(F.count("*").alias("tokens"), F.sum(F.length("text")).alias("chars")))
+    return long(K.prose_counts(corpora.prose(spark, sf_dir).select("file_id", "text")))
 
 
 @query(f"WITH {XML_TILES} SELECT kind::BIGINT AS kind, count(*) AS tokens, sum(length(t))::BIGINT AS chars FROM tiles GROUP BY kind")
@@ -189,8 +188,7 @@ def t_markup_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PROSE_TILES}, runs AS (SELECT file_id, kind, lag(kind, 1, 0) OVER (PARTITION BY file_id ORDER BY pos) AS before FROM tiles) SELECT doc_id AS file_id, coalesce(n, 0)::BIGINT AS tokens FROM documents LEFT JOIN (SELECT file_id, count(*) AS n FROM runs WHERE kind <> 0 AND kind <> before GROUP BY file_id) r ON r.file_id = doc_id")
 def a_tokens_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = K.with_tiles(corpora.prose(spark, sf_dir).select("file_id", "text"), "prose")
-    return long(files.select("file_id", K.run_count(F.col("tiles")).alias("tokens")))
+    return long(corpora.prose(spark, sf_dir).select("file_id", K.prose_runs(F.col("text")).alias("tokens")))
 
 
 @query("SELECT c AS letter, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> chr(10) GROUP BY c")
