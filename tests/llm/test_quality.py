@@ -119,3 +119,65 @@ def test_classifier_edges(spark, make, edge_rows):
     assert set(C.score(make(edge_rows), labels.where("false")).toPandas().score) == {0.0}
     assert set(C.score(make(edge_rows), labels.where("quality = 1")).toPandas().score) == {1.0}
     assert C.score(make(edge_rows).limit(0), labels).count() == 0
+
+
+ODD = [None, "", "  ", "Alpha, BETA: gamma! the the of 12 4x é日 don't e-mail the; a\u00a0b ??", "x" * 70, "The\nThe\nthe end.\n\n# $ % | <b>", "a b c d e a b c d e f\na b c d e", "...", ".", "A.", "1.5, 2;"]
+
+
+def by_hand(text):
+    """Counts of the rules and statistics of the classifier, in plain Python."""
+    text = text or ""
+    words = re.findall(rf"[^{SPACE}]+", text)
+    n_words, word_chars, n_symbols, n_dup, n_repeat = brute(text)
+    lines = [x for x in text.split("\n") if x.strip(SPACE)]
+    bare = [w[:-1] if len(w) > 1 and w[-1] in ".,;:!?" else w for w in words]
+    lower = "".join(c.lower() if c.isascii() else c for c in "\n".join(bare)).split("\n") if bare else []
+    stops = set(" ".join(R.STOP_WORDS).split())
+    letters = lambda c: c.isascii() and c.isalpha()
+    m = {
+        "n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup, "n_repeat_words": n_repeat, "n_lines": len(lines),
+        "n_upper": sum(letters(c) and c.isupper() for c in text), "n_letters": sum(map(letters, text)), "n_shouts": text.count("!") + text.count("?"),
+        "n_spelt": sum(all(letters(c) or not c.isascii() or c in "'-" for c in w) for w in bare), "n_stop": sum(w in stops for w in lower),
+    }
+    data, n = text.encode(), max(1, n_words)
+    x = [
+        np.log1p(n_words), np.log1p(m["n_letters"]), word_chars / n, n_symbols / n, len(lines) / n, n_dup / max(1, len(lines)), n_repeat / n, m["n_upper"] / max(1, m["n_letters"]),
+        m["n_shouts"] / n, m["n_spelt"] / n, m["n_stop"] / n, np.log1p(max((len(w.encode()) for w in words), default=0)), sum(48 <= b < 58 for b in data) / max(1, len(data)),
+        sum(b > 127 for b in data) / max(1, len(data)), sum(text.count(c) for c in ".,;:") / n, len(set(words)) / n,
+    ]
+    return m, x
+
+
+def test_measures_and_statistics_by_hand(prose, edge_rows):
+    texts = ODD + [t for _, t, _ in edge_rows] + [prose(50 + i, i) for i in range(20)]
+    for most in (1 << 20, 40):
+        got, x = {}, []
+        for t in K.chunks(pa.array(texts, pa.string()), most=most):
+            for k, v in R.measure(t).items():
+                got.setdefault(k, []).extend(v.tolist())
+            x.append(C.statistics(t))
+        want = [by_hand(t) for t in texts]
+        for k in got:
+            assert got[k] == [m[k] for m, _ in want], k
+        assert np.allclose(np.concatenate(x), [v for _, v in want])
+
+
+def test_votes_by_hand():
+    r = np.random.default_rng(4)
+    m = {k: r.integers(0, 60, 400) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_shouts", "n_spelt", "n_stop")}
+    got = R.votes(m)
+    for i in range(400):
+        for k, (name, what, of, good, bad) in enumerate(R.RULES):
+            whole = m[of][i] if of else 1
+            share = m[what][i] / max(whole, 1)
+            if name in ("spelling", "stop words", "length"):  # more is better
+                vote = 0 if share < bad else 2 if share >= good else 1
+            else:
+                vote = 0 if share >= bad else 2 if good is not None and share <= good else 1
+            assert got[i, k] == (1 if whole == 0 else vote), name
+
+
+def test_sums_as_a_tree(spark):
+    rows = spark.createDataFrame([(i % 2, [float(i)] * len(C.NAMES), 1) for i in range(300)], "half int, x array<double>, y int").repartition(70)
+    got = C._sums(rows, lambda x, y: np.array([len(x), x[:, 0].sum()]))
+    assert {k: v.tolist() for k, v in got.items()} == {k: [150, float(sum(range(k, 300, 2)))] for k in (0, 1)}

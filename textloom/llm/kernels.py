@@ -143,7 +143,11 @@ class Words:
 
     @property
     def text_of(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.offs) - 1), np.diff(self.offs))
+        return np.repeat(np.arange(len(self.offs) - 1, dtype=np.int32), np.diff(self.offs))
+
+    def count(self, mask: np.ndarray) -> np.ndarray:
+        """How many words of each text the mask holds."""
+        return np.diff(np.searchsorted(np.flatnonzero(mask), self.offs))
 
 
 def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[Texts]:
@@ -222,14 +226,19 @@ def windows(hashes: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, n
     return mix(out[at] if len(at) < n else out), at
 
 
-def occurrences(group: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Of each item, how many equal ones of its group come before it."""
-    order = np.lexsort((values, group))
-    g, v = group[order], values[order]
-    new = np.ones(len(g), bool)
-    new[1:] = (g[1:] != g[:-1]) | (v[1:] != v[:-1])
-    start = np.flatnonzero(new)
-    rank = np.arange(len(g)) - np.repeat(start, np.diff(np.append(start, len(g))))
-    out = np.empty(len(g), np.int64)
+def occurrences(group: np.ndarray | None, values: np.ndarray) -> np.ndarray:
+    """Of each item, how many equal ones of its group come before it; without groups, of all. In 32 bits, as are positions of a
+    text's words."""
+    order = np.argsort(values, kind="stable") if group is None else np.lexsort((values, group))
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for part in (values, group):
+        if part is not None:
+            part = part[order]
+            new[1:] |= part[1:] != part[:-1]
+    start = np.flatnonzero(new).astype(np.int32)
+    rank = np.arange(len(order), dtype=np.int32)
+    rank -= np.repeat(start, np.diff(np.append(start, np.int32(len(order)))))
+    out = np.empty(len(order), np.int32)
     out[order] = rank
     return out

@@ -60,6 +60,7 @@ def items(texts: K.Texts, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarra
     n = np.diff(w.offs)
     window, at = K.windows(hashes, w.offs, shingle)
     of = w.text_of[at]
+    del at
     few = np.flatnonzero((n > 0) & (n < shingle))
     if len(few):
         whole = np.zeros(len(few), np.uint64)
@@ -69,8 +70,14 @@ def items(texts: K.Texts, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarra
         window, of = np.concatenate([window, whole]), np.concatenate([of, few])
         order = np.argsort(of, kind="stable")
         window, of = window[order], of[order]
-    again = K.occurrences(np.zeros(len(of), np.int8), window ^ K.mix(of.astype(np.uint64) + _U(1)))
-    return K.mix(window + again.astype(np.uint64) * _U(0xA24BAED4963EE407)), again == 0, np.searchsorted(of, np.arange(len(texts) + 1)), hashes, w
+    offs = np.searchsorted(of, np.arange(len(texts) + 1))
+    key = K.mix(of.astype(np.uint64) + _U(1))
+    del of
+    key ^= window
+    again = K.occurrences(None, key)
+    del key
+    window += again.astype(np.uint64) * _U(0xA24BAED4963EE407)
+    return K.mix(window), again == 0, offs, hashes, w
 
 
 def identity(hashes: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -37,13 +37,17 @@ _MARKS[[ord(c) for c in ".,;:"]] = True
 
 def statistics(texts: K.Texts) -> np.ndarray:
     """One row of NAMES for each text."""
-    m = measure(texts)
     w = K.words(texts)
+    hashes = texts.span_hash(w.starts, w.ends)
+    m = measure(texts, w, hashes)
     n, size = np.maximum(m["n_words"], 1), np.maximum(np.diff(texts.offs), 1)
     longest = np.zeros(len(texts), np.int64)
-    np.maximum.at(longest, w.text_of, w.ends - w.starts)
-    hashes = texts.span_hash(w.starts, w.ends)
-    kinds = np.bincount(w.text_of[K.occurrences(w.text_of, hashes) == 0], minlength=len(texts))
+    some = np.diff(w.offs) > 0
+    if some.any():
+        longest[some] = np.maximum.reduceat(w.ends - w.starts, w.offs[:-1][some])
+    text_of = w.text_of
+    _, first = np.unique(hashes ^ K.mix(text_of.astype(np.uint64) + np.uint64(1)), return_index=True)
+    kinds = np.bincount(text_of[first], minlength=len(texts))
     return np.column_stack([
         np.log1p(m["n_words"]), np.log1p(m["n_letters"]), m["word_chars"] / n, m["n_symbols"] / n, m["n_lines"] / n,
         m["n_dup_lines"] / np.maximum(m["n_lines"], 1), m["n_repeat_words"] / n, m["n_upper"] / np.maximum(m["n_letters"], 1), m["n_shouts"] / n,
@@ -86,7 +90,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _summed(parts: DataFrame) -> dict[int, np.ndarray]:
-    """Adds (half, sums as bytes) by half: on FAN tasks first, then here."""
+    """Adds (half, sums as bytes) by half, as a tree: every FAN partitions become one, until FAN are left for the driver."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -96,8 +100,12 @@ def _summed(parts: DataFrame) -> dict[int, np.ndarray]:
                 total[half] = total[half] + part if half in total else part
         yield pa.record_batch({"half": pa.array(list(total), pa.int32()), "sums": pa.array([v.tobytes() for v in total.values()], pa.binary())})
 
+    left = parts._jdf.rdd().getNumPartitions()
+    while left > FAN:
+        left = max(FAN, -(-left // FAN))
+        parts = K.arrow(parts.repartition(left), add, "half int, sums binary")
     out: dict[int, np.ndarray] = {}
-    for row in K.arrow(parts.repartition(FAN), add, "half int, sums binary").toArrow().to_pylist():
+    for row in parts.toArrow().to_pylist():
         part = np.frombuffer(row["sums"], float)
         out[row["half"]] = out[row["half"]] + part if row["half"] in out else part
     return out

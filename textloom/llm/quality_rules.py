@@ -31,37 +31,25 @@ _SHOUT[[ord(c) for c in "!?"]] = True
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measure(texts: K.Texts) -> dict[str, np.ndarray]:
-    """Counts of each text. A repeated word lies in a window of five words that its text has twice or more."""
+def measure(texts: K.Texts, w: K.Words | None = None, hashes: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Counts of each text. A repeated word lies in a window of five words that its text has twice or more. w and hashes: the
+    texts' words and their hashes, if they are at hand."""
     n = len(texts)
-    w = K.words(texts)
-    hashes = texts.span_hash(w.starts, w.ends)
-    code_points = (texts.data & 0xC0) != 0x80
+    if w is None or hashes is None:
+        w = K.words(texts)
+        hashes = texts.span_hash(w.starts, w.ends)
     starts, ends, line_of = K.lines(texts)
     inked = np.searchsorted(w.starts, ends) > np.searchsorted(w.starts, starts)
     again = K.occurrences(line_of[inked], texts.span_hash(starts[inked], ends[inked])) > 0
-    shingle, at = K.windows(hashes, w.offs, WINDOW)
-    text_of = w.text_of
-    order = np.lexsort((shingle, text_of[at]))
-    s, t = shingle[order], text_of[at][order]
-    same = (s[1:] == s[:-1]) & (t[1:] == t[:-1])
-    twice = np.zeros(len(order), bool)
-    twice[1:] |= same
-    twice[:-1] |= same
-    cover = np.zeros(len(hashes) + WINDOW, np.int64)
-    first = at[order[twice]]
-    np.add.at(cover, first, 1)
-    np.add.at(cover, first + WINDOW, -1)
-    covered = np.cumsum(cover)[: len(hashes)] > 0
     spelt, stop = _plain(texts, w)
     return {
-        "n_spelt": spelt,
-        "n_stop": stop,
+        "n_spelt": w.count(spelt),
+        "n_stop": w.count(stop),
         "n_words": np.diff(w.offs),
-        "word_chars": texts.count(code_points & ~K.white(texts)),
+        "word_chars": texts.count(((texts.data & 0xC0) != 0x80) & ~K.white(texts)),
         "n_symbols": texts.count(_SYMBOL[texts.data]),
         "n_dup_lines": np.bincount(line_of[inked][again], minlength=n),
-        "n_repeat_words": np.bincount(text_of[covered], minlength=n),
+        "n_repeat_words": w.count(_repeated(hashes, w)),
         "n_lines": np.bincount(line_of[inked], minlength=n),
         "n_upper": texts.count(_UPPER[texts.data]),
         "n_letters": texts.count(_LETTER[texts.data]),
@@ -69,15 +57,35 @@ def measure(texts: K.Texts) -> dict[str, np.ndarray]:
     }
 
 
+def _repeated(hashes: np.ndarray, w: K.Words) -> np.ndarray:
+    """Which words lie in a window of WINDOW words that their text has twice or more."""
+    shingle, at = K.windows(hashes, w.offs, WINDOW)
+    shingle ^= K.mix(w.text_of[at].astype(np.uint64) + np.uint64(1))
+    order = np.argsort(shingle)
+    shingle = shingle[order]
+    same = shingle[1:] == shingle[:-1]
+    del shingle
+    twice = np.zeros(len(order), bool)
+    twice[1:] = same
+    twice[:-1] |= same
+    first = at[order[twice]]
+    out = np.zeros(len(hashes), bool)
+    for k in range(WINDOW):
+        out[first + k] = True
+    return out
+
+
 def _plain(texts: K.Texts, w: K.Words) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text: words of letters only, and stop words; one mark at the end of a word may stand, capitals count as small."""
+    """Which words are of letters only, and which are stop words; one mark at the end of a word may stand, capitals count as small."""
+    ends = w.ends - (_MARK[texts.data[w.ends - 1]] & (w.ends - w.starts > 1)) if len(w.ends) else w.ends
+    odd = np.flatnonzero(~_SPELT[texts.data] & ~K.white(texts))
+    word = np.searchsorted(w.starts, odd, "right") - 1
+    spelt = np.ones(len(ends), bool)
+    spelt[word[odd < ends[word]] if len(odd) else word] = False
     lower = texts.data.copy()
     lower[(lower >= 65) & (lower <= 90)] += 32
-    ends = w.ends - (_MARK[texts.data[w.ends - 1]] & (w.ends - w.starts > 1)) if len(w.ends) else w.ends
-    odd = np.concatenate([[0], np.cumsum(~_SPELT[texts.data])])
-    spelt = odd[ends] == odd[w.starts]
-    stop = np.isin(K.Texts(texts.first, lower, texts.offs).span_hash(w.starts, ends), _stop_hashes())
-    return (np.bincount(w.text_of[m], minlength=len(texts)) for m in (spelt, stop))
+    hashes, known = K.Texts(texts.first, lower, texts.offs).span_hash(w.starts, ends), _stop_hashes()
+    return spelt, known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
 
 
 _MARK, _SPELT = np.zeros(256, bool), np.zeros(256, bool)
