@@ -147,3 +147,11 @@ def test_longest_match_on_small_vocabularies():
         for _ in range(200):
             word = bytes(r.choice(b"abc") for _ in range(r.randint(0, 14)))
             assert machine.pieces(word) == greedy(b"_" + word, vocab, 5), (vocab, word)
+
+
+def test_pieces_of_ascii_words():
+    """The shorter pattern parts ASCII words as the one of all characters does."""
+    codec, r = bpe.Codec(vocabulary("word_bpe_49k.json")), random.Random(5)
+    for _ in range(20_000):
+        word = "".join(r.choice("'''strevmld01a-.,_\x00\x1c~!") for _ in range(r.randint(1, 12)))
+        assert bpe._ASCII_PIECES.findall(word) == codec.split.findall(word), word

@@ -26,6 +26,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
+from itertools import chain, pairwise
 from pathlib import Path
 
 import numpy as np
@@ -289,32 +290,40 @@ class Codec:
         self.older: dict[str, bytes] = {}
 
     def _pieces(self, word: str) -> list[str]:
-        """What lies between white space, pre-split."""
-        if word.isalpha():
-            return [word]
+        """What lies between white space and isn't of letters only, pre-split."""
         if word[:-1].isalpha() and word[-1] in _MARKS:  # no contraction, so the mark is a piece of its own
             return [word[:-1], word[-1]]
-        return self.split.findall(word)
+        return _ASCII_PIECES.findall(word) if word.isascii() else self.split.findall(word)
 
     def _learn(self, words: set[str]) -> None:
         """Encodes new words into the table."""
-        parts = {w: self._pieces(w) for w in words}
-        pieces = list({p for found in parts.values() for p in found})
-        spelt = [p.encode("utf-8", "surrogatepass") for p in pieces]
-        short = [b for b in spelt if len(b) <= LONG]
-        offs = np.concatenate([[0], np.cumsum([len(b) for b in short], dtype=np.int64)])
-        symbols = np.frombuffer(b"".join(short), np.uint8).astype(np.int64)
-        symbols[offs[1:] - 1] += 256  # the same byte at the end of a word
-        tokens, first = self.automaton.read(symbols, offs)
-        ids, first, k, known = self.ids[tokens].tobytes(), (4 * first).tolist(), 0, {}
-        for p, b in zip(pieces, spelt, strict=True):
-            if len(b) <= LONG:
-                known[p] = ids[first[k] : first[k + 1]]
-                k += 1
-            else:
-                known[p] = self.ids[self.automaton.read_one([*b[:-1], b[-1] + 256])].tobytes()
-        for w, found in parts.items():
-            self.words[w] = known[found[0]] if len(found) == 1 else b"".join(map(known.__getitem__, found))
+        table = self.words
+        whole = [w for w in words if w.isalpha()]
+        parts = {w: self._pieces(w) for w in words.difference(whole)}
+        pieces = list({*whole, *chain.from_iterable(parts.values())}.difference(table))
+        # pieces have no spaces, so all of them are read as one text
+        data = np.frombuffer(" ".join(pieces).encode("utf-8", "surrogatepass"), np.uint8)
+        ends = (np.append(np.flatnonzero(data == 32), len(data)) - np.arange(len(pieces)))[: len(pieces)]
+        offs = np.append(0, ends)
+        symbols = data[data != 32].astype(np.int64)
+        symbols[ends - 1] += 256  # the same byte at the end of a word
+        table.update(zip(pieces, self._ids(symbols, offs), strict=True))
+        table.update([(w, b"".join([table[p] for p in found])) for w, found in parts.items()])
+
+    def _ids(self, symbols: np.ndarray, offs: np.ndarray) -> list[bytes]:
+        """Ids of each piece, as bytes."""
+        long = np.flatnonzero(np.diff(offs) > LONG)
+        short = np.diff(offs) <= LONG
+        if len(long):
+            inside = np.repeat(short, np.diff(offs))
+            tokens, first = self.automaton.read(symbols[inside], np.append(0, np.cumsum(np.diff(offs) * short)))
+        else:
+            tokens, first = self.automaton.read(symbols, offs)
+        ids, ends = self.ids[tokens].tobytes(), (4 * first).tolist()
+        out = [ids[lo:hi] for lo, hi in pairwise(ends)]
+        for k in long.tolist():
+            out[k] = self.ids[self.automaton.read_one(symbols[offs[k] : offs[k + 1]].tolist())].tobytes()
+        return out
 
     def _spoken(self, text: str) -> list[str]:
         """The words of a text as the normaliser leaves them."""
@@ -359,6 +368,8 @@ class Codec:
 
 
 _MARKS = frozenset(".,;:!?")
+#: The pre-split of words of small ASCII letters, without tables of other characters.
+_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to Python, marks to the tokenizer
 _SPACES = re.compile(f"[{_WHITE}]+")
 #: Combining marks, and one second half, that Unicode has since version 10: to the tokenizer, whose normaliser has the tables
