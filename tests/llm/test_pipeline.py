@@ -45,3 +45,23 @@ def test_each_stage_on_its_input(spark, small, tmp_path):
 def test_run(spark, small):
     out = P.run(spark, small)
     assert out.columns == ["doc_id", "lang", "source", "n_chars", "n_tokens", "ids"] and out.count() > 0
+
+
+def test_stages_on_odd_rows(spark, small, stored, edge_rows, prose):
+    """Null ids, texts and sources, empty and long texts, repeated rows, columns of clashing names; then no rows at all."""
+    from conftest import unharmed
+
+    rows = edge_rows + [(100 + i, prose(60, i // 2), "s") for i in range(20)] + [(None, prose(60, 3), "s")]
+    for docs in (stored(rows), stored(rows).limit(0)):
+        many = docs.count()
+        for k, (_, stage) in enumerate(P.STAGES):
+            out = stage(spark, docs, small)
+            if k < len(P.STAGES) - 1:
+                assert out.columns == docs.columns and out.count() <= 3 * max(many, 1)
+                assert not many or unharmed(out)
+                docs = out.checkpoint()
+            else:
+                assert out.columns == [c for c in docs.columns if c not in ("text", "n_tokens", "ids")] + ["n_tokens", "ids"]
+                assert out.count() == docs.count() and out.where("size(ids) <> n_tokens").count() == 0
+        texts = {r.text for r in docs.collect()}
+        assert not many or {prose(60, i) for i in range(10)} & texts
