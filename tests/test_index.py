@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from helpers import SAMPLES
-from textloom.operators import code, index, lines
+from textloom.operators import index, lines
 from textloom.operators import proportional as P
 from textloom.sources import trees
 from textloom.streaming import hits

@@ -36,6 +36,14 @@ def header_field(lines: DataFrame, key: str) -> DataFrame:
     return found.groupBy("book").agg(F.min_by("value", "line_no").alias(key.lower()))
 
 
+def author(lines: DataFrame) -> DataFrame:
+    """The author of each book; a first word in small letters, as a title of rank is written, is no part of the name."""
+    words = F.split("author", r"\s+")
+    first = F.element_at(words, 1)
+    ranked = first.rlike(r"\p{Ll}") & (first == F.lower(first))
+    return header_field(lines, "Author").select("book", F.array_join(F.when(ranked, F.slice(words, F.lit(2), F.size(words))).otherwise(words), " ").alias("author"))
+
+
 def body(lines: DataFrame) -> DataFrame:
     """Lines after the first start mark and before the first end mark, wherever these are."""
     marks = lines.groupBy("book").agg(F.min(F.when(F.col("text").rlike(T.BODY_START), F.col("line_no"))).alias("__a"), F.min(F.when(F.col("text").rlike(T.BODY_END), F.col("line_no"))).alias("__b"))

@@ -35,10 +35,11 @@ def undone(steps: Column, scale: Column) -> Column:
 
 
 def string_offsets(rows: DataFrame, order: str, text: str) -> DataFrame:
-    """Where each string begins in the blob of all, in bytes of the book charset (one a character)."""
+    """Where each string begins in the blob of all, in bytes of the book charset: one for each character that is left of it."""
+    from textloom.functions.text import book_charset
     from textloom.operators.lines import running
 
-    return running(rows.withColumn("__bytes", F.length(text).cast("long")), order, "__bytes", "off").drop("__bytes")
+    return running(rows.withColumn("__bytes", F.length(book_charset(F.col(text))).cast("long")), order, "__bytes", "off").drop("__bytes")
 
 
 def bands(curves: DataFrame, most: int = 32) -> DataFrame:
@@ -54,6 +55,12 @@ def bands(curves: DataFrame, most: int = 32) -> DataFrame:
     return worst.groupBy("glyph").agg(F.min(F.struct("most", "n")).alias("b")).select("glyph", F.col("b.n").alias("n"), F.col("b.most").alias("fullest"))
 
 
+def band_totals(curves: DataFrame, most: int = 32) -> DataFrame:
+    """One row: glyphs, bands and curves in all, and how many curves the fullest band holds."""
+    chosen = bands(curves, most).agg(F.count("*").alias("glyphs"), F.sum("n").alias("bands"), F.max("fullest").alias("fullest"))
+    return chosen.crossJoin(curves.agg(F.count("*").alias("curves")))  # one row each
+
+
 def band_lists(curves: DataFrame, n: int) -> DataFrame:
     """glyph, band, list: the curves that meet each band, by falling far end."""
     low = F.least(F.greatest(F.floor(F.col("low") * n), F.lit(0)), F.lit(n - 1))

@@ -128,12 +128,18 @@ def repaired(files: DataFrame, lines: DataFrame, adv: Mapping[str, float], hang:
     return files
 
 
-def letter_width(page_lines: int, page_aspect: float, margins: tuple[float, float, float] = (0.075, 0.09, 0.03)) -> float:
+def letter_width(page_lines: int | Column, page_aspect: float | Column, margins: tuple[float, float, float] = (0.075, 0.09, 0.03)) -> float | Column:
     """Text width, in line heights, of a page of that shape with page_lines lines, two blank ones and a footer."""
     side, top, bottom = margins
     return page_aspect * (1 - 2 * side) / (1 - top - bottom) * (page_lines + 3 + 2)
 
 
-def ink_levels(ink: float, space: float, bar: float = 0.7) -> tuple[float, float]:
+def ink_levels(ink: float | Column, space: float | Column, bar: float = 0.7) -> tuple[float | Column, float | Column]:
     """Ink of bars and blocks that look as dark as the face: the bars leave spaces out."""
-    return round(ink * (1 - space) / bar, 3), round(ink / bar, 3)
+    rounded = F.round if isinstance(ink, Column) else round
+    return rounded(ink * (1 - space) / bar, 3), rounded(ink / bar, 3)
+
+
+def panel_chars(aspect: Column, width: int = 170, size: int = 11) -> Column:
+    """Characters of a row of the result panel."""
+    return F.floor(width / (size * aspect)).cast("long")

@@ -123,31 +123,3 @@ SELECT conv_id, turn, a || repeat(' ', s1) || n || repeat(' ', greatest(trunc(({
 def b_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = corpora.table(spark, sf_dir, "conversations")
     return turns.select("conv_id", "turn", B.footer(F.col("role"), F.col("conv_id").cast("string"), F.concat(F.lit("Turn "), F.col("turn").cast("string")), WIDTH).alias("footer"))
-
-
-HEADINGS = (("BOOK ONE: 1805", "Book One: 1805"), ("CHAPTER XII", "Chapter XII"), ("FIRST EPILOGUE: 1813 - 20", "First Epilogue: 1813 - 20"), ("chapter of odds", "Chapter Of Odds"))
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{h}', '{t}')" for h, t in HEADINGS) + ") AS t(heading, title)")
-def b_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(h,) for h, _ in HEADINGS], "heading string").select("heading", T.heading_title(F.col("heading")).alias("title"))
-
-
-CHARSET = (("été", "été"), ("“quoted” – …", "“quoted” – …"), ("a‐b−c ′″ ſ x", "a-b-c '\" s x"), ("日本 Ж", "?? ?"), ("plain", "plain"))
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k}::BIGINT, '" + out.replace("'", "''") + "')" for k, (_, out) in enumerate(CHARSET)) + ") AS t(book, text)")
-def p_charset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Literal lines in a book's charset: composed, respelled, folded."""
-    rows = spark.createDataFrame([(k, 0, t) for k, (t, _) in enumerate(CHARSET)], "book long, line_no long, text string")
-    return B.composed(rows).select("book", T.book_charset(F.col("text")).alias("text"))
-
-
-RAW = ["Title:  War and Peace ", "Author: Leo Tolstoy", "", "*** START OF THE BOOK ***", "one", "two", "*** END OF THE BOOK ***", "licence", "Title: another"]
-
-
-@query("SELECT * FROM (VALUES (0::BIGINT, 4::BIGINT, 'one', 'War and Peace'), (0, 5, 'two', 'War and Peace')) AS t(book, line_no, text, title)")
-def b_body(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A literal file's body between its marks, and its title."""
-    rows = spark.createDataFrame([(0, i, t) for i, t in enumerate(RAW)], "book long, line_no long, text string")
-    return B.body(rows).join(B.header_field(rows, "Title"), "book")

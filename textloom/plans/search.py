@@ -105,32 +105,33 @@ def j_goto(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH e AS (SELECT event_id, user_id, (epoch_us(ts) // 1000000)::BIGINT AS s FROM events),
-spans AS (SELECT event_id AS item_id, user_id, s AS first, s + 3600 * (1 + event_id % 30) AS past FROM e WHERE event_id % 3 = 0),
+spans AS (SELECT event_id AS item_id, user_id, s AS first, s + 3600 * (1 + event_id % 30) AS past FROM e),
 best AS (SELECT p.event_id, item_id, row_number() OVER (PARTITION BY p.event_id ORDER BY past - first, item_id) AS k FROM e p JOIN spans ON spans.user_id = p.user_id AND first <= s AND s < past)
 SELECT event_id, item_id FROM best WHERE k = 1
 """)
 def j_enclosing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event's smallest enclosing span: spans begin at every third event of a user."""
+    """Each event's smallest enclosing span: a span begins at every event of a user."""
     from textloom.operators import spatial
 
     events = corpora.table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
-    spans = events.where("event_id % 3 = 0").select(F.col("event_id").alias("item_id"), "user_id", F.col("at").alias("first"), (F.col("at") + 3600 * (1 + F.col("event_id") % 30)).alias("past"))
+    spans = events.select(F.col("event_id").alias("item_id"), "user_id", F.col("at").alias("first"), (F.col("at") + 3600 * (1 + F.col("event_id") % 30)).alias("past"))
     return spatial.enclosing(events, spans, "user_id", "at", "event_id", "item_id", width=24 * 3600)
 
 
 @query("""
 WITH l AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) - 1 AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
 marks AS (SELECT doc_id, line_no, coalesce(sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM l),
-points AS (SELECT doc_id, unnest(range(0, length(text)::BIGINT, 97)) AS place FROM documents)
+found AS (SELECT doc_id, string_split_regex(text, '\\bthe\\b') AS p FROM documents),
+points AS (SELECT doc_id, unnest(list_transform(range(1, len(p)), lambda i: list_sum(list_transform(p[1:i], lambda x: length(x))) + (i - 1) * 3))::BIGINT AS place FROM found)
 SELECT p.doc_id, place, line_no FROM points p ASOF JOIN marks m ON p.doc_id = m.doc_id AND p.place >= m.off
 """)
 def j_line_of_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The line of every 97th character, as of its start."""
+    """The line of every hit in the whole texts, as of its start."""
     docs = corpora.prose(spark, sf_dir).where("text <> ''")
     starts = docs.select(F.col("file_id").alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     marks = starts.select("doc_id", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).alias("place"), "line_no")
-    points = docs.select(F.col("file_id").alias("doc_id"), F.explode(F.sequence(F.lit(0).cast("long"), (F.length("text") - 1).cast("long"), F.lit(97).cast("long"))).alias("place"))
+    points = docs.where(F.col("text").contains(WORD)).select(F.col("file_id").alias("doc_id"), F.explode(S.hit_columns(F.col("text"), WORD)).alias("place")).withColumn("place", F.col("place").cast("long"))
     return long(L.as_of(points, marks, "doc_id", "place", "line_no"))
 
 
@@ -198,13 +199,3 @@ def a_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {CHURN} SELECT path, churn, round(ln(1 + churn) / greatest(max(ln(1 + churn)) OVER (), 1e-9), 6) AS tint FROM churn")
 def a_tint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.tint(churn(spark, sf_dir)).withColumn("tint", F.round("tint", 6))
-
-
-LOG = ["c1", "3\t4\ta.py", "-\t-\tb.bin", "", "c2", "1\t0\ta.py", "c3", "", "10\t2\td/c.rs"]
-
-
-@query("SELECT * FROM (VALUES ('a.py', 8::BIGINT), ('b.bin', 0), ('d/c.rs', 12), ('', 3)) AS t(path, churn)")
-def s_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A literal change log: lines changed by path; under the empty path, the number of commits."""
-    changed, commits = trees.numstat(spark.createDataFrame([(x,) for x in LOG], "line string"))
-    return changed.unionByName(commits.select(F.lit("").alias("path"), F.col("commits").alias("churn")))

@@ -42,26 +42,6 @@ def a_lines_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long(L.file_metrics(rows, files).join(deepest, "file_id", "left").fillna(0, ["deepest"]))
 
 
-#: Literal inputs of the normalisation rules, and what they become.
-RULES = (
-    ("tabs", "\ta\tbcde\tf", "    a   bcde    f"),
-    ("crlf", "a\r\nb\rc", "a\nb\nc"),
-    ("folds", "é\x01", "??"),
-    ("pair", "日本", "??"),
-    ("trail", "ab   ", "ab"),
-    ("cap", "x" * 5000, "x" * 4096),
-    ("strip then cap", "y" * 4095 + " " * 50, "y" * 4095),
-)
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {len(out)}::BIGINT, md5('" + out.replace("\n", "' || chr(10) || '") + "'))" for n, _, out in RULES) + ") AS t(rule, len, digest)")
-def p_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(n, i) for n, i, _ in RULES], "rule string, text string")
-    one = F.transform(T.line_array(T.newlines(F.col("text"))), lambda line: T.stored_line(T.control_fold(T.ascii_fold(T.tab_stops(line)))))
-    done = rows.select("rule", F.array_join(one, "\n").alias("text"))
-    return long(done.select("rule", F.length("text").alias("len"), F.md5("text").alias("digest")))
-
-
 @query("""
 SELECT doc_id AS file_id, octet_length(encode(coalesce(text, ''))) AS bytes, CASE WHEN octet_length(encode(coalesce(text, ''))) > 4194304 THEN 'large'
   WHEN contains(left(coalesce(text, ''), 8192), chr(0)) OR (length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(65533), ''))) / greatest(length(coalesce(text, '')), 1) > 0.01 THEN 'binary' ELSE 'ok' END AS status
@@ -76,19 +56,6 @@ def s_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long(trees.gated(both.withColumn("bytes", F.octet_length("content"))).select("file_id", "bytes", "status"))
 
 
-PATHS = (
-    ("a/x.rs", "", "rust", "rust"), ("b/Makefile", "", "text", "text-hash"), (".gitignore", "", "text", "text"), ("x.gitignore", "", "text", "text-hash"),
-    ("bin/run", "#!/bin/sh", "shell", "shell"), ("bin/tool", "#!/usr/bin/env python3", "python", "python"), ("m.MD", "", "text", "text-xml"),
-    ("s.tar.scss", "", "text", "text-css"), ("q.proto", "", "text", "text-slash"), ("w.GLSL", "", "clike", "clike"), ("note", "", "text", "text"), ("v.pyi", "#!/bin/sh", "python", "python"),
-)
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{lang}', '{v}')" for p, _, lang, v in PATHS) + ") AS t(path, lang, variant)")
-def s_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(p, h) for p, h, _, _ in PATHS], "path string, head string")
-    return trees.with_language(rows).select("path", "lang", "variant")
-
-
 @query("""
 SELECT path FROM (SELECT lang || '/' || source || '/' || doc_id AS path FROM documents)
 WHERE NOT regexp_matches(path, '^fr/') AND NOT regexp_matches(path, '/[^/]*7$')
@@ -216,16 +183,6 @@ def p_short_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("file_id", T.short_path(F.col("path"), 9).alias("shown"), (F.length("path") > 9).cast("long").alias("cut"))
 
 
-@query("""
-WITH c AS (SELECT * FROM (VALUES ('#ff8000', '3:2'), ('102030', '1.5'), ('000000', '16:9')) AS t(hex, aspect))
-SELECT hex, round(('0x' || substr(ltrim(hex, '#'), 1, 2))::BIGINT / 255.0, 6)::DOUBLE AS red, round(('0x' || substr(ltrim(hex, '#'), 5, 2))::BIGINT / 255.0, 6)::DOUBLE AS blue,
-  round(CASE WHEN contains(aspect, ':') THEN split_part(aspect, ':', 1)::DOUBLE / split_part(aspect, ':', 2)::DOUBLE ELSE aspect::DOUBLE END, 6) AS aspect FROM c
-""")
-def p_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("#ff8000", "3:2"), ("102030", "1.5"), ("000000", "16:9")], "hex string, aspect string")
-    return rows.select("hex", F.round(T.channel(F.col("hex"), 0), 6).alias("red"), F.round(T.channel(F.col("hex"), 2), 6).alias("blue"), F.round(T.aspect(F.col("aspect")), 6).alias("aspect"))
-
-
 @query("""
 SELECT event_id, round_even(least(greatest((value / 1000 + 0.5) / 2, 0), 1) * 65535, 0)::BIGINT AS q, format('{:,}', (event_id * 7919)::BIGINT) AS shown FROM events
 """)

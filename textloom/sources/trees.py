@@ -56,11 +56,48 @@ def walked(path: str) -> list[str]:
     return found
 
 
-def discover(path: str, git: bool = True, exclude: Sequence[str] = ()) -> list[str]:
-    """Names to index below path, sorted: no skipped parts, links or excluded patterns."""
-    names = tracked(path) if git and toplevel(path) else walked(path)
-    kept = (n for n in names if not set(n.split("/")) & set(SKIPPED) and os.path.isfile(os.path.join(path, n)) and not os.path.islink(os.path.join(path, n)))
-    return sorted({n for n in kept if not any(fnmatch.fnmatch(n, p) or fnmatch.fnmatch(os.path.basename(n), p) for p in exclude)})
+def survey(path: str, git: bool = True, exclude: Sequence[str] = (), submodules: bool = False) -> tuple[list[str], dict[str, int]]:
+    """Names to index below path, sorted; and how many were left out, by reason: skipped parts, links, submodules (unless their
+    own names are wanted), excluded patterns, and what is no file."""
+    kept: set[str] = set()
+    left: dict[str, int] = {}
+    for name in dict.fromkeys(tracked(path) if git and toplevel(path) else walked(path)):
+        full = os.path.join(path, name)
+        if set(name.split("/")) & set(SKIPPED):
+            reason = "skipped"
+        elif os.path.islink(full):
+            reason = "link"
+        elif os.path.isdir(full):
+            if submodules:
+                inner, more = survey(full, git, exclude, submodules)
+                kept.update(f"{name}/{n}" for n in inner)
+                for k, n in more.items():
+                    left[k] = left.get(k, 0) + n
+                continue
+            reason = "submodule"
+        elif any(fnmatch.fnmatch(name, p) or fnmatch.fnmatch(os.path.basename(name), p) for p in exclude):
+            reason = "excluded"
+        elif not os.path.isfile(full):
+            reason = "missing"
+        else:
+            kept.add(name)
+            continue
+        left[reason] = left.get(reason, 0) + 1
+    return sorted(kept), left
+
+
+def discover(path: str, git: bool = True, exclude: Sequence[str] = (), submodules: bool = False) -> list[str]:
+    """Names to index below path, sorted."""
+    return survey(path, git, exclude, submodules)[0]
+
+
+def rooted(paths: Sequence[str]) -> tuple[str, list[str]]:
+    """The folder above several roots, and each root below it, once and in order; of one root, itself."""
+    whole = list(dict.fromkeys(os.path.abspath(p) for p in paths))
+    if len(whole) == 1:
+        return whole[0], [""]
+    parent = os.path.commonpath(whole)
+    return parent, [os.path.relpath(p, parent) if p != parent else "" for p in whole]
 
 
 def excluded(path: Column, patterns: Sequence[str]) -> Column:
@@ -142,6 +179,11 @@ def numstat(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     return changed.groupBy("path").agg(F.sum("changed").alias("churn")), rows.where("n <> 3").agg(F.count("*").alias("commits"))
 
 
+def churn_of(files: DataFrame, log: DataFrame) -> DataFrame:
+    """file_id and churn of the files (file_id, path) that the log has changes of; other paths of the log are dropped."""
+    return files.select("file_id", "path").join(numstat(log)[0], "path").select("file_id", "churn")
+
+
 def tint(churn: DataFrame, key: str = "path", value: str = "churn") -> DataFrame:
     """log(1 + churn) as a share of the largest."""
     most = churn.agg(F.greatest(F.max(F.log1p(value)), F.lit(1e-9)).alias("most"))
