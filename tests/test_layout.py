@@ -1,3 +1,4 @@
+import random
 import math
 
 import numpy as np
@@ -65,3 +66,54 @@ def test_heights_of_equal_files(spark):
 def test_detail(spark):
     rows = spark.createDataFrame([(0.5,), (1.0,), (3.0,), (6.0,)], "p double").select(view.detail(F.col("p")).alias("d")).collect()
     assert [r.d for r in rows] == [0, 1, 2, 3]
+
+
+def test_flow_columns_against_all_columns(spark):
+    """Only columns around a root are tried; none of the others would be better."""
+    w, h = Y.world()
+    pad = 4.0
+    for aspect in (Y.PAGE_ASPECT, 0.2, 3.0):
+        counts = [*range(1, 60), 97, 100, 101, 360, 999, 1000, 5000]
+        got = {}
+        for n in counts:
+            r = Y.flow_columns(spark.createDataFrame([(n,)], "n long"), aspect).first()
+            got[n] = None if r is None else (r.cols, r.rows)
+        for n in counts:
+            best = None
+            for cols in range(1, n + 1):
+                rows = -(-n // cols)
+                cw, ch = (w - 2 * pad) / cols, (h - 2 * pad) / rows
+                if ch > Y.PAGE_GAP * cw:
+                    ratio = (cw - Y.PAGE_GAP * cw) / (ch - Y.PAGE_GAP * cw) / aspect
+                    best = min(best or (2,), (ratio < 1, abs(math.log(ratio)), cols, rows))
+            assert got[n] == (best and best[2:]), (n, aspect)
+
+
+def test_part_bands_against_all_columns(spark):
+    w, h = Y.world()
+    r = random.Random(3)
+    for trial in range(25):
+        pages = [r.randint(1, r.choice((3, 40, 400))) for _ in range(r.randint(1, 30))]
+        aspect = r.choice((Y.PAGE_ASPECT, 0.3, 2.0))
+        got = Y.part_bands(spark.createDataFrame(list(enumerate(pages)), "part_no long, pages long"), aspect).first().cols
+        best = min((((w - 8) / c / ((h - 8) / (rows := sum(-(-p // c) for p in pages))) / aspect < 1), abs(math.log((w - 8) / c / ((h - 8) / rows) / aspect)), c) for c in range(1, max(pages) + 1))
+        assert got == best[2], (pages, aspect)
+
+
+def test_ranked_and_runs(spark):
+    from textloom.operators import lines, view
+
+    r = random.Random(8)
+    numbers = [(r.randrange(10**6), i) for i in range(3000)]
+    got = lines.ranked(spark.createDataFrame(numbers, "a long, b long").repartition(9), ["a", "b"], "place").collect()
+    assert [(x.a, x.b) for x in sorted(got, key=lambda x: x.place)] == sorted(numbers) and sorted(x.place for x in got) == list(range(3000))
+    shown = [r.random() < 0.8 for _ in range(500)] + [True] * 60
+    want, at = [], 0
+    for k, s in enumerate([*shown, False]):
+        if not s:
+            if k > at:
+                want.append((at, k - 1))
+            at = k + 1
+    files = spark.createDataFrame(list(enumerate(shown)), "file_no long, seen boolean")
+    for width in (1, 2, 7, 4096):
+        assert sorted(map(tuple, view.runs(files, width=width).collect())) == want

@@ -45,8 +45,7 @@ def layout_of(files: DataFrame, rows: DataFrame) -> DataFrame:
     """Box, columns, rows and pitch of each file (file_id, path, weight, lines) in the treemap; rows: its lines."""
     boxes = layout.treemap(files.select("path", F.greatest("weight", F.lit(1.0)).alias("weight"), "lines")).where("NOT is_dir").select("path", "x0", "y0", "x1", "y1")
     hist = layout.length_histogram(rows)
-    p90 = rows.groupBy("file_id").agg(F.percentile(F.col("len") * layout.CHAR, 0.9).alias("p90"))
-    placed = files.select("file_id", "path").join(boxes, "path").join(hist, "file_id", "left").join(p90, "file_id", "left")
+    placed = files.select("file_id", "path").join(boxes, "path").join(hist, "file_id", "left")
     none = F.array().cast("array<struct<len:bigint,count:bigint>>")
     sized = placed.withColumns({"w": F.col("x1") - F.col("x0"), "h": F.col("y1") - F.col("y0"), "n": F.coalesce("n", F.lit(0)), "hist": F.coalesce("hist", none), "target": layout.target_width(F.coalesce("p90", F.lit(0.0)))})
     return layout.settled(sized).drop("hist", "p90", "target", "w", "h")

@@ -6,6 +6,8 @@ round per depth of the tree.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -104,9 +106,10 @@ def settled(files: DataFrame, rounds: int = 4) -> DataFrame:
 
 
 def length_histogram(lines: DataFrame) -> DataFrame:
-    """hist of every file: its line lengths with their counts."""
+    """n, p90 and hist of every file: its lines, the 90th percentile of their widths, and their lengths with counts."""
     counts = lines.groupBy("file_id", "len").agg(F.count("*").alias("count"))
-    return counts.groupBy("file_id").agg(F.sum("count").alias("n"), F.collect_list(F.struct(F.col("len").cast("long").alias("len"), "count")).alias("hist"))
+    p90 = F.percentile(F.col("len") * CHAR, 0.9, F.col("count"))
+    return counts.groupBy("file_id").agg(F.sum("count").alias("n"), p90.alias("p90"), F.collect_list(F.struct(F.col("len").cast("long").alias("len"), "count")).alias("hist"))
 
 
 # -- rows of a file ---------------------------------------------------------------------------------------------------
@@ -151,11 +154,18 @@ def item_boxes(items: DataFrame) -> DataFrame:
 
 
 def flow_columns(count: DataFrame, page_aspect: float = PAGE_ASPECT) -> DataFrame:
-    """cols, rows, cw, ch of one grid for n pages (count: one row, n): cells nearest to the page's shape, rather wide."""
+    """cols, rows, cw, ch of one grid for n pages (count: one row, n): cells nearest to the page's shape, rather wide.
+
+    The shape of cells only falls with the number of columns. If rows were not rounded up it would be the page's at a root of
+    n; rounding moves it by less than the columns that a row more or less is worth, so only those around the root are tried.
+    """
     w, h = world()
     pad = min(min(max(0.015 * min(w, h), 0.05), 4.0), 0.25 * min(w, h))
     n = F.col("n")
-    grid = count.where("n > 0").select("n", F.explode(F.sequence(F.lit(1).cast("long"), n)).alias("cols"))
+    share = (w - 2 * pad) * (1 - PAGE_GAP + page_aspect * PAGE_GAP) / (page_aspect * (h - 2 * pad))
+    root, reach = F.sqrt(n * share), 2 * math.ceil(share) + 4
+    tried = F.sequence(F.greatest(F.floor(root) - reach, F.lit(1)), F.least(F.ceil(root) + reach, n))
+    grid = count.where("n > 0").select("n", F.explode(tried).alias("cols"))
     grid = grid.withColumn("rows", up(n, F.col("cols")).cast("long")).withColumns({"cw": F.lit(w - 2 * pad) / F.col("cols"), "ch": F.lit(h - 2 * pad) / F.col("rows")})
     gap = PAGE_GAP * F.col("cw")
     ratio = (F.col("cw") - gap) / (F.col("ch") - gap) / page_aspect
@@ -174,11 +184,19 @@ def flow(pages: DataFrame, page_aspect: float = PAGE_ASPECT) -> DataFrame:
 
 
 def part_bands(parts: DataFrame, page_aspect: float = PAGE_ASPECT) -> DataFrame:
-    """Bands of whole page rows for parts (part_no, pages): cols, and each part's rows, y0, y1. One row for each part."""
+    """Bands of whole page rows for parts (part_no, pages): cols, and each part's rows, y0, y1. One row for each part.
+
+    All rows are between pages / columns and that and one more for each part, which bounds the columns whose cells can be the
+    nearest to the page's shape; their number follows the parts, not the pages.
+    """
     w, h = world()
     pad = min(min(max(0.015 * min(w, h), 0.05), 4.0), 0.25 * min(w, h))
-    most = parts.agg(F.max("pages").alias("most"))
-    grid = parts.crossJoin(F.broadcast(most)).withColumn("cols", F.explode(F.sequence(F.lit(1).cast("long"), F.col("most"))))
+    share = (w - 2 * pad) / (page_aspect * (h - 2 * pad))
+    bounds = parts.agg(F.max("pages").alias("most"), F.sum("pages").alias("all"), F.count("*").alias("parts"))
+    low = F.greatest(F.floor(F.sqrt(F.col("all") * share)) - 2, F.lit(1))
+    high = F.least(F.ceil((F.col("parts") * share + F.sqrt(F.pow(F.col("parts") * share, F.lit(2)) + 4 * F.col("all") * share)) / 2) + 2, F.col("most"))
+    bounds = bounds.select(F.least(low, F.col("most")).cast("long").alias("low"), high.cast("long").alias("high"))  # one row
+    grid = parts.crossJoin(F.broadcast(bounds)).withColumn("cols", F.explode(F.sequence("low", F.greatest("low", "high"))))
     grid = grid.groupBy("cols").agg(F.sum(up(F.col("pages"), F.col("cols"))).alias("all_rows"))
     ratio = (F.lit(w - 2 * pad) / F.col("cols")) / (F.lit(h - 2 * pad) / F.col("all_rows")) / page_aspect
     best = grid.select(F.struct((ratio < 1).alias("narrow"), F.abs(F.ln(ratio)).alias("off"), F.col("cols").alias("cols")).alias("key"), "all_rows")

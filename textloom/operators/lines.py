@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.session import cut
 
 
 def code_text(text: Column) -> Column:
@@ -56,6 +57,20 @@ def running(df: DataFrame, order: str, value: str, name: str, width: int = 4096,
     return rows.join(starts, [*by, "__run"]).withColumn(name, F.col("__before") + F.col("__inside")).drop("__run", "__inside", "__before")
 
 
+def ranked(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
+    """Rows with their place, from 0, in an order over all of them.
+
+    Rows are dealt to ranges of the order, sorted there and stored, then numbered by range: only the ranges' sizes share a task.
+    """
+    columns = [F.col(c) if isinstance(c, str) else c for c in order]
+    keyed = df.select("*", *(c.alias(f"__o{k}") for k, c in enumerate(columns)))
+    keys = [f"__o{k}" for k in range(len(columns))]
+    sorted_ = cut(keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__k")).drop(*keys))
+    sizes = sorted_.groupBy("__p").agg(F.count("*").alias("n"), F.min("__k").alias("__first"))
+    starts = sizes.select("__p", "__first", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return sorted_.join(F.broadcast(starts), "__p").withColumn(name, F.col("__before") + F.col("__k") - F.col("__first")).drop("__p", "__k", "__first", "__before")
+
+
 def line_offsets(lines_: DataFrame) -> DataFrame:
     """off of every line: characters before it in its file and in all files before, by file_id."""
     inside = Window.partitionBy("file_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)

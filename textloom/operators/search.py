@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import tokens
+from textloom.operators.lines import running
 
 _EDGE = "[A-Za-z0-9_]"
 
@@ -60,10 +61,8 @@ def per_file(hits_: DataFrame) -> DataFrame:
 
 def ranked(hits_: DataFrame) -> DataFrame:
     """Hits with their place in the report: by file, line and column."""
-    counts = per_file(hits_)
     inside = Window.partitionBy("file_id").orderBy("line_no", "col")
-    before = Window.orderBy("file_id").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("file_id", F.coalesce(F.sum("hits").over(before), F.lit(0)).alias("base"))
+    bases = running(per_file(hits_), "file_id", "hits", "base").select("file_id", "base")
     return hits_.withColumn("k", F.row_number().over(inside) - 1).join(bases, "file_id").select("file_id", "line_no", "col", (F.col("base") + F.col("k")).alias("hit"))
 
 

@@ -5,6 +5,8 @@ Each is an equi-join on buckets or grid cells with the exact predicate left over
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,11 @@ def cells(x0: Column, y0: Column, x1: Column, y1: Column, width: float, height:
     return span(x0, x1, width, across), span(y0, y1, height, down)
 
 
+def resolution(rects: DataFrame) -> int:
+    """Cells across a grid that leaves a few rectangles to a cell, within bounds: a rectangle that covers much is in many."""
+    return max(64, min(4096, math.isqrt(rects.count())))
+
+
 def grid(rects: DataFrame, width: float, height: float, across: int = 64) -> DataFrame:
     """rects (x0, y0, x1, y1, ...) once for each grid cell they cover, with the cell's cx, cy."""
     down = max(1, round(across * height / width))
@@ -36,8 +43,9 @@ def grid(rects: DataFrame, width: float, height: float, across: int = 64) -> Dat
     return rects.withColumn("cx", F.explode(xs)).withColumn("cy", F.explode(ys))
 
 
-def at_points(points: DataFrame, rects: DataFrame, width: float, height: float, across: int = 64) -> DataFrame:
-    """Points (x, y, ...) with each rectangle around them, half open; through the grid."""
+def at_points(points: DataFrame, rects: DataFrame, width: float, height: float, across: int | None = None) -> DataFrame:
+    """Points (x, y, ...) with each rectangle around them, half open; through a grid as fine as the rectangles are many."""
+    across = across or resolution(rects)
     down = max(1, round(across * height / width))
     placed = points.where((F.col("x") >= 0) & (F.col("x") < width) & (F.col("y") >= 0) & (F.col("y") < height))
     placed = placed.withColumn("cx", F.floor(F.col("x") / width * across)).withColumn("cy", F.floor(F.col("y") / height * down))
@@ -45,8 +53,9 @@ def at_points(points: DataFrame, rects: DataFrame, width: float, height: float,
     return met.where("x0 <= x AND x < x1 AND y0 <= y AND y < y1").drop("cx", "cy")
 
 
-def overlaps(rects: DataFrame, group: str, name: str, width: float, height: float, slack: float = 1e-6, across: int = 64) -> DataFrame:
+def overlaps(rects: DataFrame, group: str, name: str, width: float, height: float, slack: float = 1e-6, across: int | None = None) -> DataFrame:
     """Pairs (a, b) of rectangles of one group that overlap by more than slack: only those that share a cell are compared."""
+    across = across or resolution(rects)
     one = grid(rects, width, height, across)
     two = one.select(F.col(group), "cx", "cy", *(F.col(c).alias(f"b_{c}") for c in (name, "x0", "y0", "x1", "y1")))
     met = one.join(two, [group, "cx", "cy"]).where(F.col(name) < F.col(f"b_{name}"))

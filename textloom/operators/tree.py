@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.lines import ranked
+
 
 def parent_path(path: Column) -> Column:
     """The directory of a path; the root is the empty path."""
@@ -33,8 +35,8 @@ def directories(files: DataFrame, values: Sequence[str] = ()) -> DataFrame:
 
 
 def pre_order(paths: DataFrame) -> DataFrame:
-    """path with its number in pre-order. Runs over directories or the distinct paths of one view, not over rows of text."""
-    return paths.select("path", (F.row_number().over(Window.orderBy(tree_key(F.col("path")))) - 1).cast("long").alias("file_no"))
+    """path with its number in pre-order."""
+    return ranked(paths.select("path"), [tree_key(F.col("path"))], "file_no").select("path", F.col("file_no").cast("long").alias("file_no"))
 
 
 def hues(dirs: DataFrame, count: int = 12) -> DataFrame:

@@ -64,14 +64,17 @@ def flags(hovered: Column, hit: Column, current: Column, dimmed: Column) -> Colu
 def runs(files: DataFrame, seen: str = "seen", width: int = 4096) -> DataFrame:
     """Runs (first, last) of consecutive file numbers that are seen; files: file_no.
 
-    Gaps and islands in two levels: within runs of ``width`` numbers, then islands that touch a border join.
+    Gaps and islands in two levels: within parts of ``width`` numbers, then those islands that touch a border of their part
+    join, part by part: one row for each part that has such an island.
     """
     shown = files.where(F.col(seen)).select("file_no", F.floor(F.col("file_no") / width).alias("part"))
     order = Window.partitionBy("part").orderBy("file_no")
     islands = shown.withColumn("gap", F.col("file_no") - F.row_number().over(order)).groupBy("part", "gap").agg(F.min("file_no").alias("first"), F.max("file_no").alias("last"))
+    edge = (F.col("first") == F.col("part") * width) | (F.col("last") == (F.col("part") + 1) * width - 1)
     every = Window.orderBy("first")
-    starts = islands.withColumn("starts", F.coalesce(F.lag("last").over(every) + 1 < F.col("first"), F.lit(True)).cast("long"))
-    return starts.withColumn("run", F.sum("starts").over(every)).groupBy("run").agg(F.min("first").alias("first"), F.max("last").alias("last")).select("first", "last")
+    starts = islands.where(edge).withColumn("starts", F.coalesce(F.lag("last").over(every) + 1 < F.col("first"), F.lit(True)).cast("long"))
+    joined = starts.withColumn("run", F.sum("starts").over(every)).groupBy("run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return islands.where(~edge).select("first", "last").unionByName(joined.select("first", "last"))
 
 
 def sampled(row: Column, ppl: Column) -> Column:

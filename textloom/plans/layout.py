@@ -31,12 +31,12 @@ fit AS (SELECT *, {H} / (rows + 2) AS pitch, {W} / (k + {Y.GAP} * (k - 1)) AS co
 """
 
 
-def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file_id, w, h, n, target, hist of all documents, in boxes of one size."""
-    rows = doc_lines(spark, sf_dir)
-    hist = Y.length_histogram(rows)
-    p90 = rows.groupBy("file_id").agg(F.percentile(F.col("len") * Y.CHAR, 0.9).alias("p90"))
-    files = corpora.prose(spark, sf_dir).select("file_id").join(hist, "file_id", "left").join(p90, "file_id", "left")
+def boxes(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """file_id, w, h, n, target, hist of all documents, or of those in only (file_id), in boxes of one size."""
+    rows, files = doc_lines(spark, sf_dir), corpora.prose(spark, sf_dir).select("file_id")
+    if only is not None:
+        rows, files = rows.join(only, "file_id", "left_semi"), files.join(only, "file_id", "left_semi")
+    files = files.join(Y.length_histogram(rows), "file_id", "left")
     none = F.array().cast("array<struct<len:bigint,count:bigint>>")
     return files.select("file_id", F.lit(W).alias("w"), F.lit(H).alias("h"), F.coalesce("n", F.lit(0)).alias("n"), Y.target_width(F.coalesce("p90", F.lit(0.0))).alias("target"), F.coalesce("hist", none).alias("hist"))
 

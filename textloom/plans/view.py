@@ -33,8 +33,10 @@ def scene(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SCENE} SELECT file_id, round(pitch * {ZOOM}, 6) AS ppl, ((pitch * {ZOOM} >= 1)::INT + (pitch * {ZOOM} >= 3)::INT + (pitch * {ZOOM} >= 6)::INT)::BIGINT AS lod FROM scene WHERE {SEEN}")
 def v_visible_lod(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in view with their pixels a line and level of detail; only their lines are laid out."""
+    seen = flow_boxes(spark, sf_dir).where(view.visible(*VIEW)).select("file_id")
     ppl = view.pixels_per_line(F.col("pitch"), ZOOM)
-    return scene(spark, sf_dir).where(view.visible(*VIEW)).select("file_id", F.round(ppl, 6).alias("ppl"), view.detail(ppl).cast("long").alias("lod"))
+    return Y.settled(boxes(spark, sf_dir, seen)).select("file_id", F.round(ppl, 6).alias("ppl"), view.detail(ppl).cast("long").alias("lod"))
 
 
 def _corner(x: str, y: str) -> str:
@@ -203,11 +205,12 @@ WITH f AS (SELECT event_id, value FROM events WHERE event_id >= 5) SELECT round(
 """)
 def a_frame_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean, 99th percentile and maximum after five warm-up rows."""
-    frames = corpora.table(spark, sf_dir, "events").where("event_id >= 5")
-    return frames.agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", 0.99), 6).alias("p99"), F.round(F.max("value"), 6).alias("most"))
+    frames = corpora.table(spark, sf_dir, "events").where("event_id >= 5").groupBy("value").agg(F.count("*").alias("n"))
+    return frames.agg(F.round(F.sum(F.col("value") * F.col("n")) / F.sum("n"), 6).alias("mean"), F.round(F.percentile("value", 0.99, F.col("n")), 6).alias("p99"), F.round(F.max("value"), 6).alias("most"))
 
 
 @query(f"WITH {SETTLED} SELECT round(min(pitch), 6) AS least, round(quantile_cont(pitch, 0.5), 6) AS median, round(max(pitch), 6) AS most, round(avg(k), 6) AS columns, count(*) FILTER (WHERE k > 4) AS slivers FROM settled")
 def a_layout_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = Y.settled(boxes(spark, sf_dir))
-    return done.agg(F.round(F.min("pitch"), 6).alias("least"), F.round(F.percentile("pitch", 0.5), 6).alias("median"), F.round(F.max("pitch"), 6).alias("most"), F.round(F.avg("k"), 6).alias("columns"), F.count_if(F.col("k") > 4).alias("slivers"))
+    done = Y.settled(boxes(spark, sf_dir)).groupBy("pitch", "k").agg(F.count("*").alias("n"))
+    slivers = F.sum(F.when(F.col("k") > 4, F.col("n")).otherwise(0))
+    return done.agg(F.round(F.min("pitch"), 6).alias("least"), F.round(F.percentile("pitch", 0.5, F.col("n")), 6).alias("median"), F.round(F.max("pitch"), 6).alias("most"), F.round(F.sum(F.col("k") * F.col("n")) / F.sum("n"), 6).alias("columns"), slivers.alias("slivers"))
