@@ -32,3 +32,15 @@ def test_deltas_round_trip(spark):
 def test_coarse_scale(spark):
     rows = spark.createDataFrame([(0, [0.0, 100.0])], "r int, xs array<double>")
     assert X.delta_scale(rows).first().scale == 512
+
+
+def test_tables_strings_and_scheme(spark, tmp_path):
+    files = spark.createDataFrame([(1, "b/é", 2.5, "x"), (0, "a", 1.5, "y"), (2, "日", 0.5, "z")], "file_id long, path string, weight double, other string")
+    got = X.tables({"file": files}, {"file": ["file_id"]}, {"file_path": "strings", "file_weight": "float32"}) | X.scheme({"items": ["#ff8000", "000102"]})
+    path = f"file://{tmp_path}/viewer.bin.gz"
+    X.write_bundle(spark, path, got)
+    back = X.read_bundle(spark, path)
+    assert list(back) == ["file_path", "file_path_off", "file_weight", "scheme_items"]
+    text, off = back["file_path"].tobytes(), back["file_path_off"].tolist()
+    assert [text[a:b].decode("cp1252") for a, b in zip(off, off[1:])] == ["a", "b/é", "?"] and back["file_weight"].tolist() == [1.5, 2.5, 0.5]
+    assert back["scheme_items"].tolist() == [[255, 128, 0], [0, 1, 2]]

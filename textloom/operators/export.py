@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import struct
 from collections.abc import Sequence
 
@@ -107,29 +108,49 @@ def unbundle(data: bytes) -> dict[str, np.ndarray]:
 
 
 def tables(frames: dict[str, DataFrame], orders: dict[str, Sequence[str]], types: dict[str, str]) -> dict[str, np.ndarray]:
-    """Columns of small tables as named arrays (table_column), in the given order: the viewer's file is one process's food."""
-    out = {}
+    """Columns of small tables as named arrays (table_column), in the given order: the viewer's file is one process's food.
+
+    Only the columns that types names are read. A column of type "strings" becomes two arrays, see ``strings``.
+    """
+    out: dict[str, np.ndarray] = {}
     for name, frame in frames.items():
-        rows = frame.orderBy(*orders[name]).toArrow()
-        for c in rows.column_names:
-            if f"{name}_{c}" in types:
-                out[f"{name}_{c}"] = rows[c].to_numpy().astype(types[f"{name}_{c}"])
+        wanted = [c for c in frame.columns if f"{name}_{c}" in types]
+        rows = frame.orderBy(*orders[name]).select(*wanted).toArrow()
+        for c in wanted:
+            kind = types[f"{name}_{c}"]
+            if kind == "strings":
+                out[f"{name}_{c}"], out[f"{name}_{c}_off"] = strings(rows[c].to_pylist())
+            else:
+                out[f"{name}_{c}"] = rows[c].to_numpy().astype(kind)
     return out
 
 
+def strings(values: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Strings as one run of bytes in the charset of books, and where each begins, with the end; what it lacks is a question mark."""
+    coded = [(v or "").encode("cp1252", "replace") for v in values]
+    return np.frombuffer(b"".join(coded), np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in coded], dtype=np.int64)]).astype(np.uint32)
+
+
+def scheme(colours: dict[str, Sequence[str]]) -> dict[str, np.ndarray]:
+    """Colours (rrggbb) by name, as arrays scheme_name of three bytes each."""
+    return {f"scheme_{name}": np.array([list(bytes.fromhex(c.lstrip("#"))) for c in values], np.uint8).reshape(-1, 3) for name, values in colours.items()}
+
+
 def write_bundle(spark, path: str, arrays: dict[str, np.ndarray]) -> None:
-    """Writes a flat file through Spark's file systems, so the path may be in any store."""
+    """Writes a flat file through Spark's file systems, so the path may be in any store; packed if the path ends in .gz."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
     try:
-        stream.write(bytearray(bundle(arrays)))
+        data = bundle(arrays)
+        stream.write(bytearray(gzip.compress(data, 9, mtime=0) if path.endswith(".gz") else data))
     finally:
         stream.close()
 
 
 def read_bundle(spark, path: str) -> dict[str, np.ndarray]:
-    return unbundle(bytes(spark.read.format("binaryFile").load(path).select("content").first()[0]))
+    data = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+    return unbundle(gzip.decompress(data) if path.endswith(".gz") else data)
 
 
 def run_starts(df: DataFrame, by: Sequence[str], order: str, value: str) -> DataFrame:
