@@ -128,6 +128,11 @@ def repaired(files: DataFrame, lines: DataFrame, adv: Mapping[str, float], hang:
     return files
 
 
+def col_offset(row: Column, width: Column, col: Column) -> Column:
+    """x of a place in a row (char_x, row_width): where its character begins; behind the last one, the row's width."""
+    return F.coalesce(F.get(row, col.cast("int")), width)
+
+
 def letter_width(page_lines: int | Column, page_aspect: float | Column, margins: tuple[float, float, float] = (0.075, 0.09, 0.03)) -> float | Column:
     """Text width, in line heights, of a page of that shape with page_lines lines, two blank ones and a footer."""
     side, top, bottom = margins

@@ -61,6 +61,19 @@ def flags(hovered: Column, hit: Column, current: Column, dimmed: Column) -> Colu
     return out
 
 
+def per_file(files: DataFrame, hits: DataFrame, view: Sequence[float], zoom: float, hovered: int, current: int, searching: bool = True, tall: bool = True, tinted: bool = True) -> DataFrame:
+    """What a frame needs of each file (file_id, box, pitch, height, tint) in one select: seen, ppl, lod, flags, top and tint.
+
+    hits: file_id of the files with hits. Without a search no file is hit or dimmed; the toggles flatten files and drop tints.
+    """
+    found = files.join(hits.select("file_id").distinct().withColumn("__hit", F.lit(True)), "file_id", "left")
+    hit = F.coalesce("__hit", F.lit(False)) & F.lit(searching)
+    ppl = pixels_per_line(F.col("pitch"), zoom)
+    bits = flags(F.col("file_id") == hovered, hit, (F.col("file_id") == current) & F.lit(searching), ~hit & F.lit(searching))
+    top, tint = F.col("height") if tall else F.lit(0.0), F.col("tint") if tinted else F.lit(None).cast("double")
+    return found.select("file_id", visible(*view).alias("seen"), ppl.alias("ppl"), detail(ppl).alias("lod"), bits.alias("flags"), top.alias("top"), tint.alias("tint"))
+
+
 def runs(files: DataFrame, seen: str = "seen", width: int = 4096) -> DataFrame:
     """Runs (first, last) of consecutive file numbers that are seen; files: file_no.
 

@@ -90,6 +90,19 @@ SELECT file_id, pos, close FROM n WHERE d = 1 AND close IS NOT NULL
 """)
 def t_braces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matching pairs of angle brackets of each page: depths by a reflected running sum, then the next of the same level."""
+    return code.matched(angles(spark, sf_dir))
+
+
+def angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file_id, pos, opens of every angle bracket of the pages."""
     pages = corpora.markup(spark, sf_dir).select("file_id", F.posexplode(F.split("text", "")).alias("pos", "c")).where("c IN ('<', '>')")
-    marks = pages.select("file_id", F.col("pos").cast("long").alias("pos"), (F.col("c") == "<").alias("opens"))
-    return code.matched(marks)
+    return pages.select("file_id", F.col("pos").cast("long").alias("pos"), (F.col("c") == "<").alias("opens"))
+
+
+@query("""
+WITH c AS (SELECT page_id AS file_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS c FROM (SELECT page_id, string_split(html, '') AS l FROM pages))
+SELECT file_id, pos, sum(CASE WHEN c = '<' THEN 1 ELSE -1 END) OVER (PARTITION BY file_id ORDER BY pos)::BIGINT AS depth FROM c WHERE c IN ('<', '>')
+""")
+def w_bracket_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth behind every angle bracket of the pages."""
+    return code.depths(angles(spark, sf_dir)).select("file_id", "pos", "depth")

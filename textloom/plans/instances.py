@@ -15,7 +15,7 @@ from textloom.plans.search import HITS, WORD
 from textloom.plans.text import doc_lines, long
 from textloom.plans.view import SEEN, VIEW, ZOOM
 from textloom.session import cut
-from textloom.sources import corpora
+from textloom.sources import corpora, trees
 
 #: Colours of the item kinds from 1 to 5; other kinds have the last.
 COLOURS = ("4e79a7", "f28e2b", "59a14f", "b07aa1", "9c755f")
@@ -151,3 +151,25 @@ def a_render_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = corpora.table(spark, sf_dir, "events").select((e % 7).alias("device"), (F.col("value") - 10 * (e % 13)).alias("error"), (e % 4 > 0).alias("inked"), F.col("value").alias("ms"), (e * 37 % 101).alias("sparkle"))
     done = view.render_errors(frames, "device")
     return done.select("device", *(F.round(c, 6).alias(c) for c in ("error", "ink_error", "ms", "sparkle")), F.col("worst").cast("long").alias("worst"))
+
+
+_FRAME = """
+t AS (SELECT doc_id AS file_id, 10.0 + 90 * sqrt(w / max(w) OVER ()) AS height, ln(1 + w) / greatest(max(ln(1 + w)) OVER (), 1e-9) AS tint FROM (SELECT doc_id, (length(text) - length(replace(text, ' ', '')) + 1)::DOUBLE AS w FROM documents)),
+h AS (SELECT DISTINCT file_id FROM hits)
+"""
+
+
+@query(f"""
+WITH {SETTLED}, {FLOW}, {GEO}, {HITS}, {_FRAME}, modes AS (SELECT unnest([0, 1]) AS mode)
+SELECT mode::BIGINT AS mode, g.file_id, seen, round(ppl, 6) AS ppl, lod, (CASE WHEN g.file_id = 3 THEN 1 ELSE 0 END + CASE WHEN mode = 1 THEN 0 WHEN h.file_id IS NOT NULL THEN 2 ELSE 8 END + CASE WHEN mode = 0 AND g.file_id = 5 THEN 4 ELSE 0 END)::BIGINT AS flags,
+  round(CASE WHEN mode = 0 THEN height ELSE 0 END, 6)::DOUBLE AS top, round(CASE WHEN mode = 0 THEN tint END, 6)::DOUBLE AS tint FROM geo g JOIN t USING (file_id) LEFT JOIN h ON h.file_id = g.file_id, modes
+""")
+def v_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The per-file select of a frame, with a search, heights and tints, and with none of them."""
+    weights = corpora.prose(spark, sf_dir).select("file_id", (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1).alias("weight"), F.lit(2).alias("depth"))
+    tall = view.heights(weights).select("file_id", (F.col("base") + F.col("height")).alias("height"))
+    files = drawn(spark, sf_dir).drop("seen").join(tall, "file_id").join(trees.tint(weights, "file_id", "weight").select("file_id", "tint"), "file_id")
+    hits = S.hits(doc_lines(spark, sf_dir), WORD)
+    modes = [view.per_file(files, hits, VIEW, ZOOM, 3, 5, on, on, on).select(F.lit(k).alias("mode"), "*") for k, on in enumerate((True, False))]
+    rows = modes[0].unionByName(modes[1])
+    return long(rows.select("mode", "file_id", "seen", *(F.round(c, 6).alias(c) if c in ("ppl", "top", "tint") else F.col(c) for c in ("ppl", "lod", "flags", "top", "tint"))))

@@ -72,6 +72,22 @@ def w_justified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long(done.select("file_id", "line_no", "row_in_line", F.round("row_width", 6).alias("row_width"), F.round(F.try_element_at("char_x", F.lit(-1)), 6).alias("last_x")))
 
 
+@query(f"""
+WITH {LINES}, {MEASURED}, {FOLDED},
+r AS (SELECT *, substr(text, col0 + 1, row_len) AS t, coalesce(list_sum(w[col0 + 1:col0 + row_len]), 0) AS width, CASE WHEN row_in_line = 0 THEN {CAP} ELSE {CAP - HANG} END AS target FROM wrows),
+g AS (SELECT *, length(t) - length(replace(t, ' ', '')) AS gaps, target - width AS extra FROM r),
+j AS (SELECT *, NOT last_row AND gaps > 0 AND extra > 0 AND extra < {P.STRETCH} * target AS ok, row_len // 2 AS half FROM g)
+SELECT file_id, line_no, row_in_line, round(CASE WHEN half < row_len THEN coalesce(list_sum(w[col0 + 1:col0 + half]), 0) + CASE WHEN ok THEN extra / gaps ELSE 0 END * (length(left(t, half)) - length(replace(left(t, half), ' ', ''))) WHEN ok THEN target ELSE width END, 6)::DOUBLE AS middle, round(CASE WHEN ok THEN target ELSE width END, 6)::DOUBLE AS behind FROM j
+""")
+def f_col_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """x of the place in the middle of each justified row, and of the place behind its last character."""
+    rows = P.wrapped(doc_lines(spark, sf_dir).select("file_id", "line_no", "text", F.lit(CAP).alias("cap")), ADV, HANG)
+    rows = rows.withColumns({"row_text": F.expr("substring(text, col0 + 1, row_len)"), "stretch": ~F.col("last_row")})
+    done = P.justified(rows, F.when(F.col("row_in_line") == 0, CAP).otherwise(CAP - HANG), ADV)
+    place = lambda col: F.round(P.col_offset(F.col("char_x"), F.col("row_width"), col), 6)
+    return long(done.select("file_id", "line_no", "row_in_line", place(F.floor(F.col("row_len") / 2)).alias("middle"), place(F.col("row_len")).alias("behind")))
+
+
 def _settled(page: tuple[int, float] | None) -> str:
     """Columns of all documents with lines that wrap by width, in SQL: a step for each round."""
     n, target = ("n", f"least(greatest(coalesce(p90, 0), {24 * Y.CHAR!r}), {100 * Y.CHAR!r})") if page is None else (f"greatest(n, {page[0]})", f"{float(page[1])}")
