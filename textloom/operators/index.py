@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import book, code, layout, lines, tokens, tree
+from textloom.session import cut
 from textloom.sources import trees
 
 #: Tables of a stored index; all must be there for one to be complete.
@@ -44,8 +45,42 @@ def item_words(items: DataFrame, rows: DataFrame, files: DataFrame) -> DataFrame
 def layout_of(files: DataFrame, rows: DataFrame) -> DataFrame:
     """Box, columns, rows and pitch of each file (file_id, path, weight, lines) in the treemap; rows: its lines."""
     boxes = layout.treemap(files.select("path", F.greatest("weight", F.lit(1.0)).alias("weight"), "lines")).where("NOT is_dir").select("path", "x0", "y0", "x1", "y1")
-    hist = layout.length_histogram(rows)
-    placed = files.select("file_id", "path").join(boxes, "path").join(hist, "file_id", "left")
+    return _settled(files, boxes, rows)
+
+
+def layout_tables(indexed: dict[str, DataFrame], weights: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The layout of an index (files, lines, items) as tables: dirs, files, rows and item_rects.
+
+    weights: file_id, weight; files without one weigh as many as they have lines. Directories and files have boxes, hues by their
+    directory below the root, and files their columns; rows are the visual rows of all lines with their places, item_rects the
+    boxes of items, one for each column that an item spans.
+    """
+    files, lines_ = indexed["files"], indexed["lines"]
+    if weights is not None:
+        files = files.join(weights, "file_id", "left")
+    own = F.coalesce("weight", F.col("lines").cast("double")) if weights is not None else F.col("lines").cast("double")
+    weighed = cut(files.select("file_id", "path", F.greatest(own, F.lit(1.0)).alias("weight"), F.col("lines").cast("long").alias("lines")))
+    boxes = cut(layout.treemap(weighed.select("path", "weight", "lines")))
+    hues = tree.hues(tree.directories(weighed.select("path"))).withColumnRenamed("path", "dir")
+    dirs = boxes.where("is_dir").withColumnRenamed("path", "dir").join(hues, "dir").select(F.col("dir").alias("path"), "depth", "weight", "pad", "x0", "y0", "x1", "y1", "hue")
+    placed = _settled(weighed, boxes.where("NOT is_dir").select("path", "x0", "y0", "x1", "y1"), lines_)
+    placed = cut(placed.withColumn("dir", tree.parent_path(F.col("path"))).join(hues, "dir").drop("dir"))
+    shape = placed.select("file_id", "cap", "rows", "pitch", (F.col("colw") * (1 + layout.GAP)).alias("colw"), "x0", "y0")
+    visual = cut(layout.numbered(layout.wrapped(lines_.drop("text").join(shape, "file_id"))))
+    x, y = layout.row_position(F.col("x0"), F.col("y0"), F.col("row_in_file"), F.col("rows"), F.col("pitch"), F.col("colw"), F.col("row_in_line") == 0)
+    rows = visual.select("file_id", F.col("line_no").cast("long").alias("line_no"), "row_in_line", "row_in_file", "col0", "row_len", x.alias("x"), y.alias("y"))
+    begins = rows.where("row_in_line = 0").select("file_id", "line_no", F.col("row_in_file").alias("row"))
+    totals = rows.groupBy("file_id").agg(F.count("*").alias("total"))
+    items = indexed["items"].join(begins.select("file_id", F.col("line_no").alias("first"), F.col("row").alias("s")), ["file_id", "first"]).join(totals, "file_id")
+    items = items.join(begins.select("file_id", F.col("line_no").alias("past"), F.col("row").alias("after")), ["file_id", "past"], "left").withColumn("e", F.coalesce("after", "total"))
+    items = items.join(shape.drop("cap"), "file_id").withColumn("item_id", F.concat_ws(":", "file_id", "first", "past", "name"))
+    rects = layout.item_boxes(items).withColumn("file_id", F.split("item_id", ":")[0].cast("long"))
+    return {"dirs": dirs, "files": placed, "rows": rows, "item_rects": rects}
+
+
+def _settled(files: DataFrame, boxes: DataFrame, rows: DataFrame) -> DataFrame:
+    """files (file_id, path, ...) in their boxes (path, x0, y0, x1, y1), with their columns; rows: their lines."""
+    placed = files.select("file_id", "path").join(boxes, "path").join(layout.length_histogram(rows), "file_id", "left")
     none = F.array().cast("array<struct<len:bigint,count:bigint>>")
     sized = placed.withColumns({"w": F.col("x1") - F.col("x0"), "h": F.col("y1") - F.col("y0"), "n": F.coalesce("n", F.lit(0)), "hist": F.coalesce("hist", none), "target": layout.target_width(F.coalesce("p90", F.lit(0.0)))})
     return layout.settled(sized).drop("hist", "p90", "target", "w", "h")

@@ -137,3 +137,22 @@ def t_text_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
         sums = tiles.groupBy("kind").agg(F.count("*").alias("tokens"), F.sum(F.length("text")).alias("chars")).select(F.lit(name).alias("spec"), "kind", "tokens", "chars")
         out = sums if out is None else out.unionByName(sums)
     return long(out)
+
+
+@query("SELECT * FROM (VALUES ('boxes', 0::BIGINT), ('items', 0), ('lines', 0), ('rows', 0)) AS t(rule, violations)")
+def c_source_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken rules of the layout of all source files, weighed by token runs: files without a box, items and rows outside their
+    files' boxes, lines without a row."""
+    sources = files(spark, sf_dir).withColumn("path", F.concat_ws("/", "lang", (F.col("file_id") % 10).cast("string"), F.col("file_id").cast("string")))
+    rows = lines.lines(sources.select("file_id", "text"), "ascii")
+    heads = sources.select("file_id", "path", "lang").join(lines.file_metrics(rows, sources), "file_id")
+    weights = code.token_runs(sources).groupBy("file_id").agg(F.count("*").cast("double").alias("weight"))
+    done = index.layout_tables({"files": heads, "lines": rows, "items": code.items(sources)}, weights)
+    box = done["files"].select("file_id", "x0", "y0", "x1", "y1")
+    slack = 1e-6
+    rowed = done["rows"].join(box, "file_id").where(~((F.col("x") >= F.col("x0") - slack) & (F.col("x") <= F.col("x1") + slack) & (F.col("y") >= F.col("y0") - slack) & (F.col("y") <= F.col("y1") + slack)))
+    items = done["item_rects"].join(box, "file_id").where(~((F.col("bx0") >= F.col("x0") - slack) & (F.col("bx1") <= F.col("x1") + slack) & (F.col("by0") >= F.col("y0") - slack) & (F.col("by1") <= F.col("y1") + slack)))
+    unrowed = rows.select("file_id", F.col("line_no").cast("long").alias("line_no")).join(done["rows"].select("file_id", "line_no"), ["file_id", "line_no"], "left_anti")
+    broken = {"boxes": heads.join(box, "file_id", "left_anti"), "items": items, "lines": unrowed, "rows": rowed}
+    counts = [df.agg(F.count("*").alias("violations")).select(F.lit(n).alias("rule"), "violations") for n, df in broken.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
