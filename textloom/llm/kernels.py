@@ -17,6 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch at most: texts are of kilobytes, and batches of many megabytes stay with the JVM's and the workers'
+#: allocators. Kernels work on chunks anyway.
+BATCH_ROWS = 1000
 #: Bytes that are hashed at a time; powers of the base are kept for twice as many.
 HASH_BLOCK = 1 << 18
 
@@ -80,8 +83,13 @@ def trim() -> None:
 
 
 def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object, owner: str = "") -> DataFrame:
-    """df.mapInArrow(run, schema), with workers that keep nothing of it but what owner says. Names of columns may have dots."""
-    names = df.columns
+    """df.mapInArrow(run, schema), with workers that keep nothing of it but what owner says. Names of columns may have dots.
+
+    The session's batches are made smaller, to BATCH_ROWS rows, if they are larger: it is read when the plan runs.
+    """
+    names, key = df.columns, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
 
     def ran(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for other, drop in _KEPT.items():
