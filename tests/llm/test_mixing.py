@@ -65,7 +65,7 @@ def test_mixture(make, corpus):
 def test_permutations(spark):
     """Every pass over a source takes each of its blocks once."""
     for n in (1, 2, 3, 7, 64, 1000):
-        names = spark.createDataFrame([(5, n)], "sid int, n long").withColumn("keys", M.turn_keys(M.F.col("sid")))
+        names = spark.createDataFrame([(5, n)], "sid int, n long").withColumn("keys", M.turn_keys(M.F.col("sid"), M.F.col("n")))
         slots = names.withColumn("x", M.F.explode(M.F.sequence(M.F.lit(0).cast("long"), M.F.col("n") - 1))).withColumn("turn", M.F.explode(M.F.array(*map(M.F.lit, range(3)))))
         seen = M.permuted(slots).groupBy("turn").agg(M.F.sort_array(M.F.collect_list("x")).alias("x"), M.F.collect_list("x").alias("order")).collect()
         assert all(r.x == list(range(n)) for r in seen)

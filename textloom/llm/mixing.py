@@ -103,28 +103,37 @@ def shard_counts(names: DataFrame, block: int = BLOCK, shard: int = SHARD, seed:
 ROUNDS = 3
 
 
-def turn_keys(sid: Column, repeat: int = REPEAT, seed: str = SEED) -> Column:
-    """The pseudorandom integers of a source's permutations: three for each round of each pass."""
-    digests = [F.md5(F.concat_ws(":", F.lit(seed), sid.cast("string"), F.lit(f"{turn}:{r}"))) for turn in range(repeat) for r in range(ROUNDS)]
-    return F.transform(F.sequence(F.lit(0), F.lit(3 * len(digests) - 1)), lambda i: F.conv(F.substring(F.element_at(F.array(*digests), F.floor(i / 3).cast("int") + 1), i % 3 * 8 + 1, F.lit(8)), 16, 10).cast("long"))
+def _prime(of: Column) -> Column:
+    out = F.lit(PRIMES[-1])
+    for p in reversed(PRIMES[:-1]):
+        out = F.when(of % p != 0, F.lit(p)).otherwise(out)
+    return out.cast("long")
 
 
-def permuted(slots: DataFrame) -> DataFrame:
-    """slots (sid, n, turn, keys, x) with x in [0, n) put through the permutation of [0, n) of its source and pass."""
+def turn_keys(sid: Column, n: Column, repeat: int = REPEAT, seed: str = SEED) -> Column:
+    """What the permutations of a source of n blocks turn by: a struct for each round of each pass. Made once for a source, as
+    slots are many and the generated code of a stage is bounded."""
+    digests = F.array(*(F.md5(F.concat_ws(":", F.lit(seed), sid.cast("string"), F.lit(f"{turn}:{r}"))) for turn in range(repeat) for r in range(ROUNDS)))
+
+    def key(digest: Column, k: int) -> Column:
+        return F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long")
+
+    def turned(d: Column) -> Column:
+        part = n - key(d, 1) % (F.floor(n / 2) + 1)
+        return F.struct(key(d, 0).alias("a"), _prime(n).alias("whole"), part.alias("part"), _prime(part).alias("prime"), key(d, 2).alias("c"))
 
-    def prime(of: Column) -> Column:
-        out = F.lit(PRIMES[-1])
-        for p in reversed(PRIMES[:-1]):
-            out = F.when(of % p != 0, F.lit(p)).otherwise(out)
-        return out.cast("long")
+    return F.transform(digests, turned)
 
-    x, n, part = F.col("x"), F.col("n"), F.col("part")
+
+def permuted(slots: DataFrame) -> DataFrame:
+    """slots (sid, n, turn, keys, x) with x in [0, n) put through the permutation of [0, n) of its source and pass."""
+    x, n, key = F.col("x"), F.col("n"), F.col("key")
     for r in range(ROUNDS):  # a column for each step: nested in one another they would be copied into one large expression
         # get() has null beyond the last pass: the filter of those slots may be evaluated after this
-        a, b, c = (F.get("keys", (F.col("turn") * 3 * ROUNDS + 3 * r + k).cast("int")) for k in range(3))
-        slots = slots.withColumn("x", (prime(n) * x + a) % n).withColumn("part", n - b % (F.expr("n div 2") + 1))
-        slots = slots.withColumn("x", n - 1 - F.when(x < part, (prime(part) * x + c) % part).otherwise(x))
-    return slots.drop("keys", "part")
+        slots = slots.withColumn("key", F.get("keys", (F.col("turn") * ROUNDS + r).cast("int")))
+        slots = slots.withColumn("x", (key["whole"] * x + key["a"]) % n)
+        slots = slots.withColumn("x", n - 1 - F.when(x < key["part"], (key["prime"] * x + key["c"]) % key["part"]).otherwise(x))
+    return slots.drop("keys", "key")
 
 
 def before(rows: DataFrame, group: str, along: tuple[str, ...], amount: str) -> DataFrame:
@@ -143,7 +152,8 @@ def block_uses(names: DataFrame, block: int = BLOCK, shard: int = SHARD, repeat:
     """How often the mix takes each block: sid, index, uses."""
     counts = shard_counts(names, block, shard, seed, stratified).withColumn("span", F.expr(f"shard div {SPAN}"))
     counts = before(counts, "span", ("shard",), "slots")
-    counts = counts.join(names.select("sid", turn_keys(F.col("sid"), repeat, seed).alias("keys")), "sid")
+    blocks = F.expr(f"(source_size + {block - 1}) div {block}")
+    counts = counts.join(cut(names.where("source_size > 0").select("sid", turn_keys(F.col("sid"), blocks, repeat, seed).alias("keys"))), "sid")
     slots = counts.where("slots > 0").select("sid", "n", "keys", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("slots") - 1)).alias("slot"))
     slots = slots.where(F.col("slot") < repeat * F.col("n")).select("sid", "n", "keys", F.expr("slot div n").alias("turn"), (F.col("slot") % F.col("n")).alias("x"))
     return permuted(slots).select("sid", F.col("x").alias("index")).groupBy("sid", "index").agg(F.count("*").alias("uses"))
