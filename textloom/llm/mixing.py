@@ -126,14 +126,19 @@ def turn_keys(sid: Column, n: Column, repeat: int = REPEAT, seed: str = SEED) ->
 
 
 def permuted(slots: DataFrame) -> DataFrame:
-    """slots (sid, n, turn, keys, x) with x in [0, n) put through the permutation of [0, n) of its source and pass."""
-    x, n, key = F.col("x"), F.col("n"), F.col("key")
-    for r in range(ROUNDS):  # a column for each step: nested in one another they would be copied into one large expression
-        # get() has null beyond the last pass: the filter of those slots may be evaluated after this
-        slots = slots.withColumn("key", F.get("keys", (F.col("turn") * ROUNDS + r).cast("int")))
-        slots = slots.withColumn("x", (key["whole"] * x + key["a"]) % n)
-        slots = slots.withColumn("x", n - 1 - F.when(x < key["part"], (key["prime"] * x + key["c"]) % key["part"]).otherwise(x))
-    return slots.drop("keys", "key")
+    """slots (sid, n, turn, keys, x) with x in [0, n) put through the permutation of [0, n) of its source and pass.
+
+    The rounds are a fold over the pass's keys: as columns of their own they make a method that is too large for the JVM's
+    compiler. Beyond the last pass there are no keys, and x stays: the filter of those slots may be evaluated after this.
+    """
+    n = F.col("n")
+
+    def turned(x: Column, key: Column) -> Column:
+        moved = F.array((key["whole"] * x + key["a"]) % n)  # one value, used three times
+        return F.transform(moved, lambda y: n - 1 - F.when(y < key["part"], (key["prime"] * y + key["c"]) % key["part"]).otherwise(y))[0]
+
+    keys = F.slice("keys", (F.col("turn") * ROUNDS + 1).cast("int"), F.lit(ROUNDS))
+    return slots.withColumn("x", F.aggregate(keys, F.col("x").cast("long"), turned)).drop("keys")
 
 
 def before(rows: DataFrame, group: str, along: tuple[str, ...], amount: str) -> DataFrame:
