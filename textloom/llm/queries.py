@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, exact_dedup, html_text, mixing, near_dedup, quality_classifier, quality_rules, token_counts, toxicity, url_filter
+from textloom.llm import bpe, collocations, embedding_dedup, exact_dedup, html_text, mixing, near_dedup, quality_classifier, quality_rules, token_counts, toxicity, url_filter, vector_codes
 from textloom.llm.common import fold, table
 
 
@@ -122,6 +122,89 @@ hits AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM urls LEFT JOIN (SELECT * FROM hits WHERE k = 1) USING (r)
 """
 
+
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, range(1, 5) AS t(k) WHERE len(w) >= k)),
+counts AS (SELECT lang, k, phrase, count(*) AS f, string_split(phrase, ' ') AS p FROM grams GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (SELECT lang, k AS size, phrase, p, f AS a, unnest(range(1, k)) AS k FROM counts WHERE k > 1),
+scored AS (
+  SELECT c.lang, c.size, c.phrase, c.p, c.a, c.k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a // (x.f + y.f))::BIGINT AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.p[1:c.k], ' ') JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.p[c.k + 1:], ' ')),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM scored) WHERE place = 1),
+parts AS (
+  SELECT lang, array_to_string(p[i:i + m - 1], ' ') AS phrase, max(a) AS most
+  FROM (SELECT lang, p, a, m, unnest(range(1, size - m + 2)) AS i FROM best, range(2, 4) AS t(m) WHERE m < size) GROUP BY ALL),
+left_over AS (SELECT best.* FROM best LEFT JOIN parts USING (lang, phrase) WHERE most IS NULL OR 100 * most < 80 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM left_over)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(table(spark, sf_dir, "embeddings"))
+
+
+def _fitted(r: int) -> str:
+    """One round of the codebooks: every part's nearest entry, and the means of the entries' parts."""
+    return f"""
+a{r} AS (
+  SELECT rid, p, min((list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c))::BIGINT * 256 + e) AS best
+  FROM parts JOIN b{r} USING (p) GROUP BY rid, p),
+m{r} AS (
+  SELECT p, e, list(total ORDER BY k) AS mean
+  FROM (SELECT p, e, k, floor(sum(x)::BIGINT / count(*))::DOUBLE AS total FROM (SELECT p, best % 256 AS e, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM a{r} JOIN parts USING (rid, p)) GROUP BY p, e, k)
+  GROUP BY p, e),
+b{r + 1} AS (SELECT p, e, coalesce(mean, c) AS c FROM b{r} LEFT JOIN m{r} USING (p, e))"""
+
+
+OP12_SQL = rf"""
+WITH sound AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT rid, p, x[p * (len(x) // 4) + 1:(p + 1) * (len(x) // 4)] AS v FROM sound, range(4) AS t(p)),
+b0 AS (SELECT p, rid - 1 AS e, v AS c FROM parts WHERE rid <= 256),{_fitted(0)},{_fitted(1)},{_fitted(2)},{_fitted(3)},
+a4 AS (
+  SELECT rid, p, min((list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c))::BIGINT * 256 + e) AS best
+  FROM parts JOIN b4 USING (p) GROUP BY rid, p),
+digest AS (
+  SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY p, e, k)) AS codebooks_sha256
+  FROM (SELECT p, e, unnest(c) AS x, generate_subscripts(c, 1) AS k FROM b4)),
+found AS (SELECT rid, string_agg(printf('%02x', best % 256), '' ORDER BY p) AS code, sum(best // 256)::BIGINT AS error FROM a4 GROUP BY rid)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM found JOIN sound USING (rid), digest
+"""
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.links(table(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE
+sound AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS one, b.vec_id AS two FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.9),
+reach(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM sound
+  UNION SELECT reach.vec_id, two FROM reach JOIN links ON other = one),
+least AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+degrees AS (SELECT one AS vec_id, count(*) AS n_links FROM links GROUP BY one)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, vec_id = coalesce(component_id, vec_id) AS kept
+FROM embeddings LEFT JOIN least USING (vec_id) LEFT JOIN degrees USING (vec_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_toxicity": op2_toxicity,
@@ -133,5 +216,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_url_filter": op9_url_filter,
     "op10_bpe": op10_bpe,
+    "op11_collocations": op11_collocations,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_embedding_dedup": op13_embedding_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op5_mixing": OP5_SQL, "op9_url_filter": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op5_mixing": OP5_SQL, "op9_url_filter": OP9_SQL, "op11_collocations": OP11_SQL, "op12_vector_codes": OP12_SQL, "op13_embedding_dedup": OP13_SQL}
