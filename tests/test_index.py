@@ -86,3 +86,107 @@ def test_stream_is_the_batch(spark, tmp_path):
 
     want = search.hits(lines.lines(docs), "the").collect()
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, want)) and len(want) == 20
+
+
+def test_kinds_beside_lines(spark, tmp_path):
+    """Runs cover every line, and give each character the kind that its token has, in all languages."""
+    import numpy as np
+
+    from textloom.operators import code, search, tokens
+
+    texts = [*((i, lang, lang, text) for i, lang, text in SAMPLES), (9, "text", "text-xml", '<a href="the x">the <!-- the\nthe --> the</a>\n\n  9 the'), (10, "text", "text-hash", "the # the\nx\tthe"), (11, "text", "text", ""), (12, "shell", "shell", 'echo "the\nthe" the # the\n')]
+    frame = spark.createDataFrame(texts, "file_id long, lang string, variant string, text string")
+    rows = index.kinded_lines(index.stored_texts(frame))
+    for r in rows.collect():
+        assert sum(k.n for k in r.kinds) == r.len == len(r.text)
+    plain = sorted(map(tuple, lines.lines(frame.select("file_id", "text"), "ascii").collect()))
+    assert sorted(tuple(r)[:6] for r in rows.collect()) == plain
+    by = {(r.file_id, r.line_no): r for r in rows.collect()}
+    for i, lang, text in SAMPLES:
+        begin, length, kind, _ = code.all_runs(text, lang)
+        each = np.repeat(kind, length)
+        at = 0
+        for n, line in enumerate(text.rstrip("\n").split("\n")):
+            got = [k.kind for k in by[i, n].kinds for _ in range(k.n)]
+            assert got == each[at : at + len(line)].tolist()
+            at += len(line) + 1
+    index.save({"lines": rows}, str(tmp_path / "i"))
+    stored = index.load(spark, str(tmp_path / "i"), ("lines",))["lines"]
+    got = sorted(map(tuple, search.hits_without(stored.where("file_id >= 9"), "the").collect()))
+    assert got == [(9, 0, 16), (9, 1, 8), (9, 3, 4), (10, 0, 0), (10, 1, 4), (12, 1, 5)]
+    xml = frame.where("file_id = 9").select("file_id", "text")
+    assert sorted(map(tuple, search.hits_outside(xml, "the", "text-xml").collect())) == [g for g in got if g[0] == 9]
+    assert search.hits_without(stored, "t").count() == 0
+    edge = stored.where("file_id = 9 AND line_no = 0").select(tokens.kind_at(F.col("kinds"), F.lit(10**6)).alias("k")).first()
+    assert edge.k is None
+
+
+def test_kinds_of_pages(spark):
+    rows = spark.createDataFrame([(0, i, t) for i, t in enumerate(["CHAPTER I", "It is 1805, ‘so’ — 3 men.", "naïve"])], "book long, line_no long, text string")
+    pages = index.book_index(rows, page_lines=5, width=30.0, author="A B", title="T").orderBy("line_no").collect()
+    for p in pages:
+        assert sum(k.n for k in p.kinds) == len(p.text)
+    kinds = lambda p: [(k.kind, p.text[sum(x.n for x in p.kinds[:j]) :][: k.n]) for j, k in enumerate(p.kinds)]
+    assert {k for k, t in kinds(pages[-1]) if t.strip()} == {5} and {k for k, t in kinds(pages[-1]) if not t.strip()} == {0}
+    told = kinds(pages[1])
+    assert (1, "It") in told and (6, "1805") in told and (6, "3") in told and (7, ",") in told
+
+
+def test_items_in_order(spark):
+    from textloom.operators import code
+
+    rows = [(1, 5, 9, 1, "b"), (1, 5, 7, 2, "z"), (1, 5, 7, 1, "y"), (1, 5, 7, 1, "x"), (1, 0, 20, 4, "a")]
+    got = code.ordered(spark.createDataFrame(rows, "file_id long, first long, past long, kind long, name string")).orderBy("item_no").collect()
+    assert [r.name for r in got] == ["a", "x", "y", "z", "b"]
+    deep = "impl<" + "A<" * 12 + "B" + ">" * 12 + "> Deep for C {\n}\n"
+    assert [i[3] for i in code.find_items(deep, "rust")] == ["Deep for C"]
+
+
+def test_whole_atlas_as_a_flat_file(spark, tmp_path):
+    """An index and its layout in one file, read back by one process: the arrays fit together as a viewer needs them."""
+    import numpy as np
+
+    from textloom.operators import atlas, code
+    from textloom.operators import export as X
+
+    src = tmp_path / "src"
+    names = {"one.py": SAMPLES[0][2], "lib/two.rs": SAMPLES[1][2], "lib/deep/three.c": SAMPLES[2][2] + "int x; // " + "y" * 300, "é.txt": "", "lib/a.txt": "a\n\nb"}
+    for n, text in names.items():
+        (src / n).parent.mkdir(parents=True, exist_ok=True)
+        (src / n).write_text(text)
+    made = index.code_index(trees.read(spark, str(src), trees.discover(str(src), git=False)))
+    done = index.layout_tables(made)
+    laid = atlas.export(made, done, f"file://{tmp_path}/viewer.bin", "corpus", {"kinds": ["ff0000"] * 10, "ground": ["000080"]})
+    a = X.unbundle((tmp_path / "viewer.bin").read_bytes())
+    assert set(atlas.ARRAYS) <= set(a) == {e.name for e in laid}
+
+    def texts(name):
+        off = a[f"{name}_off"].tolist()
+        return [a[name].tobytes()[i:j].decode("cp1252") for i, j in zip(off, off[1:])]
+
+    files = sorted(made["files"].collect(), key=lambda r: r.file_id)
+    assert texts("s_paths") == [f.path for f in files] and texts("s_name") == ["corpus"]
+    assert texts("s_dir_labels") == ["corpus", "lib", "deep"] and a["dir_parent"].tolist() == [-1, 0, 1]
+    owner = {"": 0, "lib": 1, "lib/deep": 2}
+    assert a["file_dir"].tolist() == [owner[f.path.rpartition("/")[0]] for f in files]
+    assert np.diff(a["file_line0"]).tolist() == [f.lines for f in files] and a["file_chars"].tolist() == [f.nonspace for f in files]
+    rows = sorted(made["lines"].collect(), key=lambda r: (r.file_id, r.line_no))
+    assert a["chars"].tobytes().decode() == "".join(r.text for r in rows) and len(a["kinds"]) == len(a["chars"]) == a["line_off"][-1]
+    assert a["kinds"].tolist() == [k.kind for r in rows for k in r.kinds for _ in range(k.n)]
+    assert a["line_len"].tolist() == [r.len for r in rows] and a["line_indent"].tolist() == [r.indent for r in rows]
+    assert a["line_file"].tolist() == np.repeat(np.arange(len(files)), np.diff(a["file_line0"])).tolist()
+    covered = np.zeros(len(rows), int)
+    np.add.at(covered, a["row_line"], a["row_len"])
+    assert covered.tolist() == a["line_len"].tolist() and np.diff(a["line_row0"]).tolist() == np.bincount(a["row_line"], minlength=len(rows)).tolist()
+    of = np.repeat(np.arange(len(files)), np.diff(a["file_row0"]))
+    rect = a["file_rect"][of]
+    assert len(of) == len(a["row_pos"]) and ((a["row_pos"] >= rect[:, :2] - 1e-3) & (a["row_pos"] <= rect[:, 2:] + 1e-3)).all()
+    assert (np.diff(a["row_line"].astype(int)) >= 0).all() and a["row_col0"][a["line_row0"][:-1]].tolist() == [0] * len(rows)
+    found = sorted((f.file_id, *i) for f in files for i in code.find_items("\n".join(r.text for r in rows if r.file_id == f.file_id), f.lang))
+    assert list(zip(a["item_file"].tolist(), a["item_start"].tolist(), a["item_end"].tolist(), a["item_kind"].tolist(), texts("s_item_names"), strict=True)) == found and len(texts("s_item_kws")) == len(found)
+    inner = a["file_rect"][a["item_file"][a["item_rect_item"]]]
+    assert set(a["item_rect_item"].tolist()) == set(range(len(found))) and (a["item_rect"][:, :2] >= inner[:, :2] - 1e-3).all() and (a["item_rect"][:, 2:] <= inner[:, 2:] + 1e-3).all()
+    assert a["sc_kinds"].tolist() == [[1.0, 0.0, 0.0]] * 10 and a["world"].tolist() == [1600.0, 900.0]
+    order = np.argsort(a["file_pitch"], kind="stable")
+    upto = np.cumsum(np.diff(a["file_line0"])[order])
+    assert a["median_pitch"][0] == a["file_pitch"][order[np.searchsorted(upto, upto[-1] / 2)]]

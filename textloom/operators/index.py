@@ -21,18 +21,37 @@ _KEYWORD = r"\b(fn|struct|enum|trait|impl|mod|macro_rules!|type|const|static|uni
 
 
 def code_index(files: DataFrame) -> dict[str, DataFrame]:
-    """Index of source files (path, bytes, content): files, dirs, lines, items, and skipped ones by reason."""
+    """Index of source files (path, bytes, content): files, dirs, lines, items, and skipped ones by reason.
+
+    A line has the kinds of its characters beside it, as runs, so that what asks for them reads no text again.
+    """
     judged = trees.gated(files)
     skipped = judged.where("status <> 'ok'").groupBy("status").agg(F.count("*").alias("n"))
     kept = trees.with_language(judged.where("status = 'ok'").withColumn("head", F.substring("text", 1, 256))).drop("content", "head", "status")
     numbered = kept.join(tree.pre_order(kept.select("path")), "path").withColumnRenamed("file_no", "file_id")
-    rows = lines.lines(numbered.select("file_id", "text"), "ascii")
-    joined = rows.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    found = code.items(joined.join(numbered.select("file_id", "lang"), "file_id").select("file_id", "lang", "text"))
+    texts = stored_texts(numbered)
+    rows = kinded_lines(texts)
+    found = code.items(texts.select("file_id", "lang", "text"))
     heads = numbered.select("file_id", "path", "lang", "variant", "bytes").join(lines.file_metrics(rows, numbered), "file_id")
     return {"files": heads, "dirs": tree.directories(heads.select("path", "lines"), ["lines"]), "lines": rows, "items": found, "skipped": skipped}
 
 
+def stored_texts(files: DataFrame, charset: str = "ascii") -> DataFrame:
+    """files (file_id, lang, variant, text) with their lines as they are stored, and the text that these make."""
+    kept = F.transform(T.line_array(T.newlines(F.col("text"))), lambda line: lines.cleaned(line, charset))
+    return files.select("file_id", "lang", "variant", kept.alias("kept")).withColumn("text", F.array_join("kept", "\n"))
+
+
+def kinded_lines(texts: DataFrame) -> DataFrame:
+    """file_id, line_no, text, its measures and kinds, the runs (n, kind) that cover the line; texts: see ``stored_texts``.
+
+    A token of several lines gives each of them its kind.
+    """
+    read = code.with_kinds(texts).where(F.size("kept") > 0)
+    each = read.select("file_id", F.posexplode(F.arrays_zip("kept", "kinds")).alias("line_no", "line"))
+    return lines.measured(each.select("file_id", "line_no", F.col("line.kept").alias("text"), F.coalesce("line.kinds", F.array().cast("array<struct<n:int,kind:int>>")).alias("kinds")))
+
+
 def item_words(items: DataFrame, rows: DataFrame, files: DataFrame) -> DataFrame:
     """The word that each item's first line is introduced by; without one, the name of its kind in its language."""
     heads = items.join(rows.select("file_id", F.col("line_no").cast("long").alias("first"), F.col("text").alias("head")), ["file_id", "first"]).join(files.select("file_id", "lang"), "file_id")
@@ -87,9 +106,10 @@ def _settled(files: DataFrame, boxes: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def book_index(text_lines: DataFrame, page_lines: int = book.PAGE_LINES, width: float | None = None, author: str = "", title: str = "") -> DataFrame:
-    """Pages of books (book, line_no, text): path, number and every line of each page, padded and with its footer.
+    """Pages of books (book, line_no, text): path, number and every line of each page, padded and with its footer, as stored in the
+    charset of books, with the kinds of its characters as runs.
 
-    Chapter headings are centred, and the last line, the footer, is in the comment kind.
+    Chapter headings are centred, and all of the last line, the footer, but its spaces is in the comment kind.
     """
     parts = book.split(text_lines)
     if width is None:
@@ -106,8 +126,11 @@ def book_index(text_lines: DataFrame, page_lines: int = book.PAGE_LINES, width:
     footer = book.footer(F.lit(author), F.col("number").cast("string"), F.lit(title), width)
     lines_ = filler.join(own, ["book", "number", "place"], "left").join(heads.select("book", "number", path.alias("path")), ["book", "number"])
     text = F.when(F.col("place") == page_lines + 2, footer).otherwise(F.coalesce("text", F.lit("")))
-    kind = F.when(F.col("place") == page_lines + 2, tokens.COMMENT)
-    return lines_.select("book", "number", "path", F.col("place").alias("line_no"), text.alias("text"), kind.alias("kind"))
+    stored = lines_.select("book", "number", "path", F.col("place").alias("line_no"), lines.cleaned(text, "book").alias("text"))
+    last = F.col("line_no") == page_lines + 2
+    own = F.get(tokens.line_kinds(F.col("text"), "prose"), F.lit(0))
+    kinds = F.when(last, F.transform(own, lambda r: F.struct(r["n"].alias("n"), F.when(r["kind"] == tokens.SPACE, r["kind"]).otherwise(tokens.COMMENT).alias("kind")))).otherwise(own)
+    return stored.select("book", "number", "path", "line_no", "text", F.when(last, tokens.COMMENT).alias("kind"), kinds.alias("kinds"))
 
 
 def save(frames: dict[str, DataFrame], path: str, compression: str = "zstd") -> None:

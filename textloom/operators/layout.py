@@ -1,19 +1,20 @@
 """Layout: columns and wrapping of files, page grids, treemaps, item boxes.
 
-Everything but the treemap's strips is a column expression. The treemap runs one Arrow-backed group per directory and one
-round per depth of the tree.
+Everything but the treemap's strips is a column expression. The treemap runs one round per depth of the tree.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators import tree
+from textloom.operators.lines import ranked
 from textloom.session import cut
 
 #: Fixed values of the layout: world width, characters' width in line heights, gaps, bounds, margins.
@@ -210,81 +211,122 @@ def part_bands(parts: DataFrame, page_aspect: float = PAGE_ASPECT) -> DataFrame:
 # -- treemap ----------------------------------------------------------------------------------------------------------
 
 
-def strips(weights: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> np.ndarray:
-    """Boxes of descending weights that fill the box, in strips along its shorter side; a strip takes weights while no box of
-    it gets longer in shape. Every strip is found on prefix sums of what is left."""
-    n, total = len(weights), float(np.sum(weights))
-    out = np.empty((n, 4))
-    if n and (x1 <= x0 or y1 <= y0 or total <= 0):
-        out[:] = (x0, y0, x0, y0)
-    if not n or x1 <= x0 or y1 <= y0 or total <= 0:
-        return out
-    area = np.asarray(weights, float) * ((x1 - x0) * (y1 - y0) / total)
-    at = 0
-    while at < n:
+def strips(weights: Sequence[float], counts: Sequence[int], x0: float, y0: float, x1: float, y1: float) -> list[tuple]:
+    """Strips that fill a box with children of falling weights, of which there are counts each: first, past (places of the
+    children), before, upto (their weights summed), x0, y0, x1, y1 and across.
+
+    A strip lies along the shorter side of what is left and takes children while the longest shape of its first and last one
+    doesn't get worse. Among equal weights that turns once, so it is searched for: the steps follow strips and different
+    weights, not children.
+    """
+    total = sum(w * c for w, c in zip(weights, counts, strict=True))
+    if not total or x1 <= x0 or y1 <= y0:
+        return [(0, sum(counts), 0.0, float(total), x0, y0, x0, y0, False)] if len(counts) else []
+    scale = (x1 - x0) * (y1 - y0) / total
+    out, at, before, run, left = [], 0, 0, 0, counts[0]
+    while run < len(weights):
         w, h = x1 - x0, y1 - y0
-        side = min(w, h)
-        reach = 64
-        while True:
-            some = area[at : at + reach]
-            sums = np.cumsum(some)
-            with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
-                shape = np.maximum(side * side * some[0] / (sums * sums), sums * sums / (side * side * some))
-            worse = np.flatnonzero(shape[1:] > shape[:-1])
-            if len(worse) or at + reach >= n:
+        squared, heaviest = min(w, h) ** 2 / scale, weights[run]
+        took, size, shape = 0, 0, math.inf
+        while run < len(weights):
+            weight = weights[run]
+
+            def longest(n: int, size=size, weight=weight) -> float:
+                s = size + n * weight
+                return max(squared * heaviest / (s * s), s * s / (squared * weight))
+
+            if longest(1) > shape:
+                break
+            low, high = 1, left  # the first n after which one more is worse
+            while low < high:
+                n = (low + high) // 2
+                low, high = (low, n) if longest(n + 1) > longest(n) else (n + 1, high)
+            took, size, shape, left = took + low, size + low * weight, longest(low), left - low
+            if left:
                 break
-            reach *= 2
-        take = int(worse[0]) + 1 if len(worse) else len(some)
-        ends = sums[:take]
-        across = w >= h
-        last = at + take == n
-        thick = (w if across else h) if last else ends[-1] / (h if across else w)
-        edges = np.concatenate([[0.0], ends / thick]) if thick > 0 else np.zeros(take + 1)
-        edges[-1] = h if across else w
-        part = out[at : at + take]
-        if across:
-            part[:, 0], part[:, 2], part[:, 1], part[:, 3] = x0, x0 + thick, y0 + edges[:-1], y0 + edges[1:]
-            x0 += thick
-        else:
-            part[:, 1], part[:, 3], part[:, 0], part[:, 2] = y0, y0 + thick, x0 + edges[:-1], x0 + edges[1:]
-            y0 += thick
-        at += take
+            run += 1
+            left = counts[run] if run < len(weights) else 0
+        across, last = w >= h, run == len(weights)
+        thick = (w if across else h) if last else size * scale / (h if across else w)
+        out.append((at, at + took, float(before), float(before + size), x0, y0, x0 + thick if across else x1, y1 if across else y0 + thick, across))
+        x0, y0 = (x0 + thick, y0) if across else (x0, y0 + thick)
+        at, before = at + took, before + size
     return out
 
 
+#: Children of a directory that look for their strip together.
+STRIP_RUN = 1024
+_BOX = ("x0", "y0", "x1", "y1")
+
+
+def _children(files: DataFrame, dirs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files and directories but the root, with their place among their parent's children and the weights before; and each
+    parent's different weights with how many children have them.
+
+    The children of all directories are sorted together, in ranges: heavy ones first, files before directories, by path.
+    """
+    both = [df.select("path", "weight", "lines", F.lit(is_dir).alias("is_dir"), tree.parent_path(F.col("path")).alias("parent")) for df, is_dir in ((files, False), (dirs.where("path <> ''"), True))]
+    placed = ranked(both[0].unionByName(both[1]), ["parent", -F.col("weight"), "is_dir", "path"], "spot")
+    kinds = placed.groupBy("parent", "weight").agg(F.count("*").alias("count"), F.min("spot").alias("begin"))
+    heavier = Window.partitionBy("parent").orderBy(F.col("weight").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    kinds = cut(kinds.withColumn("above", F.coalesce(F.sum(F.col("weight") * F.col("count")).over(heavier), F.lit(0.0))).withColumn("start", F.min("begin").over(Window.partitionBy("parent"))))
+    told = placed.join(kinds.select("parent", "weight", "begin", "above", "start"), ["parent", "weight"])
+    told = told.select("path", "parent", "is_dir", "weight", "lines", (F.col("spot") - F.col("start")).alias("k"), (F.col("above") + (F.col("spot") - F.col("begin")) * F.col("weight")).alias("before"))
+    return cut(told), kinds.select("parent", "weight", "count")
+
+
+def _divided(kinds: DataFrame, dirs: DataFrame) -> DataFrame:
+    """The strips of directories (path, pad, box): a group is a directory's different weights."""
+    names = ("first", "past", "before", "upto", *_BOX, "across")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("weight", ascending=False)
+        p = group.iloc[0]
+        found = strips(group["weight"].tolist(), group["count"].tolist(), p["x0"] + p["pad"], p["y0"] + p["pad"], p["x1"] - p["pad"], p["y1"] - p["pad"])
+        return pd.DataFrame(found, columns=names).assign(parent=p["parent"])
+
+    schema = "first long, past long, before double, upto double, x0 double, y0 double, x1 double, y1 double, across boolean, parent string"
+    return kinds.join(dirs.select(F.col("path").alias("parent"), "pad", *_BOX), "parent").groupBy("parent").applyInPandas(run, schema)
+
+
+def _boxed(children: DataFrame, divided: DataFrame) -> DataFrame:
+    """Children with their boxes: each finds its strip by its place, in runs of places."""
+    found = divided.withColumnsRenamed({"before": "begin"}).withColumn("run", F.explode(F.sequence(F.floor(F.col("first") / STRIP_RUN), F.floor((F.col("past") - 1) / STRIP_RUN))))
+    met = children.withColumn("run", F.floor(F.col("k") / STRIP_RUN)).join(found, ["parent", "run"]).where("k >= first AND k < past")
+    share = F.greatest(F.col("upto") - F.col("begin"), F.lit(1e-300))  # 0 only where all weights are
+    low, high = ((F.col("before") + w - F.col("begin")) / share for w in (F.lit(0.0), F.col("weight")))
+
+    def edge(side: str, at: Column, of_strip: str, across: Column) -> Column:
+        """An edge of the child: its strip's, or a part of the way along it."""
+        return F.when(across, F.col(of_strip)).otherwise(F.col(f"{side}0") + (F.col(f"{side}1") - F.col(f"{side}0")) * at)
+
+    sides = (("x", low, "x0"), ("y", low, "y0"), ("x", high, "x1"), ("y", high, "y1"))
+    return met.select("path", "is_dir", "weight", "lines", *(edge(s, at, c, F.col("across") == (s == "x")).alias(c) for s, at, c in sides))
+
+
 def treemap(files: DataFrame) -> DataFrame:
     """Boxes of files and directories: path, is_dir, depth, weight, pad, x0, y0, x1, y1; files: path, weight (1 at least), lines.
 
-    Round d divides the boxes of the directories at depth d; a directory's children are one group.
+    Round d divides the boxes of the directories at depth d into strips and boxes the directories among their children; files
+    find their strips at the end. Children are ranked, summed and boxed in as many tasks as there are rows for, whatever the
+    directory that they are in; a group holds a directory's different weights.
     """
     w, h = world()
-    dirs = cut(tree.directories(files.select("path", "weight", "lines"), ["weight", "lines"]).withColumn("weight", F.col("weight").cast("double")))
-    leaves = files.select("path", F.col("weight").cast("double").alias("weight"), F.col("lines").cast("long").alias("lines"), F.lit(False).alias("is_dir"), F.size(F.split("path", "/")).alias("depth"))
-    children = leaves.unionByName(dirs.where("path <> ''").select("path", "weight", F.col("lines").cast("long").alias("lines"), F.lit(True).alias("is_dir"), "depth"))
-    children = cut(children.withColumn("parent", tree.parent_path(F.col("path"))))
+    leaves = files.select("path", F.col("weight").cast("double").alias("weight"), F.col("lines").cast("long").alias("lines"))
+    dirs = cut(tree.directories(leaves, ["weight", "lines"]))
+    children, kinds = _children(leaves, dirs)
     deepest = dirs.agg(F.max("depth")).first()[0]
-    boxes = ("x0", "y0", "x1", "y1")
-    here = dirs.where("path = ''").select("path", F.lit(True).alias("is_dir"), F.lit(0).alias("depth"), "weight", F.col("lines").cast("long").alias("lines"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(w).alias("x1"), F.lit(h).alias("y1"))
-    done = []
-
-    def place(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["weight", "is_dir", "path"], ascending=[False, True, True], kind="stable")
-        p = group.iloc[0]
-        inner = strips(group["weight"].to_numpy(), p["px0"] + p["pad"], p["py0"] + p["pad"], p["px1"] - p["pad"], p["py1"] - p["pad"])
-        out = group[["path", "is_dir", "depth", "weight", "lines"]].copy()
-        for k, c in enumerate(boxes):
-            out[c] = inner[:, k]
-        return out
-
-    schema = "path string, is_dir boolean, depth int, weight double, lines long, x0 double, y0 double, x1 double, y1 double"
+    here = dirs.where("path = ''").select("path", F.lit(True).alias("is_dir"), "weight", "lines", F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(w).alias("x1"), F.lit(h).alias("y1"))
+    folders = children.where("is_dir").join(dirs.select("path", "depth"), "path")
+    boxes, divided = [], []
     for d in range((deepest if deepest is not None else -1) + 1):
-        here = cut(here.withColumn("pad", F.when(F.col("is_dir"), padding_by_lines(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("lines")))))
-        done.append(here)
-        above = here.where("is_dir").select(F.col("path").alias("parent"), "pad", *(F.col(c).alias(f"p{c}") for c in boxes))
-        group = children.where(F.col("depth") == d + 1).join(above, "parent")
-        here = group.groupBy("parent").applyInPandas(place, schema)
-    done.append(here.withColumn("pad", F.lit(None).cast("double")))
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out.select("path", "is_dir", "depth", "weight", "pad", *boxes)
+        here = cut(here.withColumn("pad", padding_by_lines(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("lines"))))
+        boxes.append(here)
+        divided.append(cut(_divided(kinds, here)))
+        here = _boxed(folders.where(F.col("depth") == d + 1), divided[-1])
+    if not boxes:
+        return leaves.select("path", F.lit(False).alias("is_dir"), F.lit(0).alias("depth"), "weight", *(F.lit(None).cast("double").alias(c) for c in ("pad", *_BOX)))
+    placed = _boxed(children.where("NOT is_dir"), functools.reduce(DataFrame.unionByName, divided)).withColumn("pad", F.lit(None).cast("double"))
+    every = functools.reduce(DataFrame.unionByName, [*boxes, placed])
+    depth = F.when(F.col("path") == "", 0).otherwise(F.size(F.split("path", "/")))
+    return every.select("path", "is_dir", depth.alias("depth"), "weight", "pad", *_BOX)

@@ -16,13 +16,9 @@ def code_text(text: Column) -> Column:
     return T.newlines(text)
 
 
-def lines(files: DataFrame, charset: str = "raw") -> DataFrame:
-    """file_id, line_no, text, len, indent, nonspace of every line; files: file_id, text.
-
-    charset: raw keeps the characters, ascii and book fold them as code and book corpora do (tabs widened, controls replaced).
-    """
-    parts = files.select("file_id", F.posexplode(T.line_array(T.newlines(F.col("text")))).alias("line_no", "line"))
-    line = F.col("line")
+def cleaned(line: Column, charset: str = "raw") -> Column:
+    """A line as it is stored. charset: raw keeps the characters, ascii and book fold them as code and book corpora do (tabs widened,
+    controls replaced)."""
     if charset == "book":
         line = T.book_charset(line)
     if charset != "raw":
@@ -31,8 +27,19 @@ def lines(files: DataFrame, charset: str = "raw") -> DataFrame:
         line = T.ascii_fold(line)
     if charset != "raw":
         line = T.control_fold(line)
-    parts = parts.select("file_id", "line_no", T.stored_line(line).alias("text"))
-    return parts.select("file_id", "line_no", "text", F.length("text").alias("len"), T.indent(F.col("text")).alias("indent"), T.nonspace(F.col("text")).alias("nonspace"))
+    return T.stored_line(line)
+
+
+def lines(files: DataFrame, charset: str = "raw") -> DataFrame:
+    """file_id, line_no, text, len, indent, nonspace of every line; files: file_id, text; charset: see ``cleaned``."""
+    parts = files.select("file_id", F.posexplode(T.line_array(T.newlines(F.col("text")))).alias("line_no", "line"))
+    return measured(parts.select("file_id", "line_no", cleaned(F.col("line"), charset).alias("text")))
+
+
+def measured(parts: DataFrame) -> DataFrame:
+    """Lines (file_id, line_no, text, ...) with len, indent and nonspace."""
+    more = [c for c in parts.columns if c not in ("file_id", "line_no", "text")]
+    return parts.select("file_id", "line_no", "text", F.length("text").alias("len"), T.indent(F.col("text")).alias("indent"), T.nonspace(F.col("text")).alias("nonspace"), *more)
 
 
 def file_metrics(lines_: DataFrame, files: DataFrame | None = None) -> DataFrame:

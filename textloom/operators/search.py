@@ -55,6 +55,15 @@ def hits_outside(files: DataFrame, word: str, spec: str, without: tuple[int, ...
     return lines.where(F.col("text").contains(word)).select("file_id", "line_no", F.explode(cols).alias("col"))
 
 
+def hits_without(lines: DataFrame, word: str, without: tuple[int, ...] = (tokens.STRING, tokens.COMMENT)) -> DataFrame:
+    """The same from lines that have their kinds beside them (an index's): hits whose first character is in none of the given
+    kinds. No token is found again; a hit looks its kind up among the line's runs."""
+    found = lines.where(F.col("text").contains(word)) if len(word) >= 2 else lines.where(F.lit(False))
+    columns = hit_columns(F.col("text"), word) if len(word) >= 2 else F.array(F.lit(0))
+    each = found.select("file_id", "line_no", "kinds", F.explode(columns).alias("col"))
+    return each.where(~F.coalesce(tokens.kind_at(F.col("kinds"), F.col("col")).isin(*without), F.lit(False))).select("file_id", "line_no", "col")
+
+
 def per_file(hits_: DataFrame) -> DataFrame:
     return hits_.groupBy("file_id").agg(F.count("*").alias("hits"))
 

@@ -7,9 +7,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bits of a coordinate on the curve, and rectangles of a row group of a stored grid.
+CURVE_BITS, GROUP_BYTES = 16, 1 << 20
+
 
 def enclosing(points: DataFrame, spans: DataFrame, key: str, at: str, point_id: str, span_id: str, width: int = 64) -> DataFrame:
     """The smallest span [first, past) around each point, the first of equals; spans: key, first, past, span_id."""
@@ -69,3 +72,36 @@ def outside(children: DataFrame, parents: DataFrame, key: str, slack: float = 1e
     met = children.join(around, key)
     inside = (F.col("x0") >= F.col("p_x0") - slack) & (F.col("y0") >= F.col("p_y0") - slack) & (F.col("x1") <= F.col("p_x1") + slack) & (F.col("y1") <= F.col("p_y1") + slack)
     return met.where(~inside).drop("p_x0", "p_y0", "p_x1", "p_y1")
+
+
+def _spread(bits: Column) -> Column:
+    """The bits of a number of CURVE_BITS bits, with a gap behind each."""
+    out = bits.cast("long")
+    for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+        out = out.bitwiseOR(F.shiftleft(out, shift)).bitwiseAND(F.lit(mask).cast("long"))
+    return out
+
+
+def curve(x: Column, y: Column, width: float, height: float) -> Column:
+    """The place of a point on a curve that fills the world: bits of both coordinates in turn, so near places are near points."""
+    most = (1 << CURVE_BITS) - 1
+    fixed = [F.least(F.greatest(F.floor(c / size * (most + 1)), F.lit(0)), F.lit(most)) for c, size in ((x, width), (y, height))]
+    return _spread(fixed[0]).bitwiseOR(F.shiftleft(_spread(fixed[1]), 1))
+
+
+def store(rects: DataFrame, path: str, width: float, height: float, group_bytes: int = GROUP_BYTES) -> None:
+    """Writes rectangles (x0, y0, x1, y1, ...) clustered along the curve of their middles, in small row groups: the least and largest
+    coordinates of a group say whether a view or a point can be in it."""
+    spot = curve((F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2, width, height)
+    dealt = rects.withColumn("__spot", spot).repartitionByRange("__spot").sortWithinPartitions("__spot").drop("__spot")
+    dealt.write.mode("overwrite").option("parquet.block.size", str(group_bytes)).option("parquet.block.size.row.check.min", "100").parquet(path)
+
+
+def in_view(spark: SparkSession, path: str, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
+    """Stored rectangles that meet a view; edges that only touch don't count. The comparisons reach the scan's row groups."""
+    return spark.read.parquet(path).where((F.col("x1") > x0) & (F.col("x0") < x1) & (F.col("y1") > y0) & (F.col("y0") < y1))
+
+
+def around(spark: SparkSession, path: str, x: float, y: float) -> DataFrame:
+    """Stored rectangles around a point, half open, likewise."""
+    return spark.read.parquet(path).where((F.col("x0") <= x) & (F.col("x1") > x) & (F.col("y0") <= y) & (F.col("y1") > y))

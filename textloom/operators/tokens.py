@@ -48,6 +48,27 @@ def with_tiles(files: DataFrame, spec: str) -> DataFrame:
     return cut.withColumn("__kinds", kinds).withColumn("tiles", F.flatten(parts)).drop("__found", "__kinds")
 
 
+def line_kinds(text: Column, spec: str) -> Column:
+    """Of each line of a text (parted at line feeds), the runs of one kind that it is made of: an array of (n, kind) for each line,
+    which cover it. Runs of prose, markup and the like; nothing is exploded."""
+    found = F.regexp_extract_all(text, F.lit(tiling(spec)), F.lit(0))
+    following = F.concat(F.slice(found, 2, 1 << 30), F.array(F.lit("")))
+    marks = F.zip_with(found, following, lambda t, f: F.when(t.contains("\n"), F.array_join(F.transform(F.split(t, "\n", -1), lambda part: F.repeat(kind(t, f, spec).cast("string"), F.length(part))), "\n")).otherwise(F.repeat(kind(t, f, spec).cast("string"), F.length(t))))
+    return F.transform(F.split(F.array_join(marks, ""), "\n", -1), _counted)
+
+
+def _counted(marks: Column) -> Column:
+    """A line's kinds, one digit a character, as runs (n, kind)."""
+    return F.transform(F.regexp_extract_all(marks, F.lit(r"(.)\1*+"), F.lit(0)), lambda r: F.struct(F.length(r).alias("n"), F.substring(r, 1, 1).cast("int").alias("kind")))
+
+
+def kind_at(kinds: Column, col: Column) -> Column:
+    """The kind of a line's character, by its runs; null behind them."""
+    start = F.struct(F.lit(0).alias("past"), F.lit(None).cast("int").alias("kind"))
+    step = lambda at, r: F.when(at["past"] > col, at).otherwise(F.struct((at["past"] + r["n"]).alias("past"), r["kind"].alias("kind")))
+    return F.aggregate(kinds, start, step, lambda at: F.when(at["past"] > col, at["kind"]))
+
+
 def exploded(files: DataFrame, spec: str) -> DataFrame:
     """file_id, pos, kind, text of every tile."""
     return with_tiles(files, spec).select("file_id", F.posexplode("tiles").alias("pos", "tile")).select("file_id", "pos", "tile.kind", "tile.text")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators.lines import ranked
+from textloom.session import cut, settings
 
 
 def parent_path(path: Column) -> Column:
@@ -46,6 +47,30 @@ def hues(dirs: DataFrame, count: int = 12) -> DataFrame:
     return own.join(F.broadcast(top), "top", "left").select("path", F.when(F.col("depth") == 0, 0).otherwise(F.col("hue")).alias("hue"))
 
 
+def walked(dirs: DataFrame, most: int = 1000) -> DataFrame:
+    """id, depth, path, crumb of every directory that the roots lead to, from dirs: id, parent (null for a root), label.
+
+    For trees that have ids and no paths: a recursive query that goes down a level a round, ``most`` levels at most (more are an
+    error). Roots are left out of paths and crumbs.
+    """
+    spark = dirs.sparkSession
+    # stored inside, as the limits are looked up when the query runs: levels, and no limit on rows
+    with settings(spark, spark__sql__cteRecursionLevelLimit=str(most), spark__sql__cteRecursionRowLimit="-1"):
+        return cut(
+            spark.sql(
+                """
+                WITH RECURSIVE walk AS (
+                  SELECT id, 0 AS depth, '' AS path, '' AS crumb FROM {dirs} WHERE parent IS NULL
+                  UNION ALL
+                  SELECT d.id, w.depth + 1, concat(w.path, if(w.depth > 0, '/', ''), d.label), concat(w.crumb, if(w.depth > 0, ' › ', ''), d.label)
+                  FROM walk w JOIN {dirs} d ON d.parent = w.id)
+                SELECT * FROM walk
+                """,
+                dirs=dirs,
+            )
+        )
+
+
 def crumb(path: Column) -> Column:
     """The directories down to a path, joined for display."""
     return F.array_join(F.split(path, "/"), " › ")

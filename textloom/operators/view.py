@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators import layout as Y
+from textloom.operators import spatial
+from textloom.operators.lines import running
+from textloom.session import cut
 
 #: Pixels a line from which bars, then wide bars, then glyphs are drawn (fixed values).
 CUTS = (1, 3, 6)
@@ -47,8 +50,8 @@ def pixels_per_line(pitch: Column, zoom: float, scale: Column | float = 1.0) ->
 def detail(ppl: Column) -> Column:
     """0 to 3: how many cuts the pixels a line reach."""
     out = F.lit(0)
-    for cut in CUTS:
-        out = out + (ppl >= cut).cast("int")
+    for least in CUTS:
+        out = out + (ppl >= least).cast("int")
     return out
 
 
@@ -101,11 +104,70 @@ def heights(weights: DataFrame, depth: str = "depth") -> DataFrame:
     return weights.crossJoin(F.broadcast(most)).withColumns({"base": STEP * F.col(depth), "height": HEIGHT * F.sqrt(F.col("weight") / F.col("__most"))}).drop("__most")
 
 
-def cell_under(x: Column, y: Column) -> tuple[Column, Column]:
-    """Row of the file and place in it (characters) under a point of the file's box: x0, y0, pitch, rows, colw (with the gap)."""
-    column = F.floor((x - F.col("x0")) / F.col("colw"))
-    place = F.floor((y - F.col("y0")) / F.col("pitch")) - 1
-    return column * F.col("rows") + place, F.floor((x - F.col("x0") - column * F.col("colw")) / (F.col("pitch") * 0.571))
+def last_at_most(values: Column, x: Column) -> Column:
+    """The place of the last of rising values that is x at most, by halving; 0 if all are more."""
+    steps = F.sequence(F.lit(1), F.lit(int(Y.MOST_CHARS).bit_length() + 1))
+    none = F.struct(F.lit(0).alias("low"), F.size(values).alias("past"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["past"]) / 2).cast("int")
+        fits = F.get(values, middle) <= x
+        return F.when(s["past"] - s["low"] <= 1, s).otherwise(F.struct(F.when(fits, middle).otherwise(s["low"]).alias("low"), F.when(fits, s["past"]).otherwise(middle).alias("past")))
+
+    return F.aggregate(steps, none, halve, lambda s: s["low"])
+
+
+def hovered(points: DataFrame, files: DataFrame, rows: DataFrame, width: float, height: float) -> DataFrame:
+    """What is under points (point_id, x, y): file_id, line_no and col; line -1 beside or below the file's rows.
+
+    files: file_id, box, pitch, k, rows, colw (with the gap). rows: file_id, row_in_file, line_no, col0, x (of the row) and, for faces
+    with advances of their own, char_x in line heights. A point finds its file through the grid, its row by its place in the file's
+    columns, and the character by halving the row's positions, or by the width of one where all are alike.
+    """
+    met = spatial.at_points(points, files.select("file_id", "x0", "y0", "x1", "y1", "pitch", "k", "rows", F.col("colw").alias("wide")), width, height)
+    column = F.least(F.greatest(F.floor((F.col("x") - F.col("x0")) / F.col("wide")), F.lit(0)), F.greatest(F.col("k") - 1, F.lit(0)))
+    down = F.floor((F.col("y") - F.col("y0") - F.col("pitch")) / F.col("pitch"))
+    met = met.withColumn("row_in_file", F.when((down >= 0) & (down < F.col("rows")), column * F.col("rows") + down).cast("long"))
+    beside = F.floor((F.col("x") - F.col("x0") - column * F.col("wide")) / (F.col("pitch") * Y.CHAR))
+    named = rows.select("file_id", "row_in_file", "line_no", "col0", F.col("x").alias("row_x"), *(["char_x"] if "char_x" in rows.columns else []))
+    told = met.withColumn("beside", beside).join(named, ["file_id", "row_in_file"], "left")
+    along = (F.col("x") - F.col("row_x")) / F.col("pitch")
+    within = last_at_most(F.col("char_x"), along) if "char_x" in rows.columns else F.greatest(F.floor(along / Y.CHAR), F.lit(0))
+    col = F.when(F.col("line_no").isNull(), F.col("beside")).otherwise(F.col("col0") + within)
+    return told.select("point_id", "file_id", F.coalesce(F.col("line_no").cast("long"), F.lit(-1)).alias("line_no"), col.cast("long").alias("col"))
+
+
+def drawn_ranges(runs_: DataFrame, sizes: DataFrame, size: str) -> DataFrame:
+    """first, last, begin, past: what each run of files (first, last) covers of a table that has ``size`` rows of each file, all files'
+    rows one after the other. Runs that cover nothing draw nothing. sizes: file_no, size."""
+    offsets = running(sizes.select("file_no", F.col(size).cast("long").alias("__n")), "file_no", "__n", "__begin")
+    begins = offsets.select(F.col("file_no").alias("first"), F.col("__begin").cast("long").alias("begin"))
+    ends = offsets.select(F.col("file_no").alias("last"), (F.col("__begin") + F.col("__n")).cast("long").alias("past"))
+    return runs_.join(begins, "first").join(ends, "last").where("past > begin").select("first", "last", "begin", "past")
+
+
+#: Texels in a row of a texture (fixed value).
+TEXELS = 2048
+
+
+def texels(rows: DataFrame, width: int = TEXELS) -> DataFrame:
+    """page, place and the words of every visual row for a texture of rows of ``width`` texels: low, file, packed and high.
+
+    rows: row (over all files), file_id, off (of the row's first character, over all files), indent (of its line), col0 and row_len.
+    The offset has 64 bits and takes two words; only a line's first row is indented.
+    """
+    low = F.col("off").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+    indent = F.when(F.col("col0") == 0, F.col("indent")).otherwise(0).cast("long")
+    return rows.select(F.floor(F.col("row") / width).alias("page"), (F.col("row") % width).alias("place"), low.alias("low"), F.col("file_id").alias("file"), packed_row(indent, F.col("row_len")).alias("packed"), F.shiftrightunsigned(F.col("off").cast("long"), 32).alias("high"))
+
+
+def padded_pages(texels_: DataFrame, width: int = TEXELS) -> DataFrame:
+    """page and words: whole rows of the texture, four words a texel, zeros where there is none. A row has ``width`` texels, whatever
+    the corpus, so one is a group of bounded size."""
+    word = F.array(*(F.col(c).cast("long") for c in ("low", "file", "packed", "high")))
+    held = texels_.groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct(F.col("place").cast("int"), word))).alias("held"))
+    blank = F.array_repeat(F.lit(0).cast("long"), 4)
+    return held.select("page", F.flatten(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("held", i), blank))).alias("words"))
 
 
 def label(path: Column, line: Column, name: Column, hits: Column, lod: Column) -> Column:
@@ -163,6 +225,62 @@ def tag_fits(tag: Column, width: Column, height: Column, scale: float, char: flo
     """Is a directory large enough on the screen for its tag: least pixels on the shorter side, and the tag on a share of its width?"""
     return tag.isNotNull() & (F.least(width, height) * scale >= least) & (F.length(tag) * char + 2 * pad <= share * width * scale)
 
+#: Steps aside that a tag takes at most before it is given up (fixed value), and the pixels of a grid cell that tags are looked up by.
+SLIDES, TAG_CELL = 8, 128.0
+
+
+def clipped(box: Column, left: float, top: float, right: float, bottom: float) -> Column:
+    """A screen box (struct x0, y0, x1, y1) cut to the part of the screen that may hold it."""
+    sides = (("x0", F.greatest, left), ("y0", F.greatest, top), ("x1", F.least, right), ("y1", F.least, bottom))
+    return F.when(box.isNotNull(), F.struct(*(pick(box[c], F.lit(bound)).alias(c) for c, pick, bound in sides)))
+
+
+def _slid(spot: Column, placed: Column, tag: Column, gap: float) -> Column:
+    """One step of a tag: it stays where no placed tag is in its way, else it goes behind the first one placed that is, or, where
+    its box ends, to the box's left in the next row."""
+
+    def in_way(b: Column) -> Column:
+        return (spot["x"] < b["x1"]) & (spot["x"] + tag["w"] > b["x0"]) & (spot["y"] < b["y1"]) & (spot["y"] + tag["h"] > b["y0"])
+
+    behind = F.get(F.filter(placed, in_way), F.lit(0))["x1"] + gap
+    wraps = behind + tag["w"] > tag["x1"]
+    x = F.when(behind.isNull(), spot["x"]).when(wraps, tag["x0"]).otherwise(behind)
+    y = F.when(behind.isNotNull() & wraps, spot["y"] + tag["h"] + gap).otherwise(spot["y"])
+    return F.when(spot["free"], spot).otherwise(F.struct(x.alias("x"), y.alias("y"), behind.isNull().alias("free")))
+
+
+def placed_tags(tags: DataFrame, gap: float, slides: int = SLIDES) -> DataFrame:
+    """place, x, y of the tags that find a spot, one after the other in the order of their places (unique): each at the top left of
+    its box, or slid along past the tags that are in its way. tags: place, x0, y0, x1, y1 (the box), w, h (the tag).
+
+    Only tags whose reaches meet can be in each other's way, and these meet in the cells of a grid. A round places all tags for
+    which every earlier one within reach has been settled, so there are as many rounds as a chain of such tags is long: for
+    directories their depth.
+    """
+    fits = tags.where((F.col("x1") - F.col("x0") >= F.col("w")) & (F.col("y1") - F.col("y0") >= F.col("h"))).select("place", "x0", "y0", "x1", "y1", "w", "h")
+    fits = cut(fits.withColumn("low", F.least("y1", F.col("y0") + (slides + 1) * F.col("h") + slides * gap)))
+    cells = [F.explode(F.sequence(F.floor(F.col(a) / TAG_CELL), F.floor(F.col(b) / TAG_CELL))) for a, b in (("x0", "x1"), ("y0", "low"))]
+    spread = fits.select("place", "x0", "y0", "x1", "low", cells[0].alias("cx")).join(fits.select("place", cells[1].alias("cy")), "place")
+    earlier = spread.select("cx", "cy", *(F.col(c).alias(f"e_{c}") for c in ("place", "x0", "y0", "x1", "low")))
+    meet = (F.col("e_place") < F.col("place")) & (F.col("e_x0") < F.col("x1")) & (F.col("x0") < F.col("e_x1")) & (F.col("e_y0") < F.col("low")) & (F.col("y0") < F.col("e_low"))
+    before = cut(spread.join(earlier, ["cx", "cy"]).where(meet).select("place", F.col("e_place").alias("other")).distinct())
+    none = fits.where(F.lit(False)).select("place", F.col("x0").alias("x"), F.col("y0").alias("y"), "w", "h")
+    settled, open_ = cut(none), fits
+    while not open_.isEmpty():
+        waits = before.join(open_.select(F.col("place").alias("other")), "other", "left_semi").select("place").distinct()
+        ready = open_.join(waits, "place", "left_anti")
+        there = settled.where("x IS NOT NULL").select(F.col("place").alias("other"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("w")).alias("x1"), (F.col("y") + F.col("h")).alias("y1"))
+        near = before.join(there, "other").groupBy("place").agg(F.array_sort(F.collect_list(F.struct("other", "x0", "y0", "x1", "y1"))).alias("near"))
+        tag = F.struct("x0", "y0", "x1", "y1", "w", "h")
+        start = F.struct(F.col("x0").alias("x"), F.col("y0").alias("y"), F.lit(False).alias("free"))
+        met = ready.join(near, "place", "left").withColumn("near", F.coalesce("near", F.array().cast("array<struct<other:long,x0:double,y0:double,x1:double,y1:double>>")))
+        spot = F.aggregate(F.sequence(F.lit(1), F.lit(slides)), start, lambda spot, _: _slid(spot, F.col("near"), tag, gap))
+        found = met.withColumn("spot", spot).withColumn("stays", F.col("spot.free") & (F.col("spot.y") + F.col("h") <= F.col("y1")))
+        settled = cut(settled.unionByName(found.select("place", F.when(F.col("stays"), F.col("spot.x")).alias("x"), F.when(F.col("stays"), F.col("spot.y")).alias("y"), "w", "h")))
+        open_ = fits.join(settled.select("place"), "place", "left_anti")
+    return settled.where("x IS NOT NULL").select("place", "x", "y")
+
+
 
 def render_errors(frames: DataFrame, key: str) -> DataFrame:
     """Of each key: mean error over all pixels and over inked ones, least time, mean and largest sparkle."""

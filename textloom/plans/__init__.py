@@ -1,6 +1,6 @@
 """All registered queries: importing the modules registers them."""
 
-from textloom.plans import book, camera, export, instances, layout, rules, search, sources, text, view, widths
+from textloom.plans import book, boxes, camera, export, instances, layout, rules, search, sources, stored, text, view, widths
 from textloom.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "book", "camera", "export", "instances", "layout", "rules", "search", "sources", "text", "view", "widths"]
+__all__ = ["QUERIES", "SQL", "book", "boxes", "camera", "export", "instances", "layout", "rules", "search", "sources", "stored", "text", "view", "widths"]

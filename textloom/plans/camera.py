@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.operators import layout as Y
-from textloom.operators import spatial
+from textloom.operators import order, spatial
 from textloom.operators.camera import FIELD, clamped, focus_height, zoom_limits
 from textloom.plans.layout import FLOW, flow_boxes
 from textloom.plans.registry import query
 from textloom.plans.view import FLAT, POINTS, SCENE, TILTED, points, scene
+from textloom.session import cut
 from textloom.sources import corpora
 
 FAR = 50.0  # a zoom at which lines are high
@@ -107,13 +108,13 @@ def f_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.operators import view
 
     w, h = Y.world()
-    placed = scene(spark, sf_dir)
+    placed = cut(scene(spark, sf_dir))
     weights = corpora.prose(spark, sf_dir).select("file_id", (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1).alias("weight"), F.lit(2).alias("depth"))
     tops = view.heights(weights).select("file_id", (F.col("base") + F.col("height")).alias("top"))
     met = spatial.at_points(points(spark, sf_dir), placed, w, h).select("event_id", "file_id", "pitch").join(tops, "file_id")
-    median = placed.agg(F.percentile("pitch", 0.5).alias("median"))
-    rows = points(spark, sf_dir).select("event_id").join(met, "event_id", "left").crossJoin(F.broadcast(median))  # one row
-    pitch = F.coalesce("pitch", "median")
+    (median,) = order.quantiles(placed, "pitch", [0.5])
+    rows = points(spark, sf_dir).select("event_id").join(met, "event_id", "left")
+    pitch = F.coalesce("pitch", F.lit(median))
     fit = FLAT.fitted((w, h)).zoom
     zoom = clamped((F.col("event_id") % 60 * 10).cast("double"), fit, pitch)
     return rows.select("event_id", F.round(pitch, 6).alias("ref_pitch"), F.round(zoom_limits(fit, pitch)[1], 6).alias("most"), F.round(zoom, 6).alias("zoom"), F.round(focus_height(F.col("top"), F.col("pitch"), FAR, TILTED.focus), 6).alias("focus"))

@@ -22,7 +22,7 @@ COLOURS = ("4e79a7", "f28e2b", "59a14f", "b07aa1", "9c755f")
 
 GEO = f"""
 geo AS (SELECT file_id, x0, y0, x1, y1, pitch, rows, colw, pitch * {ZOOM} AS ppl, ((pitch * {ZOOM} >= 1)::INT + (pitch * {ZOOM} >= 3)::INT + (pitch * {ZOOM} >= 6)::INT)::BIGINT AS lod, {SEEN} AS seen FROM flow JOIN settled USING (file_id)),
-places AS (SELECT event_id AS item_id, event_id % 400 AS file_id, event_id % 7 AS kind, (event_id * 7) % 90 AS s, (event_id * 7) % 90 + 1 + event_id % 45 AS e FROM events),
+places AS (SELECT event_id AS item_id, event_id % (SELECT count(*) FROM documents) AS file_id, event_id % 7 AS kind, (event_id * 7) % 90 AS s, (event_id * 7) % 90 + 1 + event_id % 45 AS e FROM events),
 spans AS (SELECT p.*, unnest(range(s // rows, (e - 1) // rows + 1)) AS col, x0, y0, pitch, rows, colw * {1 + Y.GAP!r} AS wide, ppl, lod, seen FROM places p JOIN geo USING (file_id)),
 rects AS (SELECT item_id, file_id, kind, col, ppl, lod, seen, x0 + col * wide AS bx0, y0 + pitch * (1 + CASE WHEN col = s // rows THEN s - col * rows ELSE 0 END) AS by0, x0 + col * wide + wide / {1 + Y.GAP!r} AS bx1, y0 + pitch * (1 + CASE WHEN col = (e - 1) // rows THEN e - col * rows ELSE rows END) AS by1 FROM spans)
 """
@@ -39,10 +39,11 @@ def drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items of the first documents: one for each event, over rows of its own."""
+    """Items of all documents: one for each event, over rows of its own."""
     e = F.col("event_id")
     s = (e * 7) % 90
-    return corpora.table(spark, sf_dir, "events").select(e.alias("item_id"), (e % 400).alias("file_id"), (e % 7).alias("kind"), s.alias("s"), (s + 1 + e % 45).alias("e"))
+    count = corpora.prose(spark, sf_dir).count()
+    return corpora.table(spark, sf_dir, "events").select(e.alias("item_id"), (e % count).alias("file_id"), (e % 7).alias("kind"), s.alias("s"), (s + 1 + e % 45).alias("e"))
 
 
 @query(f"WITH {SETTLED}, {FLOW}, {GEO} SELECT item_id, col::BIGINT AS col, file_id, {_BOX} FROM rects")

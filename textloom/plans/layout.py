@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from textloom.operators import layout as Y
 from textloom.operators import lines as L
+from textloom.operators import order
 from textloom.operators import tokens as K
 from textloom.plans.registry import query
 from textloom.plans.text import LINES, doc_lines, long
+from textloom.session import cut
 from textloom.sources import corpora
 
 W, H = 40.0, 30.0  # every file's box where a query needs boxes of one size
@@ -64,12 +66,9 @@ WITH {LINES}, {WIDTHS}, {FIT}, s AS (SELECT pitch, file_id, sum(n) OVER (ORDER B
 SELECT round(min_by(pitch, upto), 6) AS median_pitch FROM s WHERE upto >= total / 2
 """)
 def a_median_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pitch of the file that has the median line: counts by pitch first, so the running sum is over pitches."""
-    pitches = Y.with_columns_fit(boxes(spark, sf_dir)).groupBy("pitch").agg(F.sum("n").alias("n"))
-    from pyspark.sql import Window
-
-    upto = pitches.select("pitch", F.sum("n").over(Window.orderBy("pitch")).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    return upto.where("upto >= total / 2").agg(F.round(F.min("pitch"), 6).alias("median_pitch"))
+    """The pitch of the file that has the median line, found by counts of lines in ranges of pitches."""
+    pitches = cut(Y.with_columns_fit(boxes(spark, sf_dir)).select("pitch", "n"))
+    return spark.range(1).select(F.round(F.lit(order.weighted_median(pitches, "pitch", "n")), 6).alias("median_pitch"))
 
 
 def _settle(rounds: int = 4) -> str:
@@ -204,11 +203,6 @@ def doc_treemap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.treemap(weighed.select("path", F.greatest("runs", F.lit(1)).cast("double").alias("weight"), F.size(F.split("text", "\n")).cast("long").alias("lines")))
 
 
-@query()
-def l_treemap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doc_treemap(spark, sf_dir)
-
-
 @query("SELECT * FROM (VALUES ('area', 0::BIGINT), ('containment', 0), ('overlap', 0)) AS t(rule, violations)")
 def c_treemap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Broken rules of the treemap: children inside their parents, no overlap among siblings, areas in proportion to weights."""

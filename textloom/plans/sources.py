@@ -86,7 +86,7 @@ def t_code_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.groupBy("file_id", "kind").agg(F.count("*").alias("runs"), F.sum("len").alias("chars"))
 
 
-@query(f"WITH {DOCS}, {ITEMS}, k AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY first, past DESC) AS k FROM items) SELECT file_id, k AS item_no, name FROM k")
+@query(f"WITH {DOCS}, {ITEMS}, k AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY first, past, kind, name) AS k FROM items) SELECT file_id, k AS item_no, name FROM k")
 def o_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Definitions of each file in their order."""
     return long(code.ordered(code.items(files(spark, sf_dir))).select("file_id", "item_no", "name"))

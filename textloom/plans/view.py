@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from textloom.operators import layout as Y
 from textloom.operators import search as S
-from textloom.operators import spatial, view
+from textloom.operators import order, spatial, view
 from textloom.operators.camera import Camera
-from textloom.plans.layout import FLOW, SETTLED, boxes, flow_boxes
+from textloom.plans.layout import FLOW, SETTLED, WRAPPED, H, W, boxes, flow_boxes, visual_rows
 from textloom.plans.registry import query
 from textloom.plans.search import HITS, WORD
 from textloom.plans.text import doc_lines, long
+from textloom.session import cut
 from textloom.sources import corpora
 
 VIEW = (100.0, 100.0, 700.0, 420.0)
@@ -105,20 +106,6 @@ def j_file_at_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.at_points(points(spark, sf_dir), flow_boxes(spark, sf_dir), w, h).select("event_id", "file_id")
 
 
-@query(f"""
-WITH {FLOW}, {POINTS}, rects AS (SELECT 1::BIGINT AS dir_id, 1 AS depth, 0.0 AS x0, 0.0 AS y0, 1600.0 AS x1, 900.0 AS y1 UNION ALL SELECT 100 + i, 2, 100.0 * i, 50.0, 100.0 * i + 90, 800.0 FROM range(0, 16) AS r(i) UNION ALL SELECT 200 + i, 3, 100.0 * i + 10, 60.0, 100.0 * i + 50, 400.0 FROM range(0, 16) AS r(i)),
-met AS (SELECT event_id, dir_id, row_number() OVER (PARTITION BY event_id ORDER BY depth DESC, dir_id) AS k FROM points JOIN rects ON x0 <= x AND x < x1 AND y0 <= y AND y < y1)
-SELECT event_id, dir_id FROM met WHERE k = 1
-""")
-def j_deepest_at_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The deepest directory around each point."""
-    w, h = Y.world()
-    rows = [(1, 1, 0.0, 0.0, 1600.0, 900.0)] + [(100 + i, 2, 100.0 * i, 50.0, 100.0 * i + 90, 800.0) for i in range(16)] + [(200 + i, 3, 100.0 * i + 10, 60.0, 100.0 * i + 50, 400.0) for i in range(16)]
-    rects = spark.createDataFrame(rows, "dir_id long, depth int, x0 double, y0 double, x1 double, y1 double")
-    met = spatial.at_points(points(spark, sf_dir), rects, w, h)
-    return met.groupBy("event_id").agg(F.min(F.struct((-F.col("depth")).alias("d"), "dir_id")).alias("m")).select("event_id", F.col("m.dir_id").alias("dir_id"))
-
-
 @query("""
 WITH r AS (SELECT event_id AS id, user_id % 7 AS g, (event_id * 37 % 1500)::DOUBLE AS x0, (event_id * 53 % 850)::DOUBLE AS y0, (event_id * 37 % 1500 + 12)::DOUBLE AS x1, (event_id * 53 % 850 + 9)::DOUBLE AS y1 FROM events)
 SELECT a.id AS a, b.id AS b FROM r a JOIN r b ON a.g = b.g AND a.id < b.id AND a.x0 < b.x1 - 1e-6 AND b.x0 < a.x1 - 1e-6 AND a.y0 < b.y1 - 1e-6 AND b.y0 < a.y1 - 1e-6
@@ -147,16 +134,48 @@ def p_packed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", word.alias("word"), word.bitwiseAND(F.lit(65535).cast("long")).alias("low"), F.round(view.band_alpha(ppl), 6).alias("alpha"), F.round(view.bar_ink(0.2, 0.7, ppl), 6).alias("ink"))
 
 
-@query(f"""
-WITH {FLOW}, {POINTS}, met AS (SELECT event_id, file_id, x - x0 AS dx, y - y0 AS dy FROM points JOIN flow ON x0 <= x AND x < x1 AND y0 <= y AND y < y1)
-SELECT event_id, file_id, (floor(dx / 5.0) * 30 + floor(dy / 0.5) - 1)::BIGINT AS row, floor((dx - floor(dx / 5.0) * 5.0) / (0.5 * 0.571))::BIGINT AS col FROM met
-""")
+#: Files side by side in boxes of the size that their columns are settled for, PER of them in a row, and points over all of them.
+PER = 40
+TILES = f"""
+tiles_h AS (SELECT (max(doc_id) // {PER} + 1) * {H} AS h FROM documents),
+over AS (SELECT event_id, (event_id * 37 % {int(PER * W) * 10}) / 10.0 + 0.05 AS x, (event_id * 53 % (h * 10)::BIGINT) / 10.0 + 0.05 AS y FROM events, tiles_h)
+"""
+
+
+def tiled(files: DataFrame) -> DataFrame:
+    """files (file_id, ...) with their boxes side by side."""
+    x, y = F.col("file_id") % PER * W, F.floor(F.col("file_id") / PER) * H
+    return files.withColumns({"x0": x, "y0": y, "x1": x + W, "y1": y + H})
+
+
+def points_over(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, float]:
+    """point_id, x, y of a point for each event, over all files' boxes, and how high these are together."""
+    last = corpora.prose(spark, sf_dir).agg(F.max("file_id")).first()[0] or 0
+    height = (last // PER + 1) * H
+    e = F.col("event_id")
+    x, y = e * 37 % (int(PER * W) * 10) / 10.0 + 0.05, e * 53 % int(height * 10) / 10.0 + 0.05
+    return corpora.table(spark, sf_dir, "events").select(e.alias("point_id"), x.cast("double").alias("x"), y.cast("double").alias("y")), height
+
+
+def hover_sql(files: str, rows: str, wide: str, row_x: str, within: str) -> str:
+    """What is under the points, in SQL: files has k, rows, pitch; rows has row_in_file, line_no, col0."""
+    return f"""
+met AS (SELECT event_id, s.*, x, y, (s.file_id % {PER}) * {W} AS x0, (s.file_id // {PER}) * {H} AS y0, {wide} AS wide FROM over JOIN {files} s ON s.file_id = floor(y / {H})::BIGINT * {PER} + floor(x / {W})::BIGINT),
+spot AS (SELECT *, least(greatest(floor((x - x0) / wide), 0), greatest(k - 1, 0)) AS c, floor((y - y0 - pitch) / pitch) AS down FROM met),
+at_ AS (SELECT *, CASE WHEN down >= 0 AND down < rows THEN (c * rows + down)::BIGINT END AS j FROM spot),
+told AS (SELECT a.event_id, a.file_id, a.x, a.x0, a.wide, a.c, a.pitch, v.line_no, v.col0, {row_x} AS row_x, v.* EXCLUDE (file_id, line_no, col0, rows, pitch, colw) FROM at_ a LEFT JOIN {rows} v ON v.file_id = a.file_id AND v.row_in_file = a.j)
+SELECT event_id AS point_id, file_id, coalesce(line_no, -1) AS line_no, CASE WHEN line_no IS NULL THEN floor((x - x0 - c * wide) / (pitch * {Y.CHAR})) ELSE col0 + {within} END::BIGINT AS col FROM told
+"""
+
+
+@query(f"WITH {SETTLED}, {WRAPPED}, {TILES}, " + hover_sql("settled", "vrows", f"colw * {1 + Y.GAP!r}", f"x0 + (v.row_in_file // a.rows) * wide + CASE WHEN row_in_line = 0 THEN 0 ELSE {Y.HANG * Y.CHAR!r} * a.pitch END", f"greatest(floor((x - row_x) / pitch / {Y.CHAR}), 0)"))
 def f_hover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File, row and character under each point, for columns of 5 by 30 rows of 0.5."""
-    w, h = Y.world()
-    met = spatial.at_points(points(spark, sf_dir), flow_boxes(spark, sf_dir), w, h).withColumns({"pitch": F.lit(0.5), "rows": F.lit(30), "colw": F.lit(5.0)})
-    row, col = view.cell_under(F.col("x"), F.col("y"))
-    return met.select("event_id", "file_id", row.cast("long").alias("row"), col.cast("long").alias("col"))
+    """File, line and character under each point of the settled layout of all documents."""
+    files = tiled(Y.settled(boxes(spark, sf_dir)).select("file_id", "k", "rows", "pitch", (F.col("colw") * (1 + Y.GAP)).alias("colw")))
+    rows = visual_rows(spark, sf_dir).drop("rows", "pitch", "colw").join(files.select("file_id", "rows", "pitch", "colw", "x0", "y0"), "file_id")
+    x, _ = Y.row_position(F.col("x0"), F.col("y0"), F.col("row_in_file"), F.col("rows"), F.col("pitch"), F.col("colw"), F.col("row_in_line") == 0)
+    over, height = points_over(spark, sf_dir)
+    return long(view.hovered(over, files, rows.select("file_id", "row_in_file", "line_no", "col0", x.alias("x")), PER * W, height))
 
 
 @query("""
@@ -205,12 +224,13 @@ WITH f AS (SELECT event_id, value FROM events WHERE event_id >= 5) SELECT round(
 """)
 def a_frame_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean, 99th percentile and maximum after five warm-up rows."""
-    frames = corpora.table(spark, sf_dir, "events").where("event_id >= 5").groupBy("value").agg(F.count("*").alias("n"))
-    return frames.agg(F.round(F.sum(F.col("value") * F.col("n")) / F.sum("n"), 6).alias("mean"), F.round(F.percentile("value", 0.99, F.col("n")), 6).alias("p99"), F.round(F.max("value"), 6).alias("most"))
+    frames = corpora.table(spark, sf_dir, "events").where("event_id >= 5").select("value")
+    (p99,) = order.quantiles(frames, "value", [0.99])
+    return frames.agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.lit(p99), 6).alias("p99"), F.round(F.max("value"), 6).alias("most"))
 
 
 @query(f"WITH {SETTLED} SELECT round(min(pitch), 6) AS least, round(quantile_cont(pitch, 0.5), 6) AS median, round(max(pitch), 6) AS most, round(avg(k), 6) AS columns, count(*) FILTER (WHERE k > 4) AS slivers FROM settled")
 def a_layout_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = Y.settled(boxes(spark, sf_dir)).groupBy("pitch", "k").agg(F.count("*").alias("n"))
-    slivers = F.sum(F.when(F.col("k") > 4, F.col("n")).otherwise(0))
-    return done.agg(F.round(F.min("pitch"), 6).alias("least"), F.round(F.percentile("pitch", 0.5, F.col("n")), 6).alias("median"), F.round(F.max("pitch"), 6).alias("most"), F.round(F.sum(F.col("k") * F.col("n")) / F.sum("n"), 6).alias("columns"), slivers.alias("slivers"))
+    done = cut(Y.settled(boxes(spark, sf_dir)).select("pitch", "k"))
+    (median,) = order.quantiles(done, "pitch", [0.5])
+    return done.agg(F.round(F.min("pitch"), 6).alias("least"), F.round(F.lit(median), 6).alias("median"), F.round(F.max("pitch"), 6).alias("most"), F.round(F.avg("k"), 6).alias("columns"), F.count_if(F.col("k") > 4).alias("slivers"))

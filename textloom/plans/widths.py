@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from textloom.operators import layout as Y
 from textloom.operators import proportional as P
+from textloom.operators import view
 from textloom.plans.layout import H, W
 from textloom.plans.registry import query
 from textloom.plans.text import LINES, doc_lines, long
+from textloom.plans.view import PER, TILES, hover_sql, points_over, tiled
+from textloom.session import cut
 from textloom.sources import corpora
 
 ADV = P.advances()
@@ -144,9 +147,28 @@ def _repaired(rounds: int) -> str:
     return ",\n".join(out)
 
 
-@query(f"WITH {LINES}, {MEASURED}, {_settled(None)}, {_repaired(3)} SELECT file_id, rows::BIGINT AS rows, round(pitch, 6) AS pitch FROM g3")
+@query(f"WITH {LINES}, {MEASURED}, {_settled(None)}, {_repaired(8)} SELECT file_id, rows::BIGINT AS rows, round(pitch, 6) AS pitch FROM g8")
 def l_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows and pitch of each file once the exact wrap of its lines fits, after three rounds at most."""
+    """Rows and pitch of each file once the exact wrap of its lines fits, after eight rounds at most."""
     settled = P.settled(boxes(spark, sf_dir), HANG).select("file_id", "h", "k", "rows", "pitch", "colw", "capw")
-    done = P.repaired(settled, doc_lines(spark, sf_dir).select("file_id", "text"), ADV, HANG, 3)
+    done = P.repaired(settled, doc_lines(spark, sf_dir).select("file_id", "text"), ADV, HANG)
     return done.select("file_id", "rows", F.round("pitch", 6).alias("pitch"))
+
+
+@query(f"""
+WITH {LINES}, {MEASURED}, {_settled(None)}, {TILES},
+turned AS (SELECT lw.file_id, line_no, text, w, capw, colw, pitch, rows, {_breaks("capw")} AS cols FROM lw JOIN fw ON fw.file_id = lw.file_id),
+prows AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY line_no, row_in_line) - 1 AS row_in_file FROM (SELECT file_id, line_no, i AS row_in_line, cols[i + 1] AS col0, coalesce(cols[i + 2], len(w)::BIGINT) - cols[i + 1] AS row_len, i = len(cols) - 1 AS last_row, text, w, capw, colw, pitch, rows FROM (SELECT *, unnest(range(0, len(cols))) AS i FROM turned))),
+jrows AS (SELECT *, CASE WHEN NOT last_row AND gaps > 0 AND target - width > 0 AND target - width < {P.STRETCH} * greatest(target, 1e-9) THEN (target - width) / gaps ELSE 0 END AS add FROM (
+  SELECT *, coalesce(list_sum(w[col0 + 1:col0 + row_len]), 0) AS width, CASE WHEN row_in_line = 0 THEN capw ELSE capw - {HANG} END AS target, length(substr(text, col0 + 1, row_len)) - length(replace(substr(text, col0 + 1, row_len), ' ', '')) AS gaps FROM prows)),
+""" + hover_sql("fw", "jrows", f"a_.colw * {1 + Y.GAP!r}".replace("a_.", ""), f"x0 + (v.row_in_file // a.rows) * wide + CASE WHEN row_in_line = 0 THEN 0 ELSE {HANG} * a.pitch END", "greatest(len(list_filter(range(0, row_len), lambda i: coalesce(list_sum(w[col0 + 1:col0 + i]), 0) + add * (length(left(substr(text, col0 + 1, row_len), i)) - length(replace(left(substr(text, col0 + 1, row_len), i), ' ', ''))) <= (x - row_x) / pitch)) - 1, 0)"))
+def f_hover_by_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File, line and character under each point of the layout in a face with advances of its own, with justified rows."""
+    files = cut(tiled(P.settled(boxes(spark, sf_dir), HANG).select("file_id", "k", "rows", "pitch", "capw", (F.col("colw") * (1 + Y.GAP)).alias("colw"))))
+    lines = doc_lines(spark, sf_dir).select("file_id", "line_no", "text").join(files.select("file_id", F.col("capw").alias("cap"), "rows", "pitch", "colw", "x0", "y0"), "file_id")
+    rows = Y.numbered(P.wrapped(lines, ADV, HANG))
+    rows = rows.withColumns({"row_text": F.expr("substring(text, col0 + 1, row_len)"), "stretch": ~F.col("last_row")})
+    done = P.justified(rows, F.when(F.col("row_in_line") == 0, F.col("cap")).otherwise(F.col("cap") - HANG), ADV)
+    x = F.col("x0") + F.floor(F.col("row_in_file") / F.col("rows")) * F.col("colw") + F.when(F.col("row_in_line") == 0, 0.0).otherwise(HANG * F.col("pitch"))
+    over, height = points_over(spark, sf_dir)
+    return long(view.hovered(over, files, done.select("file_id", "row_in_file", "line_no", "col0", x.alias("x"), "char_x"), PER * W, height))

@@ -6,6 +6,7 @@ import contextlib
 import gc
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -44,16 +45,8 @@ def tidy(spark: SparkSession) -> Iterator[None]:
 
     For operators that store each step with ``cut``: a stored step needs no shuffle files of the steps before it.
     """
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
         yield
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
 
 
 def thin(df: DataFrame, by: int = 8) -> DataFrame:
@@ -68,14 +61,34 @@ def sweep(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder of spark.checkpoint.dir and read back, so that losing an executor loses nothing.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only where the session names none, as in tests, is it one below the warehouse, which is
+    shared as well."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
 
-    The session's setting comes first. Only where neither the context nor the session names a folder, as in tests, is one
-    set: below the warehouse, which is shared as well.
-    """
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for a table that is written and read again."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder and read back, so that losing an executor loses nothing."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
+    """Settings of the session (dots as two underscores) for plans that run inside; what was there before comes back."""
+    named = {k.replace("__", "."): v for k, v in conf.items()}
+    before = {k: spark.conf.get(k, None) for k in named}
+    for k, v in named.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
