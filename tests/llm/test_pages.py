@@ -65,6 +65,103 @@ def test_lists_in_an_article_stay():
     assert H.extract(f"<body>{ARTICLE.replace('article', 'div').replace('<h1>', menu + '<h1>')}</body>") == TEXT
 
 
+@pytest.mark.parametrize("names", ["user-comments", "comments-thread", "post-comments", "reader-comments", "reviews", "comment", "discussionThread"])
+def test_reader_comments_go_whatever_else_they_are_called(names):
+    box = f"<div class='{names}'><p>A reader, who has much, much, much to say here, and on and on.</p></div>"
+    assert H.extract(f"<body>{ARTICLE.replace('</article>', box + '</article>')}{box}</body>") == TEXT
+    assert H.extract(f"<body>{ARTICLE.replace('article', 'div')}{box}</body>") == TEXT
+
+
+def test_all_articles_that_score():
+    other = ARTICLE.replace("A head", "Another").replace("First", "Third")
+    assert H.extract(f"<body>{ARTICLE}{other}</body>") == f"{TEXT} {TEXT.replace('A head', 'Another').replace('First', 'Third')}"
+    assert H.extract(f"<body><div>{ARTICLE}</div><div><article><a href='/'>One more</a></article></div></body>") == TEXT
+    assert H.extract(f"<body>{ARTICLE.replace('</article>', other + '</article>')}</body>").startswith(TEXT)
+
+
+def test_a_lead_paragraph_is_no_teaser_box():
+    assert H.extract(ARTICLE.replace("<p>First", "<p class='teaser'>First")) == TEXT
+    assert H.extract(f"<body>{ARTICLE}<div class='teaser'><p>Also, on this, and on that, and more.</p></div></body>") == TEXT
+
+
+def test_sources_at_the_end_of_a_text():
+    inner = ARTICLE.removeprefix("<article>").removesuffix("</article>")
+    for sources, text in (("<div><a href='/a'>One book</a> <a href='/b'>Another book</a></div>", "One book Another book"), ("<h2>Links</h2><ul><li><a href='/a'>A</a></li><li><a href='/b'>B</a></li></ul>", "Links A B"), ("<p>Sources:</p><ul><li><a href='/a'>A</a></li><li><a href='/b'>B</a></li></ul>", "Sources: A B")):
+        assert H.extract(f"<body><div>{inner}{sources}</div></body>") == f"{TEXT} {text}"
+    menu = "<ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul>"
+    assert H.extract(f"<body><div>{menu}{inner}{menu}</div></body>") == TEXT
+
+
+class Plain:
+    """The scoring again, by recursion over the tree and without shared state: what an element holds is asked for each time."""
+
+    def __init__(self, root):
+        self.root = root
+
+    def kids(self, e):
+        return [x for x in e.inner if isinstance(x, H.Element) and not x.gone]
+
+    def below(self, e):
+        return [e, *(y for x in self.kids(e) for y in self.below(x))]
+
+    def length(self, e):
+        return sum(len(" ".join(x.split())) for x in e.inner if isinstance(x, str)) + sum(self.length(x) for x in self.kids(e))
+
+    def linked(self, e):
+        return self.length(e) if e.tag == "a" else sum(self.linked(x) for x in self.kids(e))
+
+    def commas(self, e):
+        return sum(x.count(c) for x in e.inner if isinstance(x, str) for c in ",，、") + sum(self.commas(x) for x in self.kids(e))
+
+    def density(self, e):
+        return min(1.0, self.linked(e) / self.length(e)) if self.length(e) else 0.0
+
+    def points(self, e):
+        """What a paragraph passes, and to whom at which share."""
+        if e.tag not in H.PARAGRAPHS or not self.length(e) or any(x.tag in H.BLOCK and x.tag != "br" for x in self.kids(e)):
+            return 0, []
+        n = self.length(e)
+        own = e.tag not in ("p", "li", "td", "dd", "pre", "blockquote", "figcaption")
+        chain, up = [], e if own else e.parent
+        for share in (1, 1 / 2, 1 / 6, 1 / 9, 1 / 12):
+            if up is not None:
+                chain.append((up, share))
+                up = up.parent
+        return (min(n / 25, 1) + self.commas(e) + min(n // 100, 3)) * (1 - self.density(e)), chain
+
+    def score(self, e):
+        got = [(p * share) for x in self.below(self.root) for p, chain in [self.points(x)] for to, share in chain if to is e]
+        named = any(to is e for x in self.below(self.root) for to, _ in self.points(x)[1])
+        return (sum(got) + (H.START.get(e.tag, 0) + 25 * e.good if named else 0)) * (1 - self.density(e))
+
+
+def random_page(r, depth=0):
+    tag = r.choice(["div", "p", "section", "ul", "td", "blockquote", "h2", "span", "a", "li", "article", "table"])
+    words = " ".join(r.choice(["alpha", "beta,", "gamma", "delta;", "long word,"]) for _ in range(r.choice((0, 1, 4, 30))))
+    name = r.choice(["", "", "", " class='content'", " id='related-work'", " class='x y'", " class='post'", " class='sidebar'", " class='user-comments'"])
+    inner = "".join(random_page(r, depth + 1) for _ in range(r.randint(0, 4))) if depth < 4 else ""
+    return f"<{tag}{name}>{words}{inner}{'tail,' if r.random() < 0.2 else ''}</{tag}>"
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_scores_by_another_road(seed):
+    r = random.Random(seed)
+    root = H.parse("<body>" + "".join(random_page(r) for _ in range(3)) + "</body>")
+    H._spare(root)
+    order = H._order(root)
+    H._weigh(order)
+    H._score(order)
+    plain = Plain(root)
+    assert [id(e) for e in order] == [id(e) for e in plain.below(root)]
+    for e in order:
+        assert (e.length, e.linked, e.commas) == (plain.length(e), plain.linked(e), plain.commas(e))
+        assert abs(e.score - plain.score(e)) < 1e-9
+    kept = H._best(root, order)
+    best = max(order, key=plain.score)
+    if plain.score(best) > 1e-9 and all(abs(plain.score(best) - plain.score(e)) > 1e-9 for e in order if e is not best):
+        assert any(H._holds(k, best) for k in kept)
+
+
 def test_short_paragraphs_score():
     assert H.extract("<body><div><a href='/'>Home</a> <a href='/x'>More of it</a></div><div><p>Short.</p><p>Shorter.</p></div></body>") == "Short. Shorter."
 
@@ -92,7 +189,7 @@ def test_pages_of_the_table(spark, small):
 
 def test_main_text_edges(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (None, None, "<p>a", "x"), (1, "u", None, "x")], "page_id long, url string, html string, text string")
-    assert sorted((r.page_id or 0, r.url, r.text, r.n_chars) for r in H.main_text(pages).collect() if r.url) == [(1, "u", "", 0)] * 2
+    assert sorted((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in H.main_text(pages).collect()) == [(0, "", "a", 1), (1, "u", "", 0), (1, "u", "", 0)]
     assert H.main_text(pages.limit(0)).count() == 0
 
 

@@ -4,14 +4,16 @@
    list items, stray end tags.
 2. Elements that are no article go: scripts and forms by their tag; menus, headers, sidebars, notices, adverts and reader
    comments by tag, role or a name in class or id that says nothing else, such as "sidebar", "left-sidebar" or "ad-box";
-   hidden ones. Names that say more ("related-work"), or how the page is ("has-sidebar"), only move points. Elements whose
+   hidden ones. Names of discussions go whatever else they say ("user-comments"); a paragraph named as a teaser is a lead and
+   stays. Other names that say more ("related-work"), or how the page is ("has-sidebar"), only move points. Elements whose
    class or id also has a name of articles as a whole are left to their points, and so are those that hold most of the
    page's text outside links, if no article or main element is elsewhere.
 3. Each paragraph passes points for its length and commas to its ancestors, all to the parent, half to the grandparent, a
    third of that share further up; containers start with points by tag and by name. Points are discounted by the share of
-   text that is in links. The best container is kept, widened to the article element around it; without one, with those
-   siblings that have enough points, are real paragraphs, or head it. In an article element every list stays; in another
-   container boxes of links are menus.
+   text that is in links. The best container is kept, widened to the article element around it, with all other articles of the
+   page that have enough points; without an article, with those siblings that have enough points, are real paragraphs, or head
+   it. In an article element every list stays; in another container boxes of links are menus, but for those behind a
+   paragraph that a heading or a colon introduces, or whose links have two words and more: sources of a text.
 4. References are decoded, white space in a block becomes one space, and blocks are joined in page order by one space.
 
 Defined cases: null and empty pages, and pages without visible text, give the empty text. A page without markup is one
@@ -60,7 +62,9 @@ PLACES = set(
 )
 STATES = set("active are closed disabled enabled has have hide is no not off on open opened show shows with without".split())
 LIKELY = set("article body content entry hentry main page post story text blog column".split())
-DISCUSSION = set("comment comments commentlist discussion disqus replies responses".split())
+DISCUSSION = set("comment comments commentlist discussion disqus replies responses reviews".split())
+#: Names that a paragraph may have and still be one of the text.
+LEADS = {"teaser"}
 START = {"article": 10, "main": 10, "section": 3, "div": 5, "pre": 3, "td": 3, "blockquote": 3} | dict.fromkeys("address ol ul dl dd dt li".split(), -3) | dict.fromkeys("h1 h2 h3 h4 h5 h6 th".split(), -5)
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = set("p pre td blockquote div section li dd figcaption article main body center".split())
@@ -110,15 +114,17 @@ def _judge(e: Element, attributes: dict[str, str]) -> None:
         words = _words(name)
         if words & STATES:
             continue
-        found = words & UNLIKELY
-        if found and not words - UNLIKELY - PLACES - {name.lower()} and not name.lower() in LIKELY:
+        found = words & (UNLIKELY | DISCUSSION)
+        if found & DISCUSSION or found and not words - UNLIKELY - PLACES - {name.lower()} and not name.lower() in LIKELY:
             bad |= found
         points -= bool(found)
         points += bool(words & LIKELY) and not found
     e.good = min(1, max(-1, points))
-    if bad and tag not in ("html", "body", "main") and not (tag == "article" and not bad & {"comment", "comments"}) and not (tag in ("header", *HEADINGS) and "header" in bad):
+    if tag == "p":
+        bad -= LEADS
+    if bad and tag not in ("html", "body", "main") and not (tag == "article" and not bad & DISCUSSION) and not (tag in ("header", *HEADINGS) and "header" in bad):
         # a name such as "comments-body" or "ad-text" is still that of a comment or an advert
-        e.gone = not any(name.lower() in LIKELY for name in names) or any(name.lower() in DISCUSSION for name in names)
+        e.gone = not any(name.lower() in LIKELY for name in names) or bool(bad & DISCUSSION)
         e.named = e.gone and not bad & DISCUSSION
 
 
@@ -265,15 +271,27 @@ def _score(order: list[Element]) -> None:
         e.score *= 1 - _density(e)
 
 
+def _article(e: Element | None) -> Element | None:
+    """The article or main element around an element, itself included."""
+    while e is not None and e.tag not in ("article", "main"):
+        e = e.parent
+    return e
+
+
+def _holds(outer: Element, e: Element | None) -> bool:
+    while e is not None and e is not outer:
+        e = e.parent
+    return e is outer
+
+
 def _best(root: Element, order: list[Element]) -> list[Element]:
     top = max(order, key=lambda e: e.score, default=root)
     if top.score <= 0:
         return [next((e for e in order if e.tag in ("article", "main") and e.length), next((e for e in order if e.tag == "body" and e.length), root))]
-    e = top
-    while e is not None and e.tag not in ("article", "main"):
-        e = e.parent
-    if e is not None:
-        return [e]
+    around = _article(top)
+    if around is not None:
+        # further articles of the page, those in another one left to it
+        return [x for x in order if x is around or x.tag == "article" and _article(x.parent) is None and not _holds(around, x) and x.score >= max(ENOUGH, 0.2 * around.score)]
     if top.parent is None or top.parent.parent is None or top.tag == "body":
         return [top]
     kept, enough = [], max(ENOUGH, 0.2 * top.score)
@@ -288,20 +306,59 @@ def _best(root: Element, order: list[Element]) -> list[Element]:
 
 
 def _is_links(e: Element) -> bool:
-    """A list or box of links, such as a menu."""
+    """A list or box of links."""
     return e.tag in ("ul", "ol", "dl", "div", "section", "table") and e.length > 0 and _density(e) > 0.8 and e.linked > 0 and sum(isinstance(x, Element) for x in e.inner) > 1
 
 
+def _links(e: Element) -> tuple[int, int]:
+    """How many links there are below an element, and how many words they have."""
+    count = words = 0
+    stack: list[tuple[Element | str, bool]] = [(e, False)]
+    while stack:
+        x, inside = stack.pop()
+        if isinstance(x, str):
+            words += len(x.split()) if inside else 0
+        elif not x.gone:
+            count += x.tag == "a"
+            stack.extend((y, inside or x.tag == "a") for y in x.inner)
+    return count, words
+
+
+def _is_menu(e: Element, before: Element | str | None, read: bool) -> bool:
+    """A box of links is a menu, unless text was read before and it has a heading or a colon in front, or links of several words."""
+    if not _is_links(e):
+        return False
+    if not read or e.good < 0:
+        return True
+    if isinstance(before, Element):
+        if before.tag in HEADINGS:
+            return False
+        last = "".join(x for x in before.inner if isinstance(x, str))
+    else:
+        last = before or ""
+    if last.rstrip().endswith(":"):
+        return False
+    count, words = _links(e)
+    return words < 2 * count
+
+
 def _text(kept: list[Element]) -> str:
     out: list[str] = []
     chosen = {id(e) for e in kept}
     article = kept[0].tag in ("article", "main")
     stack: list[Element | str] = list(reversed(kept))
+    before: Element | str | None = None  # what was read last: a heading, a paragraph or text beside elements
+    read = False  # a paragraph was
     while stack:
         x = stack.pop()
         if isinstance(x, str):
             out.append(x)
-        elif not x.gone and (article or id(x) in chosen or not _is_links(x)):
+            if x.strip() and not (isinstance(before, Element) and before.tag in (*HEADINGS, "p")):
+                before = x
+        elif not x.gone and (article or id(x) in chosen or not _is_menu(x, before, read)):
+            if x.tag in HEADINGS or x.tag == "p":
+                before = x
+                read = read or x.tag == "p" and x.length > 0 and _density(x) < 0.5
             edge = x.tag in BLOCK
             if edge:
                 out.append(" ")
