@@ -2,18 +2,21 @@
 
 * The fit takes a bounded sample of labelled rows (``max_rows`` rows and ``max_bytes`` of text of each class, the rows of
   least hash), so the model that is broadcast has a proven size: at most a word and a bigram for every two bytes.
-* A class's probability of a word after another is its discounted share of the class's bigrams (raw counts, absolute
-  discount); what the discount leaves goes to the bigrams of both classes together, then to the class's continuation counts
-  (after how many different words a word comes), then to the words of the whole corpus. Expressions that fewer than RARE
-  texts of a class have get no share of their own: there both classes have the shared backoff counts.
+* Counts are Kneser-Ney's: not how often an expression comes but in how many texts. Both classes share the counts of all texts:
+  a class would have its part of them by chance. From what a class has more or less than that, as much is discounted as chance
+  brings (CHANCE standard deviations of the shared count, more in larger samples), and backs off to the shared counts. So a rare
+  expression, or one that is as common in both classes, is as likely under either.
+* A word after another has its discounted share of the bigrams (the discount is that of the counts of counts), as far as the class
+  tells it from the shared one; what is left goes to the class's words, and these back off to the words of the whole corpus.
 * The corpus counts grow with the input: how often each word of the model occurs in all documents. Only their restriction to
   the model's words is broadcast.
-* A score is a logistic function of length-normalised log-likelihood ratios: of the whole text, and of its best passage of
-  each length in ``SPANS``. It is fitted to ratios from models that have not seen the text.
+* A score is a logistic function of the length-normalised log-likelihood ratio of the whole text, and of that of its best passage
+  of PASSAGE words, about a sentence. It is fitted to ratios from models that have not seen the text.
 
 Defined cases: a null, empty or blank text has no words, so all ratios are 0 and the score is that of a text without
-evidence. A null doc_id is kept, is not held out and is never sampled. Repeated rows are scored alike, one row each. With
-no labelled rows of one class all scores are 0. An empty table gives an empty result. Other columns are ignored.
+evidence. A null doc_id is kept, is not held out and is never sampled. Repeated rows are scored alike, one row each; of rows of
+one doc_id the sample takes all, within its bounds. With no labelled rows of one class all scores are 0. An empty table gives an
+empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,10 +34,8 @@ from pyspark.sql import functions as F
 from textloom.llm import kernels as K
 from textloom.llm.common import cut
 
-DISCOUNT = 0.75
-#: Shared bigrams that every context has besides its own, and texts below which an expression is rare.
-STRENGTH, RARE = 300.0, 10
-SPANS = (2, 4, 8, 16, 32)
+#: Standard deviations that chance brings in a sample of e texts of the smaller class (their square grows with the log); words of a passage.
+CHANCE, PASSAGE = 1.1, 16
 FOLDS = 3
 #: Bounds of the labelled sample, of each class: rows, and bytes of text.
 MAX_ROWS = (6144, 2048)
@@ -45,30 +46,14 @@ CLASSES = ("ordinary", "toxic")
 _U = np.uint64
 
 
-@dataclass
-class Shares:
-    """Of each bigram of the model its discounted share of its context; of each context what is left for the backoff."""
-
-    pair: np.ndarray
-    left: np.ndarray
-
-
-@dataclass
-class Continuation:
-    """Of each word of the model its discounted share of the continuations; what is left for the corpus counts."""
-
-    word: np.ndarray
-    rest: float
-
-
 @dataclass
 class Model:
     vocab: np.ndarray  # sorted word hashes
     bigrams: np.ndarray  # sorted keys, see _pairs
-    classes: list[Shares]
-    shared: Shares
-    follow: list[Continuation]
-    base: np.ndarray  # of each word, its share of the corpus
+    share: np.ndarray  # of each bigram, its discounted share of its context
+    left: np.ndarray  # of each context, what is left for the words
+    words: tuple[np.ndarray, np.ndarray]  # of each class, each word's probability
+    tilts: tuple[np.ndarray, np.ndarray]  # of each class, how much likelier a bigram is after its context than in both
     weights: np.ndarray | None = None  # of the logistic function
 
 
@@ -88,12 +73,12 @@ def word_hashes(texts: K.Texts) -> tuple[np.ndarray, np.ndarray]:
     lower[upper] += 32
     folded = K.Texts(texts.first, lower, texts.offs)
     w = K.words(folded)
+    # from the first to the last byte of each word that is no mark; a word of marks alone stays
+    plain = np.flatnonzero(~_MARK[lower])
+    low, high = np.searchsorted(plain, w.starts), np.searchsorted(plain, w.ends) - 1
+    some = high >= low
     starts, ends = w.starts.copy(), w.ends.copy()
-    for _ in range(3):  # words rarely carry more marks than that, and the rest stay parts of the word
-        long = ends - starts > 1
-        starts += long & _MARK[lower[starts]]
-        long = ends - starts > 1
-        ends -= long & _MARK[lower[ends - 1]]
+    starts[some], ends[some] = plain[low[some]], plain[high[some]] + 1
     return folded.span_hash(starts, ends), w.offs
 
 
@@ -119,13 +104,6 @@ def _distinct(items: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return item[new], of[new]
 
 
-def common_words(hashes: np.ndarray, offs: np.ndarray, rare: int = RARE) -> np.ndarray:
-    """The sorted words that at least ``rare`` texts have."""
-    words, ids = np.unique(hashes, return_inverse=True)
-    doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-    return words[np.bincount(_distinct(ids.reshape(-1), doc)[0], minlength=len(words)) >= rare]
-
-
 def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts, and the first word of each."""
     hashes, offs = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
@@ -136,54 +114,73 @@ def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(offs)
 
 
-def fit(texts: pa.Array, labels: np.ndarray, corpus: tuple[np.ndarray, np.ndarray] | None = None, total: int = 0, discount: float = DISCOUNT, strength: float = STRENGTH, rare: int = RARE) -> Model:
+def fit(texts: pa.Array, labels: np.ndarray, corpus: tuple[np.ndarray, np.ndarray] | None = None, total: int = 0, chance: float = CHANCE) -> Model:
     """The two models of the texts; corpus: sorted words and how often all documents have them, of ``total`` words. Without
     corpus its counts are those of the texts."""
-    return _fit(*_hashed(texts), labels, corpus, total, discount, strength, rare)
+    return _fit(*_hashed(texts), labels, corpus, total, chance)
+
+
+def _tilts(items: np.ndarray, doc: np.ndarray, labels: np.ndarray, size: int, chance: float) -> tuple[np.ndarray, np.ndarray]:
+    """How many texts have each item, and of each class how much of its chance part it has once chance is discounted; doc rises."""
+    item, of = _distinct(items, doc)
+    count = np.array([np.bincount(item[labels[of] == c], minlength=size) for c in (0, 1)], float)
+    every = count.sum(0)
+    part = every * (count.sum(1) / max(1, len(item)))[:, None]
+    more = count - part
+    smaller = np.bincount(labels, minlength=2).min()
+    discount = chance * np.sqrt(np.log(max(2, smaller))) * np.sqrt(part + 1)
+    kept = part + np.sign(more) * np.maximum(np.abs(more) - discount, 0)
+    return every, np.divide(kept, part, out=np.ones_like(part), where=part > 0)
 
 
-def _fit(hashes: np.ndarray, offs: np.ndarray, labels: np.ndarray, corpus: tuple[np.ndarray, np.ndarray] | None, total: int, discount: float = DISCOUNT, strength: float = STRENGTH, rare: int = RARE) -> Model:
+def _selected(hashes: np.ndarray, offs: np.ndarray, labels: np.ndarray, chance: float = CHANCE) -> tuple:
+    """Words and bigrams of the texts, with their counts and tilts, and which of them the model has: those that a class tells apart."""
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
     words, ids = np.unique(hashes, return_inverse=True)
     size = len(words)
     ids = ids.reshape(-1).astype(np.int64)
-    left, key = _pairs(ids, offs, size)
+    _, key = _pairs(ids, offs, size)
     bigrams, which = np.unique(key, return_inverse=True)
-    which = which.reshape(-1)
-    context, after, of_class = bigrams // (size + 1), bigrams % (size + 1), labels[doc]
-    pair_of, pair_doc = _distinct(which, doc)
-    word_of, word_doc = _distinct(ids, doc)
-
-    def shares(classes: tuple[int, ...]) -> Shares:
-        count = np.bincount(which[np.isin(of_class, classes)], minlength=len(bigrams))
-        often = np.bincount(pair_of[np.isin(labels[pair_doc], classes)], minlength=len(bigrams)) >= rare
-        pair = np.where(often, np.maximum(count - discount, 0), 0) / (np.bincount(context, count, size + 1)[context] + strength)
-        return Shares(pair, 1 - np.bincount(context, pair, size + 1))
-
-    def continuation(c: int) -> Continuation:
-        seen = np.bincount(pair_of[labels[pair_doc] == c], minlength=len(bigrams)) > 0
-        count = np.bincount(after[seen], minlength=size)
-        often = np.bincount(word_of[labels[word_doc] == c], minlength=size) >= rare
-        word = np.where(often, np.maximum(count - discount, 0), 0) / max(1, count.sum())
-        return Continuation(word, 1 - word.sum())
-
-    classes, every = [shares((c,)) for c in range(2)], shares((0, 1))
-    follow = [continuation(c) for c in range(2)]
-    # the model has the words and bigrams that are not rare
-    place = np.flatnonzero(np.bincount(word_of, minlength=size) >= rare)
+    every, tilt = _tilts(ids, doc, labels, size, chance)
+    pairs, pair_tilt = _tilts(which.reshape(-1), doc, labels, len(bigrams), chance)
+    told = (pair_tilt != 1).any(0)
+    used = (tilt != 1).any(0)
+    context, after = bigrams // (size + 1), bigrams % (size + 1)
+    used[after[told]] = True
+    used[context[told & (context < size)]] = True
+    return words, every, tilt, bigrams, pairs, pair_tilt, told, used
+
+
+def common_words(hashes: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """The sorted words that the model of these texts, or that of a part of them that leaves out a fold, can have: those of several
+    texts, as nothing that one text alone has is more than chance."""
+    doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+    words, ids = np.unique(hashes, return_inverse=True)
+    return words[np.bincount(_distinct(ids.reshape(-1), doc)[0], minlength=len(words)) > 1]
+
+
+def _fit(hashes: np.ndarray, offs: np.ndarray, labels: np.ndarray, corpus: tuple[np.ndarray, np.ndarray] | None, total: int, chance: float = CHANCE) -> Model:
+    words, every, tilt, bigrams, pairs, pair_tilt, told, used = _selected(hashes, offs, labels, chance)
+    size, place = len(words), np.flatnonzero(used)
+    context, after = bigrams // (size + 1), bigrams % (size + 1)
+    ones, twos = (pairs == 1).sum(), (pairs == 2).sum()
+    share = np.maximum(pairs - (ones / (ones + 2 * twos) if ones else 0), 0) / np.bincount(context, pairs, size + 2)[context]
+    left = 1 - np.bincount(context[told], share[told], size + 2)
+    number = np.full(size + 2, -1)
+    number[place], number[size], number[size + 1] = np.arange(len(place)), len(place), len(place) + 1
     vocab = words[place]
-    keep = (classes[0].pair > 0) | (classes[1].pair > 0) | (every.pair > 0)
-    number = np.full(size + 1, -1)
-    number[place], number[size] = np.arange(len(vocab)), len(vocab)
-    kept = number[context[keep]] * (len(vocab) + 1) + number[after[keep]]  # in order, as words are
-    for s in (*classes, every):
-        s.pair, s.left = np.append(s.pair[keep], 0.0), np.append(s.left[np.append(place, size)], 1.0)
-    for f in follow:
-        f.word = np.append(f.word[place], 0.0)
+    kept = number[context[told]] * (len(vocab) + 1) + number[after[told]]  # in order, as words are
     if corpus is None:
         corpus, total = np.unique(hashes, return_counts=True), len(hashes)
     base = np.append(corpus[1], 0)[_lookup(corpus[0], vocab)] / max(1, total)
-    return Model(vocab, kept, classes, every, follow, np.append(base, 0.0))
+    base = np.maximum(base, every[place] / max(1.0, every.sum()) * 1e-3)  # a word of the sample is one of the corpus
+    classes, tilts = [], []
+    for c in (0, 1):
+        own = base * tilt[c][place]
+        classes.append(np.append(own, 1.0) / (1 - base.sum() + own.sum()))  # other words are as likely as in the corpus
+        before = np.append(tilt[c], [1.0, 1.0])[context[told]]
+        tilts.append(np.append(pair_tilt[c][told] / before, 0.0))
+    return Model(vocab, kept, np.append(share[told], 0.0), left[np.append(place, [size, size + 1])], tuple(classes), tuple(tilts))
 
 
 def ratios(model: Model, hashes: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -192,24 +189,19 @@ def ratios(model: Model, hashes: np.ndarray, offs: np.ndarray) -> np.ndarray:
     ids = _lookup(model.vocab, hashes)
     left, key = _pairs(ids, offs, size)
     at = _lookup(model.bigrams, key)
-    out = np.zeros(len(ids))
-    for sign, own, follow in zip((-1, 1), model.classes, model.follow, strict=True):
-        lower = follow.word[ids] + follow.rest * np.maximum(model.base[ids], 1e-12)
-        lower = model.shared.pair[at] + model.shared.left[left] * lower
-        out += sign * np.log(own.pair[at] + own.left[left] * lower)
-    out[ids == size] = 0  # a word that is not in the model has the shared base probability under either class
-    return out
+    own = [model.share[at] * tilt[at] + model.left[left] * word[ids] for tilt, word in zip(model.tilts, model.words, strict=True)]
+    return np.log(np.maximum(own[1], 1e-300) / np.maximum(own[0], 1e-300))
 
 
 def features(model: Model, texts: K.Texts) -> np.ndarray:
-    """Of each text, the mean ratio of its words, and the best mean over as many words in a row as each of SPANS."""
+    """Of each text, the mean ratio of its words, and the best mean over PASSAGE words in a row."""
     return _features(model, *word_hashes(texts))
 
 
 def _features(model: Model, hashes: np.ndarray, offs: np.ndarray) -> np.ndarray:
     ratio = ratios(model, hashes, offs)
     n = np.diff(offs)
-    out = np.zeros((len(n), 1 + len(SPANS)))
+    out = np.zeros((len(n), 2))
     some = np.flatnonzero(n > 0)
     if not len(some):
         return out
@@ -217,22 +209,23 @@ def _features(model: Model, hashes: np.ndarray, offs: np.ndarray) -> np.ndarray:
     out[:, 0] = (sums[offs[1:]] - sums[offs[:-1]]) / np.maximum(n, 1)
     begin, last = np.arange(len(ratio)), np.repeat(offs[1:], n)
     first = np.repeat(offs[:-1], n) == begin
-    for k, span in enumerate(SPANS):
-        mean = (sums[np.minimum(begin + span, last)] - sums[:-1]) / span
-        mean[(begin + span > last) & ~first] = -np.inf
-        out[some, 1 + k] = np.maximum.reduceat(mean, offs[:-1][some])
+    mean = (sums[np.minimum(begin + PASSAGE, last)] - sums[:-1]) / PASSAGE
+    mean[(begin + PASSAGE > last) & ~first] = -np.inf
+    out[some, 1] = np.maximum.reduceat(mean, offs[:-1][some])
     return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> np.ndarray:
-    """Weights of a logistic function of standardised columns, then shift and scale; Newton steps, the same each time."""
+def logistic(x: np.ndarray, y: np.ndarray, often: np.ndarray | None = None, ridge: float = 1e-2, steps: int = 60) -> np.ndarray:
+    """Weights of a logistic function of standardised columns, then shift and scale; Newton steps, the same each time. often: how
+    many rows each row stands for."""
     shift, scale = x.mean(0), x.std(0) + 1e-9
+    often = np.ones(len(y)) if often is None else often
     z = np.column_stack([(x - shift) / scale, np.ones(len(x))])
     w = np.zeros(z.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        g = z.T @ (p - y) + ridge * w
-        h = (z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w))
+        g = z.T @ (often * (p - y)) + ridge * w
+        h = (z * (often * p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w))
         step = np.linalg.solve(h, g)
         w -= step
         if np.abs(step).max() < 1e-9:
@@ -247,12 +240,14 @@ def probability(weights: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int] = MAX_ROWS, max_bytes: tuple[int, int] = MAX_BYTES) -> DataFrame:
-    """Text and label of at most max_rows and max_bytes of either class, in the order of the hash of doc_id.
+    """Text and label of at most max_rows and max_bytes of either class, in the order of the hash of doc_id, and how many labelled
+    rows its class has in all (known).
 
     Texts longer than 1 / LONG of the bound come last, and the first of them that doesn't fit is cut to what does, so they
     leave out no other row, and a class with any text is not empty."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    ranked = known.select("doc_id", "toxic", F.xxhash64("doc_id").alias("at"))
+    sizes = known.groupBy("toxic").agg(F.count("*").alias("known"))  # two rows
+    ranked = known.select("doc_id", "toxic", F.xxhash64("doc_id").alias("at")).join(F.broadcast(sizes), "toxic")
     picked = [ranked.where(F.col("toxic") == c).orderBy("at", "doc_id").limit(max_rows[c]) for c in (0, 1)]
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
     most = F.when(F.col("toxic") == 1, max_bytes[1]).otherwise(max_bytes[0])
@@ -261,7 +256,7 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int] = MAX_R
     rows = rows.withColumn("left", most - F.sum("own").over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.col("own"))
     fits = F.col("own") <= F.col("left")
     text = F.when(fits, F.col("text")).otherwise(F.substring("text", F.lit(1), F.floor(F.col("left") / 4).cast("int")))  # a character has 4 bytes at most
-    return rows.where(fits | F.col("long") & (F.col("left") >= 4)).select("doc_id", text.alias("text"), "toxic", "at")
+    return rows.where(fits | F.col("long") & (F.col("left") >= 4)).select("doc_id", text.alias("text"), "toxic", "at", "known")
 
 
 def corpus_counts(docs: DataFrame, shared: Broadcast) -> DataFrame:
@@ -294,7 +289,7 @@ def _in_one_task(rows: DataFrame, of: Callable[[pa.Table], object]) -> object:
 
 
 def _vocabulary(rows: pa.Table) -> np.ndarray | None:
-    """The words of the sample that are not rare; None if it has rows of one class only."""
+    """The words that the model may have; None if the sample has rows of one class only."""
     if len(rows["toxic"].unique()) < 2:
         return None
     return common_words(*_hashed(rows["text"]))
@@ -305,7 +300,7 @@ def _trained(rows: pa.Table, corpus: tuple[np.ndarray, np.ndarray], total: int)
     y = rows["toxic"].to_numpy().astype(np.int64)
     hashes, offs = _hashed(rows["text"])
     fold, n = np.arange(len(y)) % FOLDS, np.diff(offs)
-    x = np.zeros((len(y), 1 + len(SPANS)))
+    x = np.zeros((len(y), 2))
 
     def taken(those: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return hashes[np.repeat(those, n)], np.append(0, np.cumsum(n[those]))
@@ -315,7 +310,9 @@ def _trained(rows: pa.Table, corpus: tuple[np.ndarray, np.ndarray], total: int)
             part = _fit(*taken(fold != k), y[fold != k], corpus, total)
             x[fold == k] = _features(part, *taken(fold == k))
     model = _fit(hashes, offs, y, corpus, total)
-    model.weights = logistic(x, y)
+    known, sampled = rows["known"].to_numpy(), np.bincount(y, minlength=2)
+    often = known / sampled[y]  # the bounds may cut one class more than the other
+    model.weights = logistic(x, y, often * len(y) / often.sum())
     return model
 
 
