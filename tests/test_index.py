@@ -190,3 +190,103 @@ def test_whole_atlas_as_a_flat_file(spark, tmp_path):
     order = np.argsort(a["file_pitch"], kind="stable")
     upto = np.cumsum(np.diff(a["file_line0"])[order])
     assert a["median_pitch"][0] == a["file_pitch"][order[np.searchsorted(upto, upto[-1] / 2)]]
+
+
+def book(spark, pages=23, lines_=12):
+    """files and lines of a book of three parts, its last pages short; lines of all lengths, one far too long."""
+    import random
+
+    r = random.Random(6)
+    files, rows = [], []
+    for p in range(pages):
+        files.append((p, f"{'ABC'[min(p // 8, 2)]} part/Chapter {p // 3}/p. {p + 1}"))
+        for i in range(lines_ if p % 8 != 7 else 4):
+            text = "" if r.random() < 0.2 and (p, i) != (5, 3) else " ".join("word"[: r.randint(1, 4)] for _ in range(60 if (p, i) == (5, 3) else r.choice((3, 8, 9, 10, 9, 9))))
+            rows.append((p, i, ("   " if r.random() < 0.1 else "") + text))
+    frame = spark.createDataFrame(rows, "file_id long, line_no int, text string")
+    return {"files": spark.createDataFrame(files, "file_id long, path string"), "lines": lines.measured(frame)}, rows
+
+
+def inside(rows, files):
+    """Rows begin in their files' text blocks and no two share a place."""
+    by, seen = {f.file_id: f for f in files}, set()
+    for x in rows:
+        f = by[x.file_id]
+        assert f.tx0 - 1e-6 <= x.x <= f.tx1 and f.ty0 + f.pitch - 1e-6 <= x.y <= f.ty1 - f.pitch + 1e-6
+        assert (x.file_id, round(x.x, 6), round(x.y, 6)) not in seen
+        seen.add((x.file_id, round(x.x, 6), round(x.y, 6)))
+        assert x.row_in_file < f.k * f.rows
+
+
+def covered(rows, wanted):
+    got = {}
+    for x in rows:
+        got[x.file_id, x.line_no] = got.get((x.file_id, x.line_no), 0) + x.row_len
+    assert got == {(p, i): len(t) for p, i, t in wanted}
+
+
+def test_book_on_one_grid(spark):
+    made, wanted = book(spark)
+    done = index.build_layout(made, "book")
+    files, rows = done["files"].orderBy("file_id").collect(), done["rows"].collect()
+    inside(rows, files)
+    covered(rows, wanted)
+    assert [r.path for r in done["dirs"].collect()] == [""] and {f.k for f in files} == {1}
+    plain = [f for f in files if not any(len(t) > f.cap for p, _, t in wanted if p == f.file_id)]
+    assert len({round(f.pitch, 9) for f in plain}) == 1  # short pages keep the size of full ones
+    assert all((a.y0, a.x0) < (b.y0, b.x0) for a, b in zip(files, files[1:], strict=False))
+    sizes = {(round(f.x1 - f.x0, 6), round(f.y1 - f.y0, 6)) for f in files}
+    assert len(sizes) == 1
+
+
+def test_book_in_parts(spark):
+    made, wanted = book(spark)
+    done = index.build_layout(made, "book", parts=True)
+    files, rows = done["files"].orderBy("file_id").collect(), done["rows"].collect()
+    inside(rows, files)
+    covered(rows, wanted)
+    dirs = {d.path: d for d in done["dirs"].collect()}
+    assert list(sorted(dirs)) == ["", "A part", "B part", "C part"]
+    bands = [dirs[n] for n in ("A part", "B part", "C part")]
+    assert all(abs(a.y1 - b.y0) < 1e-9 for a, b in zip(bands, bands[1:], strict=False))
+    for f in files:
+        d = dirs[f.path.split("/")[0]]
+        assert d.x0 + d.pad - 1e-9 <= f.x0 < f.x1 <= d.x1 - d.pad + 1e-9 and d.y0 + d.pad - 1e-9 <= f.y0 < f.y1 <= d.y1 - d.pad + 1e-9
+    for name in ("A part", "B part", "C part"):  # rows filled from the left, in reading order
+        own = [f for f in files if f.path.startswith(name)]
+        assert all((round(a.y0, 6), a.x0) < (round(b.y0, 6), b.x0) for a, b in zip(own, own[1:], strict=False))
+
+
+def test_book_in_a_face_of_its_own(spark):
+    made, wanted = book(spark)
+    adv = P.advances()
+    done = index.build_layout(made, "book", advances=adv, justify=True, page_lines=14)
+    files, rows = done["files"].orderBy("file_id").collect(), done["rows"].orderBy("file_id", "row_in_file").collect()
+    inside(rows, files)
+    covered(rows, wanted)
+    by, text = {f.file_id: f for f in files}, {(p, i): t for p, i, t in wanted}
+    last = {}
+    for p, i, _ in wanted:
+        last[p] = max(last.get(p, 0), i)
+    stretched = 0
+    for x in rows:
+        t = text[x.file_id, x.line_no]
+        part = t[x.col0 : x.col0 + x.row_len]
+        width = sum(adv[c] for c in part)
+        target = by[x.file_id].capw - (1.0 if x.row_in_line else 0.0)
+        ends = x.col0 + x.row_len == len(t)
+        follows = x.line_no == last[x.file_id] or bool(text.get((x.file_id, x.line_no + 1))) and not t.startswith(" ")
+        flush = (not ends or bool(t) and follows) and " " in part and 0 < target - width < 0.35 * target
+        stretched += flush
+        assert abs(x.row_width - (target if flush else width)) < 1e-6 and len(x.char_x) == len(part)
+        if flush:
+            assert abs(x.char_x[-1] + adv[part[-1]] - target) < 1e-6
+    assert stretched > 3
+
+
+def test_code_in_the_same_call(spark):
+    files = spark.createDataFrame([(0, "a/x", 2), (1, "b", 1)], "file_id long, path string, lines long")
+    rows = lines.measured(spark.createDataFrame([(0, 0, "abc"), (0, 1, "d"), (1, 0, "e")], "file_id long, line_no int, text string"))
+    none = spark.createDataFrame([], "file_id long, first long, past long, kind long, name string")
+    done = index.build_layout({"files": files, "lines": rows, "items": none})
+    assert done["files"].count() == 2 and done["rows"].count() == 3 and done["item_rects"].count() == 0

@@ -25,8 +25,8 @@ def delta_scale(rows: DataFrame, xs: str = "xs") -> DataFrame:
 def deltas(xs: Column, scale: Column) -> Column:
     """Steps of a row's positions, rounded (half to even) before they are subtracted; the first is absolute."""
     fixed = F.transform(xs, lambda x: F.bround(x * scale).cast("long"))
-    n = F.size(xs)
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.when(i == 1, F.element_at(fixed, 1)).otherwise(F.element_at(fixed, i) - F.element_at(fixed, F.greatest(i - 1, F.lit(1)))))
+    before = F.concat(F.array(F.lit(0).cast("long")), fixed)  # one more than there are positions
+    return F.slice(F.zip_with(fixed, before, lambda x, last: x - last), 1, F.size(xs))
 
 
 def undone(steps: Column, scale: Column) -> Column:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import book, code, layout, lines, tokens, tree
+from textloom.operators import book, code, layout, lines, order, proportional, tokens, tree
 from textloom.session import cut
 from textloom.sources import trees
 
@@ -97,6 +97,74 @@ def layout_tables(indexed: dict[str, DataFrame], weights: DataFrame | None = Non
     return {"dirs": dirs, "files": placed, "rows": rows, "item_rects": rects}
 
 
+def book_layout_tables(indexed: dict[str, DataFrame], parts: bool = False, page_lines: int | None = None, advances: Mapping[str, float] | None = None, hang: float = 1.0, justify: bool = False) -> dict[str, DataFrame]:
+    """The layout of a book's index (files in reading order, lines) as tables: dirs, files and rows, as ``layout_tables`` gives them.
+
+    Pages are cells of one size, all on one grid, or in a band for each part (the first name of their paths). Every page is laid out
+    as a full one of page_lines lines (those of the longest page, if none are given) and the book's line width, in a text block inside
+    its margins: tx0, ty0, tx1, ty1. With advances the face has characters of different widths: lines wrap by width, rows have char_x
+    and row_width, and justify stretches the rows that the next line of a paragraph follows, and the footers.
+    """
+    lines_ = cut(indexed["lines"].select("file_id", F.col("line_no").cast("long").alias("line_no"), "text", "len", "indent"))
+    width = F.col("len") * layout.CHAR if advances is None else proportional.line_width(F.col("text"), advances)
+    measured = cut(lines_.select("file_id", width.alias("width"), F.col("len")))
+    line_width = order.quantiles(measured, "width", [0.995])[0] or 40.0
+    counts = measured.groupBy("file_id").agg(F.count("*").alias("n"))
+    if page_lines is None:
+        page_lines = counts.agg(F.max("n")).first()[0] or 1
+    shape = layout.page_shape(page_lines, line_width)
+
+    pages = lines.running(indexed["files"].select("file_id", "path").withColumn("one", F.lit(1)), "file_id", "one", "page_no").drop("one").withColumn("page_no", F.col("page_no").cast("long"))
+    world = (F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), *(F.lit(v).alias(n) for v, n in zip(layout.world(), ("x1", "y1"), strict=True)))
+    root = pages.groupBy().agg(F.lit("").alias("path"), F.lit(0).alias("depth")).select("path", "depth", *world)
+    if parts:
+        named = cut(pages.withColumn("part", F.element_at(F.split("path", "/"), 1)))
+        spans = named.groupBy("part").agg(F.min("page_no").alias("begin"), F.count("*").alias("pages"))
+        spans = cut(spans.withColumn("part_no", F.row_number().over(Window.orderBy("begin")) - 1))  # one row a part
+        bands = layout.part_bands(spans.select("part_no", "pages"), shape)
+        placed = layout.in_bands(named.join(spans.select("part", "part_no", "begin"), "part").withColumn("k", F.col("page_no") - F.col("begin")), bands).drop("part", "part_no", "begin", "k")
+        edge = layout.padding(*(F.lit(v) for v in layout.world()))
+        banded = bands.join(spans.select("part_no", "part"), "part_no").select(F.col("part").alias("path"), F.lit(1).alias("depth"), edge.alias("x0"), "y0", (F.lit(layout.world()[0]) - edge).alias("x1"), "y1")
+        dirs = root.unionByName(banded)
+    else:
+        placed, dirs = layout.flow(pages, shape), root
+    dirs = dirs.withColumns({"pad": layout.padding(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")), "hue": F.lit(0)})
+
+    inner = layout.text_block(*(F.col(c) for c in ("x0", "y0", "x1", "y1")))
+    placed = placed.withColumns(dict(zip(("tx0", "ty0", "tx1", "ty1"), inner, strict=True))).withColumns({"w": F.col("tx1") - F.col("tx0"), "h": F.col("ty1") - F.col("ty0")})
+    size = F.col("len").cast("long").alias("len") if advances is None else F.col("width")
+    groups = measured.groupBy("file_id", size).agg(F.count("*").alias("count")).groupBy("file_id").agg(F.sum("count").alias("n"), F.collect_list(F.struct("len" if advances is None else "width", "count")).alias("hist"))
+    none = F.array().cast(f"array<struct<{'len:bigint' if advances is None else 'width:double'},count:bigint>>")
+    sized = placed.join(groups, "file_id", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "hist": F.coalesce("hist", none), "target": F.lit(float(line_width))})
+    page = (page_lines, line_width)
+    if advances is None:
+        files = cut(layout.settled(sized, page=page).drop("hist", "target"))
+        fitted = files.select("file_id", "cap", "rows", "pitch", (F.col("colw") * (1 + layout.GAP)).alias("colw"), "tx0", "ty0")
+        visual, step = layout.numbered(layout.wrapped(lines_.drop("text").join(fitted, "file_id"))), layout.HANG * layout.CHAR
+    else:
+        first = cut(proportional.settled(sized, hang, page=page).drop("hist", "target"))
+        exact = proportional.repaired(first.select("file_id", "h", "k", "rows", "pitch", "colw", "capw"), lines_.select("file_id", "text"), advances, hang)
+        files = cut(first.drop("h", "k", "rows", "pitch", "colw", "capw").join(exact, "file_id"))
+        fitted = files.select("file_id", F.col("capw").alias("cap"), "rows", "pitch", (F.col("colw") * (1 + layout.GAP)).alias("colw"), "tx0", "ty0")
+        following = F.lead("len").over(Window.partitionBy("file_id").orderBy("line_no"))
+        flush = (F.col("len") > 0) & (following.isNull() | (following > 0) & (F.col("indent") == 0))
+        visual = layout.numbered(proportional.wrapped(lines_.withColumn("flush", flush).join(fitted, "file_id"), advances, hang))
+        visual = visual.withColumns({"row_text": F.expr("substring(text, col0 + 1, row_len)"), "stretch": F.lit(justify) & (~F.col("last_row") | F.col("flush"))})
+        visual, step = proportional.justified(visual, F.when(F.col("row_in_line") == 0, F.col("cap")).otherwise(F.col("cap") - hang), advances), hang
+    x, y = layout.row_position(F.col("tx0"), F.col("ty0"), F.col("row_in_file"), F.col("rows"), F.col("pitch"), F.col("colw"), F.col("row_in_line") == 0, step)
+    more = [] if advances is None else ["char_x", "row_width"]
+    rows = visual.select("file_id", "line_no", "row_in_line", "row_in_file", "col0", "row_len", x.alias("x"), y.alias("y"), *more)
+    return {"dirs": dirs, "files": files.drop("w", "h", "page_no").withColumn("hue", F.lit(0)), "rows": rows}
+
+
+def build_layout(indexed: dict[str, DataFrame], corpus: str = "code", weights: DataFrame | None = None, **book_options: object) -> dict[str, DataFrame]:
+    """The layout of an index in one call: a treemap weighed by weights (or lines) for code, pages of one size for a book; book_options:
+    see ``book_layout_tables``."""
+    if corpus == "book":
+        return book_layout_tables(indexed, **book_options)
+    return layout_tables(indexed, weights)
+
+
 def _settled(files: DataFrame, boxes: DataFrame, rows: DataFrame) -> DataFrame:
     """files (file_id, path, ...) in their boxes (path, x0, y0, x1, y1), with their columns; rows: their lines."""
     placed = files.select("file_id", "path").join(boxes, "path").join(layout.length_histogram(rows), "file_id", "left")
@@ -113,7 +181,7 @@ def book_index(text_lines: DataFrame, page_lines: int = book.PAGE_LINES, width:
     """
     parts = book.split(text_lines)
     if width is None:
-        found = parts.where(F.trim("text") != "").agg(F.percentile(F.length("text") * 0.571, 0.995)).first()[0]
+        found = order.quantiles(parts.where(F.trim("text") != "").select((F.length("text") * layout.CHAR).alias("width")), "width", [0.995])[0]
         width = found if found is not None else 40.0
     by = ["book", "part_no", "chapter_no"]
     placed = book.pages(book.squeezed(parts, by), by, page_lines)

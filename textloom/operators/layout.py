@@ -81,13 +81,21 @@ def wrap_cap(cap: Column) -> Column:
     return F.when(cap >= WRAP_FROM, cap).otherwise(F.lit(MOST_CHARS).cast("long"))
 
 
-def settled(files: DataFrame, rounds: int = 4) -> DataFrame:
+def page_fit(files: DataFrame, page: tuple[int, float]) -> DataFrame:
+    """Columns of files that are laid out as a full page of (lines, width) at least, so a short one keeps the text size of others."""
+    full = files.withColumns({"__own": F.col("n"), "n": F.greatest("n", F.lit(page[0]).cast("long")), "target": F.lit(float(page[1]))})
+    return with_columns_fit(full).withColumn("n", F.col("__own")).drop("__own")
+
+
+def settled(files: DataFrame, rounds: int = 4, page: tuple[int, float] | None = None) -> DataFrame:
     """Columns with wrapped lines: pitch and capacity at their fixed point, after at most ``rounds`` steps.
 
     files: w, h, n, target, and hist, an array of (len, count) of the file's lines: bounded by MOST_CHARS lengths. The
-    steps are a fold over that array, in the plan. Adds cap (characters in a column), and rows, pitch and capw for it.
+    steps are a fold over that array, in the plan. Adds cap (characters in a column), and rows, pitch and capw for it. page: see
+    ``page_fit``.
     """
-    fitted = with_columns_fit(files).withColumn("cap", F.least(F.floor(F.col("capw") / CHAR), F.lit(MOST_CHARS)).cast("long"))
+    fitted = with_columns_fit(files) if page is None else page_fit(files, page)
+    fitted = fitted.withColumn("cap", F.least(F.floor(F.col("capw") / CHAR), F.lit(MOST_CHARS)).cast("long"))
     longest = F.coalesce(F.array_max(F.transform("hist", lambda x: x["len"])), F.lit(0))
     fitted = fitted.withColumn("wraps", (F.col("n") > 0) & (F.col("cap") >= WRAP_FROM) & (longest > F.col("cap")))
 
@@ -133,10 +141,10 @@ def numbered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("row_in_file", (F.row_number().over(order) - 1).cast("long"))
 
 
-def row_position(x0: Column, y0: Column, row: Column, rows: Column, pitch: Column, colw: Column, first: Column) -> tuple[Column, Column]:
-    """Top left of a row's cell; colw includes the gap. Further rows of a line hang in."""
+def row_position(x0: Column, y0: Column, row: Column, rows: Column, pitch: Column, colw: Column, first: Column, hang: float = HANG * CHAR) -> tuple[Column, Column]:
+    """Top left of a row's cell; colw includes the gap. Further rows of a line hang in, by hang line heights."""
     column, place = F.floor(row / rows), row % rows
-    return x0 + column * colw + F.when(first, 0.0).otherwise(HANG * CHAR * pitch), y0 + pitch * (1 + place)
+    return x0 + column * colw + F.when(first, 0.0).otherwise(hang * pitch), y0 + pitch * (1 + place)
 
 
 def item_boxes(items: DataFrame) -> DataFrame:
@@ -208,6 +216,32 @@ def part_bands(parts: DataFrame, page_aspect: float = PAGE_ASPECT) -> DataFrame:
     return rows.select("part_no", "pages", "cols", "rows", (F.lit(pad) + before * high).alias("y0"), (F.lit(pad) + (before + F.col("rows")) * high).alias("y1"))
 
 
+def in_bands(pages: DataFrame, bands: DataFrame) -> DataFrame:
+    """Boxes of pages (part_no, k: their place in the part) in the bands of their parts, see ``part_bands``."""
+    w, h = world()
+    edge = min(min(max(0.015 * min(w, h), 0.05), 4.0), 0.25 * min(w, h))
+    high = F.col("y1") - F.col("y0")
+    placed = pages.join(bands.withColumn("pp", padding(F.lit(w - 2 * edge), high)).select("part_no", "cols", F.col("rows").alias("band_rows"), "y0", "y1", "pp"), "part_no")
+    cw, ch = (F.lit(w - 2 * edge) - 2 * F.col("pp")) / F.col("cols"), (high - 2 * F.col("pp")) / F.col("band_rows")
+    i, j = F.floor(F.col("k") / F.col("cols")), F.col("k") % F.col("cols")
+    left, top = F.lit(edge) + F.col("pp"), F.col("y0") + F.col("pp")
+    box = ((left + j * cw).alias("x0"), (top + i * ch).alias("y0"), (left + (j + 1) * cw).alias("x1"), (top + (i + 1) * ch).alias("y1"))
+    return placed.select(*pages.columns, *box)
+
+
+def text_block(x0: Column, y0: Column, x1: Column, y1: Column) -> tuple[Column, Column, Column, Column]:
+    """The part of a page inside its margins."""
+    side, top, bottom = PAGE_MARGIN
+    w, h = x1 - x0, y1 - y0
+    return x0 + side * w, y0 + top * h, x1 - side * w, y1 - bottom * h
+
+
+def page_shape(lines: int, width: float) -> float:
+    """Width by height of a page around a text block of that many lines, two blank ones and that width in line heights."""
+    side, top, bottom = PAGE_MARGIN
+    return width / (lines + 2) * (1 - top - bottom) / (1 - 2 * side)
+
+
 # -- treemap ----------------------------------------------------------------------------------------------------------
 
 

@@ -35,6 +35,25 @@ def char_widths(text: Column, adv: Mapping[str, float]) -> Column:
     return F.when(text == "", F.array().cast("array<double>")).otherwise(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(widths, c), other)))
 
 
+def line_width(text: Column, adv: Mapping[str, float]) -> Column:
+    """Width of a whole line, to a billionth of its height, so that lines of the same characters have the same width. Characters of one
+    advance are counted together, so a face of few advances needs a pass for each; other faces add up their characters."""
+    classes: dict[float, list[str]] = {}
+    for c, width in sorted(adv.items()):
+        classes.setdefault(width, []).append(c)
+    classes.pop(adv["?"])  # as wide as a character that the face lacks: all that is left
+    if len(classes) > 8:
+        return F.round(total(char_widths(text, adv)), 9)
+    counts = {w: F.length(text) - F.length(F.translate(text, "".join(chars), "")) for w, chars in classes.items()}
+    rest = F.length(text)
+    for n in counts.values():
+        rest = rest - n
+    out = rest * F.lit(float(adv["?"]))
+    for w, n in counts.items():
+        out = out + n * F.lit(float(w))
+    return F.round(out, 9)
+
+
 def total(widths: Column) -> Column:
     return F.aggregate(widths, F.lit(0.0), lambda a, w: a + w)
 
@@ -89,11 +108,7 @@ def settled(files: DataFrame, hang: float = 1.0, rounds: int = 4, page: tuple[in
     files: w, h, n, target, and hist, an array of (width, count) of the file's lines. page: (lines, width) of a full page; every
     file is laid out as one at least. Adds k, rows, pitch, colw and capw, the width that a column holds in line heights.
     """
-    if page is None:
-        fitted = Y.with_columns_fit(files)
-    else:
-        full = files.withColumns({"own": F.col("n"), "n": F.greatest("n", F.lit(page[0]).cast("long")), "target": F.lit(float(page[1]))})
-        fitted = Y.with_columns_fit(full).withColumn("n", F.col("own")).drop("own")
+    fitted = Y.with_columns_fit(files) if page is None else Y.page_fit(files, page)
     wide = F.exists("hist", lambda x: x["width"] > F.col("capw"))
     fitted = fitted.withColumn("wraps", (F.col("n") > 0) & wide)
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,9 @@ from textloom.operators import spatial
 from textloom.operators.lines import running
 from textloom.session import cut
 
+if TYPE_CHECKING:
+    from textloom.operators.camera import Camera
+
 #: Pixels a line from which bars, then wide bars, then glyphs are drawn (fixed values).
 CUTS = (1, 3, 6)
 HOVERED, HIT, CURRENT, DIMMED = 1, 2, 4, 8
@@ -64,17 +68,22 @@ def flags(hovered: Column, hit: Column, current: Column, dimmed: Column) -> Colu
     return out
 
 
-def per_file(files: DataFrame, hits: DataFrame, view: Sequence[float], zoom: float, hovered: int, current: int, searching: bool = True, tall: bool = True, tinted: bool = True) -> DataFrame:
+def per_file(files: DataFrame, hits: DataFrame, view: Sequence[float], zoom: float, hovered: int, current: int, searching: bool = True, tall: bool = True, tinted: bool = True, camera: Camera | None = None) -> DataFrame:
     """What a frame needs of each file (file_id, box, pitch, height, tint) in one select: seen, ppl, lod, flags, top and tint.
 
-    hits: file_id of the files with hits. Without a search no file is hit or dimmed; the toggles flatten files and drop tints.
+    hits: file_id of the files with hits. Without a search no file is hit or dimmed; the toggles flatten files and drop tints. A
+    tilted camera sees the tops of files, and lines are the thinner the further away they are; without one the view is a window.
     """
     found = files.join(hits.select("file_id").distinct().withColumn("__hit", F.lit(True)), "file_id", "left")
     hit = F.coalesce("__hit", F.lit(False)) & F.lit(searching)
-    ppl = pixels_per_line(F.col("pitch"), zoom)
-    bits = flags(F.col("file_id") == hovered, hit, (F.col("file_id") == current) & F.lit(searching), ~hit & F.lit(searching))
     top, tint = F.col("height") if tall else F.lit(0.0), F.col("tint") if tinted else F.lit(None).cast("double")
-    return found.select("file_id", visible(*view).alias("seen"), ppl.alias("ppl"), detail(ppl).alias("lod"), bits.alias("flags"), top.alias("top"), tint.alias("tint"))
+    if camera is None or camera.tilt is None:
+        seen, scale = visible(*view), F.lit(1.0)
+    else:
+        seen, scale = projected(camera.matrix(), camera.distance, top)
+    ppl = pixels_per_line(F.col("pitch"), zoom, scale)
+    bits = flags(F.col("file_id") == hovered, hit, (F.col("file_id") == current) & F.lit(searching), ~hit & F.lit(searching))
+    return found.select("file_id", seen.alias("seen"), ppl.alias("ppl"), detail(ppl).alias("lod"), bits.alias("flags"), top.alias("top"), tint.alias("tint"))
 
 
 def runs(files: DataFrame, seen: str = "seen", width: int = 4096) -> DataFrame:

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.operators import layout as Y
-from textloom.operators import spatial, tree, view
+from textloom.operators import index, spatial, tree, view
 from textloom.operators.camera import Camera
 from textloom.plans.layout import doc_treemap
 from textloom.plans.registry import query
-from textloom.plans.text import PROSE_TILES, long
+from textloom.plans.text import LINES, PROSE_TILES, doc_lines, long
 from textloom.plans.view import POINTS, points
 from textloom.session import cut
 from textloom.sources import corpora
@@ -85,6 +85,45 @@ def l_page_treemap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(page_treemap(spark, sf_dir))
 
 
+_MX, _MT, _MB = Y.PAGE_MARGIN
+#: All documents as pages of a book: the page's shape, the grid, the columns of a full page, and the fixed point of each page's rows.
+BOOK = f"""
+full_ AS (SELECT (SELECT quantile_cont((len * {Y.CHAR})::DOUBLE, 0.995) FROM lines) AS width, (SELECT max(n) FROM (SELECT count(*) AS n FROM lines GROUP BY file_id)) AS most, (SELECT count(*) FROM documents) AS pages),
+shape AS (SELECT *, width / (most + 2) * {1 - _MT - _MB!r} / {1 - 2 * _MX!r} AS shape FROM full_),
+tried_b AS (SELECT *, {_W - 8!r} / cols AS cw, {_H - 8!r} / ((pages + cols - 1) // cols) AS ch FROM (SELECT *, unnest(range(1, pages + 1)) AS cols FROM shape)),
+best_b AS (SELECT * FROM (SELECT *, (cw - {Y.PAGE_GAP} * cw) / (ch - {Y.PAGE_GAP} * cw) / shape AS ratio FROM tried_b WHERE ch > {Y.PAGE_GAP} * cw) ORDER BY ratio < 1, abs(ln(ratio)), cols LIMIT 1),
+sheet AS (SELECT *, (cw - {Y.PAGE_GAP} * cw) * {1 - 2 * _MX!r} AS w, (ch - {Y.PAGE_GAP} * cw) * {1 - _MT - _MB!r} AS h FROM best_b),
+cols_b AS (SELECT sheet.*, r.k AS k0 FROM sheet, range(1, 65) AS r(k) WHERE r.k <= most AND (r.k = 1 OR w / (r.k + {Y.GAP} * (r.k - 1)) >= width * (h / ((most + r.k - 1) // r.k + 2))) ORDER BY r.k DESC LIMIT 1),
+fit_a AS (SELECT *, (most + k0 - 1) // k0 AS rows0 FROM cols_b),
+fit_b AS (SELECT *, (most + rows0 - 1) // rows0 AS k, h / (rows0 + 2) AS pitch0 FROM fit_a),
+fit_c AS (SELECT *, w / (k + {Y.GAP} * (k - 1)) AS colw FROM fit_b),
+paged AS (SELECT doc_id AS file_id, row_number() OVER (ORDER BY doc_id) - 1 AS page, coalesce(n, 0) AS n, coalesce(longest, 0) AS longest, f.* FROM documents LEFT JOIN (SELECT file_id, count(*) AS n, max(len) AS longest FROM lines GROUP BY file_id) l ON l.file_id = doc_id, fit_c f),
+hist AS (SELECT file_id, len, count(*) AS c FROM lines GROUP BY ALL),
+c0 AS (SELECT *, n > 0 AND cap >= {Y.WRAP_FROM} AND longest > cap AS wraps FROM (SELECT *, least(floor(colw / pitch0 / {Y.CHAR}), {Y.MOST_CHARS})::BIGINT AS cap FROM paged))"""
+
+
+def _book_rounds(rounds: int = 4) -> str:
+    cap = f"CASE WHEN cap >= {Y.WRAP_FROM} THEN cap ELSE {Y.MOST_CHARS} END"
+    out = []
+    for i in range(rounds + 1):
+        out.append(f"r{i} AS (SELECT file_id, sum(c * (1 + (greatest(len - ({cap}), 0) + ({cap}) - {Y.HANG} - 1) // (({cap}) - {Y.HANG})))::BIGINT AS total FROM hist JOIN c{i} USING (file_id) GROUP BY file_id)")
+        if i < rounds:
+            step = f"least(floor(colw / (h / ((total + k - 1) // k + 2) * {Y.CHAR})), {Y.MOST_CHARS})::BIGINT"
+            out.append(f"c{i + 1} AS (SELECT c{i}.* REPLACE (CASE WHEN wraps THEN {step} ELSE cap END AS cap) FROM c{i} LEFT JOIN r{i} USING (file_id))")
+    return ",\n".join(out) + f",\nbook AS (SELECT c{rounds}.*, CASE WHEN wraps THEN (total + k - 1) // k ELSE rows0 END AS rows FROM c{rounds} LEFT JOIN r{rounds} USING (file_id))"
+
+
+@query(f"""
+WITH {LINES}, {BOOK}, {_book_rounds()}
+SELECT file_id, k, rows::BIGINT AS rows, cap, round(h / (rows + 2), 6) AS pitch, round(4 + (page % cols) * cw + {Y.PAGE_GAP / 2} * cw + {_MX} * (cw - {Y.PAGE_GAP} * cw), 6) AS tx0, round(4 + (page // cols) * ch + {Y.PAGE_GAP / 2} * cw + {_MT} * (ch - {Y.PAGE_GAP} * cw), 6) AS ty0 FROM book
+""")
+def l_book_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as the pages of a book, in one call: text blocks, columns, rows and pitch."""
+    files = corpora.prose(spark, sf_dir).select("file_id", "path")
+    done = index.build_layout({"files": files, "lines": doc_lines(spark, sf_dir)}, "book")
+    return long(done["files"].select("file_id", "k", "rows", "cap", *(F.round(c, 6).alias(c) for c in ("pitch", "tx0", "ty0"))))
+
+
 MAP = Camera(800.0, 450.0, 1.0, 1280.0, 720.0, 24.0).fitted(Y.world())
 LETTER, INSET, TALL, SPACE = 5.0, 3.0, 18.0, 2.0  # of tags, in pixels
 

@@ -13,7 +13,7 @@ from textloom.plans.layout import FLOW, SETTLED, WRAPPED, boxes, flow_boxes, vis
 from textloom.plans.registry import query
 from textloom.plans.search import HITS, WORD
 from textloom.plans.text import doc_lines, long
-from textloom.plans.view import SEEN, VIEW, ZOOM
+from textloom.plans.view import FOCUS, SEEN, TILTED, VIEW, ZOOM, _corner
 from textloom.session import cut
 from textloom.sources import corpora, trees
 
@@ -160,6 +160,13 @@ h AS (SELECT DISTINCT file_id FROM hits)
 """
 
 
+def framed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes, pitch, height and tint of all documents."""
+    weights = corpora.prose(spark, sf_dir).select("file_id", (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1).alias("weight"), F.lit(2).alias("depth"))
+    tall = view.heights(weights).select("file_id", (F.col("base") + F.col("height")).alias("height"))
+    return drawn(spark, sf_dir).drop("seen").join(tall, "file_id").join(trees.tint(weights, "file_id", "weight").select("file_id", "tint"), "file_id")
+
+
 @query(f"""
 WITH {SETTLED}, {FLOW}, {GEO}, {HITS}, {_FRAME}, modes AS (SELECT unnest([0, 1]) AS mode)
 SELECT mode::BIGINT AS mode, g.file_id, seen, round(ppl, 6) AS ppl, lod, (CASE WHEN g.file_id = 3 THEN 1 ELSE 0 END + CASE WHEN mode = 1 THEN 0 WHEN h.file_id IS NOT NULL THEN 2 ELSE 8 END + CASE WHEN mode = 0 AND g.file_id = 5 THEN 4 ELSE 0 END)::BIGINT AS flags,
@@ -167,10 +174,23 @@ SELECT mode::BIGINT AS mode, g.file_id, seen, round(ppl, 6) AS ppl, lod, (CASE W
 """)
 def v_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The per-file select of a frame, with a search, heights and tints, and with none of them."""
-    weights = corpora.prose(spark, sf_dir).select("file_id", (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1).alias("weight"), F.lit(2).alias("depth"))
-    tall = view.heights(weights).select("file_id", (F.col("base") + F.col("height")).alias("height"))
-    files = drawn(spark, sf_dir).drop("seen").join(tall, "file_id").join(trees.tint(weights, "file_id", "weight").select("file_id", "tint"), "file_id")
+    files = framed(spark, sf_dir)
     hits = S.hits(doc_lines(spark, sf_dir), WORD)
     modes = [view.per_file(files, hits, VIEW, ZOOM, 3, 5, on, on, on).select(F.lit(k).alias("mode"), "*") for k, on in enumerate((True, False))]
     rows = modes[0].unionByName(modes[1])
     return long(rows.select("mode", "file_id", "seen", *(F.round(c, 6).alias(c) if c in ("ppl", "top", "tint") else F.col(c) for c in ("ppl", "lod", "flags", "top", "tint"))))
+
+
+@query(f"""
+WITH {SETTLED}, {FLOW}, {GEO}, {HITS}, {_FRAME},
+c AS (SELECT *, [{", ".join(_corner(x, y) for x in ("x0", "x1") for y in ("y0", "y1"))}] AS corners FROM (SELECT g.file_id, x0, y0, x1, y1, pitch, height, height AS z FROM geo g JOIN t USING (file_id))),
+s AS (SELECT *, list_filter(corners, lambda p: p.w > 1e-6) AS front, {FOCUS} / greatest(list_sum(list_transform(corners, lambda p: p.w)) / 4, 1e-6) AS scale FROM c),
+n AS (SELECT *, list_transform(front, lambda p: p.x / p.w) AS nx, list_transform(front, lambda p: p.y / p.w) AS ny, pitch * {TILTED.zoom} * scale AS px FROM s)
+SELECT n.file_id, CASE WHEN len(front) = 4 THEN list_max(nx) > -1 AND list_min(nx) < 1 AND list_max(ny) > -1 AND list_min(ny) < 1 ELSE len(front) > 0 END AS seen, round(px, 6) AS ppl,
+  ((px >= 1)::INT + (px >= 3)::INT + (px >= 6)::INT)::BIGINT AS lod, (CASE WHEN n.file_id = 3 THEN 1 ELSE 0 END + CASE WHEN h.file_id IS NOT NULL THEN 2 ELSE 8 END + CASE WHEN n.file_id = 5 THEN 4 ELSE 0 END)::BIGINT AS flags, round(height, 6) AS top FROM n LEFT JOIN h ON h.file_id = n.file_id
+""")
+def v_per_file_tilted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The per-file select of a frame through a tilted camera, which sees the tops of files."""
+    hits = S.hits(doc_lines(spark, sf_dir), WORD)
+    rows = view.per_file(framed(spark, sf_dir), hits, VIEW, TILTED.zoom, 3, 5, camera=TILTED)
+    return long(rows.select("file_id", "seen", F.round("ppl", 6).alias("ppl"), "lod", "flags", F.round("top", 6).alias("top")))

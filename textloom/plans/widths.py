@@ -31,7 +31,7 @@ cw AS (SELECT file_id, line_no, text, CASE WHEN text = '' THEN [] ELSE list_tran
 def a_line_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Width of every inked line in the face."""
     rows = doc_lines(spark, sf_dir).where("text <> ''")
-    return rows.select("file_id", F.col("line_no").cast("long").alias("line_no"), F.round(P.total(P.char_widths(F.col("text"), ADV)), 6).alias("width"))
+    return rows.select("file_id", F.col("line_no").cast("long").alias("line_no"), F.round(P.line_width(F.col("text"), ADV), 6).alias("width"))
 
 
 #: Rows of lines that wrap by width, in SQL: a fold over the characters of each line.
@@ -96,7 +96,7 @@ def _settled(page: tuple[int, float] | None) -> str:
     n, target = ("n", f"least(greatest(coalesce(p90, 0), {24 * Y.CHAR!r}), {100 * Y.CHAR!r})") if page is None else (f"greatest(n, {page[0]})", f"{float(page[1])}")
     up = lambda a, b: f"(({a} + {b} - 1) // {b})"
     total = f"1 + ceil(greatest(width - capw, 0) / greatest(capw - {HANG}, 1e-6))::BIGINT"
-    out = [f"""lines_w AS (SELECT file_id, coalesce(list_sum(w), 0)::DOUBLE AS width FROM lw),
+    out = [f"""lines_w AS (SELECT file_id, round(coalesce(list_sum(w), 0), 9)::DOUBLE AS width FROM lw),
 own AS (SELECT file_id, count(*) AS n, quantile_cont(width, 0.9) AS p90, max(width) AS widest FROM lines_w GROUP BY file_id),
 t0 AS (SELECT doc_id AS file_id, coalesce(n, 0) AS n, widest, greatest({n.replace("n", "coalesce(n, 0)") if page is None else n.replace("(n,", "(coalesce(n, 0),")}, 1) AS m, {target} AS target FROM documents LEFT JOIN own ON file_id = doc_id),
 tk AS (SELECT file_id, max(k) AS k FROM t0, range(1, 65) AS r(k) WHERE k <= m AND (k = 1 OR {W} / (k + {Y.GAP} * (k - 1)) >= target * ({H} / ({up("m", "k")} + 2))) GROUP BY file_id),
@@ -115,7 +115,7 @@ f0 AS (SELECT *, colw / pitch AS capw, n > 0 AND coalesce(widest, 0) > colw / pi
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file_id, w, h, n, target, hist of all documents by the widths of their lines, in boxes of one size."""
-    rows = doc_lines(spark, sf_dir).select("file_id", P.total(P.char_widths(F.col("text"), ADV)).alias("width"))
+    rows = doc_lines(spark, sf_dir).select("file_id", P.line_width(F.col("text"), ADV).alias("width"))
     counts = rows.groupBy("file_id", "width").agg(F.count("*").alias("count"))
     hist = counts.groupBy("file_id").agg(F.sum("count").alias("n"), F.percentile("width", 0.9, F.col("count")).alias("p90"), F.collect_list(F.struct("width", "count")).alias("hist"))
     files = corpora.prose(spark, sf_dir).select("file_id").join(hist, "file_id", "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import gc
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -39,14 +40,51 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+class Steps:
+    """The stored steps of an operator that runs."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, list[str]()
+
+    def done(self, result: DataFrame) -> DataFrame:
+        """The result; steps that it doesn't read are deleted now."""
+        used = set(_stored(result))
+        gone, self.paths = [p for p in self.paths if p not in used], [p for p in self.paths if p in used]
+        jvm = self.spark.sparkContext._jvm
+        for path in gone:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        return result
+
+
+def _stored(df: DataFrame) -> Iterator[str]:
+    """The checkpoints that a plan reads."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    for k in range(leaves.size()):
+        if leaves.apply(k).nodeName() == "LogicalRDD" and (file := leaves.apply(k).rdd().getCheckpointFile()).isDefined():
+            yield file.get()
+
+
+_RUNNING: list[Steps] = []
+
+
 @contextlib.contextmanager
-def tidy(spark: SparkSession) -> Iterator[None]:
-    """Plans made inside drop their shuffle files as soon as they have run, not when the driver collects its garbage.
+def tidy(spark: SparkSession) -> Iterator[Steps]:
+    """Plans made inside drop their shuffle files as soon as they have run, not when the driver collects its garbage, and
+    ``Steps.done`` deletes the stored steps that the result doesn't read; Spark itself keeps them all unless told otherwise when it
+    starts. What a result inside another operator reads is left to that operator.
 
     For operators that store each step with ``cut``: a stored step needs no shuffle files of the steps before it.
     """
-    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
-        yield
+    steps = Steps(spark)
+    _RUNNING.append(steps)
+    try:
+        with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+            yield steps
+    finally:
+        _RUNNING.pop()
+        if _RUNNING:
+            _RUNNING[-1].paths += steps.paths
 
 
 def thin(df: DataFrame, by: int = 8) -> DataFrame:
@@ -62,9 +100,12 @@ def sweep(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only where the session names none, as in tests, is it one below the warehouse, which is
-    shared as well."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+    """The folder of spark.checkpoint.dir. Only where the session names none and runs on one machine, as in tests, is it one below the
+    warehouse; on a cluster that may be a folder that other machines don't see."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -77,7 +118,10 @@ def cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    out = df.checkpoint()
+    if _RUNNING:
+        _RUNNING[-1].paths += _stored(out)
+    return out
 
 
 @contextlib.contextmanager
