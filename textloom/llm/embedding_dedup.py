@@ -336,8 +336,8 @@ def _linked(own: DataFrame, similarity: float) -> DataFrame:
 
 def links(vectors: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row; vectors: vec_id, embedding."""
-    with tidy(vectors.sparkSession):
-        return _result(settled(vectors.select("vec_id", "embedding")), similarity)
+    with tidy(vectors.sparkSession) as steps:
+        return steps.done(_result(settled(vectors.select("vec_id", "embedding")), similarity))
 
 
 def _result(vectors: DataFrame, similarity: float) -> DataFrame:

@@ -94,8 +94,8 @@ def identities(docs: DataFrame, block: int = BLOCK, fingerprint: Callable[[Colum
 
 def groups(docs: DataFrame, block: int = BLOCK, fingerprint: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """row (an integer of its own), doc_id, keep_id, group_size, kept and text_sha256 of every row."""
-    with tidy(docs.sparkSession):
-        return _groups(settled(docs.select("doc_id", "text")), block, fingerprint)
+    with tidy(docs.sparkSession) as steps:
+        return steps.done(_groups(settled(docs.select("doc_id", "text")), block, fingerprint))
 
 
 def _groups(docs: DataFrame, block: int, fingerprint: Callable[[Column], Column]) -> DataFrame:
@@ -116,5 +116,6 @@ def _groups(docs: DataFrame, block: int, fingerprint: Callable[[Column], Column]
 
 def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row of each group of equal texts, with all columns."""
-    docs = settled(docs)
-    return without(docs, groups(docs, block).where("NOT kept"))
+    with tidy(docs.sparkSession) as steps:
+        docs = settled(docs)
+        return steps.done(without(docs, groups(docs, block).where("NOT kept")))

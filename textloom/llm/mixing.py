@@ -190,10 +190,10 @@ def _planned(docs: DataFrame, block: int, shard: int, repeat: int, seed: str, st
 
 def mixture(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, repeat: int = REPEAT, seed: str = SEED, stratified: bool = True) -> DataFrame:
     """doc_id, size, source_size, target and taken of every row."""
-    with tidy(docs.sparkSession):
+    with tidy(docs.sparkSession) as steps:
         rows, parts = _planned(docs.select("doc_id", "source", "text"), block, shard, repeat, seed, stratified)
-    took = parts.groupBy("row").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
-    joined = rows.join(took, "row", "left")
+        took = parts.groupBy("row").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
+        joined = steps.done(rows.join(took, "row", "left"))
     return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
@@ -203,13 +203,14 @@ def mixed(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, repeat: int =
     A copy of all words has the text as it is; a partial one has the taken words parted by one space. n_chars, if there is
     such a column, follows the text. Rows without words are not in a mix of words. All other columns are as they were.
     """
-    with tidy(docs.sparkSession):
+    with tidy(docs.sparkSession) as steps:
         docs = settled(docs)
         _, parts = _planned(docs.select("doc_id", "source", "text"), block, shard, repeat, seed, stratified)
         plan = parts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "words", "uses"))).alias("plan"))
         plan = cut(plan.withColumn("most", F.array_max(F.transform("plan", lambda p: p["uses"]))).where("most > 0"))
-    whole_rows = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))
-    copies = whole_rows.join(plan, "row").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("most"))))
+        whole_rows = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))
+        copies = steps.done(whole_rows.join(plan, "row"))
+    copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("most"))))
     copies = copies.withColumn("whole", F.forall("plan", lambda p: p["uses"] >= F.col("copy")))
     copies = copies.withColumn("found", F.when(~F.col("whole"), F.regexp_extract_all(F.col("doc.text"), F.lit(WORD), F.lit(0))))
     taken = F.filter("plan", lambda p: p["uses"] >= F.col("copy"))

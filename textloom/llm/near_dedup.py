@@ -409,8 +409,8 @@ def joined(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """row, doc_id, class_id, class_size and kept of every row."""
-    with tidy(docs.sparkSession):
-        return _classes(settled(docs.select("doc_id", "text")))
+    with tidy(docs.sparkSession) as steps:
+        return steps.done(_classes(settled(docs.select("doc_id", "text"))))
 
 
 def _classes(docs: DataFrame) -> DataFrame:
@@ -428,5 +428,6 @@ def _classes(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each class, with all columns."""
-    docs = settled(docs)
-    return without(docs, classes(docs).where("NOT kept"))
+    with tidy(docs.sparkSession) as steps:
+        docs = settled(docs)
+        return steps.done(without(docs, classes(docs).where("NOT kept")))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import kernels as K
-from textloom.llm.common import cut
+from textloom.llm.common import cut, tidy
 
 #: Standard deviations that chance brings in a sample of e texts of the smaller class (their square grows with the log); words of a passage.
 CHANCE, PASSAGE = 1.1, 16
@@ -321,19 +321,21 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int] = MAX_RO
 
     The sample stays on the executors: the driver sees its vocabulary, the words' counts and the model.
     """
-    rows = cut(sample(docs, labels, max_rows, max_bytes))
-    found = _in_one_task(rows, _vocabulary)
-    if found is None:
-        return None
-    vocab = docs.sparkSession.sparkContext.broadcast(found)
-    counts = corpus_counts(docs, vocab).toArrow()
-    vocab.destroy()
-    named = counts.filter(counts["word"].is_valid())
-    total = sum(counts.filter(counts["word"].is_null())["n"].to_pylist())
-    order = np.argsort(word := named["word"].to_numpy().view(np.uint64))
-    shared = docs.sparkSession.sparkContext.broadcast((word[order], named["n"].to_numpy()[order]))
-    model = _in_one_task(rows, lambda table: _trained(table, shared.value, total))
-    shared.destroy()
+    with tidy(docs.sparkSession) as steps:
+        rows = cut(sample(docs, labels, max_rows, max_bytes))
+        found = _in_one_task(rows, _vocabulary)
+        model = None
+        if found is not None:
+            vocab = docs.sparkSession.sparkContext.broadcast(found)
+            counts = corpus_counts(docs, vocab).toArrow()
+            vocab.destroy()
+            named = counts.filter(counts["word"].is_valid())
+            total = sum(counts.filter(counts["word"].is_null())["n"].to_pylist())
+            order = np.argsort(word := named["word"].to_numpy().view(np.uint64))
+            shared = docs.sparkSession.sparkContext.broadcast((word[order], named["n"].to_numpy()[order]))
+            model = _in_one_task(rows, lambda table: _trained(table, shared.value, total))
+            shared.destroy()
+        steps.done(docs)
     return model
 
 

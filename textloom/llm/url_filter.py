@@ -132,11 +132,12 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
     lengths = sorted({len(p) for _, _, p in rules})
     urls = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     cascades = {}
-    with tidy(spark):
+    with tidy(spark) as steps:
         keys = thin(cut(universe(urls.select("host", "path").distinct(), lengths)))
         for verdict in ("allow", "block"):
             listed = spark.createDataFrame([(h + p,) for v, h, p in rules if v == verdict], "key string")
             cascades[verdict] = build(keys, listed)
+        steps.done(urls)
     shared = spark.sparkContext.broadcast((cascades, lengths))
     kind = pages.schema["page_id"].dataType.simpleString()
 

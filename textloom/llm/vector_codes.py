@@ -180,14 +180,15 @@ def coded(rows: DataFrame, books: np.ndarray) -> DataFrame:
 
 def codes(vectors: DataFrame) -> DataFrame:
     """vec_id, code, error, label_error and codebooks_sha256 of every vector that is coded; vectors: vec_id, embedding, label."""
-    with tidy(vectors.sparkSession):
+    with tidy(vectors.sparkSession) as steps:
         rows = cut(kept(vectors))
         least = rows.orderBy(F.col("vec_id").asc_nulls_last(), "x").select(F.size("x").alias("n")).head()
         if least is None:
-            return rows.select("vec_id", F.lit("").alias("code"), F.lit(0).cast("long").alias("error"), F.lit(0).cast("long").alias("label_error"), F.lit("").alias("codebooks_sha256"))
+            return steps.done(rows).select("vec_id", F.lit("").alias("code"), F.lit(0).cast("long").alias("error"), F.lit(0).cast("long").alias("label_error"), F.lit("").alias("codebooks_sha256"))
         rows = rows.where(F.size("x") == least.n)
         books = fit(rows)
         digest = hashlib.sha256(",".join(map(str, books.reshape(-1).tolist())).encode()).hexdigest()
         found = coded(rows, books)
         totals = found.groupBy(F.col("label").alias("__label")).agg(F.try_sum("error").alias("label_error"))
-        return found.join(totals, F.col("label").eqNullSafe(F.col("__label"))).select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+        shared = found.join(totals, F.col("label").eqNullSafe(F.col("__label")))
+        return steps.done(shared.select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256")))
