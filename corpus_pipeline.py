@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
-from textloom.llm.common import cut, fold, table
+from textloom.llm.common import cut, fold, table, tidy
 from textloom.llm.queries import vocabulary
 
 
@@ -53,8 +53,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = cut(docs)
-    return docs
+    with tidy(spark) as steps:
+        for k, (_, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if k < len(STAGES) - 1:
+                docs = steps.done(cut(docs))
+        return steps.done(docs)
