@@ -1,10 +1,11 @@
 """Phrase collocations from count tries.
 
 Texts are cut into pieces at PIECES and pieces into words; everything is counted per language. A shard is the texts of a task, up
-to SHARD_BYTES at a time. It counts its phrases of up to DEPTH words in a trie: a node is its parent and one more word. Tries
-are written sorted, dealt to ranges of the order of paths, and nodes of equal path are merged there. A walk along a range, with the nodes on
-the path at its start, gives each phrase the counts of its left parts, which are its ancestors; links from each phrase to the one
-without its first word give the right parts.
+to TRIE_BYTES at a time. It counts its phrases of up to DEPTH words in a trie: a node is its parent and one more word. A trie is
+serialised in the order of its paths, a node as its depth, its last word and its count, in one block for each prefix range: nodes of
+two words and more are in the range of a hash of their first two, words in that of their own. A task merges the blocks of all shards
+for its ranges, walks along the merged trie, where ancestors come first, and so gives each phrase the counts of its left parts. Links
+from each phrase to the one without its first word give the right parts, and the count of a first word is looked up.
 
 Most phrases of a corpus are rare, and no part of a frequent phrase is. So three passes come first that count hashes of words, of
 pairs of frequent words, and of longer runs of frequent pairs. Hashes with LEAST occurrences or more set bits of a filter of
@@ -35,11 +36,13 @@ from textloom.llm.common import cut, tidy
 DEPTH, LEAST, WHOLE, TOP = 4, 30, 80, 2000
 UNKNOWN = "und"
 PIECES = b".,;:!?\n\x0b\x0c\r"
-SHARD_BYTES = 12 << 20
+#: Bytes of text of a shard that counts hashes, and of one that makes a trie, which takes more memory.
+SHARD_BYTES, TRIE_BYTES = 8 << 20, 4 << 20
 #: Bits of the filter, and those of one row of it on its way to the driver.
 FILTER_BITS, ROW_BITS = 1 << 26, 1 << 16
-#: Parts of a language's candidates that are ranked apart first.
-PARTS = 64
+#: Parts of a language's candidates that are ranked apart first, prefix ranges at least, and nodes that a merging task holds
+#: unmerged.
+PARTS, RANGES, HELD = 64, 128, 1 << 19
 _U = np.uint64
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -97,21 +100,21 @@ def _both(there: np.ndarray, n: int, follows: np.ndarray | None) -> np.ndarray:
     return np.flatnonzero(ok)
 
 
-def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
-    """Batches of text, lang as shards."""
+def shards(batches: Iterator[pa.RecordBatch], most: int = SHARD_BYTES) -> Iterator[Shard]:
+    """Batches of text, lang as shards of most bytes, or of one text that is longer."""
     held: list[pa.RecordBatch] = []
     size = 0
 
     def cut_up() -> Iterator[Shard]:
         table = pa.Table.from_batches(held).combine_chunks()
         langs = table.column(1).combine_chunks() if len(table) else pa.array([], pa.string())
-        for texts in K.chunks(table.column(0), SHARD_BYTES):
+        for texts in K.chunks(table.column(0), most):
             yield Shard.of(texts, langs.slice(texts.first, len(texts)))
 
     for batch in batches:
         held.append(batch)
         size += batch.nbytes
-        if size >= SHARD_BYTES:
+        if size >= most:
             yield from cut_up()
             held, size = [], 0
     if held:
@@ -169,20 +172,38 @@ def _mark(counted: DataFrame, bits: np.ndarray, least: int) -> None:
         bits[at : at + ROW_BITS // 8] |= np.frombuffer(row["bits"], np.uint8)
 
 
-def _tries(docs: DataFrame, bits: Broadcast) -> DataFrame:
-    """lang, path, n: the nodes of every shard's trie, sorted."""
+def _tries(docs: DataFrame, bits: Broadcast, ranges: int) -> DataFrame:
+    """range, block: the nodes of every shard's trie, serialised, a block for each prefix range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in shards(batches):
-            places = [at for _, at in shard.alive(bits.value, DEPTH)]
-            if len(places[0]):
-                yield from _trie(shard, places).to_batches(max_chunksize=1 << 14)
+        for shard in shards(batches, TRIE_BYTES):
+            alive = list(shard.alive(bits.value, DEPTH))
+            if len(alive[0][1]):
+                for k, block in _blocks(*_trie(shard, [at for _, at in alive], [hashes for hashes, _ in alive[:2]]), ranges):
+                    yield pa.record_batch({"range": pa.array([k], pa.int64()), "block": pa.array([block], pa.binary())})
+
+    return K.arrow(docs, run, "range long, block binary")
+
+
+@dataclass
+class Trie:
+    """The nodes of a count trie in the order of their paths: names of languages (level 0) and words, by number, -1 behind a path's end."""
 
-    return K.arrow(docs, run, "lang string, path array<string>, n long")
+    names: pa.Array
+    paths: np.ndarray  # (node, DEPTH + 1)
+    counts: np.ndarray
 
+    @property
+    def depth(self) -> np.ndarray:
+        return (self.paths >= 0).sum(1) - 1
 
-def _trie(shard: Shard, places: list[np.ndarray]) -> pa.Table:
-    """The count trie of the phrases that begin at the places, by number of words; its nodes in the order of their paths."""
+    def __getitem__(self, at: np.ndarray) -> Trie:
+        return Trie(self.names, self.paths[at], self.counts[at])
+
+
+def _trie(shard: Shard, places: list[np.ndarray], hashes: list[np.ndarray]) -> tuple[Trie, np.ndarray]:
+    """The count trie of the phrases that begin at the places, by number of words, and the hash that each node's prefix range goes by;
+    hashes: of words and of pairs."""
     w, single = shard.words, places[0]
     ink = np.zeros(len(shard.texts.data) + 1, np.int8)
     ink[w.starts[single]] += 1
@@ -190,73 +211,125 @@ def _trie(shard: Shard, places: list[np.ndarray]) -> pa.Table:
     letters = shard.texts.data[np.cumsum(ink[:-1], dtype=np.int8).astype(bool)]
     ends = np.concatenate([[0], np.cumsum(w.ends[single] - w.starts[single])]).astype(np.int64)
     spelt = pa.LargeStringArray.from_buffers(len(single), pa.py_buffer(ends), pa.py_buffer(letters)).cast(pa.string()).dictionary_encode()
-    names = spelt.dictionary
-    order = np.array(pa.compute.sort_indices(names.cast(pa.binary())))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
+    names, first_word = pa.concat_arrays([pa.array(shard.langs, pa.string()), spelt.dictionary]), len(shard.langs)
     word = np.full(len(w.starts), -1, np.int64)
-    word[single] = rank[spelt.indices.to_numpy()]
-    names = names.take(pa.array(order))
+    word[single] = spelt.indices.to_numpy() + first_word
 
     node = shard.lang_of.astype(np.int64)  # of the phrase that begins at each word, one word longer each time
-    path, lang, counts = [], [], []
-    for d, at in enumerate(places):
-        _, first, which, n = np.unique(node[at] * len(names) + word[at + d], return_index=True, return_inverse=True, return_counts=True)
+    paths, counts, ranges = [], [], []
+    for d, at in enumerate(places, 1):
+        _, first, which, n = np.unique(node[at] * len(names) + word[at + d - 1], return_index=True, return_inverse=True, return_counts=True)
         node = np.full(len(word), -1, np.int64)
         node[at] = which
         begins = at[first]
-        full = np.full((len(first), DEPTH), -1, np.int64)
-        for k in range(d + 1):
-            full[:, k] = word[begins + k]
-        path.append(full)
-        lang.append(shard.lang_of[begins])
+        full = np.full((len(first), DEPTH + 1), -1, np.int32)
+        full[:, 0] = shard.lang_of[begins]
+        for k in range(d):
+            full[:, k + 1] = word[begins + k]
+        paths.append(full)
         counts.append(n)
-    paths, langs, n = np.concatenate(path), np.concatenate(lang), np.concatenate(counts)
-    order = np.lexsort((*(paths[:, k] for k in reversed(range(DEPTH))), langs))
-    paths = paths[order]
-    size = (paths >= 0).sum(1)
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), names.take(pa.array(paths[paths >= 0])))
-    return pa.table({"lang": pa.array(shard.langs, pa.string()).take(pa.array(langs[order])), "path": lists, "n": pa.array(n[order], pa.int64())})
-
+        ranges.append(hashes[min(d, 2) - 1][begins])
+    trie, order = _sorted(Trie(names, np.concatenate(paths), np.concatenate(counts)))
+    return trie, np.concatenate(ranges)[order]
 
-def _merged(tries: DataFrame, least: int) -> DataFrame:
-    """lang, path, n: all shards' nodes that come often enough, in ranges of the order of their paths, sorted and stored."""
-    ranges = tries.repartitionByRange("lang", "path")
-    return cut(ranges.groupBy("lang", "path").agg(F.sum("n").alias("n")).where(F.col("n") >= least).sortWithinPartitions("lang", "path"))
 
-
-def _lefts(merged: DataFrame) -> DataFrame:
-    """lang, path, n and lefts: the counts of the first 1, 2, ... words of each path, by a walk along each range.
-
-    The nodes above the first path of a range may be in the range before: at most DEPTH - 1 for each partition, which are looked up first.
-    """
-    ranges = merged.withColumn("range", F.spark_partition_id())
-    heads = ranges.groupBy("range").agg(F.min(F.struct("lang", "path")).alias("head"))
-    above = heads.select("range", F.col("head.lang").alias("lang"), F.col("head.path").alias("whole")).where(F.size("whole") > 1)
-    above = above.select("range", "lang", F.explode(F.expr("transform(sequence(1, size(whole) - 1), k -> slice(whole, 1, k))")).alias("path"))
-    known: dict[int, dict[int, int]] = {}
-    for row in merged.join(above, ["lang", "path"]).select("range", F.size("path").alias("depth"), "n").toArrow().to_pylist():
-        known.setdefault(row["range"], {})[row["depth"]] = row["n"]
+def _sorted(trie: Trie) -> tuple[Trie, np.ndarray]:
+    """The nodes by their paths, word by word in the order of their bytes, and where they were."""
+    order = np.array(pa.compute.sort_indices(trie.names.cast(pa.binary())))
+    rank = np.full(len(order) + 1, -1, np.int32)
+    rank[order] = np.arange(len(order))
+    # the last rank, which -1 takes, comes before all words
+    at = np.lexsort(tuple(rank[trie.paths[:, k]] for k in reversed(range(DEPTH + 1))))
+    return trie[at], at
+
+
+def _blocks(trie: Trie, hashes: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
+    """The trie's nodes by prefix range, serialised: depth, last word and count, where paths part. A node that is in another range but
+    above one of these comes without a count."""
+    which = (hashes % _U(ranges)).astype(np.int64)
+    order = np.argsort(which, kind="stable")
+    cuts = np.flatnonzero(np.diff(which[order])) + 1
+    for at in np.split(order, cuts):
+        own = trie[at]
+        depth, parts = own.depth, np.zeros(len(at), np.int64)
+        same = np.ones(len(at) - 1, bool)
+        for k in range(DEPTH + 1):  # levels that a path has in common with the one before
+            same &= own.paths[1:, k] == own.paths[:-1, k]
+            parts[1:] += same
+        n = depth + 1 - parts
+        of = np.repeat(np.arange(len(at)), n)
+        level = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + parts[of]
+        table = pa.table({"depth": pa.array(level, pa.uint8()), "word": trie.names.take(pa.array(own.paths[of, level])), "n": pa.array(np.where(level == depth[of], own.counts[of], 0), pa.int64())})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(table)
+        yield int(which[at[0]]), sink.getvalue().to_pybytes()
+
+
+def _merge(tables: list[pa.Table]) -> Trie:
+    """One trie of serialised ones: nodes of equal path become one, with their counts added."""
+    table = pa.concat_tables(tables).combine_chunks()
+    named = table.column("word").combine_chunks().dictionary_encode()
+    level, n, word = table.column("depth").to_numpy(), table.column("n").to_numpy(), named.indices.to_numpy()
+    own, places = np.flatnonzero(n > 0), np.arange(len(level))
+    paths = np.full((len(own), DEPTH + 1), -1, np.int32)
+    key = np.zeros(len(own), np.int64)
+    for k in range(DEPTH + 1):
+        last = np.maximum.accumulate(np.where(level == k, places, 0))[own]
+        paths[:, k] = np.where(level[own] >= k, word[last], -1)
+        _, key = np.unique(key * (len(named.dictionary) + 1) + (paths[:, k] + 1), return_inverse=True)
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) > 0])) if len(order) else order
+    return Trie(named.dictionary, paths[order[first]], np.add.reduceat(n[own][order], first) if len(order) else n[own])
+
+
+def _serial(trie: Trie) -> pa.Table:
+    """A trie as one that ``_merge`` takes, every path from its language on."""
+    depth = trie.depth
+    of = np.repeat(np.arange(len(depth)), depth + 1)
+    level = np.arange(len(of)) - np.repeat(np.cumsum(depth + 1) - depth - 1, depth + 1)
+    return pa.table({"depth": pa.array(level, pa.uint8()), "word": trie.names.take(pa.array(trie.paths[of, level])), "n": pa.array(np.where(level == depth[of], trie.counts[of], 0), pa.int64())})
+
+
+def _merged(tries: DataFrame, ranges: int, least: int) -> DataFrame:
+    """lang, path, n, lefts of the nodes that come often enough in all shards' tries; lefts: the counts of the first 2, 3, ... words of
+    each path, by a walk along the merged trie. Stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: np.ndarray | None = None  # the count at each depth of the path that the walk is on
+        held: list[pa.Table] = []
+        rows, most = 0, HELD
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if last is None:
-                here = known.get(batch.column(3)[0].as_py(), {})
-                last = np.array([here.get(d, 0) for d in range(1, DEPTH)])
-            depth, n = np.asarray(batch.column(1).value_lengths()), batch.column(2).to_numpy()
-            lefts = np.zeros((len(n), DEPTH - 1), np.int64)
-            for d in range(1, DEPTH):
-                at = np.maximum.accumulate(np.where(depth == d, np.arange(len(n)), -1))
-                lefts[:, d - 1] = np.where(at < 0, last[d - 1], n[at])
-            last = lefts[-1]
-            mine = np.arange(1, DEPTH)[None, :] < depth[:, None]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(mine.sum(1))]).astype(np.int32)), pa.array(lefts[mine]))
-            yield pa.record_batch([*batch.columns[:3], lists], ["lang", "path", "n", "lefts"])
-
-    return K.arrow(ranges.select("lang", "path", "n", "range"), run, "lang string, path array<string>, n long, lefts array<long>")
+            for block in batch.column(1):
+                held.append(pa.ipc.open_stream(block.as_buffer()).read_all())
+                rows += len(held[-1])
+                if rows >= most:  # what is merged stays, and as much again may come
+                    held = [_serial(_merge(held))]
+                    rows = len(held[0])
+                    most = max(HELD, 2 * rows)
+        if held:
+            yield from _walked(_merge(held), least).to_batches(max_chunksize=1 << 14)
+
+    return cut(K.arrow(tries.repartition(ranges, "range"), run, "lang string, path array<string>, n long, lefts array<long>"))
+
+
+def _walked(trie: Trie, least: int) -> pa.Table:
+    trie, _ = _sorted(trie[trie.counts >= least])
+    depth, n, places = trie.depth, trie.counts, np.arange(len(trie.counts))
+    lefts = np.zeros((len(n), DEPTH - 2), np.int64)
+    for d in range(2, DEPTH):  # the last node of each depth is the ancestor of what follows
+        lefts[:, d - 2] = n[np.maximum.accumulate(np.where(depth == d, places, 0))]
+    mine = np.arange(2, DEPTH)[None, :] < depth[:, None]
+    lists = lambda size, flat: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), flat)
+    words = trie.paths[:, 1:]
+    return pa.table({"lang": trie.names.take(pa.array(trie.paths[:, 0])), "path": lists(depth, trie.names.take(pa.array(words[words >= 0]))), "n": pa.array(n, pa.int64()), "lefts": lists(mine.sum(1), pa.array(lefts[mine]))})
+
+
+def _lefts(merged: DataFrame) -> DataFrame:
+    """lefts with the count of the first word in front."""
+    words = merged.where(F.size("path") == 1).select("lang", F.col("path")[0].alias("first"), F.col("n").alias("one"))
+    longer = merged.where(F.size("path") > 1).withColumn("first", F.col("path")[0]).join(words, ["lang", "first"])
+    whole = longer.select("lang", "path", "n", F.concat(F.array("one"), "lefts").alias("lefts"))
+    return whole.unionByName(merged.where(F.size("path") == 1))
 
 
 def _rights(nodes: DataFrame) -> DataFrame:
@@ -298,19 +371,22 @@ def _first(phrases: DataFrame, top: int) -> DataFrame:
 
 def collocations(docs: DataFrame, least: int = LEAST, share: int = WHOLE, top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of the first phrases of each language; docs: text, lang."""
-    with tidy(docs.sparkSession):
+    with tidy(docs.sparkSession) as steps:
         texts = docs.select("text", F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"))
         context, bits = docs.sparkSession.sparkContext, np.zeros(FILTER_BITS // 8, np.uint8)
-        words = cut(_counted(texts, None, (1,)))
-        sizes = cut(words.where("lang IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("size")))
+        words = _counted(texts, None, (1,)).groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+        words = cut(words.where((F.col("n") >= least) | F.col("lang").isNotNull()))
+        sizes = words.where("lang IS NOT NULL").select("lang", F.col("n").alias("size"))
         _mark(words, bits, least)
         for depths in ((2,), tuple(range(3, DEPTH + 1))):
             shared = context.broadcast(bits)
             _mark(_counted(texts, shared, depths), bits, least)
             shared.destroy()
         shared = context.broadcast(bits)
-        tries = cut(_tries(texts, shared))
+        ranges = max(RANGES, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        merged = _merged(_tries(texts, shared, ranges), ranges, least)
         shared.destroy()
-        nodes = cut(_lefts(_merged(tries, least)))
+        nodes = cut(_lefts(merged))
         phrases = _without_parts(_scored(_rights(nodes)), share).withColumn("phrase", F.array_join("path", " "))
-        return _first(phrases, top).join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", F.col("size").alias("n"), "score")
+        found = _first(phrases, top).join(sizes, "lang")
+        return steps.done(found.select("lang", "rank", "phrase", "a", "l", "r", F.col("size").alias("n"), "score"))
