@@ -5,7 +5,6 @@ A camera is a few numbers of the caller; they enter plans as literals.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from typing import TYPE_CHECKING
 
@@ -297,21 +296,24 @@ def render_errors(frames: DataFrame, key: str) -> DataFrame:
     return frames.groupBy(key).agg(F.avg(off).alias("error"), F.avg(F.when(F.col("inked"), off)).alias("ink_error"), F.min("ms").alias("ms"), F.avg("sparkle").alias("sparkle"), F.max("sparkle").alias("worst"))
 
 
-def flight(spark, start: tuple[float, float, float], end: tuple[float, float, float], steps: int, rho: float = 1.4) -> DataFrame:
-    """step, x, y, width of a smooth zooming path (van Wijk and Nuij 2003) from (x, y, width) to (x, y, width)."""
-    (x0, y0, w0), (x1, y1, w1) = start, end
-    d = math.hypot(x1 - x0, y1 - y0)
-    t = spark.range(steps + 1).select(F.col("id").alias("step"), (F.col("id") / steps).alias("t"))
-    if d < 1e-9:
-        length = abs(math.log(w1 / w0)) / rho
-        sign = 1 if w1 >= w0 else -1
-        return t.select("step", F.lit(x0).alias("x"), F.lit(y0).alias("y"), (w0 * F.exp(sign * rho * length * F.col("t"))).alias("width"))
+def flights(targets: DataFrame, start: tuple[float, float, float], steps: int, rho: float = 1.4) -> DataFrame:
+    """Smooth zooming paths (van Wijk and Nuij 2003) from (x, y, width) to every target (x, y, width, and other columns, which stay):
+    step, x, y, width, in steps + 1 rows each. A target at the start's place is zoomed to."""
+    x0, y0, w0 = start
+    w1, off = F.col("width"), F.hypot(F.col("x") - x0, F.col("y") - y0)
+    d = F.greatest(off, F.lit(1e-9))
     b0 = (w1 * w1 - w0 * w0 + rho**4 * d * d) / (2 * w0 * rho**2 * d)
     b1 = (w1 * w1 - w0 * w0 - rho**4 * d * d) / (2 * w1 * rho**2 * d)
-    r0, r1 = (math.log(-b + math.sqrt(b * b + 1)) for b in (b0, b1))
-    s = (r1 - r0) / rho * F.col("t")
-    u = w0 / rho**2 * (math.cosh(r0) * F.tanh(rho * s + r0) - math.sinh(r0))
-    return t.select("step", (x0 + (x1 - x0) / d * u).alias("x"), (y0 + (y1 - y0) / d * u).alias("y"), (w0 * math.cosh(r0) / F.cosh(rho * s + r0)).alias("width"))
+    turn = lambda b: F.ln(F.sqrt(b * b + 1) - b)
+    rest = [c for c in targets.columns if c not in ("x", "y", "width")]
+    made = targets.select(*rest, F.col("x").alias("__x"), F.col("y").alias("__y"), F.ln(w1 / w0).alias("__zoom"), off.alias("__off"), turn(b0).alias("__r0"), turn(b1).alias("__r1"))
+    each = made.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps).cast("long")))).withColumn("__t", F.col("step") / steps)
+    bent = (F.col("__r1") - F.col("__r0")) * F.col("__t") + F.col("__r0")
+    share = w0 / rho**2 * (F.cosh("__r0") * F.tanh(bent) - F.sinh("__r0")) / F.greatest("__off", F.lit(1e-9))
+    still = F.col("__off") < 1e-9
+    place = [F.when(still, F.col(f"__{n}")).otherwise(o + (F.col(f"__{n}") - o) * share).alias(n) for n, o in (("x", x0), ("y", y0))]
+    width = F.when(still, w0 * F.exp(F.col("__zoom") * F.col("__t"))).otherwise(w0 * F.cosh("__r0") / F.cosh(bent))
+    return each.select(*rest, "step", *place, width.alias("width"))
 
 
 def packed_row(indent: Column, length: Column) -> Column:

@@ -124,13 +124,19 @@ def o_dirs_by_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long(tree.by_depth(page_dirs(spark, sf_dir)).select("path", "depth", "place"))
 
 
+def _channel(n: int) -> str:
+    """A channel of a hue in SQL: 5 is red, 3 green, 1 blue."""
+    return f"floor(255 * (0.9 * (1 - 0.55 * greatest(0, least(1, least(({n} + hue / 2.0) % 6, 4 - ({n} + hue / 2.0) % 6))))))::BIGINT"
+
+
 @query("""
-SELECT event_id, ((event_id % 24) % 12)::BIGINT AS hue, floor(255 * (0.9 * (1 - 0.55 * greatest(0, least(1, least(k, 4 - k))))))::BIGINT AS red FROM (SELECT event_id, ((5 + (event_id % 12) / 2.0) % 6)::DOUBLE AS k FROM events)
-""")
+SELECT event_id, hue, channel(5, hue) AS red, channel(3, hue) AS green, channel(1, hue) AS blue FROM (SELECT event_id, ((event_id % 24) % 12)::BIGINT AS hue FROM events)
+""".replace("channel(5, hue)", _channel(5)).replace("channel(3, hue)", _channel(3)).replace("channel(1, hue)", _channel(1)))
 def p_hue_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Red of the hues, from their place on the colour circle."""
+    """Red, green and blue of the hues, from their place on the colour circle."""
     hue = F.col("event_id") % 24
-    return long(corpora.table(spark, sf_dir, "events").select("event_id", (hue % 12).alias("hue"), T.hue_rgb(hue)[0].alias("red")))
+    red, green, blue = T.hue_rgb(hue)
+    return long(corpora.table(spark, sf_dir, "events").select("event_id", (hue % 12).alias("hue"), red.alias("red"), green.alias("green"), blue.alias("blue")))
 
 
 @query("""

@@ -197,19 +197,19 @@ def f_hit_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scene(spark, sf_dir).select("file_id", F.round(x0, 6).alias("left_"), F.round(y1, 6).alias("bottom"))
 
 
-_D, _R2 = "sqrt(800.0 ** 2 + 300.0 ** 2)", "1.4 ** 2"
-
-
 @query(f"""
-WITH b AS (SELECT (60.0 ** 2 - 1600.0 ** 2 + 1.4 ** 4 * {_D} ** 2) / (2 * 1600.0 * {_R2} * {_D}) AS b0, (60.0 ** 2 - 1600.0 ** 2 - 1.4 ** 4 * {_D} ** 2) / (2 * 60.0 * {_R2} * {_D}) AS b1),
-r AS (SELECT ln(-b0 + sqrt(b0 * b0 + 1)) AS r0, ln(-b1 + sqrt(b1 * b1 + 1)) AS r1 FROM b),
-s AS (SELECT step, r0, (r1 - r0) * step / 40.0 + r0 AS a FROM r, (SELECT unnest(range(0, 41)) AS step)),
+WITH {FLOW}, ends AS (SELECT file_id, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y, 2 * (x1 - x0) AS w, sqrt(((x0 + x1) / 2 - 800) ** 2 + ((y0 + y1) / 2 - 450) ** 2) AS d FROM flow),
+b AS (SELECT *, (w ** 2 - 1600.0 ** 2 + 1.4 ** 4 * d ** 2) / (2 * 1600.0 * 1.4 ** 2 * d) AS b0, (w ** 2 - 1600.0 ** 2 - 1.4 ** 4 * d ** 2) / (2 * w * 1.4 ** 2 * d) AS b1 FROM ends),
+r AS (SELECT *, ln(sqrt(b0 * b0 + 1) - b0) AS r0, ln(sqrt(b1 * b1 + 1) - b1) AS r1 FROM b),
+s AS (SELECT file_id, x, y, d, r0, step, (r1 - r0) * step / 20.0 + r0 AS a FROM r, (SELECT unnest(range(0, 21)) AS step)),
 u AS (SELECT *, (exp(r0) + exp(-r0)) / 2 AS ch, (exp(r0) - exp(-r0)) / 2 AS sh, (exp(a) + exp(-a)) / 2 AS ca, (exp(a) - exp(-a)) / 2 AS sa FROM s)
-SELECT step, round(100 + 800.0 / {_D} * (1600.0 / {_R2} * (ch * sa / ca - sh)), 6) AS x, round(100 + 300.0 / {_D} * (1600.0 / {_R2} * (ch * sa / ca - sh)), 6) AS y, round(1600.0 * ch / ca, 6) AS width FROM u
+SELECT file_id, step, round(800 + (x - 800) / d * (1600.0 / 1.4 ** 2 * (ch * sa / ca - sh)), 4) AS x, round(450 + (y - 450) / d * (1600.0 / 1.4 ** 2 * (ch * sa / ca - sh)), 4) AS y, round(1600.0 * ch / ca, 4) AS width FROM u
 """)
 def f_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A flight from the whole map to a file, in 40 steps."""
-    return view.flight(spark, (100.0, 100.0, 1600.0), (900.0, 400.0, 60.0), 40).select("step", *(F.round(c, 6).alias(c) for c in ("x", "y", "width")))
+    """Flights from the whole map to every file, in 20 steps each."""
+    box = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
+    ends = flow_boxes(spark, sf_dir).select("file_id", ((box[0] + box[2]) / 2).alias("x"), ((box[1] + box[3]) / 2).alias("y"), (2 * (box[2] - box[0])).alias("width"))
+    return view.flights(ends, (800.0, 450.0, 1600.0), 20).select("file_id", "step", *(F.round(c, 4).alias(c) for c in ("x", "y", "width")))
 
 
 @query(f"WITH {FLOW} SELECT file_id FROM flow ORDER BY round(sqrt(((x0 + x1) / 2 - 800) ** 2 + ((y0 + y1) / 2 - 450) ** 2), 6), file_id LIMIT 1")
