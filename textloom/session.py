@@ -100,9 +100,10 @@ def sweep(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only where the session names none and runs on one machine, as in tests, is it one below the
-    warehouse; on a cluster that may be a folder that other machines don't see."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of spark.checkpoint.dir, or the one that the context was given. Only where there is none and all runs on one machine, as
+    in tests, is it one below the warehouse; on a cluster that may be a folder that other machines don't see."""
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or (given.get() if given.isDefined() else None)
     if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"

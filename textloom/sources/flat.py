@@ -176,6 +176,7 @@ def write(slices: DataFrame, path: str, arrays: Mapping[str, tuple[str, int]] |
         found[s["name"]] = (s["kind"], (rows, s["width"]) if s["width"] else (rows,), s["size"])
     laid = laid_out(found)
     target = local(path)
+    os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
     with open(f"{target}.open", "wb") as file:
         file.write(header(laid))
         file.truncate(_padded(laid[-1].at + laid[-1].size) if laid else file.tell())
