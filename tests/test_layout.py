@@ -367,3 +367,15 @@ def test_padded_pages(spark):
     pages = {p.page: p.words for p in view.padded_pages(texels, 4).collect()}
     assert set(pages) == {0, 1, 2} and all(len(w) == 16 for w in pages.values())
     assert pages[2][12:] == [0, 0, 0, 0] and pages[1][4:8] == [5, 2, 4 | 15 << 16, 2]
+
+
+def test_overlaps_are_merged_and_found_once(spark):
+    rng = random.Random(3)
+    boxes = [(i, i % 3, x, y, x + rng.choice((0.5, 12.0, 60.0)), y + rng.choice((0.5, 9.0, 40.0))) for i in range(300) for x, y in [(rng.uniform(-5, 150), rng.uniform(-5, 90))]]
+    boxes += [(1000 + k, 0, 10.0, 10.0, 22.0, 19.0) for k in range(40)]
+    frame = spark.createDataFrame(boxes, "id long, g int, x0 double, y0 double, x1 double, y1 double")
+    found = spatial.overlaps(frame, "g", "id", 160.0, 90.0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    want = [(a[0], b[0]) for a in boxes for b in boxes if a[1] == b[1] and a[0] < b[0] and a[2] < b[4] - 1e-6 and b[2] < a[4] - 1e-6 and a[3] < b[5] - 1e-6 and b[3] < a[5] - 1e-6]
+    assert sorted(map(tuple, found.collect())) == sorted(want)

@@ -39,11 +39,12 @@ def resolution(rects: DataFrame) -> int:
     return max(64, min(4096, math.isqrt(rects.count())))
 
 
-def grid(rects: DataFrame, width: float, height: float, across: int = 64) -> DataFrame:
-    """rects (x0, y0, x1, y1, ...) once for each grid cell they cover, with the cell's cx, cy."""
+def grid(rects: DataFrame, width: float, height: float, across: int = 64, first: bool = False) -> DataFrame:
+    """rects (x0, y0, x1, y1, ...) once for each grid cell they cover, with the cell's cx, cy; first: and those of their first cell."""
     down = max(1, round(across * height / width))
     xs, ys = cells(*(F.col(c) for c in ("x0", "y0", "x1", "y1")), width, height, across, down)
-    return rects.withColumn("cx", F.explode(xs)).withColumn("cy", F.explode(ys))
+    own = rects.withColumns({"cx0": F.get(xs, F.lit(0)), "cy0": F.get(ys, F.lit(0))}) if first else rects
+    return own.withColumn("cx", F.explode(xs)).withColumn("cy", F.explode(ys))
 
 
 def at_points(points: DataFrame, rects: DataFrame, width: float, height: float, across: int | None = None) -> DataFrame:
@@ -56,14 +57,28 @@ def at_points(points: DataFrame, rects: DataFrame, width: float, height: float,
     return met.where("x0 <= x AND x < x1 AND y0 <= y AND y < y1").drop("cx", "cy")
 
 
+def _overlap_resolution(rects: DataFrame, width: float, height: float) -> int:
+    """Cells across a grid for pairs: as fine as the rectangles are many, but no finer than they are large on average, else each is
+    in so many cells that its copies outgrow the table."""
+    n, w, h = rects.agg(F.count("*"), F.avg(F.col("x1") - F.col("x0")), F.avg(F.col("y1") - F.col("y0"))).first()
+    side = max(w or 0.0, (h or 0.0) * width / height, width / 4096)
+    return max(1, min(math.isqrt(n), int(width / side)))
+
+
 def overlaps(rects: DataFrame, group: str, name: str, width: float, height: float, slack: float = 1e-6, across: int | None = None) -> DataFrame:
-    """Pairs (a, b) of rectangles of one group that overlap by more than slack: only those that share a cell are compared."""
-    across = across or resolution(rects)
-    one = grid(rects, width, height, across)
-    two = one.select(F.col(group), "cx", "cy", *(F.col(c).alias(f"b_{c}") for c in (name, "x0", "y0", "x1", "y1")))
-    met = one.join(two, [group, "cx", "cy"]).where(F.col(name) < F.col(f"b_{name}"))
+    """Pairs (a, b) of rectangles of one group that overlap by more than slack: only those that share a cell are compared, and a pair
+    is found in one cell alone, the first that both cover, so no pairs are made twice and dropped.
+
+    The sides are merged, never broadcast: a cell's rows are many more than the size of the scan lets Spark expect.
+    """
+    across = across or _overlap_resolution(rects, width, height)
+    own = rects.select(group, name, "x0", "y0", "x1", "y1")
+    one = grid(own, width, height, across, first=True)
+    two = one.select(F.col(group), "cx", "cy", *(F.col(c).alias(f"b_{c}") for c in (name, "x0", "y0", "x1", "y1", "cx0", "cy0")))
+    met = one.join(two.hint("merge"), [group, "cx", "cy"]).where(F.col(name) < F.col(f"b_{name}"))
+    met = met.where((F.col("cx") == F.greatest("cx0", "b_cx0")) & (F.col("cy") == F.greatest("cy0", "b_cy0")))
     met = met.where((F.col("x0") < F.col("b_x1") - slack) & (F.col("b_x0") < F.col("x1") - slack) & (F.col("y0") < F.col("b_y1") - slack) & (F.col("b_y0") < F.col("y1") - slack))
-    return met.select(F.col(name).alias("a"), F.col(f"b_{name}").alias("b")).distinct()
+    return met.select(F.col(name).alias("a"), F.col(f"b_{name}").alias("b"))
 
 
 def outside(children: DataFrame, parents: DataFrame, key: str, slack: float = 1e-6) -> DataFrame:
