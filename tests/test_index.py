@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from helpers import SAMPLES
@@ -72,6 +74,39 @@ def test_justified(spark):
     assert [round(x, 6) for x in rows.select(plain.alias("x")).collect()[2].x] == [round(sum(adv[c] for c in "abcdef"[:i]), 6) for i in range(6)]
 
 
+def test_rows_by_kernels(spark):
+    """Rows and places of characters as the SQL adds them up: the advances before, in order, and then the spaces' share."""
+    adv, rng = P.advances(), random.Random(5)
+    texts = ["", "W", "é日" * 40, None, *("".join(rng.choice("iW a.日") for _ in range(rng.randrange(120))) for _ in range(300))]
+    caps = [rng.choice((0.1, 3.0, 7.35, 12.0)) for _ in texts]
+    frame = spark.createDataFrame([(0, i, t, c) for i, (t, c) in enumerate(zip(texts, caps, strict=True))], "file_id int, line_no int, text string, cap double")
+    rows = P.wrapped(frame, adv, 1.0).withColumn("stretch", ~F.col("last_row"))
+    done = P.justified(rows, F.when(F.col("row_in_line") == 0, F.col("cap")).otherwise(F.col("cap") - 1.0), adv)
+    assert "aggregate(" not in done._jdf.queryExecution().optimizedPlan().toString()  # no fold that is interpreted for each character
+    found = {}
+    for r in done.orderBy("line_no", "row_in_line").collect():
+        found.setdefault(r.line_no, []).append(r)
+    for i, (t, cap) in enumerate(zip(texts, caps, strict=True)):
+        if t is None:
+            continue
+        cols, acc = [0], 0.0
+        if sum(adv.get(c, adv["?"]) for c in t) > cap + 1e-9:
+            for j, c in enumerate(t):
+                w = adv.get(c, adv["?"])
+                if j and acc + w > (cap if len(cols) == 1 else cap - 1.0) + 1e-9:
+                    cols.append(j)
+                    acc = 0.0
+                acc += w
+        assert [r.col0 for r in found[i]] == cols and "".join(r.row_text for r in found[i]) == t
+        for r in found[i]:
+            before, x = [], 0.0
+            for c in r.row_text:
+                before.append(x)
+                x += adv.get(c, adv["?"])
+            assert r.char_x == [b + r.add * r.row_text[:k].count(" ") for k, b in enumerate(before)]
+            assert r.row_width == (x if r.add == 0 else cap if r.row_in_line == 0 else cap - 1.0)
+
+
 def test_letter_width():
     assert abs(P.letter_width(40, 612 / 792) - 612 / 792 * 0.85 / 0.88 * 45) < 1e-9
     assert P.ink_levels(0.14, 0.2) == (0.16, 0.2)

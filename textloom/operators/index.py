@@ -149,7 +149,7 @@ def book_layout_tables(indexed: dict[str, DataFrame], parts: bool = False, page_
         following = F.lead("len").over(Window.partitionBy("file_id").orderBy("line_no"))
         flush = (F.col("len") > 0) & (following.isNull() | (following > 0) & (F.col("indent") == 0))
         visual = layout.numbered(proportional.wrapped(lines_.withColumn("flush", flush).join(fitted, "file_id"), advances, hang))
-        visual = visual.withColumns({"row_text": F.expr("substring(text, col0 + 1, row_len)"), "stretch": F.lit(justify) & (~F.col("last_row") | F.col("flush"))})
+        visual = visual.withColumn("stretch", F.lit(justify) & (~F.col("last_row") | F.col("flush")))
         visual, step = proportional.justified(visual, F.when(F.col("row_in_line") == 0, F.col("cap")).otherwise(F.col("cap") - hang), advances), hang
     x, y = layout.row_position(F.col("tx0"), F.col("ty0"), F.col("row_in_file"), F.col("rows"), F.col("pitch"), F.col("colw"), F.col("row_in_line") == 0, step)
     more = [] if advances is None else ["char_x", "row_width"]
