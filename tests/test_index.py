@@ -325,3 +325,15 @@ def test_code_in_the_same_call(spark):
     none = spark.createDataFrame([], "file_id long, first long, past long, kind long, name string")
     done = index.build_layout({"files": files, "lines": rows, "items": none})
     assert done["files"].count() == 2 and done["rows"].count() == 3 and done["item_rects"].count() == 0
+
+
+def test_string_closed_behind_the_cut(spark):
+    from textloom.operators import search as S
+
+    text = 'impl X {\n    fn a(&self) { let s = "' + "y" * 5000 + ' }"; }\n    fn b(&self) { let s = "z"; }\n}'
+    files = spark.createDataFrame([(1, "rust", "rust", text)], "file_id long, lang string, variant string, text string")
+    rows = index.kinded_lines(index.stored_texts(files, whole=True))
+    assert sorted((r.line_no, r.col) for r in S.hits_without(rows, "self").collect()) == [(1, 10), (2, 10)]
+    assert all(len(r.text) == sum(k.n for k in r.kinds) <= 4096 for r in rows.collect())
+    short = index.kinded_lines(index.stored_texts(files.withColumn("text", F.replace("text", F.lit("y" * 5000), F.lit("y")))))
+    assert sorted(tuple(r) for r in short.where("line_no <> 1").collect()) == sorted(tuple(r) for r in rows.where("line_no <> 1").collect())

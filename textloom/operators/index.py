@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
@@ -36,20 +36,34 @@ def code_index(files: DataFrame) -> dict[str, DataFrame]:
     return {"files": heads, "dirs": tree.directories(heads.select("path", "lines"), ["lines"]), "lines": rows, "items": found, "skipped": skipped}
 
 
-def stored_texts(files: DataFrame, charset: str = "ascii") -> DataFrame:
-    """files (file_id, lang, variant, text) with their lines as they are stored, and the text that these make."""
-    kept = F.transform(T.line_array(T.newlines(F.col("text"))), lambda line: lines.cleaned(line, charset))
-    return files.select("file_id", "lang", "variant", kept.alias("kept")).withColumn("text", F.array_join("kept", "\n"))
+def stored_texts(files: DataFrame, charset: str = "ascii", whole: bool = False) -> DataFrame:
+    """files (file_id, lang, variant, text) with their lines as they are stored, and the text that these make; whole: the text that the
+    lines make before they are cut at MAX_COLUMNS, so that a string or comment that is closed behind the cut ends where the file ends it."""
+    if not whole:
+        kept = F.transform(T.line_array(T.newlines(F.col("text"))), lambda line: lines.cleaned(line, charset))
+        return files.select("file_id", "lang", "variant", kept.alias("kept")).withColumn("text", F.array_join("kept", "\n"))
+    full = F.transform(T.line_array(T.newlines(F.col("text"))), lambda line: lines.cleaned(line, charset, cut=False))
+    read = files.select("file_id", "lang", "variant", full.alias("__full"))
+    kept = F.transform("__full", lambda line: F.substring(line, 1, T.MAX_COLUMNS))
+    return read.select("file_id", "lang", "variant", kept.alias("kept"), F.array_join("__full", "\n").alias("text"))
 
 
 def kinded_lines(texts: DataFrame) -> DataFrame:
     """file_id, line_no, text, its measures and kinds, the runs (n, kind) that cover the line; texts: see ``stored_texts``.
 
-    A token of several lines gives each of them its kind.
+    A token of several lines gives each of them its kind. Runs of a text with longer lines than are stored end with the stored line.
     """
     read = code.with_kinds(texts).where(F.size("kept") > 0)
     each = read.select("file_id", F.posexplode(F.arrays_zip("kept", "kinds")).alias("line_no", "line"))
-    return lines.measured(each.select("file_id", "line_no", F.col("line.kept").alias("text"), F.coalesce("line.kinds", F.array().cast("array<struct<n:int,kind:int>>")).alias("kinds")))
+    runs = F.coalesce("line.kinds", F.array().cast("array<struct<n:int,kind:int>>"))
+    return lines.measured(each.select("file_id", "line_no", F.col("line.kept").alias("text"), F.when(F.length("line.kept") < T.MAX_COLUMNS, runs).otherwise(_upto(runs, F.length("line.kept"))).alias("kinds")))
+
+
+def _upto(runs: Column, size: Column) -> Column:
+    """Runs (n, kind) of a line up to a place: those that begin before it, the last one cut there."""
+    zero = F.struct(F.array().cast("array<struct<n:int,kind:int>>").alias("runs"), F.lit(0).alias("past"))
+    step = lambda s, r: F.when(s["past"] >= size, s).otherwise(F.struct(F.concat(s["runs"], F.array(F.struct(F.least(r["n"], size - s["past"]).alias("n"), r["kind"].alias("kind")))).alias("runs"), (s["past"] + r["n"]).alias("past")))
+    return F.aggregate(runs, zero, step, lambda s: s["runs"])
 
 
 def item_words(items: DataFrame, rows: DataFrame, files: DataFrame) -> DataFrame:

@@ -29,11 +29,14 @@ stored AS (SELECT page_id, array_to_string(list_transform(string_split(regexp_re
 
 
 def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of all source files and pages, with their kinds, from an index that is written and read again; corpus tells them apart."""
+    """The lines of all source files and pages, with their kinds, from an index that is written and read again; corpus tells them apart.
+
+    Kinds of source files are those of their whole lines, those of pages of their stored ones.
+    """
     code = files(spark, sf_dir).withColumn("variant", F.col("lang"))
     pages = corpora.markup(spark, sf_dir).select("file_id", F.lit("text").alias("lang"), F.lit("text-xml").alias("variant"), "text")
     path, tables = scratch(spark, "index"), {"code": code, "pages": pages}
-    index.save({name: index.kinded_lines(index.stored_texts(f.select("file_id", "lang", "variant", "text"))) for name, f in tables.items()}, path)
+    index.save({name: index.kinded_lines(index.stored_texts(f.select("file_id", "lang", "variant", "text"), whole=name == "code")) for name, f in tables.items()}, path)
     back = index.load(spark, path, tuple(tables))
     return back["code"].withColumn("corpus", F.lit("code")).unionByName(back["pages"].withColumn("corpus", F.lit("pages")))
 
