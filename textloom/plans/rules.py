@@ -170,6 +170,7 @@ SELECT doc_id AS book, CASE WHEN chapter THEN 'Chapter X' || repeat('I', (doc_id
 def b_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings of chapters, and the words of documents as headings of parts, as titles."""
     k = F.col("file_id")
-    words = F.filter(F.split(F.regexp_replace("text", "[^A-Za-z ]", ""), " "), lambda w: w != "")
+    words = F.filter(F.split(F.regexp_replace("text", "[^A-Za-z ]+", ""), " "), lambda w: w != "")
+    named = corpora.prose(spark, sf_dir).where((k % 3 == 0) | F.col("text").rlike("[A-Za-z]"))  # others have no words; a test of the heading would make it twice
     heading = F.when(k % 3 == 0, F.concat(F.lit("CHAPTER X"), F.repeat(F.lit("I"), (k % 4).cast("int")))).otherwise(F.upper(F.array_join(words, "  ")))
-    return corpora.prose(spark, sf_dir).select(k.alias("book"), heading.alias("heading")).where("heading <> ''").select("book", T.heading_title(F.col("heading")).alias("title"))
+    return named.select(k.alias("book"), heading.alias("heading")).select("book", T.heading_title(F.col("heading")).alias("title"))
