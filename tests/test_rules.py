@@ -79,3 +79,12 @@ def test_what_is_left_out_is_counted(tmp_path):
         (tmp_path / n).write_text("x")
     (tmp_path / "link").symlink_to(tmp_path / "a.py")
     assert trees.survey(str(tmp_path), git=False, exclude=["*.rs"]) == (["a.py", "inner/d.c"], {"link": 1, "excluded": 1})
+
+
+def test_headings_and_charset_in_one_pass(spark, small):
+    """A heading is made once, not again for the test whether there is one; no character of a book is looked up in a table."""
+    from textloom import plans
+
+    plan = lambda name: plans.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan("b_titles").count("[^A-Za-z ]") == 1
+    assert "translate(" not in plan("p_book_charset")
