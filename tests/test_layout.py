@@ -369,11 +369,12 @@ def test_padded_pages(spark):
     assert pages[2][12:] == [0, 0, 0, 0] and pages[1][4:8] == [5, 2, 4 | 15 << 16, 2]
 
 
-def test_overlaps_are_merged_and_found_once(spark):
+def test_overlaps_are_merged_and_found_once(spark, tmp_path):
     rng = random.Random(3)
     boxes = [(i, i % 3, x, y, x + rng.choice((0.5, 12.0, 60.0)), y + rng.choice((0.5, 9.0, 40.0))) for i in range(300) for x, y in [(rng.uniform(-5, 150), rng.uniform(-5, 90))]]
     boxes += [(1000 + k, 0, 10.0, 10.0, 22.0, 19.0) for k in range(40)]
-    frame = spark.createDataFrame(boxes, "id long, g int, x0 double, y0 double, x1 double, y1 double")
+    spark.createDataFrame(boxes, "id long, g int, x0 double, y0 double, x1 double, y1 double").write.parquet(str(tmp_path / "boxes"))
+    frame = spark.read.parquet(str(tmp_path / "boxes"))  # small enough to be broadcast, were it not for its cells
     found = spatial.overlaps(frame, "g", "id", 160.0, 90.0)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
