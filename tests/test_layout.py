@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from textloom.operators import layout as Y
+from textloom.operators import proportional as P
 from textloom.operators import spatial, view
 
 
@@ -392,3 +393,12 @@ def test_flight_to_the_middle_is_the_sqls(spark, tmp_path):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert rows(plans.QUERIES["f_flight"](spark, str(tmp_path)).toPandas()) == rows(con.sql(plans.SQL["f_flight"]).df())
+
+
+def test_a_settled_column_is_as_wide_as_its_step_says(spark):
+    """Not as colw / pitch rounds it: a point on the edge of a stretched row's character would find another one than the SQL."""
+    files = [(i, 40.0, 30.0, 5 + i, 13.7, [(90.0 + i, 5 + i)]) for i in range(40)]
+    frame = spark.createDataFrame(files, "file_id int, w double, h double, n long, target double, hist array<struct<width:double,count:bigint>>")
+    got = P.settled(frame).where("rows > ceil(n / k)").collect()
+    assert len(got) == 40
+    assert [r.file_id for r in got if r.capw != r.colw * (r.rows + 2) / r.h] == []
