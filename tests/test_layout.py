@@ -402,3 +402,14 @@ def test_a_settled_column_is_as_wide_as_its_step_says(spark):
     got = P.settled(frame).where("rows > ceil(n / k)").collect()
     assert len(got) == 40
     assert [r.file_id for r in got if r.capw != r.colw * (r.rows + 2) / r.h] == []
+
+
+def test_points_meet_rectangles_of_tall_worlds_in_few_cells(spark):
+    """A rectangle is in as many cells in a world of many rows of them as in one of few."""
+
+    def copies(n):
+        rects = spark.range(n).select("id", (F.col("id") % 4 * 40.0).alias("x0"), (F.floor(F.col("id") / 4) * 30.0).alias("y0"))
+        rects = rects.withColumns({"x1": F.col("x0") + 40, "y1": F.col("y0") + 30})
+        return spatial.grid(rects, 160.0, n / 4 * 30.0, spatial.resolution(rects, 160.0, n / 4 * 30.0)).count() / n
+
+    assert copies(40000) <= 9 and copies(40000) <= 1.5 * copies(400)

@@ -34,9 +34,12 @@ def cells(x0: Column, y0: Column, x1: Column, y1: Column, width: float, height:
     return span(x0, x1, width, across), span(y0, y1, height, down)
 
 
-def resolution(rects: DataFrame) -> int:
-    """Cells across a grid that leaves a few rectangles to a cell, within bounds: a rectangle that covers much is in many."""
-    return max(64, min(4096, math.isqrt(rects.count())))
+def resolution(rects: DataFrame, width: float, height: float) -> int:
+    """Cells across a grid of as many cells as there are rectangles, whatever the world's shape, but none smaller than rectangles are on
+    average: in a world that gets taller with its rectangles, finer ones would put each of them in more cells the more there are."""
+    n, w, h = rects.agg(F.count("*"), F.avg(F.col("x1") - F.col("x0")), F.avg(F.col("y1") - F.col("y0"))).first()
+    side = max(w or 0.0, h or 0.0, width / 4096)
+    return max(1, min(int(math.sqrt(n * width / height)), int(width / side)))
 
 
 def grid(rects: DataFrame, width: float, height: float, across: int = 64, first: bool = False) -> DataFrame:
@@ -49,7 +52,7 @@ def grid(rects: DataFrame, width: float, height: float, across: int = 64, first:
 
 def at_points(points: DataFrame, rects: DataFrame, width: float, height: float, across: int | None = None) -> DataFrame:
     """Points (x, y, ...) with each rectangle around them, half open; through a grid as fine as the rectangles are many."""
-    across = across or resolution(rects)
+    across = across or resolution(rects, width, height)
     down = max(1, round(across * height / width))
     placed = points.where((F.col("x") >= 0) & (F.col("x") < width) & (F.col("y") >= 0) & (F.col("y") < height))
     placed = placed.withColumn("cx", F.floor(F.col("x") / width * across)).withColumn("cy", F.floor(F.col("y") / height * down))

@@ -5,14 +5,14 @@ A camera is a few numbers of the caller; they enter plans as literals.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators import layout as Y
-from textloom.operators import spatial
+from textloom.operators import proportional, spatial
 from textloom.operators.lines import running
 from textloom.session import cut
 
@@ -125,22 +125,25 @@ def last_at_most(values: Column, x: Column) -> Column:
     return F.aggregate(steps, none, halve, lambda s: s["low"])
 
 
-def hovered(points: DataFrame, files: DataFrame, rows: DataFrame, width: float, height: float) -> DataFrame:
+def hovered(points: DataFrame, files: DataFrame, rows: DataFrame, width: float, height: float, adv: Mapping[str, float] | None = None) -> DataFrame:
     """What is under points (point_id, x, y): file_id, line_no and col; line -1 beside or below the file's rows.
 
     files: file_id, box, pitch, k, rows, colw (with the gap). rows: file_id, row_in_file, line_no, col0, x (of the row) and, for faces
-    with advances of their own, char_x in line heights. A point finds its file through the grid, its row by its place in the file's
-    columns, and the character by halving the row's positions, or by the width of one where all are alike.
+    with advances of their own (adv), row_text, stretch and target, its width if stretched. A point finds its file through the grid, its
+    row by its place in the file's columns, and the character by halving the row's positions, or by the width of one where all are
+    alike. Positions are made for rows under points only, so they are never moved.
     """
     met = spatial.at_points(points, files.select("file_id", "x0", "y0", "x1", "y1", "pitch", "k", "rows", F.col("colw").alias("wide")), width, height)
     column = F.least(F.greatest(F.floor((F.col("x") - F.col("x0")) / F.col("wide")), F.lit(0)), F.greatest(F.col("k") - 1, F.lit(0)))
     down = F.floor((F.col("y") - F.col("y0") - F.col("pitch")) / F.col("pitch"))
     met = met.withColumn("row_in_file", F.when((down >= 0) & (down < F.col("rows")), column * F.col("rows") + down).cast("long"))
     beside = F.floor((F.col("x") - F.col("x0") - column * F.col("wide")) / (F.col("pitch") * Y.CHAR))
-    named = rows.select("file_id", "row_in_file", "line_no", "col0", F.col("x").alias("row_x"), *(["char_x"] if "char_x" in rows.columns else []))
+    named = rows.select("file_id", "row_in_file", "line_no", "col0", F.col("x").alias("row_x"), *(["row_text", "stretch", "target"] if adv else []))
     told = met.withColumn("beside", beside).join(named, ["file_id", "row_in_file"], "left")
+    if adv:
+        told = proportional.justified(told, F.col("target"), adv)
     along = (F.col("x") - F.col("row_x")) / F.col("pitch")
-    within = last_at_most(F.col("char_x"), along) if "char_x" in rows.columns else F.greatest(F.floor(along / Y.CHAR), F.lit(0))
+    within = last_at_most(F.col("char_x"), along) if adv else F.greatest(F.floor(along / Y.CHAR), F.lit(0))
     col = F.when(F.col("line_no").isNull(), F.col("beside")).otherwise(F.col("col0") + within)
     return told.select("point_id", "file_id", F.coalesce(F.col("line_no").cast("long"), F.lit(-1)).alias("line_no"), col.cast("long").alias("col"))
 
