@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -80,3 +83,17 @@ def test_runs_restart_at_lines(spark):
     frame = spark.createDataFrame([(0, "<!-- a\nb --> x!!\n\n\"s t\" y"), (1, ""), (2, "\n\n")], "file_id int, text string")
     got = {r.file_id: r.n for r in K.with_tiles(frame, "text-xml").select("file_id", K.run_count(F.col("tiles")).alias("n")).collect()}
     assert got == {0: 6, 1: 0, 2: 0}  # two comment lines, x, !!, the string, y
+
+
+@pytest.mark.parametrize("spec", ["text", "text-hash", "text-xml", "text-css", "text-slash"])
+def test_kinds_are_counted_as_tiles_are(spark, spec):
+    """Odd texts, counted whole and tile by tile."""
+    r = random.Random(spec)
+    pieces = ["a1", "1a", "12", "1.5", ".", '"', "\\", "/*", "*/", "//", "<!--", "-->", "#", "\n", " ", "  ", "_", "é", "7", "x"]
+    texts = ["", "1.2.3.4.5a 6.7", '/* a\n\n b */"c\\"d" "e', "/* open\n"] + ["".join(r.choices(pieces, k=r.randint(1, 40))) for _ in range(400)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "file_id int, text string")
+    want = {}
+    for row in K.exploded(frame, spec).collect():
+        n, size = want.get((row.file_id, row.kind), (0, 0))
+        want[row.file_id, row.kind] = (n + 1, size + len(row.text))
+    assert {(x.file_id, x.kind): (x.tokens, x.chars) for x in K.kind_counts(frame, [spec]).collect()} == want

@@ -7,6 +7,12 @@ what a query asks for is exploded. Languages with state across tokens are in ``c
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,3 +111,75 @@ def prose_counts(files: DataFrame) -> DataFrame:
     counts = ((SPACE, F.col("gaps") + F.col("feeds"), F.col("spaces") + F.col("feeds")), (IDENT, F.col("words"), F.col("words_chars")), (NUMBER, F.col("numbers"), F.col("numbers_chars")), (PUNCT, F.col("rest") - F.col("digits_chars") + F.col("digits"), F.col("rest")))
     each = F.array(*(F.struct(F.lit(k).alias("kind"), n.cast("long").alias("tokens"), c.cast("long").alias("chars")) for k, n, c in counts))
     return rows.select("file_id", F.inline(each)).where("tokens > 0")
+
+
+#: Classes of characters: letters, digits, spaces, line feeds; then those inside strings and comments. The last of the table is all others.
+_OTHER, _LETTER, _DIGIT, _BLANK, _FEED, _QUOTED, _NOTED = range(7)
+_CLASSES = np.array([_LETTER if chr(c).isalpha() or c == 95 else _DIGIT if chr(c).isdigit() else _BLANK if c == 32 else _FEED if c == 10 else _OTHER for c in range(128)] + [_OTHER], np.uint8)
+
+
+@lru_cache(maxsize=None)
+def _enclosed(spec: str) -> re.Pattern:
+    """Comments (a group) and strings of a variant; no other tile has a character that one of them begins with inside it."""
+    return re.compile("|".join(p for p in (_COMMENTS[spec] and f"({_COMMENTS[spec]})", _STRING) if p))
+
+
+def kernel_counts(texts: Sequence[str], spec: str) -> tuple[np.ndarray, np.ndarray]:
+    """Tiles and characters of each text by kind (as columns), of a variant with words of ASCII letters, as ``tiling`` parts them.
+
+    A pattern finds comments and strings. All other tiles are runs of a class of characters, of all texts at once; of digits, two
+    runs around a dot are one number, and those that letters follow are none.
+    """
+    begins = np.append(0, np.cumsum([len(t) + 1 for t in texts], dtype=np.int64))  # a line feed, not counted, parts texts
+    chars = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = _CLASSES[np.minimum(chars, 128)]
+    found = [(b + m.start(), b + m.end(), _QUOTED if m.lastindex is None else _NOTED) for b, t in zip(begins.tolist(), texts, strict=False) for m in _enclosed(spec).finditer(t)]
+    first, past, kind = np.array(found, np.int64).reshape(-1, 3).T
+    size = past - first
+    inside = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+    kinds[inside] = np.where(chars[inside] == 10, _FEED, np.repeat(kind, size))
+    new = np.append(True, kinds[1:] != kinds[:-1])
+    new[first] = True
+
+    def of(mask: np.ndarray) -> np.ndarray:
+        upto = np.append(0, np.cumsum(mask))
+        return upto[begins[1:]] - upto[begins[:-1]]
+
+    def at(places: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+        return np.bincount(np.searchsorted(begins, places, "right") - 1, sizes, len(texts)).astype(np.int64)
+
+    word = np.append((kinds == _LETTER) | (kinds == _DIGIT), False)
+    turns = np.flatnonzero(np.diff(word, prepend=False))
+    begin, end = turns[::2], turns[1::2]
+    letters = np.append(np.flatnonzero(kinds == _LETTER), len(chars))
+    lead = np.minimum(letters[np.searchsorted(letters, begin)], end) - begin  # digits that a run begins with
+    number = lead == end - begin
+    low, high = begin[number], end[number]
+    dotted = np.append((low[1:] == high[:-1] + 1) & (chars[high[:-1]] == 46) & (kinds[high[:-1]] == _OTHER), False)[: len(low)]
+    place = np.arange(len(low))
+    joined = dotted & ((place - np.maximum.accumulate(np.where(np.append(True, ~dotted)[: len(low)], place, 0))) % 2 == 0)
+    mixed, named = (lead > 0) & ~number, ~number
+    tokens, sizes = np.zeros((2, len(texts), len(KINDS)), np.int64)
+    tokens[:, SPACE], sizes[:, SPACE] = of(new & (kinds == _BLANK)) + of(kinds == _FEED) - 1, of((kinds == _BLANK) | (kinds == _FEED)) - 1
+    tokens[:, IDENT], sizes[:, IDENT] = at(begin[named]), at(begin[named], (end - begin - lead)[named])
+    tokens[:, NUMBER], sizes[:, NUMBER] = at(low) - at(low[joined]), at(low, high - low) + at(low[joined])
+    tokens[:, PUNCT], sizes[:, PUNCT] = (of(kinds == _OTHER) - at(low[joined]) + x for x in (at(begin[mixed]), at(begin[mixed], lead[mixed])))
+    for name, c in ((STRING, _QUOTED), (COMMENT, _NOTED)):
+        tokens[:, name], sizes[:, name] = of(new & (kinds == c)), of(kinds == c)
+    return tokens, sizes
+
+
+def kind_counts(files: DataFrame, specs: Sequence[str]) -> DataFrame:
+    """file_id, spec, kind, tokens, chars of texts (file_id, text) under variants other than prose, for the kinds that a text has; tokens
+    of several lines are cut at their line feeds. No tile is made: a text's are counted where it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for spec in specs if texts else ():
+                counts, sizes = kernel_counts(texts, spec)
+                file, kind = np.nonzero(counts)
+                yield pa.record_batch([batch.column(0).take(pa.array(file)), pa.array([spec] * len(file), pa.string()), pa.array(kind, pa.int32()), pa.array(counts[file, kind]), pa.array(sizes[file, kind])], names=["file_id", "spec", "kind", "tokens", "chars"])
+
+    key = files.schema["file_id"].dataType.simpleString()
+    return files.select("file_id", "text").mapInArrow(run, f"file_id {key}, spec string, kind int, tokens long, chars long")
