@@ -69,6 +69,11 @@ def _upto(runs: Column, size: Column) -> Column:
 def item_words(items: DataFrame, rows: DataFrame, files: DataFrame) -> DataFrame:
     """The word that each item's first line is introduced by; without one, the name of its kind in its language."""
     heads = items.join(rows.select("file_id", F.col("line_no").cast("long").alias("first"), F.col("text").alias("head")), ["file_id", "first"]).join(files.select("file_id", "lang"), "file_id")
+    return head_words(heads)
+
+
+def head_words(heads: DataFrame) -> DataFrame:
+    """The same of items that have lang and head, the text of their first line, beside them."""
     names = F.create_map(*(x for lang, words in ITEM_WORDS.items() for x in (F.lit(lang), F.array(*map(F.lit, words)))))
     fallback = F.coalesce(F.get(F.try_element_at(names, F.col("lang")), F.col("kind").cast("int") - 1), F.lit("item"))
     word = F.regexp_extract("head", _KEYWORD, 1)
