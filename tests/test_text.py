@@ -97,3 +97,15 @@ def test_kinds_are_counted_as_tiles_are(spark, spec):
         n, size = want.get((row.file_id, row.kind), (0, 0))
         want[row.file_id, row.kind] = (n + 1, size + len(row.text))
     assert {(x.file_id, x.kind): (x.tokens, x.chars) for x in K.kind_counts(frame, [spec]).collect()} == want
+
+
+def test_report_moves_no_lines(spark):
+    """The hits of a file are sorted with what is shown of their lines, which are not joined to them again."""
+    frame = spark.createDataFrame([(1, "the " + "x" * 200 + " the\nno\n  the"), (2, "no"), (3, "the")], "file_id long, text string")
+    files = frame.select("file_id", F.concat(F.lit("p"), "file_id").alias("path"))
+    got = S.report(S.hits(L.lines(frame), "the", ["text"]), files, 3, 60)
+    rows = [r["row"] for r in got.orderBy("hit", "level").collect()]
+    assert rows == ["Hits (4)", "p1", "    1 the " + "x" * 50, "    1 " + "x" * 7 + " the", "    3 the", "p3", "    1 the"]
+    assert S.report(S.hits(L.lines(frame), "none", ["text"]), files, 3, 60).collect()[0]["row"] == "Hits (0)"
+    joins = [j for j in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in j]
+    assert len(joins) == 2 and not any("line_no" in j for j in joins)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.operators import tokens
 from textloom.operators.lines import running
+from textloom.session import cut
 
 _EDGE = "[A-Za-z0-9_]"
 
@@ -31,12 +33,13 @@ def hit_columns(line: Column, word: str) -> Column:
     return F.aggregate(sizes, F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)) + len(word), F.lit(0)) + n)))
 
 
-def hits(lines: DataFrame, word: str) -> DataFrame:
-    """file_id, line_no, col of every whole-word occurrence. Words of under two characters filter nothing: no hits."""
+def hits(lines: DataFrame, word: str, keep: Sequence[str] = ()) -> DataFrame:
+    """file_id, line_no, col of every whole-word occurrence, and columns of its line to keep. Words of under two characters filter
+    nothing: no hits."""
     found = lines.where(F.col("text").contains(word)) if len(word) >= 2 else lines.where(F.lit(False))
     if len(word) < 2:
-        return found.select("file_id", "line_no", F.lit(0).alias("col"))
-    return found.select("file_id", "line_no", F.explode(hit_columns(F.col("text"), word)).alias("col"))
+        return found.select("file_id", "line_no", F.lit(0).alias("col"), *keep)
+    return found.select("file_id", "line_no", F.explode(hit_columns(F.col("text"), word)).alias("col"), *keep)
 
 
 def hits_outside(files: DataFrame, word: str, spec: str, without: tuple[int, ...] = (tokens.STRING, tokens.COMMENT)) -> DataFrame:
@@ -75,14 +78,18 @@ def ranked(hits_: DataFrame) -> DataFrame:
     return hits_.withColumn("k", F.row_number().over(inside) - 1).join(bases, "file_id").select("file_id", "line_no", "col", (F.col("base") + F.col("k")).alias("hit"))
 
 
-def report(hits_: DataFrame, lines: DataFrame, files: DataFrame, size: int, chars: int) -> DataFrame:
-    """Report rows in order: a head with the number of hits, a row for each file, a row for each hit with its line."""
-    order = ranked(hits_)
-    first = order.groupBy("file_id").agg(F.min("hit").alias("hit"))
-    head = order.agg(F.count("*").alias("n")).select(F.lit(-1).cast("long").alias("hit"), F.lit(0).alias("level"), F.concat(F.lit("Hits ("), F.col("n").cast("string"), F.lit(")")).alias("row"))
-    heads = first.join(files.select("file_id", "path"), "file_id").select("hit", F.lit(1).alias("level"), T.short_path(F.col("path"), chars).alias("row"))
+def report(hits_: DataFrame, files: DataFrame, size: int, chars: int) -> DataFrame:
+    """Report rows in order: a head with the number of hits, a row for each file, a row for each hit (file_id, line_no, col, text of its
+    line). What a row shows is cut out of the line before hits are ranked, so no line is moved; a file's first hit is as many hits on
+    as the files before it have."""
     shown = T.hit_window(F.col("text"), F.col("col"), F.lit(size), chars - 6)
-    rows = order.join(lines.select("file_id", "line_no", "text"), ["file_id", "line_no"]).select("hit", F.lit(2).alias("level"), F.concat(F.lpad((F.col("line_no") + 1).cast("string"), 5, " "), F.lit(" "), shown).alias("row"))
+    each = hits_.select("file_id", "line_no", "col", shown.alias("shown"))
+    bases = cut(running(per_file(hits_), "file_id", "hits", "base").select("file_id", "hits", F.col("base").cast("long").alias("base")))
+    head = bases.agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("n")).select(F.lit(-1).cast("long").alias("hit"), F.lit(0).alias("level"), F.concat(F.lit("Hits ("), F.col("n").cast("string"), F.lit(")")).alias("row"))
+    heads = bases.join(files.select("file_id", "path"), "file_id").select(F.col("base").alias("hit"), F.lit(1).alias("level"), T.short_path(F.col("path"), chars).alias("row"))
+    inside = Window.partitionBy("file_id").orderBy("line_no", "col")
+    placed = each.withColumn("k", F.row_number().over(inside) - 1).join(bases, "file_id")
+    rows = placed.select((F.col("base") + F.col("k")).alias("hit"), F.lit(2).alias("level"), F.concat(F.lpad((F.col("line_no") + 1).cast("string"), 5, " "), F.lit(" "), F.col("shown")).alias("row"))
     return head.unionByName(heads).unionByName(rows)
 
 

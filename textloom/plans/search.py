@@ -83,8 +83,8 @@ UNION ALL SELECT hit, 2, lpad((line_no + 1)::VARCHAR, 5, ' ') || ' ' || substr(t
 FROM (SELECT *, length(text) - length(ltrim(text, ' ')) AS i FROM ranked)
 """)
 def f_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = doc_lines(spark, sf_dir)
-    return long(S.report(S.hits(rows, WORD), rows, corpora.prose(spark, sf_dir).select("file_id", "path"), len(WORD), 60))
+    found = S.hits(doc_lines(spark, sf_dir), WORD, ["text"])
+    return long(S.report(found, corpora.prose(spark, sf_dir).select("file_id", "path"), len(WORD), 60))
 
 
 @query(f"WITH {LINES}, {HITS} SELECT doc_id AS file_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM hits WHERE hits.file_id = doc_id)")
