@@ -337,3 +337,59 @@ def test_string_closed_behind_the_cut(spark):
     assert all(len(r.text) == sum(k.n for k in r.kinds) <= 4096 for r in rows.collect())
     short = index.kinded_lines(index.stored_texts(files.withColumn("text", F.replace("text", F.lit("y" * 5000), F.lit("y")))))
     assert sorted(tuple(r) for r in short.where("line_no <> 1").collect()) == sorted(tuple(r) for r in rows.where("line_no <> 1").collect())
+
+
+def test_source_files_are_built_once(spark, small, monkeypatch):
+    """An index that is written by ranges of files deals documents, not what is made of them: dealing reads its input twice."""
+    from textloom.plans import sources, stored
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    monkeypatch.setattr(sources, "_plain", counted)
+    rows = stored.stored_index(spark, small).where("corpus = 'code'")
+    assert seen.value == spark.read.parquet(f"{small}/documents.parquet").count()
+    ranges = rows.groupBy(F.input_file_name()).agg(F.min("file_id").alias("low"), F.max("file_id").alias("high")).orderBy("low").collect()
+    assert all(a.high < b.low for a, b in zip(ranges, ranges[1:], strict=False))
+
+
+def test_dense_lines(spark):
+    """Kinds of lines of up to 4096 runs, in less time than it takes to add runs one by one to a copy of those before."""
+    import time
+
+    text = "a " * 2048 + "tail\n" + '"on" on 1.2.3 4a\n<!-- on\non -->'
+    files = spark.range(400).select(F.col("id").alias("file_id"), F.lit("text").alias("lang"), F.lit("text-xml").alias("variant"), F.concat(F.lit(text), F.lit("\n"), F.col("id").cast("string")).alias("text"))
+    rows = index.kinded_lines(index.stored_texts(files))
+    began = time.time()
+    got = rows.groupBy("line_no").agg(F.count("*").alias("n"), F.min(F.size("kinds")).alias("low"), F.max(F.size("kinds")).alias("high"), F.first("kinds").alias("kinds")).orderBy("line_no").collect()
+    assert time.time() - began < 10
+    assert [(r.n, r.low, r.high) for r in got] == [(400, n, n) for n in (4096, 10, 1, 1, 1)]
+    assert [tuple(k) for k in got[1].kinds] == [(4, 4), (1, 0), (2, 1), (1, 0), (3, 6), (1, 7), (1, 6), (1, 0), (1, 7), (1, 1)]
+
+
+def test_kinds_equal_tiles(spark):
+    """The kernel's kinds are those of ``tokens.line_kinds``, which parts texts by the whole pattern, for all variants."""
+    from textloom.operators import code, tokens
+
+    rng = random.Random(7)
+    parts = ["a", "_", "Z", "0", "12", ".", "1.2", "x1", " ", "  ", "\n", '"', "\\", "<!--", "-->", "/*", "*/", "//", "#", "<", "é", "日"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(30))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    for spec in (*code.VARIANTS, "text"):
+        want = [[tuple(k) for k in line] for r in df.select("i", tokens.line_kinds(F.col("t"), spec).alias("k")).orderBy("i").collect() for line in r.k]
+        sizes, runs = code.line_runs(texts, [None] * len(texts), [spec] * len(texts), 4096)
+        assert [[(k["n"], k["kind"]) for k in line] for line in runs.to_pylist()] == want and sizes.sum() == len(want)
+
+
+def test_hits_by_kinds_of_any_line(spark):
+    """Hits behind a line's runs or beside none are kept; lines without hits give no rows."""
+    from textloom.operators import search as S
+
+    kind = "array<struct<n:int,kind:int>>"
+    rows = spark.createDataFrame([(1, 0, "on on on", [(3, 4), (2, 1)]), (1, 1, "on", None), (2, 0, "xon only", []), (3, 0, "on", []), (4, 0, "on.on", [(2, 5), (1, 7), (2, 1)])], f"file_id long, line_no int, text string, kinds {kind}")
+    assert sorted(map(tuple, S.hits_without(rows, "on").collect())) == [(1, 0, 3), (1, 0, 6), (1, 1, 0), (3, 0, 0), (4, 0, 3)]
+    assert S.hits_without(rows.limit(0), "on").count() == 0

@@ -52,18 +52,9 @@ def kinded_lines(texts: DataFrame) -> DataFrame:
     """file_id, line_no, text, its measures and kinds, the runs (n, kind) that cover the line; texts: see ``stored_texts``.
 
     A token of several lines gives each of them its kind. Runs of a text with longer lines than are stored end with the stored line.
+    Lines are in the order of their files.
     """
-    read = code.with_kinds(texts).where(F.size("kept") > 0)
-    each = read.select("file_id", F.posexplode(F.arrays_zip("kept", "kinds")).alias("line_no", "line"))
-    runs = F.coalesce("line.kinds", F.array().cast("array<struct<n:int,kind:int>>"))
-    return lines.measured(each.select("file_id", "line_no", F.col("line.kept").alias("text"), F.when(F.length("line.kept") < T.MAX_COLUMNS, runs).otherwise(_upto(runs, F.length("line.kept"))).alias("kinds")))
-
-
-def _upto(runs: Column, size: Column) -> Column:
-    """Runs (n, kind) of a line up to a place: those that begin before it, the last one cut there."""
-    zero = F.struct(F.array().cast("array<struct<n:int,kind:int>>").alias("runs"), F.lit(0).alias("past"))
-    step = lambda s, r: F.when(s["past"] >= size, s).otherwise(F.struct(F.concat(s["runs"], F.array(F.struct(F.least(r["n"], size - s["past"]).alias("n"), r["kind"].alias("kind")))).alias("runs"), (s["past"] + r["n"]).alias("past")))
-    return F.aggregate(runs, zero, step, lambda s: s["runs"])
+    return lines.measured(code.kinded(texts, T.MAX_COLUMNS))
 
 
 def item_words(items: DataFrame, rows: DataFrame, files: DataFrame) -> DataFrame:
@@ -220,11 +211,17 @@ def book_index(text_lines: DataFrame, page_lines: int = book.PAGE_LINES, width:
     return stored.select("book", "number", "path", "line_no", "text", F.when(last, tokens.COMMENT).alias("kind"), kinds.alias("kinds"))
 
 
-def save(frames: dict[str, DataFrame], path: str, compression: str = "zstd") -> None:
-    """Writes tables as Parquet, clustered by file so that a view reads few row groups."""
+def by_file(frame: DataFrame, key: str = "file_id") -> DataFrame:
+    """Rows dealt to ranges of a key and sorted there. Dealing samples its input, so it is done before what is costly, not after."""
+    return frame.repartitionByRange(key).sortWithinPartitions(key)
+
+
+def save(frames: dict[str, DataFrame], path: str, compression: str = "zstd", dealt: bool = False) -> None:
+    """Writes tables as Parquet, clustered by file so that a view reads few row groups; dealt: they are made from files that were dealt
+    by ``by_file``."""
     for name, frame in frames.items():
         key = next((c for c in ("file_id", "path", "status") if c in frame.columns), None)
-        (frame.repartitionByRange(key).sortWithinPartitions(key) if key else frame).write.mode("overwrite").option("compression", compression).parquet(f"{path}/{name}")
+        (by_file(frame, key) if key and not dealt else frame).write.mode("overwrite").option("compression", compression).parquet(f"{path}/{name}")
 
 
 def complete(spark: SparkSession, path: str, names: Sequence[str] = TABLES) -> bool:

@@ -124,20 +124,71 @@ def _enclosed(spec: str) -> re.Pattern:
     return re.compile("|".join(p for p in (_COMMENTS[spec] and f"({_COMMENTS[spec]})", _STRING) if p))
 
 
-def kernel_counts(texts: Sequence[str], spec: str) -> tuple[np.ndarray, np.ndarray]:
-    """Tiles and characters of each text by kind (as columns), of a variant with words of ASCII letters, as ``tiling`` parts them.
-
-    A pattern finds comments and strings. All other tiles are runs of a class of characters, of all texts at once; of digits, two
-    runs around a dot are one number, and those that letters follow are none.
-    """
-    begins = np.append(0, np.cumsum([len(t) + 1 for t in texts], dtype=np.int64))  # a line feed, not counted, parts texts
+def _classes(texts: Sequence[str], spec: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Characters of texts, a line feed behind each text, their classes, and where comments and strings begin, which a pattern finds."""
     chars = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     kinds = _CLASSES[np.minimum(chars, 128)]
-    found = [(b + m.start(), b + m.end(), _QUOTED if m.lastindex is None else _NOTED) for b, t in zip(begins.tolist(), texts, strict=False) for m in _enclosed(spec).finditer(t)]
+    found, at = [], 0
+    for t in texts:
+        found += [(at + m.start(), at + m.end(), _QUOTED if m.lastindex is None else _NOTED) for m in _enclosed(spec).finditer(t)]
+        at += len(t) + 1
     first, past, kind = np.array(found, np.int64).reshape(-1, 3).T
     size = past - first
     inside = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
     kinds[inside] = np.where(chars[inside] == 10, _FEED, np.repeat(kind, size))
+    return chars, kinds, first
+
+
+def _words(chars: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """begin, end of the runs of letters and digits, the digits that each begins with, and of those without letters which are one number
+    with the next, behind a dot. Digits that letters follow are no number."""
+    word = np.append((kinds == _LETTER) | (kinds == _DIGIT), False)
+    turns = np.flatnonzero(np.diff(word, prepend=False))
+    begin, end = turns[::2], turns[1::2]
+    letters = np.append(np.flatnonzero(kinds == _LETTER), len(chars))
+    lead = np.minimum(letters[np.searchsorted(letters, begin)], end) - begin
+    number = lead == end - begin
+    low, high = begin[number], end[number]
+    dotted = np.append((low[1:] == high[:-1] + 1) & (chars[high[:-1]] == 46) & (kinds[high[:-1]] == _OTHER), False)[: len(low)]
+    place = np.arange(len(low))
+    joined = dotted & ((place - np.maximum.accumulate(np.where(np.append(True, ~dotted)[: len(low)], place, 0))) % 2 == 0)
+    return begin, end, lead, joined
+
+
+_KIND_OF = np.array([PUNCT, IDENT, IDENT, SPACE, SPACE, STRING, COMMENT], np.uint8)  # by class
+_PROSE = re.compile(rf"({PROSE_NUMBER})|{PROSE_WORD}".replace(r"\x{80}-\x{10FFFF}", "\x80-\U0010FFFF"))
+
+
+def kernel_kinds(texts: Sequence[str], spec: str) -> np.ndarray:
+    """The kind of each character of texts under a variant, as ``tiling`` parts them; line feeds, one of which is behind each text, are space."""
+    if spec == "prose":
+        return _prose_kinds(texts)
+    chars, classes, _ = _classes(texts, spec)
+    begin, end, lead, joined = _words(chars, classes)
+    out = _KIND_OF[classes]
+    number = lead == end - begin
+    inside = np.repeat(begin - np.cumsum(lead) + lead, lead) + np.arange(lead.sum())
+    out[inside] = np.repeat(np.where(number, np.uint8(NUMBER), np.uint8(PUNCT)), lead)
+    out[end[number][joined]] = NUMBER
+    return out
+
+
+def _prose_kinds(texts: Sequence[str]) -> np.ndarray:
+    text = "\n".join([*texts, ""])
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = np.where((chars == 10) | (chars == 32), np.uint8(SPACE), np.uint8(PUNCT))
+    for m in _PROSE.finditer(text):
+        out[m.start() : m.end()] = IDENT if m.lastindex is None else NUMBER
+    return out
+
+
+def kernel_counts(texts: Sequence[str], spec: str) -> tuple[np.ndarray, np.ndarray]:
+    """Tiles and characters of each text by kind (as columns), of a variant with words of ASCII letters, as ``tiling`` parts them.
+
+    A line feed, not counted, parts texts. See ``_classes`` and ``_words``.
+    """
+    begins = np.append(0, np.cumsum([len(t) + 1 for t in texts], dtype=np.int64))
+    chars, kinds, first = _classes(texts, spec)
     new = np.append(True, kinds[1:] != kinds[:-1])
     new[first] = True
 
@@ -148,16 +199,9 @@ def kernel_counts(texts: Sequence[str], spec: str) -> tuple[np.ndarray, np.ndarr
     def at(places: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
         return np.bincount(np.searchsorted(begins, places, "right") - 1, sizes, len(texts)).astype(np.int64)
 
-    word = np.append((kinds == _LETTER) | (kinds == _DIGIT), False)
-    turns = np.flatnonzero(np.diff(word, prepend=False))
-    begin, end = turns[::2], turns[1::2]
-    letters = np.append(np.flatnonzero(kinds == _LETTER), len(chars))
-    lead = np.minimum(letters[np.searchsorted(letters, begin)], end) - begin  # digits that a run begins with
+    begin, end, lead, joined = _words(chars, kinds)
     number = lead == end - begin
     low, high = begin[number], end[number]
-    dotted = np.append((low[1:] == high[:-1] + 1) & (chars[high[:-1]] == 46) & (kinds[high[:-1]] == _OTHER), False)[: len(low)]
-    place = np.arange(len(low))
-    joined = dotted & ((place - np.maximum.accumulate(np.where(np.append(True, ~dotted)[: len(low)], place, 0))) % 2 == 0)
     mixed, named = (lead > 0) & ~number, ~number
     tokens, sizes = np.zeros((2, len(texts), len(KINDS)), np.int64)
     tokens[:, SPACE], sizes[:, SPACE] = of(new & (kinds == _BLANK)) + of(kinds == _FEED) - 1, of((kinds == _BLANK) | (kinds == _FEED)) - 1

@@ -13,7 +13,7 @@ from textloom.plans.boxes import PAGE_LEAVES
 from textloom.plans.layout import FLOW, SETTLED, WRAPPED, flow_boxes, visual_rows
 from textloom.plans.registry import query
 from textloom.plans.search import _HITS, MARKUP_WORD
-from textloom.plans.sources import DOCS, files
+from textloom.plans.sources import DOCS, source_files
 from textloom.plans.text import LINES, _tile_sql, doc_lines, long
 from textloom.plans.view import SEEN, VIEW
 from textloom.session import cut, scratch
@@ -33,10 +33,11 @@ def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Kinds of source files are those of their whole lines, those of pages of their stored ones.
     """
-    code = files(spark, sf_dir).withColumn("variant", F.col("lang"))
-    pages = corpora.markup(spark, sf_dir).select("file_id", F.lit("text").alias("lang"), F.lit("text-xml").alias("variant"), "text")
+    docs, pages = (index.by_file(f(spark, sf_dir).select("file_id", "text")) for f in (corpora.prose, corpora.markup))
+    code = source_files(docs).withColumn("variant", F.col("lang"))
+    pages = pages.select("file_id", F.lit("text").alias("lang"), F.lit("text-xml").alias("variant"), "text")
     path, tables = scratch(spark, "index"), {"code": code, "pages": pages}
-    index.save({name: index.kinded_lines(index.stored_texts(f.select("file_id", "lang", "variant", "text"), whole=name == "code")) for name, f in tables.items()}, path)
+    index.save({name: index.kinded_lines(index.stored_texts(f.select("file_id", "lang", "variant", "text"), whole=name == "code")) for name, f in tables.items()}, path, dealt=True)
     back = index.load(spark, path, tuple(tables))
     return back["code"].withColumn("corpus", F.lit("code")).unionByName(back["pages"].withColumn("corpus", F.lit("pages")))
 
