@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import book, code, layout, lines, order, proportional, tokens, tree
-from textloom.session import cut
+from textloom.session import cut, settings
 from textloom.sources import trees
 
 #: Tables of a stored index; all must be there for one to be complete.
 TABLES = ("files", "dirs", "lines", "items")
 
+#: Rows that a worker is given at once while tables are written: files, whose texts are read, copied and given back as lines.
+BATCH_ROWS = 256
+
 #: Names of item kinds by language, from 1 (fixed values).
 ITEM_WORDS = {"rust": ("fn", "struct", "enum", "impl", "item"), "python": ("def", "class", "enum", "class", "item"), "clike": ("function", "struct", "enum", "interface", "item")}
 _KEYWORD = r"\b(fn|struct|enum|trait|impl|mod|macro_rules!|type|const|static|union|def|class|interface|namespace|protocol|extension|function|func)\b"
@@ -218,10 +221,12 @@ def by_file(frame: DataFrame, key: str = "file_id") -> DataFrame:
 
 def save(frames: dict[str, DataFrame], path: str, compression: str = "zstd", dealt: bool = False) -> None:
     """Writes tables as Parquet, clustered by file so that a view reads few row groups; dealt: they are made from files that were dealt
-    by ``by_file``."""
+    by ``by_file``. Python workers get no more than BATCH_ROWS rows at once."""
     for name, frame in frames.items():
         key = next((c for c in ("file_id", "path", "status") if c in frame.columns), None)
-        (by_file(frame, key) if key and not dealt else frame).write.mode("overwrite").option("compression", compression).parquet(f"{path}/{name}")
+        rows = int(frame.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+        with settings(frame.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=str(rows if 0 < rows < BATCH_ROWS else BATCH_ROWS)):
+            (by_file(frame, key) if key and not dealt else frame).write.mode("overwrite").option("compression", compression).parquet(f"{path}/{name}")
 
 
 def complete(spark: SparkSession, path: str, names: Sequence[str] = TABLES) -> bool:

@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,27 +60,13 @@ def hits_outside(files: DataFrame, word: str, spec: str, without: tuple[int, ...
 
 def hits_without(lines: DataFrame, word: str, without: tuple[int, ...] = (tokens.STRING, tokens.COMMENT)) -> DataFrame:
     """The same from lines that have their kinds beside them (an index's): hits whose first character is in none of the given
-    kinds. No token is found again; a hit looks its kind up among the line's runs."""
-    if len(word) < 2:
-        return lines.where(F.lit(False)).select("file_id", "line_no", F.lit(0).alias("col"))
-    pattern = re.compile(word_pattern(word))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, col = np.array([(k, m.start()) for k, text in enumerate(batch.column("text").to_pylist()) for m in pattern.finditer(text)], np.int64).reshape(-1, 2).T
-            kinds = batch.column("kinds")
-            size, kind = (c.to_numpy(zero_copy_only=False) for c in kinds.flatten().flatten())
-            upto = np.append(0, np.cumsum(size, dtype=np.int64))
-            bounds = upto[np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(kinds), 0).to_numpy(zero_copy_only=False), dtype=np.int64))]
-            place = bounds[row] + col
-            own = np.append(kind, -1)[np.searchsorted(upto, place, "right") - 1]
-            open_ = (place >= bounds[row + 1]) | ~np.isin(own, without)
-            at = pa.array(row[open_])
-            yield pa.record_batch([batch.column("file_id").take(at), batch.column("line_no").take(at), pa.array(col[open_], pa.int32())], names=["file_id", "line_no", "col"])
-
-    found = lines.where(F.col("text").contains(word)).select("file_id", "line_no", "text", "kinds")
-    keys = ", ".join(f"{c} {lines.schema[c].dataType.simpleString()}" for c in ("file_id", "line_no"))
-    return found.mapInArrow(run, f"{keys}, col int")
+    kinds. No token is found again; a line's runs are spelt out once, and its hits look their kinds up there."""
+    found = lines.where(F.col("text").contains(word)) if len(word) >= 2 else lines.where(F.lit(False))
+    columns = hit_columns(F.col("text"), word) if len(word) >= 2 else F.array(F.lit(0))
+    spelt = found.select("file_id", "line_no", "text", tokens.spelt(F.col("kinds")).alias("marks"))
+    each = spelt.select("file_id", "line_no", "marks", F.explode(columns).alias("col"))
+    own = F.substring("marks", F.col("col") + 1, F.lit(1))
+    return each.where(~F.coalesce(own.isin(*map(str, without)), F.lit(False))).select("file_id", "line_no", "col")
 
 
 def per_file(hits_: DataFrame) -> DataFrame:

@@ -75,6 +75,11 @@ def kind_at(kinds: Column, col: Column) -> Column:
     return F.aggregate(kinds, start, step, lambda at: F.when(at["past"] > col, at["kind"]))
 
 
+def spelt(kinds: Column) -> Column:
+    """A line's runs as its characters' kinds, one digit a character."""
+    return F.array_join(F.transform(kinds, lambda r: F.repeat(r["kind"].cast("string"), r["n"])), "")
+
+
 def exploded(files: DataFrame, spec: str) -> DataFrame:
     """file_id, pos, kind, text of every tile."""
     return with_tiles(files, spec).select("file_id", F.posexplode("tiles").alias("pos", "tile")).select("file_id", "pos", "tile.kind", "tile.text")
