@@ -109,3 +109,10 @@ def test_report_moves_no_lines(spark):
     assert S.report(S.hits(L.lines(frame), "none", ["text"]), files, 3, 60).collect()[0]["row"] == "Hits (0)"
     joins = [j for j in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in j]
     assert len(joins) == 2 and not any("line_no" in j for j in joins)
+
+
+def test_code_charset_in_one_pass(spark):
+    chars = [chr(c) for c in (*range(0x300), 0x2028, 0x20AC, 0xFEFF, 0xFFFD, 0x1F600)]
+    df = spark.createDataFrame([(c + "a" + c + c,) for c in chars], "t string")
+    assert df.where(T.code_charset(F.col("t")) != T.control_fold(T.ascii_fold(F.col("t")))).count() == 0 and df.count() == len(chars)
+    assert df.where(T.code_charset(F.col("t")) == F.col("t")).count() == 96
